@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP2_SQL, op2_line_runs
 from .sharding import op5_feistel_shards
 
-QUERIES = {f.__name__: f for f in (op5_feistel_shards,)}
+QUERIES = {f.__name__: f for f in (op2_line_runs, op5_feistel_shards)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL}
