@@ -95,7 +95,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     is below every other; where only null ids hold a key, its lines stay. Repeats of a key within the keeper stay. An
     empty table gives no rows. Columns named n_lines or n_dropped are replaced; others pass through.
     """
-    settled = build_runs(docs, min_chars, min_docs, batches).settled()
+    # written, so that both sides of the join below are plain exchanges, whose hot keys Spark can split
+    settled = stash(build_runs(docs, min_chars, min_docs, batches).settled(), "settled-lines")
     docs = docs.drop("n_lines", "n_dropped")
     print_of = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))  # tells rows with equal ids apart
     lines = docs.select("doc_id", print_of.alias("__print"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
