@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The only characters that the corpus contracts treat as white space.
@@ -38,11 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,7 +62,7 @@ def byte_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> I
     for batch in batches:
         sizes = batch.column(column)
         start = held = 0
-        for i, n in enumerate(pa.compute.binary_length(sizes).fill_null(0).to_pylist()):
+        for i, n in enumerate(pc.binary_length(sizes).fill_null(0).to_pylist()):
             if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

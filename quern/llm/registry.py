@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .decontam import op10_fm_decontamination
 from .line_dedup import OP2_SQL, op2_line_runs
+from .packing import op1_mixture_packing
 from .quality import op9_compression_bands
 from .sharding import op5_feistel_shards
 from .simhash import op7_bit_sliced_simhash
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_line_runs, op3_token_counts, op5_feistel_shards, op7_bit_sliced_simhash, op9_compression_bands, op10_fm_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_line_runs, op3_token_counts, op5_feistel_shards, op7_bit_sliced_simhash, op9_compression_bands, op10_fm_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ def _counter(path: str, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for block in byte_blocks(batches, "text", BLOCK_BYTES):
             texts = block.column("text")
             n_tokens = pa.array(tokens.lengths(texts.to_pylist()), pa.int64())
-            n_bytes = pa.compute.binary_length(texts).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), n_bytes, n_tokens, pa.compute.greater(n_tokens, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n_bytes = pc.binary_length(texts).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), n_bytes, n_tokens, pc.greater(n_tokens, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return count
 
