@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+from .chat import op8_quotation_links
 from .decontam import op10_fm_decontamination
+from .langid import op4_language_evidence
 from .line_dedup import OP2_SQL, op2_line_runs
 from .packing import op1_mixture_packing
 from .quality import op9_compression_bands
 from .sharding import op5_feistel_shards
 from .simhash import op7_bit_sliced_simhash
 from .token_counts import op3_token_counts
+from .warc import OP6_SQL, op6_merkle_fixity
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_line_runs, op3_token_counts, op5_feistel_shards, op7_bit_sliced_simhash, op9_compression_bands, op10_fm_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixture_packing,
+        op2_line_runs,
+        op3_token_counts,
+        op4_language_evidence,
+        op5_feistel_shards,
+        op6_merkle_fixity,
+        op7_bit_sliced_simhash,
+        op8_quotation_links,
+        op9_compression_bands,
+        op10_fm_decontamination,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL, "op6_merkle_fixity": OP6_SQL}
