@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import q_aggregates, q_iterative, q_joins, q_pipelines, q_scalar, q_streaming, q_windows  # noqa: F401  they register
+from ._registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
