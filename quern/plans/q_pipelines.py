@@ -1 +1,135 @@
-"""Queries."""
+"""Queries of the domain pipelines, over fixtures that are made where they are read."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.kernels.lattice import spectrum
+from ..session import table
+from ..sources import synthetic
+from . import alignment, climate, lattice, stamps, trajectory, transit
+from ._registry import query
+
+
+@query()
+def bls_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves, _ = synthetic.light_curves(spark, 8, 1500)
+    return transit.search(curves, 400)
+
+
+@query()
+def bls_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves, truth = synthetic.light_curves(spark, 4, 1500)
+    return transit.recovery(transit.search(curves, 400), truth)
+
+
+@query()
+def smith_waterman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, windows, genome, _ = synthetic.reads(spark, 200, 150, 1000, 200_000)
+    return alignment.align_reads(reads.repartition(8), windows, genome)
+
+
+@query()
+def text_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items against the documents of one number: a text as a sequence of letters."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("read"), F.lower("text").alias("query"), "item_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("target"))
+    pairs = items.join(documents, F.col("item_id") == F.col("doc_id")).select("read", "query", "target", F.lit(0).alias("start"))
+    return alignment.align_pairs(pairs)
+
+
+_CLIMATE = """
+c AS (SELECT d.range AS day, x.range // 3 AS lat_i, x.range % 3 AS lon_j,
+        290.0::DOUBLE + abs(d.range % 365 - 182) / -12.0::DOUBLE + (d.range * 7919 + x.range * 104729 + d.range // 9 * 1299709) % 1200 / 100.0::DOUBLE AS t,
+        greatest((d.range * 15485863 + x.range * 32452843 + d.range // 4 * 49979687) % 700 / 100.0::DOUBLE - 4.0, 0.0) AS pr, d.range // 365 AS year, d.range % 365 AS doy
+      FROM range(1095) d CROSS JOIN range(6) x),
+thr AS (SELECT lat_i, lon_j, (doy + o.range + 363) % 365 AS doy, quantile_cont(t, 0.9) AS threshold FROM c CROSS JOIN range(5) o GROUP BY 1, 2, 3),
+normal AS (SELECT lat_i, lon_j, doy, avg(t) AS normal FROM c GROUP BY 1, 2, 3),
+hot AS (SELECT lat_i, lon_j, year, doy - row_number() OVER (PARTITION BY lat_i, lon_j, year ORDER BY doy) AS g FROM c JOIN normal USING (lat_i, lon_j, doy) WHERE t > normal + 5),
+warm AS (SELECT lat_i, lon_j, year, sum(n) AS days FROM (SELECT lat_i, lon_j, year, count(*) AS n FROM hot GROUP BY lat_i, lon_j, year, g) WHERE n >= 6 GROUP BY 1, 2, 3),
+dry AS (SELECT lat_i, lon_j, year, doy - row_number() OVER (PARTITION BY lat_i, lon_j, year ORDER BY doy) AS g FROM c WHERE pr < 1.0),
+longest AS (SELECT lat_i, lon_j, year, max(n) AS days FROM (SELECT lat_i, lon_j, year, count(*) AS n FROM dry GROUP BY lat_i, lon_j, year, g) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""
+WITH {_CLIMATE}
+SELECT c.lat_i::INTEGER AS lat_i, c.lon_j::INTEGER AS lon_j, c.year::INTEGER AS year, round(count(*) FILTER (WHERE t > threshold) / 365.0, 6) AS tx90p,
+       coalesce(any_value(w.days), 0)::DOUBLE AS hwdi, round(sum(greatest(t - 283.15, 0)), 4) AS gdd, coalesce(any_value(l.days), 0)::DOUBLE AS cdd
+FROM c JOIN thr USING (lat_i, lon_j, doy) LEFT JOIN warm w ON w.lat_i = c.lat_i AND w.lon_j = c.lon_j AND w.year = c.year
+LEFT JOIN longest l ON l.lat_i = c.lat_i AND l.lon_j = c.lon_j AND l.year = c.year GROUP BY c.lat_i, c.lon_j, c.year
+""")
+def climate_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = climate.indices(synthetic.climate(spark, 3, 2, 3))
+    return found.select(*climate.YEAR, F.round("tx90p", 6).alias("tx90p"), "hwdi", F.round("gdd", 4).alias("gdd"), "cdd")
+
+
+@query()
+def lbm_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few steps of a grid of cells as plans."""
+    return lattice.run(spark, "cylinder", 30, 18, 4, 60.0)
+
+
+@query()
+def lbm_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep of small grids, one a task."""
+    cases = [("cavity-100", "cavity", 40, 40, 300, 100.0, 0), ("cylinder-100", "cylinder", 100, 40, 500, 100.0, 4), ("cylinder-200", "cylinder", 100, 40, 500, 200.0, 4)]
+    return lattice.sweep(spark.createDataFrame(cases, "name string, case string, nx int, ny int, steps int, reynolds double, sample_every int").repartition(3, "name"))
+
+
+def _trajectory(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return synthetic.trajectory(spark, 12, 200, 5)
+
+
+BOX = (2.4, 2.4, 2.4)
+
+
+@query()
+def trajectory_rdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traj, topology, _ = _trajectory(spark)
+    return trajectory.pair_distribution(traj, topology, BOX)
+
+
+@query()
+def trajectory_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traj, _, roles = _trajectory(spark)
+    return trajectory.bond_counts(traj, roles, BOX)
+
+
+@query()
+def trajectory_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traj, topology, _ = _trajectory(spark)
+    return trajectory.native_contacts(traj, topology, BOX)
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 190)::DOUBLE + 0.25 AS x, (s_suppkey * 53 % 90)::DOUBLE + 0.25 AS y FROM supplier),
+d AS (SELECT range::INTEGER AS det_num, range * 60 AS x0, 0 AS y0, 64 AS nx, 64 AS ny FROM range(3)),
+p AS (SELECT id, min(det_num) AS det_num FROM s JOIN d ON x - x0 > 0 AND x - x0 <= nx AND y - y0 > 0 AND y - y0 <= ny GROUP BY id),
+g AS (SELECT s.id, p.det_num, v.range AS sy, u.range AS sx, round_even(y - 0, 0) - 4 + v.range AS py, round_even(x - 60 * p.det_num, 0) - 4 + u.range AS px
+      FROM s JOIN p USING (id) CROSS JOIN range(8) v CROSS JOIN range(8) u)
+SELECT id, sum(CASE WHEN py BETWEEN 0 AND 63 AND px BETWEEN 0 AND 63 THEN (py * 64 + px + det_num) % 97 ELSE 0 END)::BIGINT AS sci,
+       sum(CASE WHEN py BETWEEN 0 AND 63 AND px BETWEEN 0 AND 63 THEN 0 ELSE 1 END)::BIGINT AS flg, count(*) AS n FROM g GROUP BY id
+""")
+def stamp_cutout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    catalog = table(spark, sf_dir, "supplier").select(k.alias("id"), ((k * 37 % 190).cast("double") + 0.25).alias("x"), ((k * 53 % 90).cast("double") + 0.25).alias("y"))
+    detectors = spark.range(3).select(F.col("id").cast("int").alias("det_num"), (F.col("id") * 60).alias("x0"), F.lit(0).alias("y0"), F.lit(64).alias("nx"), F.lit(64).alias("ny"))
+    at = spark.range(3 * 4096).select(F.expr("cast(id div 4096 as int)").alias("det_num"), F.expr("cast(id % 4096 div 64 as int)").alias("y"), (F.col("id") % 64).cast("int").alias("x"))
+    pixels = at.withColumn("sci", (F.col("y") * 64 + F.col("x") + F.col("det_num")) % 97).withColumn("flg", F.lit(0))
+    found = stamps.stamps(catalog, detectors, pixels, 8)
+    return found.groupBy("id").agg(F.sum("sci").alias("sci"), F.sum("flg").alias("flg"), F.count("*").alias("n"))
+
+
+@query("SELECT 50.0::DOUBLE AS frequency")
+def fft_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest frequency of a two-tone signal."""
+
+    def peak(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        frequencies, power = spectrum(rows["v"].to_numpy(np.float64), float(rows["t"].iloc[1] - rows["t"].iloc[0]))
+        return pd.DataFrame({"frequency": [round(float(frequencies[power.argmax()]), 6)]})
+
+    return synthetic.two_tone(spark, 1 << 16, 65536.0 / 16).withColumn("signal", F.lit(1)).groupBy("signal").applyInPandas(peak, "frequency double")
