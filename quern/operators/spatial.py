@@ -23,28 +23,41 @@ def n_cells(box: float, cutoff: float) -> int:
     return max(3, int(box / cutoff))
 
 
-def cell_join(left: DataFrame, right: DataFrame, box: Sequence[float], cutoff: float, by: Sequence[str] = (), key: str = "id") -> DataFrame:
-    """Pairs (by..., a, b, dx, dy, dz, r2) of a left and a right point within cutoff in a periodic box.
+#: A cell's neighbours, and the half of them that has one of each opposite pair and the cell itself.
+NEIGHBOURS = tuple(itertools.product((-1, 0, 1), repeat=3))
+HALF = tuple(o for o in NEIGHBOURS if o >= (0, 0, 0))
 
-    Each left point goes to its 27 neighbouring cells, a right point to its own, and an equi-join on
-    (by, cell) meets each pair once; the exact distance decides. Dense cells are split by AQE's skew join.
-    """
+
+def _meet(left: DataFrame, right: DataFrame, box: Sequence[float], cutoff: float, by: Sequence[str], key: str, offsets: Sequence[tuple[int, ...]], same_set: bool) -> DataFrame:
     n = [n_cells(b, cutoff) for b in box]
-    near = F.explode(F.array(*[F.struct(*[F.lit(o).alias(f"o{a}") for a, o in zip(AXES, offset, strict=True)]) for offset in itertools.product((-1, 0, 1), repeat=3)]))
+    near = F.explode(F.array(*[F.struct(*[F.lit(o).alias(f"o{a}") for a, o in zip(AXES, offset, strict=True)]) for offset in offsets]))
     a = left.select(*by, F.col(key).alias("a"), *[F.col(c).cast("double").alias(f"a{c}") for c in AXES], near.alias("o"))
-    a = a.select(*by, "a", *[f"a{c}" for c in AXES], *[F.pmod(_cell(F.col(f"a{c}"), box[i], n[i]) + F.col(f"o.o{c}"), F.lit(n[i])).alias(f"c{c}") for i, c in enumerate(AXES)])
+    home = F.lit(True)
+    for c in AXES:
+        home = home & (F.col(f"o.o{c}") == 0)
+    a = a.select(*by, "a", *[f"a{c}" for c in AXES], home.alias("home"), *[F.pmod(_cell(F.col(f"a{c}"), box[i], n[i]) + F.col(f"o.o{c}"), F.lit(n[i])).alias(f"c{c}") for i, c in enumerate(AXES)])
     b = right.select(*by, F.col(key).alias("b"), *[F.col(c).cast("double").alias(f"b{c}") for c in AXES])
     b = b.select("*", *[_cell(F.col(f"b{c}"), box[i], n[i]).alias(f"c{c}") for i, c in enumerate(AXES)])
+    d = [minimum_image(F.col(f"a{c}") - F.col(f"b{c}"), box[i]) for i, c in enumerate(AXES)]
     pairs = a.join(b, [*by, *[f"c{c}" for c in AXES]])
-    for i, c in enumerate(AXES):
-        pairs = pairs.withColumn(f"d{c}", minimum_image(F.col(f"a{c}") - F.col(f"b{c}"), box[i]))
-    pairs = pairs.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
-    return pairs.where(F.col("r2") <= cutoff * cutoff).select(*by, "a", "b", "dx", "dy", "dz", "r2")
+    if same_set:
+        pairs = pairs.where(~F.col("home") | (F.col("a") < F.col("b")))
+    return pairs.select(*by, "a", "b", *[x.alias(f"d{c}") for x, c in zip(d, AXES, strict=True)]).withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("r2") <= cutoff * cutoff)
+
+
+def cell_join(left: DataFrame, right: DataFrame, box: Sequence[float], cutoff: float, by: Sequence[str] = (), key: str = "id") -> DataFrame:
+    """Pairs (by..., a, b, dx, dy, dz, r2) of a left and a right point within cutoff in a periodic box.
+
+    Each left point goes to its 27 neighbouring cells, a right point to its own, and an equi-join on
+    (by, cell) meets each pair once; the exact distance decides. Dense cells are split by AQE's skew join.
+    """
+    return _meet(left, right, box, cutoff, by, key, NEIGHBOURS, False)
 
 
 def close_pairs(points: DataFrame, box: Sequence[float], cutoff: float, by: Sequence[str] = (), key: str = "id") -> DataFrame:
-    """Unordered pairs a < b of one set of points."""
-    return cell_join(points, points, box, cutoff, by, key).where("a < b")
+    """Unordered pairs (by..., a, b, r2), a < b, of one set of points: of two neighbouring cells one goes to the other."""
+    pairs = _meet(points, points, box, cutoff, by, key, HALF, True)
+    return pairs.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "r2")
 
 
 def pair_histogram(points: DataFrame, box: Sequence[float], edges: Sequence[float], by: Sequence[str] = (), key: str = "id") -> DataFrame:

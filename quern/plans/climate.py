@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import circular_percentile
 from ..functions.scalar import positive_part
+from ..operators.kernels import climate as kernel
 from ..operators.windows import longest_run, run_length_sum
 
 CELL = ["lat_i", "lon_j"]
@@ -20,6 +23,29 @@ def with_calendar(climate: DataFrame) -> DataFrame:
     return climate.withColumn("year", F.expr("cast(day div 365 as int)")).withColumn("doy", F.expr("cast(day % 365 as int)"))
 
 
+def indices_by_cell(climate: DataFrame, wanted: Sequence[str] = INDICES, reference_years: int = 30) -> DataFrame:
+    """The same rows as indices() by one exchange: a group is one cell's series of whole years, in a kernel.
+
+    The series of a cell is what its years make it, tens of thousands of rows, however many cells there are.
+    Missing days and incomplete years need indices().
+    """
+    unknown = set(wanted) - set(INDICES)
+    if unknown:
+        raise ValueError(f"unknown indices: {sorted(unknown)}")
+    needed = ["tasmax"] * bool(set(wanted) - {"cdd"}) + ["pr"] * ("cdd" in wanted)
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(rows["day"].to_numpy())
+        years = len(order) // kernel.DAYS
+        series = {c: rows[c].to_numpy(np.float64)[order][: years * kernel.DAYS].reshape(years, kernel.DAYS) for c in needed}
+        found = kernel.indices(series.get("tasmax"), series.get("pr"), tuple(wanted), reference_years)
+        blank = np.full(years, np.nan)
+        return pd.DataFrame({"lat_i": key[0], "lon_j": key[1], "year": np.arange(years), **{i: found.get(i, blank) for i in INDICES}})
+
+    rows = climate.select("day", *CELL, *needed)
+    return rows.groupBy(*CELL).applyInPandas(one, "lat_i int, lon_j int, year int, tx90p double, hwdi double, gdd double, cdd double")
+
+
 def indices(climate: DataFrame, wanted: Sequence[str] = INDICES, reference_years: int = 30) -> DataFrame:
     """A row for each cell and year with the wanted indices, NaN for the others.
 

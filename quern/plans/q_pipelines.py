@@ -54,18 +54,29 @@ dry AS (SELECT lat_i, lon_j, year, doy - row_number() OVER (PARTITION BY lat_i,
 longest AS (SELECT lat_i, lon_j, year, max(n) AS days FROM (SELECT lat_i, lon_j, year, count(*) AS n FROM dry GROUP BY lat_i, lon_j, year, g) GROUP BY 1, 2, 3)"""
 
 
-@query(f"""
+_CLIMATE_SQL = f"""
 WITH {_CLIMATE}
 SELECT c.lat_i::INTEGER AS lat_i, c.lon_j::INTEGER AS lon_j, c.year::INTEGER AS year, round(count(*) FILTER (WHERE t > threshold) / 365.0, 6) AS tx90p,
        coalesce(any_value(w.days), 0)::DOUBLE AS hwdi, round(sum(greatest(t - 283.15, 0)), 4) AS gdd, coalesce(any_value(l.days), 0)::DOUBLE AS cdd
 FROM c JOIN thr USING (lat_i, lon_j, doy) LEFT JOIN warm w ON w.lat_i = c.lat_i AND w.lon_j = c.lon_j AND w.year = c.year
 LEFT JOIN longest l ON l.lat_i = c.lat_i AND l.lon_j = c.lon_j AND l.year = c.year GROUP BY c.lat_i, c.lon_j, c.year
-""")
-def climate_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = climate.indices(synthetic.climate(spark, 3, 2, 3))
+"""
+
+
+def _rounded(found: DataFrame) -> DataFrame:
     return found.select(*climate.YEAR, F.round("tx90p", 6).alias("tx90p"), "hwdi", F.round("gdd", 4).alias("gdd"), "cdd")
 
 
+@query(_CLIMATE_SQL)
+def climate_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(climate.indices(synthetic.climate(spark, 3, 2, 3)))
+
+
+@query(_CLIMATE_SQL)
+def climate_indices_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(climate.indices_by_cell(synthetic.climate(spark, 3, 2, 3)))
+
+
 @query()
 def lbm_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few steps of a grid of cells as plans."""
