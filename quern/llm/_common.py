@@ -57,6 +57,11 @@ def drop_stash(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def neutral(docs: DataFrame, *keep: str) -> DataFrame:
+    """The table with its columns renamed c0, c1, ... but for those in keep, so that no name can clash with an operator's own."""
+    return docs.toDF(*[n if n in keep else f"c{i}" for i, n in enumerate(docs.columns)])
+
+
 def byte_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column holds about limit bytes, one row at least; no row is copied."""
     for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import neutral, table
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -232,23 +232,25 @@ _MERGE = """aggregate(spans, cast(array() as array<struct<start:bigint,end:bigin
      concat(done, array(s))))"""
 
 
+def _judged(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All columns of docs under neutral names, those of FIELDS, and the neutral names in order; the text is body."""
+    plain = neutral(docs, "text")
+    names = ["body" if c == "text" else c for c in plain.columns]
+    return scan(plain.withColumn("body", F.col("text")), benchmark, tuple(names)), names
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, as they are, judged where they are read."""
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = [i for i, n in enumerate(names) if n == "text"][0]
-    judged = scan(plain.withColumn("text", F.col(f"c{at}")), benchmark, tuple(plain.columns))
-    return judged.where(~F.col("contaminated")).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    judged, names = _judged(docs, benchmark)
+    return judged.where(~F.col("contaminated")).select(*names).toDF(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents, with the merged spans of test words cut out of text."""
-    cutter = F.udf(lambda text, spans: text if text is None or not spans else cut(text.encode(), [{"start": s["start"], "end": s["end"]} for s in spans]).decode(), "string")
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = [i for i, n in enumerate(names) if n == "text"][0]
-    judged = scan(plain.withColumn("text", F.col(f"c{at}")), benchmark, tuple(plain.columns))
-    return judged.select(*[(F.when(F.size("spans") > 0, cutter(F.col(f"c{i}"), F.col("spans"))).otherwise(F.col(f"c{i}")) if i == at else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
+    judged, names = _judged(docs, benchmark)
+    cutter = F.udf(lambda text, spans: cut(text.encode(), [s.asDict() for s in spans]).decode(), "string")
+    body = F.when(F.size("spans") > 0, cutter(F.col("body"), F.col("spans"))).otherwise(F.col("body"))
+    return judged.select(*[body.alias(c) if c == "body" else F.col(c) for c in names]).toDF(*docs.columns)
 
 
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, LOWER, UPPER, drop_stash, stash, table
+from ._common import BLANKS, LOWER, UPPER, drop_stash, neutral, stash, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FAN_IN = 4, 2
@@ -98,6 +98,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     # written, so that both sides of the join below are plain exchanges, whose hot keys Spark can split
     settled = stash(build_runs(docs, min_chars, min_docs, batches).settled(), "settled-lines")
     docs = docs.drop("n_lines", "n_dropped")
+    names = docs.columns
+    docs = neutral(docs, "doc_id", "text")
     print_of = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))  # tells rows with equal ids apart
     lines = docs.select("doc_id", print_of.alias("__print"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     lines = lines.select("doc_id", "__print", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
@@ -109,11 +111,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - F.lit(1)), F.col("__drop"))
     text = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
     columns = [F.when(F.col("__drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return kept.select(
-        *columns,
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long").alias("n_dropped"),
-    )
+    n_dropped = F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop"))
+    return kept.select(*columns, F.size("__lines").cast("long"), n_dropped.cast("long")).toDF(*names, "n_lines", "n_dropped")
 
 
 def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import neutral, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
@@ -121,12 +121,9 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that keep the rules, with their own columns only: judged where they are read, without a join."""
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no clash with the names of SCHEMA
-    at = [i for i, n in enumerate(names) if n == "text"][0]
-    held = plain.withColumn("text", F.col(f"c{at}"))
-    judged = score(held, tuple(plain.columns))
-    return judged.where("kept").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    plain = neutral(docs, "text")
+    judged = score(plain.withColumn("body", F.col("text")), tuple("body" if c == "text" else c for c in plain.columns))
+    return judged.where("kept").select(*["body" if c == "text" else c for c in plain.columns]).toDF(*docs.columns)
 
 
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, drop_stash, stash, table
+from ._common import LOWER, UPPER, drop_stash, neutral, stash, table
 
 BITS, SHINGLE, RADIUS, SEED = 64, 3, 2, 42
 #: A pair within RADIUS bits agrees on at least BLOCKS - RADIUS of the BLOCKS bit ranges: one table for each choice.
@@ -237,10 +237,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one whose doc_id is the component's. Columns stay as they are."""
-    found = near_duplicates(docs)
+    """One document of each component: the one whose doc_id is the component's. Columns stay as they are.
+
+    Rows that share that doc_id and are of the component all stay: an id stands for one document.
+    """
+    plain = neutral(docs, "doc_id", "text")
+    found = near_duplicates(plain)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi")
+    return plain.join(kept, plain["doc_id"].eqNullSafe(kept["__keep"]), "left_semi").toDF(*docs.columns)
 
 
 def op7_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
