@@ -248,9 +248,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents, with the merged spans of test words cut out of text."""
     judged, names = _judged(docs, benchmark)
-    cutter = F.udf(lambda text, spans: cut(text.encode(), [s.asDict() for s in spans]).decode(), "string")
-    body = F.when(F.size("spans") > 0, cutter(F.col("body"), F.col("spans"))).otherwise(F.col("body"))
-    return judged.select(*[body.alias(c) if c == "body" else F.col(c) for c in names]).toDF(*docs.columns)
+
+    def cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("body")
+            texts, spans = batch.column(at).to_pylist(), batch.column("spans").to_pylist()
+            cleaned = [cut(t.encode(), s).decode() if s else t for t, s in zip(texts, spans, strict=True)]
+            yield batch.set_column(at, "body", pa.array(cleaned, pa.string())).drop_columns(["spans"])
+
+    fields = ", ".join(f"{c} {judged.schema[c].dataType.simpleString()}" for c in names)
+    return judged.select(*names, "spans").mapInArrow(cutter, fields).toDF(*docs.columns)
 
 
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
