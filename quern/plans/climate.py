@@ -43,7 +43,8 @@ def indices_by_cell(climate: DataFrame, wanted: Sequence[str] = INDICES, referen
         return pd.DataFrame({"lat_i": key[0], "lon_j": key[1], "year": np.arange(years), **{i: found.get(i, blank) for i in INDICES}})
 
     rows = climate.select("day", *CELL, *needed)
-    return rows.groupBy(*CELL).applyInPandas(one, "lat_i int, lon_j int, year int, tx90p double, hwdi double, gdd double, cdd double")
+    found = rows.groupBy(*CELL).applyInPandas(one, "lat_i int, lon_j int, year int, tx90p double, hwdi double, gdd double, cdd double")
+    return found.select(*YEAR, *[F.coalesce(i, F.lit(float("nan"))).alias(i) for i in INDICES])  # pandas gives NaN as null
 
 
 def indices(climate: DataFrame, wanted: Sequence[str] = INDICES, reference_years: int = 30) -> DataFrame:

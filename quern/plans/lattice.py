@@ -80,4 +80,5 @@ def sweep(cases: DataFrame) -> DataFrame:
                 out.append((r.name, float(found["rho"].mean() - 1.0), float(np.abs(found["ux"]).max()), float(wall), kernel.strouhal(found["probe"], length, 0.05)))
             yield pd.DataFrame(out, columns=["name", "mass_drift", "top_speed", "wall_speed", "strouhal"])
 
-    return cases.mapInPandas(solve, "name string, mass_drift double, top_speed double, wall_speed double, strouhal double")
+    found = cases.mapInPandas(solve, "name string, mass_drift double, top_speed double, wall_speed double, strouhal double")
+    return found.withColumn("strouhal", F.coalesce("strouhal", F.lit(float("nan"))))  # pandas gives NaN as null

@@ -16,10 +16,8 @@ def _kmeans_sql(steps: int) -> str:
     parts = ["WITH p AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y FROM part)"]
     parts.append("c0 AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {x}::DOUBLE, {y}::DOUBLE)" for k, (x, y) in enumerate(_CENTRES)) + ") v(k, x, y))")
     for i in range(steps):
-        parts.append(
-            f"c{i + 1} AS (SELECT k, avg(x) AS x, avg(y) AS y FROM (SELECT p_partkey, p.x, p.y, arg_min(c.k, {{'d': (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), 'k': c.k}}) AS k"
-            f" FROM p CROSS JOIN c{i} c GROUP BY p_partkey, p.x, p.y) GROUP BY k)"
-        )
+        near = f"SELECT p_partkey, p.x, p.y, arg_min(c.k, {{'d': (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), 'k': c.k}}) AS k FROM p CROSS JOIN c{i} c GROUP BY p_partkey, p.x, p.y"
+        parts.append(f"c{i + 1} AS (SELECT c.k, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y FROM c{i} c LEFT JOIN (SELECT k, avg(x) AS x, avg(y) AS y FROM ({near}) GROUP BY k) m ON m.k = c.k)")
     return ", ".join(parts) + f" SELECT k, round(x, 6) AS x, round(y, 6) AS y FROM c{steps}"
 
 
