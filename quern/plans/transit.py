@@ -32,6 +32,18 @@ def search(curves: DataFrame, n_periods: int, detrend: bool = True) -> DataFrame
     return (flatten(curves) if detrend else curves).groupBy("star_id").applyInPandas(one, RESULT)
 
 
+def periodogram(curves: DataFrame, n_periods: int, detrend: bool = True) -> DataFrame:
+    """(star_id, period, power) of every trial period."""
+    periods = kernel.period_grid(n_periods)
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        power, _ = kernel.power_spectrum(*(rows[c].to_numpy(np.float64) for c in ("t", "flux", "flux_err")), periods)
+        return pd.DataFrame({"star_id": key[0], "period": periods, "power": power})
+
+    return (flatten(curves) if detrend else curves).groupBy("star_id").applyInPandas(one, "star_id int, period double, power double")
+
+
 def recovery(found: DataFrame, truth: DataFrame, threshold: float = 10.0) -> DataFrame:
     """tp, fp, fn, tn of detections; a planet found at a wrong period counts as missed."""
     joined = found.join(truth.select("star_id", "has_planet", F.col("period").alias("true_period")), "star_id")

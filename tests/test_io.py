@@ -72,3 +72,53 @@ def test_constructors(spark):
     assert synthetic.random_matrix(spark, 4, 4).where("v < 0 or v >= 1").count() == 0
     blobs = synthetic.blobs(spark, 3000, ((0, 0), (50, 0)))
     assert {round(r.m) for r in blobs.groupBy("centre").agg(F.avg("x").alias("m")).collect()} == {0, 50}
+
+
+def fits_file(path, images):
+    """A primary header without data and an image extension for each array."""
+
+    def block(cards):
+        text = "".join(c.ljust(80) for c in [*cards, "END"])
+        return text.ljust(-(-len(text) // 2880) * 2880).encode()
+
+    out = block(["SIMPLE  =                    T", "BITPIX  =                    8", "NAXIS   =                    0"])
+    for k, (image, bits, kind) in enumerate(images):
+        ny, nx = image.shape
+        cards = ["XTENSION= 'IMAGE   '", f"BITPIX  = {bits:20d} / bits", "NAXIS   =                    2", f"NAXIS1  = {nx:20d}", f"NAXIS2  = {ny:20d}", f"CCDID   = '{k // 3 + 1}-2     '", "QUADID  = 'F       '"]
+        data = image.astype(kind).tobytes()
+        out += block(cards) + data.ljust(-(-len(data) // 2880) * 2880, b"\0")
+    path.write_bytes(out)
+
+
+def test_fits_and_parquet_exposures(spark, tmp_path):
+    from quern.sources.exposures import FitsExposure, ParquetExposure
+
+    planes = [np.arange(12.0).reshape(3, 4) + 100 * k for k in range(6)]
+    fits_file(tmp_path / "e.fits", [(p, -32, ">f4") if k % 3 < 2 else (p, 16, ">i2") for k, p in enumerate(planes)])
+    exposure = FitsExposure(spark, f"{tmp_path}/e.fits")
+    assert sorted((r.det_num, r.det_id, r.nx, r.ny) for r in exposure.detectors().collect()) == [(0, "1-2.F", 4, 3), (1, "2-2.F", 4, 3)]
+    ParquetExposure.write(exposure, f"{tmp_path}/p")
+    for source in (exposure, ParquetExposure(spark, f"{tmp_path}/p")):
+        got = {(r.y, r.x): (r.sci, r.rms, r.flg) for r in source.pixels(1).collect()}
+        assert got == {(y, x): tuple(planes[3 + k][y, x] for k in range(3)) for y in range(3) for x in range(4)}
+        assert source.pixels().count() == 24
+    with pytest.raises(Exception, match="offset"):
+        spark.read.format("fits").option("offset", -1).load(f"{tmp_path}/e.fits").collect()
+
+
+def test_implementations_are_checked_and_timed(spark):
+    from quern.operators import linalg
+    from quern.operators.distribution import Implementations
+
+    a = spark.range(30).select((F.col("id") % 5).alias("i"), F.expr("id div 5").alias("k"), F.col("id").alias("v"))
+    b = spark.range(30).select(F.expr("id div 5").alias("k"), (F.col("id") % 5).alias("j"), F.col("id").alias("v"))
+    kinds = Implementations("join", ("i", "j"), "v")
+    kinds.add("join", linalg.matmul)
+    kinds.add("blocks", lambda x, y: linalg.block_matmul(x, y, (5, 6, 5), 4))
+    kinds.add("wrong", lambda x, y: linalg.matmul(x, y).withColumn("v", F.col("v") + 1))
+    assert kinds.validate("blocks", a, b) and not kinds.validate("wrong", a, b)
+    assert set(kinds.benchmark(a, b, names=["join"])) == {"join"}
+    with pytest.raises(KeyError):
+        kinds.run("nothing", a, b)
+    with pytest.raises(TypeError):
+        kinds.add("text", "not a function")
