@@ -57,6 +57,12 @@ def drop_stash(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_stash(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this and earlier queries; results that still read them must be written first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def neutral(docs: DataFrame, *keep: str) -> DataFrame:
     """The table with its columns renamed c0, c1, ... but for those in keep, so that no name can clash with an operator's own."""
     return docs.toDF(*[n if n in keep else f"c{i}" for i, n in enumerate(docs.columns)])

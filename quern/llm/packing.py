@@ -134,12 +134,23 @@ def _named_sources(docs: DataFrame) -> dict[str | None, int]:
     return {s: i for i, s in enumerate(sorted(found, key=lambda s: (s is not None, s)))}
 
 
+def _proportions(sizes: np.ndarray, sources: list[str | None], weights: Mapping[str, float]) -> np.ndarray:
+    """The queues' target proportions: those asked for, and the rest by tokens, a trifle where nothing is left."""
+    if sum(weights.values()) > 1.0 + 1e-9 or min(weights.values(), default=1.0) <= 0.0:
+        raise ValueError("weights must be above 0 and 1 at most together")
+    asked = np.array([weights.get(s, np.nan) if s is not None else np.nan for s in sources], np.float64)
+    left = np.isnan(asked)
+    rest = max(1e-6, 1.0 - float(np.nansum(asked)))
+    return np.where(left, rest * sizes / max(1, sizes[left].sum()), asked)
+
+
 def pack(docs: DataFrame, vocabulary: str, weights: Mapping[str, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, with_ids: bool = False) -> DataFrame:
     """Cut the documents into pieces that fill sequences of window tokens in the proportions of the sources.
 
-    Each source is a queue: its documents' ids, id END after each, one after another. weights are the
-    target proportions of sources; without them, and for sources that they leave out, a source's weight is its
-    number of tokens, so that all queues last to the end. Each sequence holds window / quantum slots, each of one queue.
+    Each source is a queue: its documents' ids, id END after each, one after another. weights are target
+    proportions of sources, at most 1 together; sources that they leave out share the rest by their numbers of tokens.
+    Without weights all share by tokens, so that all queues last to the end. Only sources with a queue of their own
+    can have a weight. Each sequence holds window / quantum slots, each of one queue.
 
     Two passes and no shuffle of text or ids: the first encodes, notes each document's place in its task's part
     of the queue and writes ids and places to the shared folder; counts by (queue, task) give the parts'
@@ -160,8 +171,8 @@ def pack(docs: DataFrame, vocabulary: str, weights: Mapping[str, float] | None =
     totals = {r["queue"]: r["size"] for r in parts.groupBy("queue").agg(F.sum("size").alias("size")).collect()}
     queues = sorted(totals)
     by_queue = {q: s for s, q in named.items()}
-    asked = [(weights or {}).get(by_queue.get(q), None) for q in queues]
-    schedule = Schedule(np.array([totals[q] for q in queues], np.int64), np.array([totals[q] if w is None else w for q, w in zip(queues, asked, strict=True)], np.float64), window, quantum)
+    sizes = np.array([totals[q] for q in queues], np.int64)
+    schedule = Schedule(sizes, _proportions(sizes, [by_queue.get(q) for q in queues], weights or {}), window, quantum)
     up_to = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stash(parts.select("queue", "part", F.coalesce(F.sum("size").over(up_to), F.lit(0)).alias("base")), "bases")
     numbers = F.array_position(F.array(*[F.lit(q) for q in queues] or [F.lit(0)]), F.col("queue")) - 1

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quern.llm.packing import QUANTUM, Schedule, op1_mixture_packing, pack, sequences
+from quern.llm.packing import QUANTUM, Schedule, _proportions, op1_mixture_packing, pack, sequences
 
 from .helpers import awkward, awkward_rows, empty
 
@@ -61,7 +61,7 @@ def test_awkward_rows(spark, ids_of):
 
 def test_sequences_hold_the_ids(spark, sf_dir, ids_of):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    whole = sequences(pack(docs, VOCABULARY, {"src0": 3.0, "src1": 1.0}, with_ids=True)).collect()
+    whole = sequences(pack(docs, VOCABULARY, {"src0": 0.6, "src1": 0.2}, with_ids=True)).collect()
     assert max(len(r.ids) for r in whole) <= 1024
     got = np.sort(np.concatenate([r.ids for r in whole]))
     assert np.array_equal(got, np.sort(np.concatenate([ids_of(r.text) for r in docs.collect()])))
@@ -92,6 +92,23 @@ def test_weights_hold_until_a_queue_is_empty():
         assert abs(int((order[: 4 * (window + 1)] == 0).sum()) - 3 * (window + 1)) <= 1
 
 
+def test_target_proportions_hold_in_the_first_windows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = pack(docs, VOCABULARY, {"src0": 0.25, "src1": 0.25}).join(docs.select("doc_id", "source"), "doc_id")
+    total = {r.source: r.n for r in pieces.groupBy("source").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+    windows = int(min(total["src0"], total["src1"]) / 256)  # until the first of the two is empty
+    first = pieces.where(f"sequence_id < {windows}").groupBy("source").sum("length").collect()
+    share = {r.source: r[1] / (1024 * windows) for r in first}
+    assert abs(share["src0"] - 0.25) < 0.75 / windows and abs(share["src1"] - 0.25) < 0.75 / windows
+
+
+def test_weights_are_proportions(spark):
+    assert np.allclose(_proportions(np.array([10, 30, 60]), ["a", "b", None], {"a": 0.5}), [0.5, 1 / 6, 1 / 3])
+    for wrong in ({"a": 0.7, "b": 0.4}, {"a": 0.0}):
+        with pytest.raises(ValueError):
+            _proportions(np.array([1, 1]), ["a", "b"], wrong)
+
+
 def test_window_must_hold_whole_slots(spark):
     with pytest.raises(ValueError):
         pack(empty(spark), VOCABULARY, window=1000, quantum=300)

@@ -45,3 +45,12 @@ def test_written_shards_hold_the_texts(spark, sf_dir, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/shards")
     assert back.select("shard").distinct().count() == 5
     assert rows_of(back, "doc_id", "text") == rows_of(docs, "doc_id", "text")
+
+
+def test_stash_is_written_and_cleared(spark):
+    from quern.llm._common import clear_stash, stash
+
+    table = stash(spark.range(5), "numbers")
+    assert table.count() == 5 and all("/quern/numbers-" in f for f in table.inputFiles())
+    clear_stash(spark)
+    assert stash(spark.range(3), "numbers").count() == 3
