@@ -220,3 +220,44 @@ def test_hash_uniform_is_uniform_and_stable(spark):
     draw = lambda parts: [r.u for r in spark.range(0, 20_000, 1, parts).select("id", scalar.uniform(1, F.col("id")).alias("u")).orderBy("id").collect()]
     one = draw(3)
     assert one == draw(7) and abs(np.mean(one) - 0.5) < 0.01 and 0 <= min(one) and max(one) < 1
+
+
+def test_validators_tell_good_from_bad(spark):
+    from quern.operators import validate
+
+    cells = lattice.run(spark, "cavity", 16, 12, 3, 50.0)
+    assert validate.lattice_physics(cells).first()["ok"]
+    broken = cells.withColumn("ux", F.when(F.col("solid"), F.lit(0.1)).otherwise(F.col("ux")))
+    assert not validate.lattice_physics(broken).first()["ok"]
+    a = spark.createDataFrame([(1, 1.0, float("nan")), (2, 2.0, 3.0)], "k int, tx90p double, gdd double")
+    b = spark.createDataFrame([(1, 1.0 + 1e-10, float("nan")), (3, 2.0, 3.0)], "k int, tx90p double, gdd double")
+    found = {r["value"]: r for r in validate.regression(a, b, ["k"], ["tx90p", "gdd"]).collect()}
+    assert (found["tx90p"].missing, found["tx90p"].extra, found["tx90p"].compared, found["tx90p"].differing, found["tx90p"].ok) == (1, 1, 1, 0, False)
+    assert all(r.ok for r in validate.regression(a, a, ["k"], ["tx90p", "gdd"]).collect())
+    far = a.withColumn("tx90p", F.col("tx90p") + 1e-6)
+    assert {r["value"]: r.differing for r in validate.regression(a, far, ["k"], ["tx90p", "gdd"]).collect()} == {"tx90p": 2, "gdd": 0}
+    assert validate.predicted_bytes(10, 20, 3) == 4800
+
+
+def test_scatter_keeps_rows_in_ranges(spark):
+    from quern.operators import distribution
+
+    parts = distribution.scatter(spark.range(103).orderBy(F.desc("id")), 4, "id").withColumn("p", F.spark_partition_id())
+    ranges = sorted((r.lo, r.hi) for r in parts.groupBy("p").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert distribution.placement(parts).agg(F.sum("rows")).first()[0] == 103
+
+
+def test_blocks_wrap_round(spark):
+    rng = np.random.default_rng(0)
+    s = rng.integers(0, 9, 12).astype(float)
+    frame = spark.createDataFrame([("a", i, float(x), 1.0) for i, x in enumerate(s)], "g string, bin int, s double, r double")
+    got = {(r.start, r.width): (r.s, r.r) for r in windows.circular_blocks(frame, ["g"], 12, (1, 4, 11)).collect()}
+    assert got == {(i, w): (sum(s[(i + k) % 12] for k in range(w)), float(w)) for i in range(12) for w in (1, 4, 11)}
+
+
+def test_batches_like_array_split(spark):
+    for n, k in ((30, 7), (5, 8), (103, 10)):
+        got = relational.batches(spark.range(n), k, "id").orderBy("position").collect()
+        want = [b for b, part in enumerate(np.array_split(np.arange(n), k)) for _ in part]
+        assert [r.position for r in got] == list(range(n)) and [r.batch for r in got] == want
