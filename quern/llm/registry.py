@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op8_quotation_links
 from .decontam import op10_fm_decontamination
+from .decontam_sql import OP10_SQL
 from .langid import op4_language_evidence
 from .line_dedup import OP2_SQL, op2_line_runs
 from .packing import op1_mixture_packing
@@ -29,4 +30,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL, "op6_merkle_fixity": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op10_fm_decontamination": OP10_SQL}

@@ -89,3 +89,20 @@ def test_query_equals_brute_force(spark, sf_dir):
     want = [(d, n, h, len(i), digest(i), c) for d, n, h, i, c in brute(read("documents", "doc_id", "text"), read("benchmark", "item_id", "text"))]
     assert rows_of(op10_fm_decontamination(spark, sf_dir), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=repr)
     assert any(w[5] for w in want)
+
+
+def test_sql_equals_brute_force(spark, sf_dir):
+    import duckdb
+
+    from quern.llm.decontam_sql import OP10_SQL
+
+    con = duckdb.connect()
+    docs = spark.createDataFrame(planted(spark), "doc_id long, text string, lang string, source string, n_chars long").where("doc_id is not null and length(text) < 15000").dropDuplicates(["doc_id"])
+    items = [i for i in ITEMS if i[0] is not None]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = sorted(con.execute(f"SELECT doc_id, n_words, n_hit, n_items, contaminated FROM ({OP10_SQL})").fetchall())
+    assert got == sorted((d, n, h, len(i), c) for d, n, h, i, c in brute(rows, items)) and any(r[4] for r in got)
