@@ -24,8 +24,8 @@ def test_delimited_text_with_nan(spark, tmp_path):
     back = {r.star_id: r for r in readers.tsv(spark, f"{tmp_path}/t", schemas.PLANET_TRUTH).collect()}
     assert math.isnan(back[1].period) and back[2].period == 1.5
     sinks.bls_csv(spark.createDataFrame([(1, 1 / 3, 0.1, 0.2, 1e-5, 12.3456789)], schemas.BLS_RESULT), f"{tmp_path}/b")
-    line = [x for p in (tmp_path / "b").glob("*.csv") for x in p.read_text().split("\n")][1]
-    assert line == "1,0.3333333333,0.1000000000,0.2000000000,1.0000000000e-05,12.345679"
+    lines = [x for p in (tmp_path / "b").glob("*.csv") for x in p.read_text().split("\n")]
+    assert [x for x in lines if x.startswith("1,")] == ["1,0.3333333333,0.1000000000,0.2000000000,1.0000000000e-05,12.345679"]
 
 
 def test_json_map_and_batches(spark, tmp_path):
