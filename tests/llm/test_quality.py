@@ -1,3 +1,5 @@
+import base64
+import random
 import re
 
 import zstandard
@@ -53,6 +55,27 @@ def test_bands_reject_repetition_and_noise():
     assert measure(mixed, zstd)[7:9] == (3, 2) and not measure(mixed, zstd)[9]
 
 
+def noise(size, seed=0):
+    """Words of random base64, twenty at least, so that the base rules pass."""
+    rng = random.Random(seed)
+    longest = min(12, size // 22)
+    words = []
+    while sum(map(len, words)) + len(words) < size:
+        words.append(base64.b64encode(rng.randbytes(12)).decode()[: rng.randint(longest // 2, longest)])
+    return " ".join(words)[:size].encode()
+
+
+def test_noise_of_each_length_is_rejected():
+    zstd = zstandard.ZstdCompressor(level=3)
+    starts = [b.min_bytes for b in quality.WHOLE_BANDS]
+    sizes = {n for a, b in zip(starts, [*starts[1:], 60_000], strict=True) for n in (max(a, 90), (a + b) // 2, b - 1) if n >= 90}
+    for size in sorted(sizes | {494, 989, 1990, 3992, 7996}):
+        for seed in range(5):
+            row = measure(noise(size, seed), zstd)
+            assert not row[5] and not row[9], (size, row)
+    assert all(b.low > 0 and b.high < 1 for b in quality.WHOLE_BANDS)
+
+
 def test_clean_documents_stay(spark, sf_dir):
     rows = op9_compression_bands(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("quality = 1 and not base_failed")
     assert rows.count() == rows.where("kept").count() > 20
