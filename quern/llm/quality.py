@@ -26,7 +26,7 @@ class Band:
     high: float
 
 
-#: Whole documents. Short texts hardly compress, long ones do; what falls below low repeats itself, what lies above
+#: Whole documents and chunks. Short texts hardly compress, long ones do; what falls below low repeats itself, what lies above
 #: high is noise. high is set by length between the most that clean texts of sf0.1 reach (and, under 192 bytes, their
 #: runs of twenty words) and the least of random base64 words: 0.98 and 1.00 at 100 bytes, 0.75 and 0.86 at 300,
 #: 0.59 and 0.76 at 1,200, 0.48 and 0.74 at 6,000.
@@ -48,10 +48,11 @@ WHOLE_BANDS = (
     Band(8192, 0.18, 0.59),
     Band(16384, 0.15, 0.58),
 )
-#: Fixed chunks of CHUNK bytes; a shorter last chunk is judged by the whole text alone.
-CHUNK, CHUNK_BAND = 4096, Band(4096, 0.18, 0.75)
-#: The share of chunks outside CHUNK_BAND from which a text is rejected.
-BAD_CHUNKS = 0.5
+#: Chunks of CHUNK bytes, of texts of that size or more; the rest is a chunk too, or if it has fewer than LEAST_REST
+#: bytes, the end of the last one. Each chunk is judged by the band of its length, so every byte is.
+CHUNK, LEAST_REST = 4096, 256
+#: A text is rejected if its bad chunks hold this share of its bytes, or, however long it is, this many bytes.
+BAD_SHARE, BAD_BYTES = 0.25, 2 * CHUNK
 LEVEL = 3
 
 SCHEMA = (
@@ -94,10 +95,19 @@ def dup_lines(text: bytes) -> int:
     return n
 
 
-def _within(band: Band, ratio: float) -> bool:
+def _within(size: int, ratio: float) -> bool:
+    band = max((b for b in WHOLE_BANDS if size >= b.min_bytes), key=lambda b: b.min_bytes)
     return band.low <= ratio <= band.high
 
 
+def chunks(text: bytes) -> list[bytes]:
+    """The text in pieces of CHUNK bytes and its rest; none if it is shorter than one."""
+    ends = [*range(CHUNK, len(text) + 1, CHUNK)]
+    if ends and len(text) - ends[-1] >= LEAST_REST:
+        ends.append(len(text))
+    return [text[a:b] for a, b in zip([0, *ends], [*ends[:-1], len(text)], strict=False)] if ends else []
+
+
 def measure(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple:
     """A row of SCHEMA for one text; zstd compresses without a frame header's size or checksum mattering."""
     words = text.split()
@@ -107,11 +117,10 @@ def measure(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple:
     repeated = repeat_words(words)
     failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * len(words)
     ratio = len(zstd.compress(text)) / len(text) if text else 1.0
-    chunks = [text[i : i + CHUNK] for i in range(0, len(text) - CHUNK + 1, CHUNK)]
-    bad = sum(not _within(CHUNK_BAND, len(zstd.compress(c)) / CHUNK) for c in chunks)
-    band = max((b for b in WHOLE_BANDS if len(text) >= b.min_bytes), key=lambda b: b.min_bytes)
-    fits = _within(band, ratio) and not (chunks and bad >= BAD_CHUNKS * len(chunks))
-    return len(words), chars, symbols, dup_lines(text), repeated, failed, ratio, len(chunks), bad, fits and not failed
+    pieces = chunks(text)
+    bad = [len(c) for c in pieces if not _within(len(c), len(zstd.compress(c)) / len(c))]
+    fits = _within(len(text), ratio) and not (bad and (sum(bad) >= BAD_SHARE * len(text) or sum(bad) >= BAD_BYTES))
+    return len(words), chars, symbols, dup_lines(text), repeated, failed, ratio, len(pieces), len(bad), fits and not failed
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,6 +76,25 @@ def test_noise_of_each_length_is_rejected():
     assert all(b.low > 0 and b.high < 1 for b in quality.WHOLE_BANDS)
 
 
+def test_noise_does_not_hide_in_clean_text(spark):
+    zstd = zstandard.ZstdCompressor(level=3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    clean = " ".join(r.text for r in docs.where("n_chars > 500").dropDuplicates(["text"]).orderBy("doc_id").limit(200).collect()).encode()
+    assert len(clean) > 160_000 and measure(clean[:160_000], zstd)[9]
+    for size, bad in ((8191, 4095), (40_960, 18_000), (160_000, 70_000), (160_000, 20_000), (20_000, 8_000), (9_000, 4_000)):
+        for at in (0, (size - bad) // 2, size - bad):
+            text = clean[:at] + noise(bad) + clean[at : size - bad]
+            row = measure(text, zstd)
+            assert not row[5] and not row[9], (size, bad, at, row)
+
+
+def test_chunks_hold_every_byte():
+    for size in (0, 4095, 4096, 4351, 4352, 8191, 8192, 8200, 20_000):
+        found = quality.chunks(bytes(i % 251 for i in range(size)))
+        assert b"".join(found) == (bytes(i % 251 for i in range(size)) if size >= 4096 else b"")
+        assert all(256 <= len(c) < 4096 + 256 for c in found)
+
+
 def test_clean_documents_stay(spark, sf_dir):
     rows = op9_compression_bands(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("quality = 1 and not base_failed")
     assert rows.count() == rows.where("kept").count() > 20
