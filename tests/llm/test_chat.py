@@ -36,6 +36,28 @@ def test_nested_quotes_attribution_and_forwards(spark):
     )
 
 
+def test_a_quoter_that_repeats_the_line_still_links_to_another_conversation(spark):
+    line = "the meeting is moved to friday noon"
+    rows = [
+        (5, 0, "a", f"> {line}\n{line}"),
+        (5, 1, "a", f"and again\n{line}"),
+        (7, 0, "b", line),
+        (8, 0, "c", f"> {line}\nagreed"),
+        (None, 0, "d", f"> {line}\n> only the nameless conversation says this\nfine"),
+        (None, 1, "d", "only the nameless conversation says this"),
+        (9, 0, "e", "> only the nameless conversation says this\nyes"),
+        (None, 2, "d", "> only the nameless conversation says this\nme too"),
+    ]
+    got = {(r[0], r[1]): r[3:7] for r in build(spark, rows)}
+    assert got[5, 0] == (7, 0, 7, 0) and got[8, 0] == (5, 0, 7, 0)
+    # the null conv_id is one conversation, the last of all: it links and is linked to, but goes before none
+    assert got[None, 0] == (5, 0, 7, 0) and got[9, 0] == (None, 1, None, 1) and got[None, 2] == (None, 1, None, 1)
+    assert got[5, 1] == (None, None, 5, 1) and got[7, 0] == (None, None, 7, 0)
+    # two that quote and repeat each other, with no other holder, make no circle
+    pair = {(r[0], r[1]): r[3:7] for r in build(spark, [(5, 0, "a", f"> {line}\n{line}"), (7, 0, "b", f"> {line}\n{line}")])}
+    assert pair == {(5, 0): (None, None, 5, 0), (7, 0): (5, 0, 5, 0)}
+
+
 def brute(rows):
     """The rule message by message for unique (conv, turn) without nulls."""
     key = lambda x: re.sub(r"[^\w]+|_", " ", re.sub(chat.MARKS, "", x).lower()).strip()
