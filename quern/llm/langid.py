@@ -32,7 +32,11 @@ _HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.
 _TAG = re.compile(r"(?s)<[^>]*>")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|\w+);")
 _HOST = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
-_DECLARED = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
+#: What can hide or end the search for the html element, and the element itself; then its attributes one by one.
+_OPENING = re.compile(r"(?i)<(?:(!--)|(script|style|title)\b|(body)\b|html(?=[\s/>]))")
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+")
+_CLOSED = {x: re.compile(f"(?i)</{x}\\b") for x in ("script", "style", "title")}
+_PRIMARY = re.compile(r"[\"']?\s*([A-Za-z]{2,3})")
 _SPLIT = re.compile(r"[\W\d_]+")
 
 
@@ -95,9 +99,34 @@ def host(url: str) -> str:
 
 
 def declared_language(html: str) -> str:
-    """The primary subtag of the html element's lang attribute, lower case; empty if there is none."""
-    found = _DECLARED.search(html, 0, 4096)
-    return found[1].lower() if found else ""
+    """The primary subtag of the html element's lang attribute (or xml:lang), lower case; empty if there is none.
+
+    All that stands before the body is read, of whatever length, once; comments, scripts, styles and titles are not.
+    """
+    at = 0
+    while found := _OPENING.search(html, at):
+        comment, hidden, body = found.groups()
+        at = found.end()
+        if body:
+            break
+        if comment:
+            at = html.find("-->", found.start() + 2)
+            if at < 0:
+                break
+        elif hidden:
+            closed = _CLOSED[hidden.lower()].search(html, at)
+            if not closed:
+                break
+            at = closed.end()
+        else:
+            said = {}
+            while attribute := _ATTRIBUTE.match(html, at):
+                said.setdefault(attribute[1].lower(), attribute[2] or "")
+                at = attribute.end()
+            for name in ("lang", "xml:lang"):
+                if subtag := _PRIMARY.match(said.get(name, "")):
+                    return subtag[1].lower()
+    return ""
 
 
 def _scorer(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

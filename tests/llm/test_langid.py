@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -16,6 +17,16 @@ def test_parsing():
     assert visible_text("<head><title>x</title></head><p>a&amp;b<script>c</script><!-- d -->").split() == ["a", "b"]
 
 
+def test_declaration_however_far_down():
+    for before in ("<!-- " + "licence " * 5000 + "-->", "\n" * 20_000, "<!--[if IE]><html lang=de><![endif]-->" * 500, "<!DOCTYPE html><!-->"):
+        assert declared_language(before + '<html class="a>b" lang="fr-CA"><body>') == "fr"
+    assert declared_language("<html " + " ".join(f"data-a{i}='x'" for i in range(2000)) + " LANG = 'es'>") == "es"
+    assert declared_language("<html xml:lang=de data-lang=fr>") == "de" and declared_language("<html><head><title><html lang=de></title><body><html lang=de>") == ""
+    for hard in ("<html " * 200_000, "<!--" * 200_000, '<html a="' * 100_000, "<script" * 200_000, "<html" + " " * 500_000, "<html a='\"" * 100_000):
+        start = time.process_time()
+        assert declared_language(hard) == "" and time.process_time() - start < 2.0
+
+
 def test_held_out_accuracy_of_text_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = fit(docs.where("doc_id % 2 = 0"), sample=100)
