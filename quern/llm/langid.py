@@ -8,16 +8,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import byte_blocks, stash, table
 
 #: Labelled documents a language that the text model is fitted on, about; chosen by a hash of the id.
 SAMPLE = 2000
-#: Languages at most: the most frequent ones among the labels.
-MAX_LANGS = 64
 #: Trigrams are counted by a hash of this many bits.
 HASH_BITS = 16
 #: Trigrams of a text overlap and repeat, so their joint likelihood counts as that of EVIDENCE independent ones at most.
@@ -73,22 +72,26 @@ class TextModel:
         grams = trigrams(text)
         if len(grams) <= 1 or not self.langs:
             return np.zeros(len(self.langs))
+        if len(grams) > 1 << HASH_BITS:  # no more columns at once than there are hashes
+            at, n = np.unique(grams, return_counts=True)
+            return (self.log_p[:, at] @ n.astype(np.float64)) * (EVIDENCE / len(grams))
         return self.log_p[:, grams].sum(1, dtype=np.float64) * min(1.0, EVIDENCE / len(grams))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     """Fit on about `sample` documents of each language, the ones whose hashed ids are lowest: a bound that is
-    a parameter. What comes to the driver is a count for each language and trigram hash."""
+    a parameter. Every labelled language has a row. What comes to the driver is a count for each language and
+    trigram hash; the model takes 256 KB a language."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = docs.groupBy("lang").count().collect()
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["count"]))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * float(1 << 30)
-    counts = docs.where(low).select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in counts})
+    counts = docs.where(low).select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(counts["lang"].unique().to_pylist())
     table_ = np.full((len(langs), 1 << HASH_BITS), 0.5)
-    row = {lang: i for i, lang in enumerate(langs)}
-    for r in counts:
-        table_[row[r["lang"]], r["gram"]] += r["n"]
+    if langs:
+        row = pc.index_in(counts["lang"], pa.array(langs, pa.string())).to_numpy()
+        table_[row, counts["gram"].to_numpy()] += counts["n"].to_numpy()
     return TextModel(langs, np.log(table_ / table_.sum(1, keepdims=True)).astype(np.float32))
 
 
@@ -168,23 +171,32 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     said = F.when(F.col("declared").isin(langs), F.col("declared")).otherwise("other")
     told = {(r["said"], r["text_lang"]): r["count"] for r in known.where("declared != ''").groupBy(said.alias("said"), "text_lang").count().collect()}
     by_lang = [sum(c for (_, lang), c in told.items() if lang == x) for x in langs]
-    log_told = {d: [math.log((told.get((d, x), 0) + DECLARED_MASS) / (by_lang[i] + DECLARED_MASS * (n + 1))) for i, x in enumerate(langs)] for d in [*langs, "other"]}
+    log_told = [(d, [math.log((told.get((d, x), 0) + DECLARED_MASS) / (by_lang[i] + DECLARED_MASS * (n + 1))) for i, x in enumerate(langs)]) for d in [*langs, "other"]]
     suffix = F.element_at(F.split("host", r"\."), -1)
-    hosts = stash(known.groupBy("host").agg(*of("h")).withColumn("suffix", suffix), "hosts")
-    suffixes = stash(hosts.groupBy("suffix").agg(*[F.sum(f"h{i}").alias(f"s{i}") for i in range(n)]), "suffixes")
-    every = suffixes.agg(*[F.sum(f"s{i}").alias(f"g{i}") for i in range(n)]).first()
+    packed = lambda name: F.array(*[f"{name}{i}" for i in range(n)]).alias(name)
+    hosts = stash(known.groupBy("host").agg(*of("h"), F.count(F.lit(1)).alias("h_sum")).select("host", suffix.alias("suffix"), packed("h"), "h_sum"), "hosts")
+    suffixes = hosts.groupBy("suffix").agg(*[F.sum(F.get("h", F.lit(i))).alias(f"s{i}") for i in range(n)], F.sum("h_sum").alias("s_sum"))
+    suffixes = stash(suffixes.select("suffix", packed("s"), "s_sum"), "suffixes")
+    every = suffixes.agg(*[F.sum(F.get("s", F.lit(i))).alias(f"g{i}") for i in range(n)]).first()
     overall = [(every[i] or 0) + GLOBAL_MASS / n for i in range(n)]
     p_all = [x / sum(overall) for x in overall]
-    # as columns: the shares of a suffix, then of a host; a page without either falls back on what is above
+    # the shares of a suffix, then of a host; a page without either falls back on what is above. One expression over
+    # the languages, so that plans don't grow with their number
     named = scored.withColumn("suffix", suffix).join(hosts.drop("suffix"), "host", "left").join(suffixes, "suffix", "left")
-    own = [(F.col("text_lang").eqNullSafe(F.lit(x))).cast("long") for x in langs]
-    s = [F.coalesce(f"s{i}", F.lit(0)) - own[i] for i in range(n)]
-    h = [F.coalesce(f"h{i}", F.lit(0)) - own[i] for i in range(n)]
-    s_sum, h_sum = sum(s[1:], s[0]), sum(h[1:], h[0])
-    p_suffix = [(s[i] + SUFFIX_MASS * p_all[i]) / (s_sum + SUFFIX_MASS) for i in range(n)]
-    p_host = [(h[i] + HOST_MASS * p_suffix[i]) / (h_sum + HOST_MASS) for i in range(n)]
-    declared = [sum((F.when(F.col("declared") == d, log_told[d][i]).otherwise(0.0) for d in langs), F.when((F.col("declared") != "") & ~F.col("declared").isin(langs), log_told["other"][i]).otherwise(0.0)) for i in range(n)]
-    scores = F.array(*[F.get("logs", F.lit(i)) + declared[i] + F.log(p_host[i]) for i in range(n)])
+    named = named.withColumn("said", F.when(F.col("declared") != "", said))
+    named = named.join(F.broadcast(spark.createDataFrame(log_told, "said string, told array<double>")), "said", "left")
+    mine = F.col("text_lang").isNotNull().cast("long")
+    listed = lambda values: F.array(*[F.lit(x) for x in values])
+
+    def score(log: Column, i: Column) -> Column:
+        own = F.get(listed(langs), i).eqNullSafe(F.col("text_lang")).cast("long")
+        count = lambda c: F.coalesce(F.get(c, i), F.lit(0)) - own
+        total = lambda c: F.coalesce(c, F.lit(0)) - mine
+        p_suffix = (count("s") + F.get(listed(p_all), i) * SUFFIX_MASS) / (total("s_sum") + SUFFIX_MASS)
+        p_host = (count("h") + p_suffix * HOST_MASS) / (total("h_sum") + HOST_MASS)
+        return log + F.coalesce(F.get("told", i), F.lit(0.0)) + F.log(p_host)
+
+    scores = F.transform("logs", score)
     fused = named.withColumn("scores", scores).withColumn("top", F.array_max("scores"))
     total = F.aggregate("scores", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
     lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("scores", F.col("top")).cast("int"))

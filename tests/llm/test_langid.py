@@ -83,6 +83,20 @@ def test_evidence_beats_text_alone(spark):
     assert right[0] >= right[1] and right[0] > 0.98
 
 
+def test_every_labelled_language_is_fitted(spark):
+    word = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i % 7)}x"
+    langs = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+    docs = spark.createDataFrame([(i * 100 + k, f"{word(i)} " * 30, x) for i, x in enumerate(langs) for k in range(2 if i < 70 else 1)], "doc_id long, text string, lang string")
+    pages = [(i, f"http://h{i}.{x}/", f"<html lang={x}><body>{f'{word(i)} ' * 20}") for i, x in enumerate(langs)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted((tuple(r)[:5] + (round(r.probability, 6),) for r in identify(frame, docs).collect()), key=repr)
+    assert [r[4] for r in sorted(got)] == langs
+    assert got == sorted((r[:5] + (round(r[5], 6),) for r in brute(pages, fit(docs))), key=repr)
+    long = f"{word(3)} " * 20_000
+    model = fit(docs)
+    assert np.allclose(model.log_likelihoods(long), model.log_p[:, langid.trigrams(long)].sum(1, dtype=np.float64) * langid.EVIDENCE / len(langid.trigrams(long)))
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.b/", "<p>text")], "page_id long, url string, html string")
     assert rows_of(identify(pages, empty(spark)), "page_id", "lang", "probability") == [(1, None, None)]
