@@ -17,7 +17,8 @@ from ._common import byte_blocks, stash, table
 from .encoding import encoder
 
 WINDOW, QUANTUM, END = 1024, 256, 0
-#: Sources with this share of the rows have a queue each, so there are MAX_NAMED at most; others share SHARED queues by hash.
+#: Sources with 1 / MAX_NAMED of the rows or of the bytes of text have a queue each, so there are twice MAX_NAMED at most, and
+#: so have sources with a weight; others share SHARED queues by hash.
 MAX_NAMED, SHARED = 256, 64
 BLOCK_BYTES = 4 << 20
 
@@ -126,11 +127,16 @@ def _cutter(schedule: Schedule, with_ids: bool) -> Callable[[Iterator[pa.RecordB
     return cut
 
 
-def _named_sources(docs: DataFrame) -> dict[str | None, int]:
-    """Sources with at least 1 / MAX_NAMED of the rows, MAX_NAMED at most, numbered in the order of their names."""
-    counts = docs.groupBy("source").count()
-    n = docs.count()
-    found = [r["source"] for r in counts.where(F.col("count") * MAX_NAMED >= n).collect()] if n else []
+def _named_sources(docs: DataFrame, weights: Mapping[str, float]) -> dict[str | None, int]:
+    """Sources with at least 1 / MAX_NAMED of the rows or of the bytes, and those in weights, numbered in the order of their names."""
+    counts = stash(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")), "sources")
+    n, size = counts.agg(F.sum("n"), F.sum("size")).first()
+    if not n:
+        return {}
+    large = (F.col("n") * MAX_NAMED >= n) | ((F.col("size") > 0) & (F.col("size") * MAX_NAMED >= size))
+    found = [r["source"] for r in counts.where(large | F.col("source").isin([*weights])).select("source").collect()]
+    if absent := sorted(set(weights) - set(found)):
+        raise ValueError(f"weights of sources that no document has: {absent}")
     return {s: i for i, s in enumerate(sorted(found, key=lambda s: (s is not None, s)))}
 
 
@@ -149,13 +155,13 @@ def pack(docs: DataFrame, vocabulary: str, weights: Mapping[str, float] | None =
 
     Each source is a queue: its documents' ids, id END after each, one after another. weights are target
     proportions of sources, at most 1 together; sources that they leave out share the rest by their numbers of tokens.
-    Without weights all share by tokens, so that all queues last to the end. Only sources with a queue of their own
-    can have a weight. Each sequence holds window / quantum slots, each of one queue.
+    Without weights all share by tokens, so that all queues last to the end. A source with a weight has a queue of its
+    own, however small it is; one that no document has is an error. Each sequence holds window / quantum slots, each of one queue.
 
     Two passes and no shuffle of text or ids: the first encodes, notes each document's place in its task's part
     of the queue and writes ids and places to the shared folder; counts by (queue, task) give the parts'
-    places; the second cuts, and computes each slot's sequence and offset from the Schedule. Only the queues' totals, MAX_NAMED + SHARED
-    numbers at most, come to the driver.
+    places; the second cuts, and computes each slot's sequence and offset from the Schedule. Only the queues' totals,
+    2 * MAX_NAMED + SHARED numbers and one a weight at most, come to the driver.
 
     Each id lies in one piece; sequences are full but for the last slot of each queue. The order within a queue
     is that of the input's files. Null text: no ids but END. Null source: a source of its own. Equal rows
@@ -165,7 +171,7 @@ def pack(docs: DataFrame, vocabulary: str, weights: Mapping[str, float] | None =
         raise ValueError("window must be a multiple of quantum")
     held = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     kind = held.schema["doc_id"].dataType.simpleString()
-    named = _named_sources(held.select("source"))
+    named = _named_sources(held.select("source", "text"), weights or {})
     tokens = stash(held.mapInArrow(_encoder(vocabulary, named), f"doc_id {kind}, queue int, part int, before long, size long, ids binary"), "tokens", codec="zstd")
     parts = stash(tokens.groupBy("queue", "part").agg(F.sum("size").alias("size")), "parts")
     totals = {r["queue"]: r["size"] for r in parts.groupBy("queue").agg(F.sum("size").alias("size")).collect()}

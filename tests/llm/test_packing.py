@@ -102,6 +102,26 @@ def test_target_proportions_hold_in_the_first_windows(spark, sf_dir):
     assert abs(share["src0"] - 0.25) < 0.75 / windows and abs(share["src1"] - 0.25) < 0.75 / windows
 
 
+def test_rare_sources_have_queues_by_weight_and_by_bytes(spark, ids_of):
+    # rare: 4 of 1606 rows and little text; long: 2 rows with about half of the text; both under 1 / 256 of the rows
+    rows = [(i, "some words of common text " * 12, f"s{i % 400}") for i in range(1600)]
+    rows += [(2000 + i, "rare words " * 256, "rare") for i in range(4)] + [(3000 + i, "long words " * 24_000, "long") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+
+    def shares(weights, source, windows):
+        pieces = pack(docs, VOCABULARY, weights).join(docs.select("doc_id", "source"), "doc_id").collect()
+        check(pieces, [(d, t) for d, t, _ in rows], ids_of)
+        return sum(p.length for p in pieces if p.source == source and p.sequence_id < windows) / (1024 * windows)
+
+    assert abs(shares({"rare": 0.5}, "rare", 4) - 0.5) <= 0.125
+    total = {s: sum(len(ids_of(t)) for _, t, x in rows if (x == "long") == (s == "long")) for s in ("long", "rest")}
+    for windows in (40, 80):
+        assert abs(shares(None, "long", windows) - total["long"] / sum(total.values())) < 0.1
+    with pytest.raises(ValueError):
+        pack(docs, VOCABULARY, {"absent": 0.5})
+    assert pack(empty(spark), VOCABULARY, {"absent": 0.5}).count() == 0
+
+
 def test_weights_are_proportions(spark):
     assert np.allclose(_proportions(np.array([10, 30, 60]), ["a", "b", None], {"a": 0.5}), [0.5, 1 / 6, 1 / 3])
     for wrong in ({"a": 0.7, "b": 0.4}, {"a": 0.0}):
