@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, drop_stash, neutral, stash, table
+from ._common import LOWER, PLACE, UPPER, attach, drop_stash, located, neutral, stash, table
 
 BITS, SHINGLE, RADIUS, SEED = 64, 3, 2, 42
 #: A pair within RADIUS bits agrees on at least BLOCKS - RADIUS of the BLOCKS bit ranges: one table for each choice.
@@ -46,13 +46,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         prints = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+        yield batch.drop_columns(["text"]).append_column("fp", pa.array(prints))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long. Null text counts as empty, whose fingerprint is zero."""
-    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return held.mapInArrow(_fingerprints, f"doc_id {held.schema['doc_id'].dataType.simpleString()}, fp long")
+def fingerprints(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, and fp: the 64 bits as a signed long. Null text counts as empty, whose fingerprint is zero."""
+    held = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+    return held.mapInArrow(_fingerprints, ", ".join([*(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in keep), "fp long"]))
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -197,26 +197,36 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is the least node of its component.
 
     Alternates large-star and small-star steps, each an aggregation and a join of edges, until the edges
     are stars. Each round is written to the shared folder. Rounds grow with the logarithm of the longest path.
     """
     edges = stash(edges.select(F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node")).where("root < node").distinct(), "edges")
-    for _ in range(max_rounds):
+    digest = lambda rows: rows.select(F.count(F.lit(1)), F.sum(F.xxhash64("root", "node").cast("decimal(38,0)"))).first()
+    before = digest(edges)
+    while True:
         both = edges.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(edges.select(F.col("node").alias("u"), F.col("root").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("root"), F.col("v").alias("node")).distinct()
         low = large.groupBy(F.col("node").alias("u")).agg(F.min("root").alias("m"))
         small = large.join(low, large["node"] == low["u"]).select(F.col("m").alias("root"), F.when(F.col("root") == F.col("m"), F.col("node")).otherwise(F.col("root")).alias("node"))
         after = stash(small.where("root < node").distinct(), "edges")
-        same = after.select(F.count(F.lit(1)), F.sum(F.xxhash64("root", "node").cast("decimal(38,0)"))).first() == edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("root", "node").cast("decimal(38,0)"))).first()
         drop_stash(edges)
-        edges = after
-        if same:
+        edges, held = after, before
+        before = digest(edges)
+        if before == held:
             return edges.select("node", "root")
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def _rooted(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint: the least one of its component, and the least doc_id there."""
+    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    stars = components(links(nodes.select("fp")))
+    rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return stash(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -228,23 +238,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component has no id. Rows that share a doc_id keep a row each. An empty table gives no rows.
     """
     prints = stash(fingerprints(docs), "fingerprints")
-    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    stars = components(links(nodes.select("fp")))
-    rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stash(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(_rooted(prints), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one whose doc_id is the component's. Columns stay as they are.
+    """Exactly one row of each component, with its columns as they are: the one with the least doc_id.
 
-    Rows that share that doc_id and are of the component all stay: an id stands for one document.
+    A null doc_id counts after all others. Of rows that share the least doc_id, the one whose text has the least hash
+    stays, and of equal texts the first by file and place there. The rows that go are marked by file and row;
+    only they, and few others, are shuffled for that. An empty table gives no rows.
     """
-    plain = neutral(docs, "doc_id", "text")
-    found = near_duplicates(plain)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return plain.join(kept, plain["doc_id"].eqNullSafe(kept["__keep"]), "left_semi").toDF(*docs.columns)
+    plain = located(neutral(docs, "doc_id", "text"))
+    prints = stash(fingerprints(plain.withColumn("print", F.xxhash64("text")), ("doc_id", "print", *PLACE)), "fingerprints")
+    rows = prints.join(_rooted(prints).select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print", *PLACE)
+    first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = F.struct(*PLACE)
+    go = rows.join(first, "root").where(places != F.struct(*[F.col(f"first.{c}").alias(c) for c in PLACE])).select(*PLACE, F.lit(True).alias("__gone"))
+    left = attach(plain, stash(go, "copies")).where("__gone is null")
+    return left.drop("__gone", *PLACE).toDF(*docs.columns)
 
 
 def op7_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

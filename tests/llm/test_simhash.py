@@ -86,10 +86,48 @@ def test_awkward_rows(spark):
     rows = [(r[0], brute_print(r[1])) for r in awkward_rows()]
     want = sorted(((d, p - (1 << 64) if p >> 63 else p, c) for (d, p), c in zip(rows, brute_components(rows), strict=True)), key=repr)
     assert rows_of(near_duplicates(awkward(spark)), "doc_id", "fp", "component_id") == want
+    assert near_duplicates(empty(spark)).count() == 0 and keep_one(empty(spark)).count() == 0
+
+
+def brute_keep(rows):
+    """rows: (doc_id, text). How many rows stay of each component, by its set of rows."""
+    prints = [(r[0], brute_print(r[1])) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i][1] ^ prints[j][1]).bit_count() <= 2 and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    return [[rows[i] for i in range(len(rows)) if root[i] == r] for r in set(root)]
+
+
+def check_keep(kept, rows):
+    """One row a component, and one with the component's least id."""
+    kept = [tuple(r) for r in kept.select("doc_id", "text").collect()]
+    groups = brute_keep([(r[0], r[1]) for r in rows])
+    assert len(kept) == len(groups)
+    for group in groups:
+        ids = [d for d, _ in group if d is not None]
+        least = [x for x in group if x[0] == (min(ids) if ids else None)]
+        assert sum(1 for k in kept if k in least) >= 1
+    assert all(sum(k in g for g in groups) >= 1 for k in kept)
+
+
+def test_one_row_of_each_component_stays(spark):
     kept = keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == {c for *_, c in want}
-    assert near_duplicates(empty(spark)).count() == 0 and keep_one(empty(spark)).count() == 0
+    check_keep(kept, awkward_rows())
+    a, b = "one two three four five six seven", "quite another text with other words in it"
+    for rows in ([(1, a), (None, a), (None, b)], [(1, a), (3, a), (3, b)], [(1, a), (1, a), (2, a)], [(None, a), (None, a)], [(5, None), (4, ""), (4, "")]):
+        check_keep(keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), rows)
+    ids = spark.createDataFrame([("x", a), ("b", a), (None, a), ("y", b)], "doc_id string, text string")
+    assert rows_of(keep_one(ids), "doc_id") == [("b",), ("y",)]
+
+
+def test_rows_that_go_are_the_only_ones_shuffled(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "_metadata" in plan and rows_of(keep_one(docs), *docs.columns) == rows_of(keep_one(docs.repartition(3)), *docs.columns)
 
 
 def test_query_equals_brute_force(spark, sf_dir):
