@@ -126,27 +126,32 @@ def located(docs: DataFrame) -> DataFrame:
     return located(stash(docs, "rows"))
 
 
-#: Words of a bitmap: it marks one of 64 * SLOTS hashes, in SLOTS rows of 12 bytes at most, however many keys there are.
-SLOTS = 1 << 20
+#: A bitmap marks one of 64 * 64 * SLOTS hashes: SLOTS rows of 64 words, 9 MB at most, however many keys there are.
+SLOTS = 1 << 14
 
 
 def may_hold(df: DataFrame, few: DataFrame, keys: Sequence[str], flag: str = "__may") -> DataFrame:
     """Add flag: false only where no row of few has df's keys. A bitmap of hashed keys is broadcast, of fixed size;
-    beyond some SLOTS * 10 keys it tells less and less, and never wrongly."""
-    h = F.xxhash64(*keys)
-    slot, bit = F.shiftrightunsigned(h, 44).cast("int"), F.expr("shiftleft(1L, cast(__h & 63 as int))")
-    marks = few.select(h.alias("__h")).select(F.shiftrightunsigned("__h", 44).cast("int").alias("__slot"), bit.alias("__bit")).groupBy("__slot").agg(F.bit_or("__bit").alias("__bits"))
-    marked = df.withColumn("__h", h).withColumn("__at", slot.alias("__at")).join(F.broadcast(marks), F.col("__at") == F.col("__slot"), "left")
-    return marked.withColumn(flag, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__h", "__at", "__slot", "__bits")
+    beyond some SLOTS * 1000 keys it tells less and less, and never wrongly."""
+    h, bit = F.xxhash64(*keys), F.expr("shiftleft(1L, cast(__h & 63 as int))")
+    word = F.shiftrightunsigned("__h", 44).cast("int")
+    words = few.select(h.alias("__h")).select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    held = F.map_from_entries(F.collect_list(F.struct(F.expr("__word & 63"), "__bits")))
+    marks = words.groupBy(F.shiftright("__word", 6).alias("__slot")).agg(held.alias("__held"))
+    marks = marks.select("__slot", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("__held", i), F.lit(0).cast("long"))).alias("__words"))
+    marked = df.withColumn("__h", h).withColumn("__at", F.shiftright(word, 6)).join(F.broadcast(marks), F.col("__at") == F.col("__slot"), "left")
+    found = F.get("__words", F.expr("cast(shiftrightunsigned(__h, 44) & 63 as int)")).bitwiseAND(bit) != 0
+    return marked.withColumn(flag, F.coalesce(found, F.lit(False))).drop("__h", "__at", "__slot", "__words")
 
 
 def attach(df: DataFrame, few: DataFrame, keys: Sequence[str] = PLACE) -> DataFrame:
     """df left join few, which has at most one row for keys and no nulls in them. Only rows that a bitmap doesn't
-    rule out are shuffled, so where few is small against df, most of df stays where it is read (twice)."""
+    rule out are shuffled, so where few is small against df, most of df stays where it is read (twice). few grows with
+    the data, so it is merged, never broadcast."""
     marked = may_hold(df, few, keys)
     new = [c for c in few.columns if c not in keys]
     alone = marked.where("not __may").select(*df.columns, *[F.lit(None).cast(few.schema[c].dataType).alias(c) for c in new])
-    return marked.where("__may").drop("__may").join(few, list(keys), "left").select(*df.columns, *new).unionByName(alone)
+    return marked.where("__may").drop("__may").join(few.hint("merge"), list(keys), "left").select(*df.columns, *new).unionByName(alone)
 
 
 def in_order(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
