@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import BLANKS, LOWER, UPPER, drop_stash, neutral, stash, table
+from ._common import BLANKS, LOWER, PLACE, UPPER, attach, drop_stash, located, may_hold, neutral, shared_dir, stash, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
-BATCHES, FAN_IN = 4, 2
+#: Documents of a batch, and the fewest batches that a table is dealt into.
+BATCH_DOCS, MIN_BATCHES = 1 << 30, 4
+#: Runs of a level that merge into one of the next.
+FAN_IN = 2
+#: Rows whose ids tell where batches begin, if ids have no percentiles.
+CUT_SAMPLE = 10_000
 HASH = ("h1", "h2")
 
 
@@ -29,88 +40,153 @@ class LineRuns:
     """Sorted runs of (h1, h2, n_docs, keeper) in levels; FAN_IN runs of a level merge into one of the next.
 
     Batches come in descending order of doc_id, so that the keeper of a key, the largest doc_id
-    with it, is known from the first batch that has the key. Once MIN_DOCS documents are counted
-    for a key it is settled: further ones change nothing, and the anti-join keeps them out of
+    with it, is known from the first batch that has the key. n_docs counts the documents of a batch and of all before it.
+    Once it reaches min_docs the key is settled: further ones change nothing, and the anti-join keeps them out of
     later runs. What is stored is a row for each distinct key of a batch at most.
-    """
-
-    def __init__(self, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN) -> None:
-        self.min_docs, self.fan_in = min_docs, fan_in
-        self.levels: list[list[DataFrame]] = []
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+    A run is a table of the shared folder, dealt into as many buckets as the session has shuffle partitions, and each
+    bucket is one sorted file. Merges, and the anti-join of a batch that is dealt the same way, so read the runs
+    in order, bucket by bucket: they shuffle and sort nothing but the batch.
+    """
 
-    def settled(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        return self._merged(runs).where(F.col("n_docs") >= self.min_docs) if runs else None
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN) -> None:
+        self.spark, self.min_docs, self.fan_in = spark, min_docs, fan_in
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+
+    @contextmanager
+    def _in_order(self) -> Iterator[None]:
+        """Plans made inside know that a bucket of one file is sorted."""
+        name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
+    def _runs(self) -> list[str]:
+        return [run for level in self.levels for run in level]
+
+    def settled(self) -> DataFrame:
+        """(h1, h2, keeper) of the keys of at least min_docs documents; the runs are deleted. A key is settled in one run."""
+        found = [self.spark.table(run).where(F.col("n_docs") >= self.min_docs).select(*HASH, "keeper") for run in self._runs()]
+        done = stash(reduce(DataFrame.unionByName, found), "settled-lines")
+        self._drop(self._runs())
+        return done
 
     def add(self, keys: DataFrame) -> None:
         """keys: (doc_id, h1, h2), a row for each document and distinct key."""
-        own = keys.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        if (known := self.settled()) is not None:
-            own = own.join(known.select(*HASH).hint("merge"), list(HASH), "left_anti")
-        self._put(0, own)
+        own = keys.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).withColumn("before", F.lit(0).cast("long"))
+        with self._in_order():
+            # an anti-join that also tells what is counted so far; Catalyst would push a plain one below the grouping of hot keys
+            for run in map(self.spark.table, self._runs()):
+                known = run.toDF(*HASH, "n2", "keeper2").hint("merge")
+                own = own.join(known, list(HASH), "left").where(F.coalesce("n2", F.lit(0)) < self.min_docs)
+                own = own.select(*HASH, "n_docs", F.greatest("keeper", "keeper2").alias("keeper"), F.greatest("before", "n2").alias("before"))
+            self._put(0, own.select(*HASH, (F.col("n_docs") + F.col("before")).alias("n_docs"), "keeper"))
+
+    @staticmethod
+    def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two sorted runs as one: the larger count is that of the later batch, which includes the other's."""
+        both = a.join(b.toDF(*HASH, "n2", "keeper2").hint("merge"), list(HASH), "full")
+        return both.select(*HASH, F.greatest("n_docs", "n2").alias("n_docs"), F.greatest("keeper", "keeper2").alias("keeper"))
 
     def _put(self, level: int, rows: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(stash(rows.sortWithinPartitions(*HASH), f"line-run-{level}"))
+        name = f"quern_line_run_{uuid.uuid4().hex}"
+        write = rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{shared_dir(self.spark)}/quern/{name}")
+        write.saveAsTable(name)
+        self.levels[level].append(name)
         if len(self.levels[level]) == self.fan_in:
-            self._put(level + 1, self._merged(runs := self.levels[level]))
-            for run in runs:
-                drop_stash(run)
-            self.levels[level] = []
-
-
-def build_runs(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> LineRuns:
-    """Feed the documents to LineRuns in `batches` ranges of doc_id, the highest first."""
-    cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    runs = LineRuns(min_docs)
-    for i in range(len(cuts) + 1):
-        part = docs
-        if i:
-            part = part.where((F.col("doc_id") < cuts[i - 1]) | F.col("doc_id").isNull() if i == len(cuts) else F.col("doc_id") < cuts[i - 1])
-        if i < len(cuts):
-            part = part.where(F.col("doc_id") >= cuts[i])
-        distinct = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars))
-        runs.add(part.select("doc_id", F.explode(distinct).alias("key")).select("doc_id", *_hashes(F.col("key"))))
+            runs, self.levels[level] = self.levels[level], []
+            self._put(level + 1, reduce(self._merge, map(self.spark.table, runs)))
+            self._drop(runs)
+
+    def _drop(self, runs: Sequence[str]) -> None:
+        for run in runs:
+            files = self.spark.table(run)
+            drop_stash(files)
+            self.spark.sql(f"DROP TABLE {run}")
+
+
+def _cuts(docs: DataFrame, batches: int | None) -> list:
+    """Ids at which batches begin, the highest first. Where they lie only decides how even batches are."""
+    if batches is None:
+        batches = max(MIN_BATCHES, -(-docs.count() // BATCH_DOCS))
+    shares = [i / batches for i in range(1, batches)]
+    if not shares:
+        return []
+    if isinstance(docs.schema["doc_id"].dataType, T.NumericType):
+        found = docs.select(F.percentile_approx("doc_id", shares, 1000)).first()[0] or []
+    else:  # other ids that have an order: cuts between a few drawn at random
+        ids = sorted(r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.rand(7)).limit(CUT_SAMPLE).collect())
+        found = [ids[int(s * len(ids))] for s in shares] if ids else []
+    return sorted(set(found), reverse=True)
+
+
+def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int | None = None) -> DataFrame:
+    """(doc_id, *PLACE, pos, h1, h2, first, batch) of every line with a key of min_chars characters, written by batch.
+
+    first marks the first line of each key in its document. Text is read once for all batches.
+    """
+    cuts = _cuts(docs, batches)
+    batch = sum((F.coalesce(F.col("doc_id") < F.lit(c), F.lit(True)).cast("int") for c in cuts), F.lit(0))
+    keyed = F.transform(_lines(F.col("text")), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("pos")))
+    keyed = F.filter(keyed, lambda x: F.char_length(x["key"]) >= min_chars)
+    found = docs.select("doc_id", *PLACE, batch.alias("batch"), F.sort_array(F.transform(keyed, lambda x: F.struct(*_hashes(x["key"]), x["pos"].alias("pos")))).alias("lines"))
+    same = lambda x, y: F.coalesce((x["h1"] == y["h1"]) & (x["h2"] == y["h2"]), F.lit(False))
+    marked = F.transform("lines", lambda x, i: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"), (~same(x, F.get("lines", i - 1))).alias("first")))
+    return stash(found.select("doc_id", *PLACE, "batch", F.explode(marked).alias("x")).select("doc_id", *PLACE, "x.*", "batch"), "line-hashes", by=["batch"])
+
+
+def build_runs(lines: DataFrame, min_docs: int = MIN_DOCS) -> LineRuns:
+    """Feed the lines to LineRuns batch by batch, the highest ids first."""
+    runs = LineRuns(lines.sparkSession, min_docs)
+    for batch in sorted(r[0] for r in lines.select("batch").distinct().collect()):
+        runs.add(lines.where((F.col("batch") == batch) & F.col("first")).select("doc_id", *HASH))
     return runs
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int | None) -> DataFrame:
+    """(*PLACE, positions) of the lines to drop, a row for each document that loses any."""
+    lines = hashed_lines(docs, min_chars, batches)
+    runs = build_runs(lines, min_docs)
+    if not runs.levels:
+        return lines.groupBy(*PLACE).agg(F.collect_set("pos").alias("positions"))
+    # written, so that both sides of the join are plain exchanges, whose hot keys Spark can split
+    settled = runs.settled()
+    suspect = may_hold(lines, settled, HASH).where("__may").select("doc_id", *PLACE, "pos", *HASH)
+    hit = suspect.join(settled.select(*HASH, "keeper").hint("merge"), list(HASH)).where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    drops = stash(hit.groupBy(*PLACE).agg(F.collect_set("pos").alias("positions")), "dropped-lines")
+    drop_stash(lines)
+    drop_stash(settled)
+    return drops
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """Drop repeated lines: documents as they are, with text replaced and n_lines and n_dropped added.
 
     A key of at least min_chars code points that at least min_docs documents hold loses all its
-    lines but those in the largest doc_id that holds it. The runs give the settled keys; lines
-    are merge-joined with them, and the positions to drop are joined back to the documents.
+    lines but those in the largest doc_id that holds it. One scan hashes the lines, the runs give the settled keys, and
+    the lines that have one are merge-joined with them. The positions to drop go back to their documents by file and row;
+    only documents that lose lines, and few others, are shuffled for that.
 
     Null or empty text is one empty line, and comes out empty. Rows that share a doc_id count as
     documents of their own, and all of them keep the key if theirs is the largest id. A null doc_id
     is below every other; where only null ids hold a key, its lines stay. Repeats of a key within the keeper stay. An
-    empty table gives no rows. Columns named n_lines or n_dropped are replaced; others pass through.
+    empty table gives no rows. Ids are of any type that has an order. Columns named n_lines or n_dropped are replaced;
+    others pass through.
     """
-    # written, so that both sides of the join below are plain exchanges, whose hot keys Spark can split
-    settled = stash(build_runs(docs, min_chars, min_docs, batches).settled(), "settled-lines")
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    docs = neutral(docs, "doc_id", "text")
-    print_of = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))  # tells rows with equal ids apart
-    lines = docs.select("doc_id", print_of.alias("__print"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.select("doc_id", "__print", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    lines = lines.select("doc_id", "__print", "pos", *_hashes(F.col("key")))
-    hit = lines.join(settled.select(*HASH, "keeper").hint("merge"), list(HASH)).where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = hit.groupBy(F.col("doc_id").alias("__id"), F.col("__print").alias("__drop_print")).agg(F.collect_set("pos").alias("__drop"))
-    kept = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (print_of == F.col("__drop_print")), "left")
+    docs = located(neutral(docs, "doc_id", "text"))
+    kept = attach(docs, dropped_lines(docs, min_chars, min_docs, batches).withColumnRenamed("positions", "__drop"))
     kept = kept.withColumn("__lines", _lines(F.col("text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - F.lit(1)), F.col("__drop"))
     text = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
-    columns = [F.when(F.col("__drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    columns = [F.when(F.col("__drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in PLACE]
     n_dropped = F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop"))
     return kept.select(*columns, F.size("__lines").cast("long"), n_dropped.cast("long")).toDF(*names, "n_lines", "n_dropped")
 
@@ -120,19 +196,19 @@ def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Rows are documents of their own, whatever ids they share, as in dedup_lines.
 OP2_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
 keyed AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM lines),
 common AS (
   SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= {MIN_CHARS}
-  GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+  GROUP BY key HAVING count(DISTINCT rid) >= {MIN_DOCS}),
 marked AS (
-  SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.keeper AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key)
+  SELECT k.*, c.keeper IS NOT NULL AND k.doc_id IS DISTINCT FROM c.keeper AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY rid, doc_id
 """

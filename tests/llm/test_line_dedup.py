@@ -4,7 +4,8 @@ from collections import defaultdict
 import duckdb
 from pyspark.sql import functions as F
 
-from quern.llm.line_dedup import OP2_SQL, LineRuns, build_runs, dedup_lines, op2_line_runs
+from quern.llm._common import located
+from quern.llm.line_dedup import OP2_SQL, LineRuns, build_runs, dedup_lines, hashed_lines, op2_line_runs
 
 from .helpers import ROBOTS, awkward, awkward_rows, empty, rows_of
 
@@ -50,16 +51,41 @@ def test_query_equals_sql(spark, sf_dir):
     assert all(len(r[3]) == 64 for r in want) and hashlib.sha256(b"").hexdigest() not in {""}
 
 
+def test_repeated_ids_equal_sql(spark):
+    line = "a line that rows of one id share among them"
+    rows = [(1, line), (1, line), (2, line), (None, line), (3, "other\n" + line.upper()), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({OP2_SQL})").fetchall()
+    got = dedup_lines(docs).withColumn("kept_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    assert rows_of(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(want, key=repr)
+
+
+def test_ids_of_any_type(spark):
+    line = "the same line again and again"
+    docs = spark.createDataFrame([(f"id-{i}", f"{line}\n{i}") for i in range(20)] + [(None, line)], "doc_id string, text string")
+    for batches in (1, 4):
+        kept = dedup_lines(docs, batches=batches).where(F.col("text").contains(line))
+        assert rows_of(kept, "doc_id") == [("id-9",)]
+
+
 def test_settled_keys_stay_out_of_later_runs(spark):
     docs = spark.createDataFrame([(i, "a line that every document has in it") for i in range(40)], "doc_id long, text string")
-    runs = build_runs(docs, batches=4)
-    stored = sum(run.agg(F.sum("n_docs")).first()[0] or 0 for level in runs.levels for run in level)
-    assert stored < 40  # the first batch settles the key
-    assert runs.settled().select("n_docs", "keeper").first()[1] == 39
+    runs = build_runs(hashed_lines(located(docs), batches=4))
+    rows = [r for level in runs.levels for run in level for r in spark.table(run).collect()]
+    assert len(rows) == 1 and rows[0].n_docs < 40  # the first batch settles the key
+    assert runs.settled().select("keeper").first()[0] == 39
 
 
-def test_levels_compact(spark):
-    runs = LineRuns(fan_in=2)
+def test_levels_compact_and_merge_without_a_shuffle(spark):
+    runs = LineRuns(spark, fan_in=2)
     for i in range(4):
-        runs.add(spark.createDataFrame([(10 - i, i, i)], "doc_id long, h1 long, h2 long"))
+        runs.add(spark.createDataFrame([(10 - i, i, i), (10 - i, 99, 99)], "doc_id long, h1 long, h2 long"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
+    run = runs.levels[2][0]
+    assert sorted(tuple(r) for r in spark.table(run).collect()) == [(0, 0, 1, 10), (1, 1, 1, 9), (2, 2, 1, 8), (3, 3, 1, 7), (99, 99, 3, 10)]
+    with runs._in_order():
+        plan = runs._merge(spark.table(run), spark.table(run))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert rows_of(runs.settled(), "h1", "keeper") == [(99, 10)]
