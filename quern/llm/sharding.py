@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import numbered, table
 
 ROUNDS = 6
 
@@ -56,13 +56,13 @@ def permuted(df: DataFrame, row: str, total: str, out: str, seed: int = 0) -> Da
     return df.withColumn(out, walked).select(*held, out)
 
 
-def assign_shards(docs: DataFrame, shards: int, seed: int = 0, buckets: int = 4096, carry: Sequence[str] = ()) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int, seed: int = 0, carry: Sequence[str] = ()) -> DataFrame:
     """Give every row a shard and a slot by the law `rows`: shard sizes differ by one row at most.
 
-    A row's global number is its rank in the order (hash bucket, hash, doc_id, CRC, size): counts by
-    bucket, at most `buckets` of them, give the offsets, and a window ranks within each bucket. The
-    order depends on the rows alone, not on files or partitions, so the shuffle is reproducible. The
-    permuted number p gives shard p mod shards and slot p div shards, with no look-up table.
+    A row's global number is its place in the order (hash, doc_id, CRC, size): rows are sorted by ranges of it and
+    written, and the ranges' counts, one each, give the offsets. Equal rows are dealt to ranges like any others, so a third
+    of all rows may be equal. The order depends on the rows alone, not on files or partitions, so the shuffle is
+    reproducible. The permuted number p gives shard p mod shards and slot p div shards, with no look-up table.
 
     Only the id, the CRC and the size are shuffled, and the columns named in carry.
     Null text counts as empty; a null doc_id is a value like any other; equal rows get a slot each;
@@ -75,16 +75,9 @@ def assign_shards(docs: DataFrame, shards: int, seed: int = 0, buckets: int = 40
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *[F.col(c).alias(f"__carry_{c}") for c in carry],
     )
-    slim = slim.withColumn("__h", F.xxhash64("doc_id", "text_crc32", "size"))
-    slim = slim.withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int"))
-    counts = slim.groupBy("__bucket").count()
-    up_to = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__bucket", F.coalesce(F.sum("count").over(up_to), F.lit(0)).alias("__before"), F.sum("count").over(Window.partitionBy()).alias("__total"))
-    within = Window.partitionBy("__bucket").orderBy("__h", "doc_id", "text_crc32", "size")
-    # a row for each of the `buckets` hash buckets at most, so the broadcast can't grow with the input
-    numbered = slim.withColumn("__rank", F.row_number().over(within)).join(F.broadcast(offsets), "__bucket")
-    numbered = numbered.withColumn("__row", F.col("__before") + F.col("__rank") - F.lit(1))
-    placed = permuted(numbered, "__row", "__total", "__at", seed)
+    order = [F.xxhash64("doc_id", "text_crc32", "size"), "doc_id", "text_crc32", "size"]
+    rows = numbered(slim, order, "__row", "__total", "shard-order")
+    placed = permuted(rows, "__row", "__total", "__at", seed)
     return placed.select(
         "doc_id",
         "size",

@@ -1,8 +1,10 @@
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
+from quern.llm._common import in_order
 from quern.llm.sharding import assign_shards, op5_feistel_shards, permuted, write_shards
 
 from .helpers import awkward, awkward_rows, empty, rows_of
@@ -39,6 +41,46 @@ def test_query_law_and_reproducibility(spark, sf_dir):
     assert set(counts) <= set(range(40)) and max(counts.values()) - min(counts.values()) <= 1
 
 
+def brute_permuted(x, total, seed=0):
+    """The law in plain integers: six rounds over Z_a x Z_b, walked until it falls into range."""
+    from math import isqrt
+
+    a = max(1, isqrt(total - 1) + 1)
+    b = max(1, -(-total // a))
+    mask = (1 << 64) - 1
+
+    def spark_hash(*values):  # XXH64 of eight little-endian bytes (ints: four), chained as seeds from 42
+        h = 42
+        for v, size in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), h & mask)
+        return h - (1 << 64) if h >> 63 else h
+
+    while True:
+        left, right = divmod(x, b)
+        for i in range(6):
+            if i % 2 == 0:
+                left = (left + spark_hash((seed, 4), (i, 4), (right, 8)) % a) % a
+            else:
+                right = (right + spark_hash((seed, 4), (i, 4), (left, 8)) % b) % b
+        x = left * b + right
+        if x < total:
+            return x
+
+
+def test_permutation_equals_plain_integers(spark):
+    for total in (1, 2, 37, 1000):
+        rows = spark.range(total).select("id", F.lit(total).cast("long").alias("total"))
+        got = {r.id: r["at"] for r in permuted(rows, "id", "total", "at", 3).collect()}
+        assert got == {x: brute_permuted(x, total, 3) for x in range(total)}
+
+
+def test_equal_rows_are_spread(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = assign_shards(docs, 7).collect()
+    assert sorted((r.shard, r.slot) for r in got) == sorted((i % 7, i // 7) for i in range(3000))
+    assert in_order(docs, ["doc_id"]).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1500
+
+
 def test_written_shards_hold_the_texts(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_shards(docs, f"{tmp_path}/shards", 5)
