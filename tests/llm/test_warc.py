@@ -3,7 +3,7 @@ import hashlib
 import duckdb
 from pyspark.sql import functions as F
 
-from quern.llm.warc import HEADER, OP6_SQL, RANGE, audit, fixity, layout, op6_merkle_fixity, record, tree
+from quern.llm.warc import HEADER, OP6_SQL, RANGE, audit, audit_files, fixity, layout, op6_merkle_fixity, read_files, record, tree, write_files
 
 from .helpers import rows_of
 
@@ -69,3 +69,28 @@ def test_query_equals_sql(spark):
     want = con.execute(f'SELECT page_id, file, "offset", length, sha256, status FROM ({OP6_SQL})').fetchall()
     assert rows_of(op6_merkle_fixity(spark, sf), *names) == sorted(want, key=repr)
     assert {w[5] for w in want} == {"intact", "changed", "missing"}
+
+
+def test_files_round_trip_and_damage_is_found(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(300).unionByName(spark.createDataFrame([(10**6, None, None), (10**6 + 1, "u", "\r\n\r\nWARC/1.0\r\n")], PAGES))
+    manifest = write_files(pages.repartition(3), f"{tmp_path}/a", 5)
+    back = read_files(spark, f"{tmp_path}/a").select(F.regexp_extract("record_id", "([0-9]+)", 1).cast("long").alias("page_id"), "url", F.decode("body", "UTF-8").alias("html"))
+    assert rows_of(back, "page_id", "url", "html") == rows_of(pages.fillna("", ["url", "html"]), "page_id", "url", "html")
+    assert audit_files(manifest, spark, f"{tmp_path}/a").count() == 0 and write_files(pages.limit(0), f"{tmp_path}/b").count() == 0
+    rows = sorted(manifest.collect(), key=lambda r: (r.file, r.offset))
+    path = tmp_path / "a" / f"{rows[0].file:06d}.warc.gz"
+    data = bytearray(path.read_bytes())
+    hit = [r for r in rows if r.file == rows[0].file]
+    data[hit[3].offset + hit[3].size // 2] ^= 0xFF  # a flipped byte in one member
+    del data[hit[-1].offset :]  # and the last one lost
+    path.write_bytes(bytes(data))
+    found = rows_of(audit_files(manifest, spark, f"{tmp_path}/a"), "offset", "page_id", "status")
+    assert found == sorted([(hit[3].offset, hit[3].page_id, "missing"), (hit[3].offset, None, "extra"), (hit[-1].offset, hit[-1].page_id, "missing")], key=repr)
+
+
+def test_a_page_that_was_captured_very_often(spark):
+    sizes = spark.range(3000).select(F.when(F.col("id") < 1000, 64).otherwise(F.col("id") * 64).alias("page_id"), F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.lit(100).cast("long").alias("length"))
+    counts = [r["count"] for r in layout(sizes).groupBy("file").count().collect()]
+    assert len(counts) == 64 and max(counts) < 100
+    equal = spark.range(2000).select(F.lit(1).alias("page_id"), F.lit("ab").alias("digest"), F.lit(100).cast("long").alias("length"))
+    assert sorted(r.offset for r in layout(equal).collect()) == [100 * i for i in range(2000)]
