@@ -17,6 +17,8 @@ from ._common import byte_blocks, stash, table
 from .encoding import encoder
 
 WINDOW, QUANTUM, END = 1024, 256, 0
+#: Sources without a weight share by their tokens to this power: below 1, small sources come oftener than their size says.
+TEMPERATURE = 0.7
 #: Sources with 1 / MAX_NAMED of the rows or of the bytes of text have a queue each, so there are twice MAX_NAMED at most, and
 #: so have sources with a weight; others share SHARED queues by hash.
 MAX_NAMED, SHARED = 256, 64
@@ -61,6 +63,16 @@ class Schedule:
         own = self._due(q, slot)
         return (own < due) | ((own == due) & (q < queue))
 
+    def deficits(self, windows: int) -> np.ndarray:
+        """The tokens that each queue is owed after so many windows: its credit less what it was served.
+
+        While no queue is empty it is a slot at most, either way; it is what the next window, in whatever task, begins with.
+        """
+        every = np.concatenate([np.full(-(-int(n) // self.quantum), q) for q, n in enumerate(self.tokens)])
+        slot = np.concatenate([np.arange(-(-int(n) // self.quantum)) for n in self.tokens])
+        served = np.bincount(every[self.place(every, slot) < windows * (self.window // self.quantum)], minlength=len(self.tokens))
+        return (self.weights / self.weights.sum() * windows * self.window) - served * self.quantum
+
     def spots(self, queue: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sequence, offset there) of each slot. Only a queue's last slot may be short, and leaves no gap."""
         per = self.window // self.quantum
@@ -140,23 +152,27 @@ def _named_sources(docs: DataFrame, weights: Mapping[str, float]) -> dict[str |
     return {s: i for i, s in enumerate(sorted(found, key=lambda s: (s is not None, s)))}
 
 
-def _proportions(sizes: np.ndarray, sources: list[str | None], weights: Mapping[str, float]) -> np.ndarray:
+def _proportions(sizes: np.ndarray, sources: list[str | None], weights: Mapping[str, float], temperature: float = 1.0) -> np.ndarray:
     """The queues' target proportions: those asked for, and the rest by tokens, a trifle where nothing is left."""
     if sum(weights.values()) > 1.0 + 1e-9 or min(weights.values(), default=1.0) <= 0.0:
         raise ValueError("weights must be above 0 and 1 at most together")
     asked = np.array([weights.get(s, np.nan) if s is not None else np.nan for s in sources], np.float64)
     left = np.isnan(asked)
     rest = max(1e-6, 1.0 - float(np.nansum(asked)))
-    return np.where(left, rest * sizes / max(1, sizes[left].sum()), asked)
+    by = sizes.astype(np.float64) ** temperature
+    return np.where(left, rest * by / max(1.0, by[left].sum()), asked)
 
 
-def pack(docs: DataFrame, vocabulary: str, weights: Mapping[str, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary: str, weights: Mapping[str, float] | None = None, temperature: float = 1.0, window: int = WINDOW, quantum: int = QUANTUM, with_ids: bool = False
+) -> DataFrame:
     """Cut the documents into pieces that fill sequences of window tokens in the proportions of the sources.
 
     Each source is a queue: its documents' ids, id END after each, one after another. weights are target
-    proportions of sources, at most 1 together; sources that they leave out share the rest by their numbers of tokens.
-    Without weights all share by tokens, so that all queues last to the end. A source with a weight has a queue of its
-    own, however small it is; one that no document has is an error. Each sequence holds window / quantum slots, each of one queue.
+    proportions of sources, at most 1 together; sources that they leave out share the rest by their numbers of tokens to
+    the power of temperature. At 1 all queues last to the end; below, small sources come oftener and run out first, and what
+    is left goes on by the same proportions. A source with a weight has a queue of its own, however small it is; one that
+    no document has is an error. Each sequence holds window / quantum slots, each of one queue.
 
     Two passes and no shuffle of text or ids: the first encodes, notes each document's place in its task's part
     of the queue and writes ids and places to the shared folder; counts by (queue, task) give the parts'
@@ -178,7 +194,7 @@ def pack(docs: DataFrame, vocabulary: str, weights: Mapping[str, float] | None =
     queues = sorted(totals)
     by_queue = {q: s for s, q in named.items()}
     sizes = np.array([totals[q] for q in queues], np.int64)
-    schedule = Schedule(sizes, _proportions(sizes, [by_queue.get(q) for q in queues], weights or {}), window, quantum)
+    schedule = Schedule(sizes, _proportions(sizes, [by_queue.get(q) for q in queues], weights or {}, temperature), window, quantum)
     up_to = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stash(parts.select("queue", "part", F.coalesce(F.sum("size").over(up_to), F.lit(0)).alias("base")), "bases")
     numbers = F.array_position(F.array(*[F.lit(q) for q in queues] or [F.lit(0)]), F.col("queue")) - 1
@@ -193,4 +209,4 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), temperature=TEMPERATURE)

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quern.llm.packing import QUANTUM, Schedule, _proportions, op1_mixture_packing, pack, sequences
+from quern.llm.packing import QUANTUM, TEMPERATURE, Schedule, _proportions, op1_mixture_packing, pack, sequences
 
 from .helpers import awkward, awkward_rows, empty
 
@@ -102,6 +102,27 @@ def test_target_proportions_hold_in_the_first_windows(spark, sf_dir):
     assert abs(share["src0"] - 0.25) < 0.75 / windows and abs(share["src1"] - 0.25) < 0.75 / windows
 
 
+def test_query_keeps_its_mixture_in_each_window(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = op1_mixture_packing(spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    total = pieces.groupby("source").length.sum()
+    target = total**TEMPERATURE / (total**TEMPERATURE).sum()
+    assert (target - total / total.sum()).abs().max() > 0.002  # another mixture than the corpus' own
+    windows = int((total / target).min() / 1024)  # until the first source is out
+    assert windows > 20
+    served = pieces.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum").reindex(range(windows)).fillna(0).cumsum()
+    for source in total.index:
+        owed = target[source] * 1024 * (served.index + 1) - served[source]
+        assert owed.abs().max() <= QUANTUM * (2 + len(total) / 2)
+
+
+def test_deficits_are_carried_from_window_to_window():
+    tokens = np.array([40_000, 9_000, 25_000, 3_000])
+    schedule = Schedule(tokens, _proportions(tokens, [None] * 4, {}, 0.7))
+    for windows in range(1, 40):
+        assert abs(schedule.deficits(windows).sum()) < 1e-6 and np.abs(schedule.deficits(windows)).max() <= 2 * QUANTUM
+
+
 def test_rare_sources_have_queues_by_weight_and_by_bytes(spark, ids_of):
     # rare: 4 of 1606 rows and little text; long: 2 rows with about half of the text; both under 1 / 256 of the rows
     rows = [(i, "some words of common text " * 12, f"s{i % 400}") for i in range(1600)]
