@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,9 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import neutral, table
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ._common import PLACE, attach, located, neutral, stash, table
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -27,7 +32,10 @@ BLOCK_BYTES = 4 << 20
 
 #: Lower-cases A-Z and blanks the ASCII characters that are not word characters; lengths stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-FIELDS = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>, contaminated boolean"
+#: A document's new columns; items are of the type of item_id.
+FIELDS = "n_words long, n_hit long, items array<{}>, spans array<struct<start:long,end:long>>, contaminated boolean"
+#: The same words for Spark, upper case or lower.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -42,24 +50,27 @@ class Windows:
     number: dict[bytes, int]
     patterns: np.ndarray
     lengths: np.ndarray
-    #: items of pattern p: item_ids[item_at[p]:item_at[p + 1]]
+    #: items of pattern p: the names[i] of item_ids[item_at[p]:item_at[p + 1]]; names are in order
     item_at: np.ndarray
     item_ids: np.ndarray
+    names: list
 
 
-def windows_of(items: Sequence[tuple[int | None, bytes]]) -> Windows:
+def windows_of(items: Sequence[tuple[Any, bytes]]) -> Windows:
     number: dict[bytes, int] = {}
     holders: dict[tuple[int, ...], set[int]] = {}
+    names = sorted({item for item, _ in items if item is not None})
+    place = {item: i for i, item in enumerate(names)}
     for item, text in items:
         ids = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
         for at in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-            holders.setdefault(tuple(ids[at : at + WINDOW]), set()).update(() if item is None else (item,))
+            holders.setdefault(tuple(ids[at : at + WINDOW]), set()).update(() if item is None else (place[item],))
     patterns = np.zeros((len(holders), WINDOW), np.int64)
     for row, window in zip(patterns, holders, strict=True):
         row[: len(window)] = window
     lists = [sorted(x) for x in holders.values()]
     item_at = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int64)
-    return Windows(number, patterns, np.array([len(w) for w in holders], np.int64), item_at, np.array([i for x in lists for i in x], np.int64))
+    return Windows(number, patterns, np.array([len(w) for w in holders], np.int64), item_at, np.array([i for x in lists for i in x], np.int64), names)
 
 
 class Shard:
@@ -80,7 +91,7 @@ class Shard:
         self.docs.append(np.fromiter((of(w, 0) for w in words), np.int32, len(words)))
         self.words += len(words)
 
-    def hits(self) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    def hits(self) -> Iterator[tuple[int, np.ndarray, list]]:
         """For each document, in order: its words, which of them are hit, and the items with occurring windows."""
         sizes = np.array([len(d) for d in self.docs], np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes + 1)))  # a separator after each document
@@ -106,7 +117,7 @@ class Shard:
         for i, size in enumerate(sizes.tolist()):
             item_at = self.tests.item_at
             items = {int(x) for p in pattern[edges[i] : edges[i + 1]].tolist() for x in self.tests.item_ids[item_at[p] : item_at[p + 1]]}
-            yield size, hit[starts[i] : starts[i] + size], sorted(items)
+            yield size, hit[starts[i] : starts[i] + size], [self.tests.names[x] for x in sorted(items)]
 
 
 def _dense(stream: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +159,7 @@ def cut(text: bytes, spans: list[dict[str, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _scanner(tests: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scanner(tests: Broadcast, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(shard: Shard, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         n_words, n_hit, items, spans = [], [], [], []
         for size, hit, found in shard.hits():
@@ -158,7 +169,7 @@ def _scanner(tests: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             spans.append(merged_spans(hit))
         kept = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         bad = [h > 0 and SHARE * h >= n for n, h in zip(n_words, n_hit, strict=True)]
-        new = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, _SPANS), pa.array(bad)]
+        new = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(kind)), pa.array(spans, _SPANS), pa.array(bad)]
         return pa.RecordBatch.from_arrays([*kept.columns, *new], names=[*kept.schema.names, "n_words", "n_hit", "items", "spans", "contaminated"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +191,9 @@ def _scanner(tests: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return scan
 
 
-def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
+def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[Any, bytes]]]:
     """The items in blocks of about BLOCK_BYTES bytes: what is collected and broadcast at once is bounded."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = items.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES) or 1
     for block in range(n):
@@ -196,33 +207,37 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
     A window is WINDOW consecutive words of an item, or a whole item of fewer words. items holds the ids of the
     items with occurring windows, spans the merged runs of hit words. Each task indexes its documents in shards
     of about SHARD_WORDS words, a document whole in one shard; nothing is shuffled while the benchmark fits one
-    block. A larger one is searched block by block, and the blocks' hits are merged by row.
+    block. A larger one is searched block by block, one broadcast at a time; the hits are written, and merged and
+    attached by file and row, so that no text is shuffled but that of documents with hits.
 
     Null or empty text has no words and isn't contaminated. A null item_id contaminates, but isn't listed. Items
-    that share an id count as one. Equal documents get equal rows; empty tables work.
+    that share an id count as one; ids are of any type that has an order. Equal documents get equal rows; empty tables work.
     """
     spark = docs.sparkSession
+    named = benchmark.schema["item_id"].dataType
+    found = FIELDS.format(named.simpleString())
     held = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
-    fields = [f"`{c}` {held.schema[c].dataType.simpleString()}" for c in keep]
-    blocks = [spark.sparkContext.broadcast(windows_of(items)) for items in _benchmark_blocks(benchmark)]
-    if len(blocks) == 1:
-        return held.mapInArrow(_scanner(blocks[0]), ", ".join([*fields, FIELDS]))
-    rows = held.select(F.struct(*keep).alias("__row"), F.xxhash64("__text").alias("__print"), "__text")
-    kind = rows.schema["__row"].dataType.simpleString()
-    parts = [rows.mapInArrow(_scanner(b), f"__row {kind}, __print long, {FIELDS}").withColumn("__copy", F.row_number().over(_copies())) for b in blocks]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    one = every.groupBy("__row", "__print", "__copy").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    one = one.withColumn("spans", F.expr(_MERGE)).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
-    one = one.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
-    return one.select("__row.*", "n_words", "n_hit", "items", "spans", "contaminated")
-
-
-def _copies():  # noqa: ANN202  equal rows stay apart
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__row", "__print").orderBy("n_words")
+    blocks = _benchmark_blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        fields = [f"`{c}` {held.schema[c].dataType.simpleString()}" for c in keep]
+        return held.mapInArrow(_scanner(spark.sparkContext.broadcast(windows_of(first)), to_arrow_type(named)), ", ".join([*fields, found]))
+    held = located(held)
+    parts = []
+    for items in chain((first, second), blocks):
+        tests = spark.sparkContext.broadcast(windows_of(items))
+        hits = held.select(*PLACE, "__text").mapInArrow(_scanner(tests, to_arrow_type(named)), f"{PLACE[0]} long, {PLACE[1]} long, {found}")
+        parts.append(stash(hits.where("n_hit > 0").select(*PLACE, "items", "spans"), "benchmark-hits"))
+        tests.destroy()
+    merged = reduce(DataFrame.unionByName, parts).groupBy(*PLACE)
+    merged = merged.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    merged = stash(merged.select(*PLACE, "__items", F.expr(_MERGE).alias("__spans")), "merged-hits")
+    n_hit = F.expr("aggregate(__spans, 0L, (n, s) -> n + s.end - s.start)")
+    n_words = F.regexp_count("__text", F.lit(_WORD)).cast("long")
+    new = attach(held, merged).select(*keep, n_words.alias("n_words"), F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), "__items", "__spans")
+    bad = (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))
+    none = lambda c: F.coalesce(c, F.array().cast(merged.schema[c].dataType))
+    return new.select(*keep, "n_words", "n_hit", none("__items").alias("items"), none("__spans").alias("spans"), bad.alias("contaminated"))
 
 
 #: Spans in order, each merged with the last one before it if they meet.

@@ -5,6 +5,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from quern.llm import decontam
 from quern.llm.decontam import cut_spans, drop_contaminated, op10_fm_decontamination, scan
 from quern.llm.fm_index import FMIndex, suffix_array
@@ -72,6 +74,17 @@ def test_planted_and_awkward_rows(spark, monkeypatch):
     assert {w[0] for w in want if w[4]} >= {900, 902, 904} and not {901, 903} & {w[0] for w in want if w[4]}
 
 
+def test_string_ids_and_blocks(spark, monkeypatch):
+    docs = awkward(spark).union(awkward(spark).limit(0)).withColumn("text", F.when(F.col("doc_id") == 5, F.lit("x " + ITEMS[0][1] + " y")).otherwise(F.col("text")))
+    items = spark.createDataFrame([(f"set-{i % 2}{i}" if i is not None else None, t) for i, t in ITEMS], "item_id string, text string")
+    for _ in range(2):
+        found = scan(docs, items).where("n_hit > 0").collect()
+        assert [r.doc_id for r in found] == [5] and found[0]["items"] == [f"set-{ITEMS[0][0] % 2}{ITEMS[0][0]}"] and found[0].contaminated == (20 * found[0].n_hit >= found[0].n_words)
+        assert rows_of(drop_contaminated(docs, items), *docs.columns) == rows_of(docs.where("doc_id is null or doc_id <> 5"), *docs.columns)
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", 60)
+    assert scan(empty(spark), items).count() == 0
+
+
 def test_removal(spark):
     rows = [(1, f"Keep this, {ITEMS[0][1].upper()}! and that."), (2, None), (3, "clean Über text"), (4, "short item five words here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
