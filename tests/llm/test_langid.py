@@ -4,6 +4,7 @@ import time
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quern.llm import langid
 from quern.llm.langid import declared_language, fit, host, identify, op4_language_evidence, visible_text
@@ -101,3 +102,14 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.b/", "<p>text")], "page_id long, url string, html string")
     assert rows_of(identify(pages, empty(spark)), "page_id", "lang", "probability") == [(1, None, None)]
     assert identify(pages.limit(0), awkward(spark)).count() == 0
+
+
+def test_awkward_pages(spark, sf_dir):
+    docs = awkward(spark).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet"), allowMissingColumns=True)
+    page = "<html lang=de><body>" + "der hund und die katze " * 30_000
+    rows = [(1, "http://a.de/", page), (1, "http://a.de/", page), (2, None, "<p>"), (None, "http://a.de/x", None), (3, "//a.de", "&amp;<" * 20_000)]
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clash = plain.select("*", *[F.lit(None).cast("string").alias(c) for c in ("host", "logs", "suffix", "said", "told", "h0", "s_sum", "lang", "top")])
+    names = ("page_id", "host", "declared", "text_lang", "lang", "probability")
+    got = rows_of(identify(clash.repartition(3), docs), *names)
+    assert got == rows_of(identify(plain, docs), *names) and len(got) == 5 and {r[4] for r in got if r[0] == 1} == {got[0][4]}

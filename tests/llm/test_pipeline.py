@@ -1,29 +1,19 @@
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quern.llm import registry
 
 from . import test_decontam, test_line_dedup, test_quality, test_simhash
-from .helpers import awkward_rows, rows_of
+from .helpers import CLASHES, SCHEMA, awkward_rows, rows_of
 from .test_packing import check
 
 
 def brute_pipeline(rows, items):
     """(doc_id, text) that reach the packing, by the brute-force versions of the stages."""
-    import zstandard
-
-    from quern.llm.quality import measure
-
-    zstd = zstandard.ZstdCompressor(level=3)
-    kept = []
-    for doc, text in rows:
-        row = measure((text or "").encode(), zstd)
-        if len(text or "") < 20_000:
-            assert row[:6] == test_quality.brute(text)
-        if row[9]:
-            kept.append((doc, text))
+    kept = [r for r in rows if test_quality.brute_kept(r[1])]
     kept = [r[:2] for r in test_line_dedup.brute(kept)]
     prints = [(d, test_simhash.brute_print(t)) for d, t in kept]
     kept = [r for r, c in zip(kept, test_simhash.brute_components(prints), strict=True) if r[0] == c]
@@ -48,6 +38,33 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
     assert rows_of(docs.select("n_chars", docs.text), "n_chars", "text") == sorted(((len(r.text), r.text) for r in docs.collect()), key=repr)
 
 
+def write_tables(spark, folder, docs, sf_dir):
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_awkward_and_empty_tables(spark, sf_dir, tmp_path):
+    names = ("doc_id", "start", "length", "ids_crc32")
+    plain = spark.createDataFrame(awkward_rows(), SCHEMA).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000)).repartition(3)
+    plain = plain.withColumn("source", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("source")))
+    clash = plain.select("*", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in CLASHES.split(", ")])
+    found = corpus_pipeline.run(spark, write_tables(spark, f"{tmp_path}/a", clash, sf_dir)).collect()
+    want = corpus_pipeline.run(spark, write_tables(spark, f"{tmp_path}/b", plain, sf_dir))
+    tokens = lambda rows: sorted((r.doc_id, n) for r in rows if (n := r.doc_tokens) and not r.start and r.doc_id is not None)
+    assert tokens(found) == tokens(want.collect()) and len(found) > 100
+    assert corpus_pipeline.run(spark, write_tables(spark, f"{tmp_path}/c", plain.limit(0), sf_dir)).select(*names).count() == 0
+
+
+def test_what_stages_wrote_is_deleted(spark, sf_dir):
+    from quern.llm import _common
+
+    before = set(_common._made)
+    packed = corpus_pipeline.run(spark, sf_dir)
+    left = {m.rsplit("/", 1)[1].rsplit("-", 1)[0] for m in _common._made if m not in before}
+    assert left <= {"tokens", "bases", "parts", "sources"} and packed.count() > 0
+
+
 def test_registry_is_whole():
     assert [name.split("_")[0] for name in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)

@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+from collections import Counter
 
 import zstandard
 from hypothesis import given, settings
@@ -16,7 +17,8 @@ def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-    inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
+    often = Counter(windows)
+    inside = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(8)}
     seen, dups = set(), 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
@@ -34,14 +36,47 @@ def test_measures(text):
 
 def test_awkward_rows(spark):
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    rows = [r for r in awkward_rows() if len(r[1] or "") < 50_000]
-    got = [r for r in rows_of(score(awkward(spark)), *columns) if r[0] != 203]
-    assert got == sorted(((r[0], *brute(r[1])) for r in rows if r[0] != 203), key=repr)
+    assert rows_of(score(awkward(spark)), *columns) == sorted(((r[0], *brute(r[1])) for r in awkward_rows()), key=repr)
     assert score(empty(spark)).count() == 0
     kept = filter_quality(awkward(spark))
     assert kept.columns == awkward(spark).columns and kept.count() == score(awkward(spark)).where("kept").count()
 
 
+def brute_kept(text):
+    """The verdict on its own: whole text, then pieces of 4096 bytes, each against the band of its length."""
+    data = (text or "").encode()
+    if brute(text)[5]:
+        return False
+
+    def fits(piece):
+        low, high = next((b.low, b.high) for b in reversed(quality.WHOLE_BANDS) if len(piece) >= b.min_bytes)
+        return low <= len(zstandard.ZstdCompressor(level=3).compress(piece)) / len(piece) <= high
+
+    pieces = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) >= 4096 else []
+    if len(pieces) > 1 and len(pieces[-1]) < 256:
+        pieces[-2:] = [pieces[-2] + pieces[-1]]
+    bad = sum(len(p) for p in pieces if not fits(p))
+    return fits(data) and bad < 8192 and bad * 4 < len(data)
+
+
+def test_verdicts_equal_brute_force(spark, sf_dir):
+    want = {r.doc_id: brute_kept(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r.doc_id: r.kept for r in op9_compression_bands(spark, sf_dir).collect()} == want and len(set(want.values())) == 2
+    rng = random.Random(3)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{i % 53}" for i in range(400)]
+    texts = []
+    for size in (60, 150, 300, 1000, 4096, 4300, 9000, 30_000, 90_000):
+        clean = ""
+        while len(clean) < size:
+            clean += rng.choice(words) + (". " if rng.random() < 0.1 else " ")
+        clean = clean[:size]
+        for bad in (0, size // 8, size // 3, size):
+            texts += [clean[: size - bad] + noise(bad).decode(), clean[: size - bad] + "again and again " * (bad // 16)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.kept for r in sorted(score(docs).collect())]
+    assert got == [brute_kept(t) for t in texts] and 10 < sum(got) < len(got) - 10
+
+
 def test_bands_reject_repetition_and_noise():
     zstd = zstandard.ZstdCompressor(level=3)
     prose = " ".join(f"w{i * 7919 % 613} and {i * 104729 % 911}" for i in range(900)).encode()
