@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import stash, table
+from quern.llm._common import drop_stash, settle, table
 from quern.llm.decontam import drop_contaminated
 from quern.llm.line_dedup import dedup_lines
-from quern.llm.packing import pack
+from quern.llm.packing import TEMPERATURE, pack
 from quern.llm.quality import filter_quality
 from quern.llm.simhash import keep_one
 
@@ -36,8 +36,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences of 1024 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """What is left, as pieces of sequences of 1024 tokens; small sources come oftener than their size says."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), temperature=TEMPERATURE)
 
 
 STAGES = [
@@ -53,8 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each one's rows are written to the shared folder for the next."""
+    """All stages over the documents of sf_dir; each one's rows are written to the shared folder for the next.
+
+    What a stage needed on its way is deleted when its rows are written, and they are when the next stage's are.
+    Nulls, empty and very long texts, repeated rows and ids pass through as each stage says; an empty table gives no
+    rows; other columns of the documents pass through all stages but the last, which has its own.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        after = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            drop_stash(docs)
+        docs = after
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    drop_stash(docs)
+    return packed
