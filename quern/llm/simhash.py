@@ -225,8 +225,10 @@ def _rooted(prints: DataFrame) -> DataFrame:
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     stars = components(links(nodes.select("fp")))
     rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return stash(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"), "components")
+    # written, and without the many components of one fingerprint, so that the join below is of plain exchanges, whose hot roots Spark can split
+    large = stash(rooted.groupBy("root").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("n")).where("n > 1"), "large-components")
+    named = rooted.join(large, "root", "left")
+    return stash(named.select("fp", "root", F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id")), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,7 +254,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = stash(fingerprints(plain.withColumn("print", F.xxhash64("text")), ("doc_id", "print", *PLACE)), "fingerprints")
     rows = prints.join(_rooted(prints).select("fp", "root"), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print", *PLACE)
-    first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stash(rows.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
     places = F.struct(*PLACE)
     go = rows.join(first, "root").where(places != F.struct(*[F.col(f"first.{c}").alias(c) for c in PLACE])).select(*PLACE, F.lit(True).alias("__gone"))
     left = attach(plain, stash(go, "copies")).where("__gone is null")
