@@ -81,8 +81,8 @@ def median_mad(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
 
 
 def first_max(payload: Column, value: Column, *order: Column) -> Column:
-    """The payload at the greatest value; of equal ones, that with the least order keys."""
-    return F.max_by(payload, F.struct(value, *[-o for o in order]))
+    """The payload at the greatest value; of equal ones, that with the least order keys, of whatever type. value is a number."""
+    return F.min_by(payload, F.when(value.isNotNull(), F.struct(-value, *order)))
 
 
 def confusion(predicted: Column, actual: Column) -> list[Column]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -246,10 +246,47 @@ def padded_header(header: Column, width: int = 8) -> Column:
 
 # ---- random numbers that do not depend on partitions
 
+#: A prime, whose residues are squared, and what is added.
+MODULUS, FACTOR, ADDED = 2147483647, 48271, (40692, 69621)
+
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """In [0, 1), from a hash of the keys: the same row gives the same number anywhere."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """In (0, 1), from integer keys by integer arithmetic alone: the same row gives the same number anywhere, in SQL too (uniform_sql)."""
+    h = F.lit(seed).cast("long")
+    for key in keys:
+        h = (h * FACTOR + F.pmod(key.cast("long"), F.lit(MODULUS)) * 16807 + 11) % MODULUS
+    for add in ADDED:
+        h = (h * h + add) % MODULUS
+    return (h + 1).cast("double") / F.lit(float(MODULUS + 2))
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """uniform() of expressions that are not negative, as text for any SQL."""
+    h = f"CAST({seed} AS BIGINT)"
+    for key in keys:
+        h = f"(({h} * {FACTOR} + CAST({key} AS BIGINT) % {MODULUS} * 16807 + 11) % {MODULUS})"
+    for add in ADDED:
+        h = f"(({h} * {h} + {add}) % {MODULUS})"
+    return f"(CAST({h} + 1 AS DOUBLE) / CAST({MODULUS + 2} AS DOUBLE))"
+
+
+def with_uniforms_sql(source: str, draws: Mapping[str, tuple[int, Sequence[str]]]) -> str:
+    """source, a query, with a column of uniform(seed, *keys) for each draw; in steps, so that no expression grows large."""
+    first = []
+    for name, (seed, keys) in draws.items():
+        h = f"CAST({seed} AS BIGINT)"
+        for key in keys:
+            h = f"(({h} * {FACTOR} + CAST({key} AS BIGINT) % {MODULUS} * 16807 + 11) % {MODULUS})"
+        first.append(f"{h} AS {name}_0")
+    query = f"SELECT *, {', '.join(first)} FROM ({source}) AS d0"
+    for i, add in enumerate(ADDED):
+        query = f"SELECT *, {', '.join(f'({n}_{i} * {n}_{i} + {add}) % {MODULUS} AS {n}_{i + 1}' for n in draws)} FROM ({query}) AS d{i + 1}"
+    return f"SELECT *, {', '.join(f'CAST({n}_{len(ADDED)} + 1 AS DOUBLE) / CAST({MODULUS + 2} AS DOUBLE) AS {n}' for n in draws)} FROM ({query}) AS d9"
+
+
+def standard_normal_sql(seed: int, *keys: str) -> str:
+    u, v = uniform_sql(seed, *keys), uniform_sql(seed + 1, *keys)
+    return f"(sqrt(CAST(-2.0 AS DOUBLE) * ln(CAST(1.0 AS DOUBLE) - {u})) * cos(CAST({2 * math.pi!r} AS DOUBLE) * {v}))"
 
 
 def standard_normal(seed: int, *keys: Column) -> Column:

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only a local session without one gets a temporary folder."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quern-checkpoints-")
-    spark.sparkContext.setCheckpointDir(found)
+from .checkpoints import use_checkpoints
 
 
 def repeat(start: DataFrame, step: Callable[[DataFrame], DataFrame], times: int, every: int = 10) -> DataFrame:

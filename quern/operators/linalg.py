@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,7 +59,9 @@ def gram(rows: DataFrame) -> DataFrame:
 
 
 def gram_dense(vectors: DataFrame, column: str) -> np.ndarray:
-    """X^T X of an array column of fixed width: a d x d matrix from each task, summed; d x d numbers come to the driver."""
+    """X^T X of an array column of fixed width: a d x d matrix from each task, summed; d x d numbers come to the driver.
+
+    An empty table has a matrix without rows."""
 
     def partial(batches):
         total = None
@@ -71,34 +73,56 @@ def gram_dense(vectors: DataFrame, column: str) -> np.ndarray:
             yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
 
     found = vectors.select(column).mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    d = int(found["i"].max()) + 1
+    d = int(found["i"].max()) + 1 if len(found) else 0
     out = np.zeros((d, d))
     out[found["i"], found["j"]] = found["v"]
     return out
 
 
 def condition_number(gram_matrix: np.ndarray, n: int) -> float:
-    """Of the covariance X^T X / n: the ratio of its extreme eigenvalues."""
+    """Of the covariance X^T X / n: the ratio of its extreme eigenvalues; NaN without rows."""
+    if not n:
+        return float("nan")
     values = np.linalg.eigvalsh(gram_matrix / n)
     return float(values[-1] / values[0])
 
 
-def block_join(left: DataFrame, right: DataFrame, n_left: int, n_right: int, key_left: str, key_right: str) -> DataFrame:
-    """All combinations of two tables as an equi-join on pairs of blocks: neither side is broadcast, no task takes a whole side."""
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = left.withColumn("__bl", F.pmod(F.xxhash64(key_left), F.lit(n_left)).cast("int")).withColumn("__br", every(n_right))
-    b = right.withColumn("__br", F.pmod(F.xxhash64(key_right), F.lit(n_right)).cast("int")).withColumn("__bl", every(n_left))
-    return a.join(b, ["__bl", "__br"]).drop("__bl", "__br")
+#: Particles of a block: a task holds two blocks and their force matrix.
+BODIES = 2048
+
 
+def gravity(particles: DataFrame, g: float = 1.0, softening: float = 0.01, block: int = BODIES) -> DataFrame:
+    """(id, fx, fy): softened attraction by all other particles (id, x, y, m).
 
-def gravity(particles: DataFrame, g: float = 1.0, softening: float = 0.01, blocks: int = 4) -> DataFrame:
-    """(id, fx, fy): softened attraction by all other particles (id, x, y, m), by pairs of blocks."""
-    others = particles.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("m").alias("om"))
-    pairs = block_join(particles.select("id", "x", "y", "m"), others, blocks, blocks, "id", "o").where("id <> o")
-    dx, dy = F.col("ox") - F.col("x"), F.col("oy") - F.col("y")
-    r: Column = F.sqrt(dx * dx + dy * dy + F.lit(softening * softening))
-    pull = F.lit(g) * F.col("m") * F.col("om") / (r * r * r)
-    return pairs.groupBy("id").agg(F.sum(pull * dx).alias("fx"), F.sum(pull * dy).alias("fy"))
+    Particles are dealt to blocks by a hash of their id, as many as keep them near `block` particles, and each pair of blocks is a
+    group: its forces are one matrix, and what leaves it is a row for each particle. So tasks are of one size, and there are
+    as many as the square of the number of blocks.
+    """
+    n = max(1, -(-particles.count() // block))
+    held = particles.select("id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "m")]).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = held.withColumn("o", other).select(F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "id", "x", "y", "m")
+    kind = particles.schema["id"].dataType.simpleString()
+
+    def pull(on: pd.DataFrame, by: pd.DataFrame, same: bool) -> pd.DataFrame:
+        fx, fy = np.empty(len(on)), np.empty(len(on))
+        x, y, m = (by[c].to_numpy() for c in "xym")
+        for at in range(0, len(on), 256):  # so many rows of the matrix at once
+            part = on.iloc[at : at + 256]
+            dx, dy = x[None, :] - part["x"].to_numpy()[:, None], y[None, :] - part["y"].to_numpy()[:, None]
+            force = g * part["m"].to_numpy()[:, None] * m[None, :] / (dx * dx + dy * dy + softening * softening) ** 1.5
+            if same:
+                i = np.arange(len(part))
+                force[i, at + i] = 0.0
+            fx[at : at + 256], fy[at : at + 256] = (force * dx).sum(1), (force * dy).sum(1)
+        return pd.DataFrame({"id": on["id"].to_numpy(), "fx": fx, "fy": fy})
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = (rows[rows["b"] == k] for k in key)
+        return pull(a, a, True) if key[0] == key[1] else pd.concat([pull(a, b, False), pull(b, a, False)])
+
+    parts = dealt.groupBy("bi", "bj").applyInPandas(meet, f"id {kind}, fx double, fy double")
+    return parts.groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
 
 def thomas(lower: np.ndarray, diagonal: np.ndarray, upper: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -29,27 +29,37 @@ def block_pairs(vectors: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     return held.withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o")
 
 
+#: Squared distances below this are summed up again from the differences, which the norm trick would cancel.
+NEAR = 1e-6
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Norm trick, with abs against negative zero squares; BLAS does the products."""
-    return np.sqrt(np.abs((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T))
+    """All distances between two blocks, by |a|^2 + |b|^2 - 2 a.b, whose products BLAS does; near pairs are computed exactly."""
+    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+    i, j = np.nonzero(d < NEAR)
+    for at in range(0, len(i), 1 << 14):
+        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        d[x, y] = ((a[x] - b[y]) ** 2).sum(1)
+    return np.sqrt(d)
 
 
 def _pair_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Count, sum, sum of squares, least and greatest distance by label pair, of the pairs of two blocks."""
-    bi, bj = key
-    rows = rows.sort_values("vec_id", kind="stable")
-    left, right = (rows[rows["b"] == b] for b in (bi, bj))
-    a, b = (np.stack(x["v"].to_numpy()).astype(np.float64) if len(x) else np.zeros((0, 1)) for x in (left, right))
-    if not len(a) or not len(b):
+    left, right = (rows[rows["b"] == b] for b in key)
+    if not len(left) or not len(right):
         return pd.DataFrame({c: [] for c in ("label_a", "label_b", "n", "s", "q", "low", "high")})
-    d = np.concatenate([np.sqrt(((a[i : i + 64, None, :] - b[None]) ** 2).sum(2)) for i in range(0, len(a), 64)])
-    ids_a, ids_b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-    i, j = np.nonzero(ids_a[:, None] < ids_b[None, :]) if bi == bj else np.nonzero(ids_a[:, None] != ids_b[None, :])
-    first = ids_a[i] < ids_b[j]
-    la, lb = left["label"].to_numpy()[i], right["label"].to_numpy()[j]
-    out = pd.DataFrame({"label_a": np.where(first, la, lb), "label_b": np.where(first, lb, la), "d": d[i, j]})
-    out["q"] = out["d"] ** 2
-    return out.groupby(["label_a", "label_b"]).agg(n=("d", "size"), s=("d", "sum"), q=("q", "sum"), low=("d", "min"), high=("d", "max")).reset_index()
+    d = _distances(*(np.stack(x["v"].to_numpy()).astype(np.float64) for x in (left, right)))
+    labels, code = np.unique(np.concatenate((left["label"], right["label"])), return_inverse=True)
+    k, la, lb = len(labels), code[: len(left)][:, None], code[len(left) :][None, :]
+    first = left["vec_id"].to_numpy()[:, None] < right["vec_id"].to_numpy()[None, :]
+    pair = np.where(first, la * k + lb, lb * k + la)
+    pair, d = (x[first] for x in (pair, d)) if key[0] == key[1] else (pair.ravel(), d.ravel())
+    low, high = np.full(k * k, np.inf), np.full(k * k, -np.inf)
+    np.minimum.at(low, pair, d)
+    np.maximum.at(high, pair, d)
+    n, s, q = (np.bincount(pair, w, k * k) for w in (None, d, d * d))
+    at = np.flatnonzero(n)
+    return pd.DataFrame({"label_a": labels[at // k], "label_b": labels[at % k], "n": n[at], "s": s[at], "q": q[at], "low": low[at], "high": high[at]})
 
 
 def distance_stats(embeddings: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import uniform
+from .checkpoints import use_checkpoints
+
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], strict: bool = False) -> DataFrame:
     """Inner equi-join; with strict a left row without a partner fails the query, like a missing key of a map."""
@@ -48,26 +51,31 @@ def ring_shift(df: DataFrame, rank: str, size: int, by: int = 1) -> DataFrame:
     return df.withColumn(rank, F.pmod(F.col(rank) + by, F.lit(size)).cast(df.schema[rank].dataType))
 
 
-def batches(df: DataFrame, n: int, *order: str, spread: int = 64) -> DataFrame:
-    """Split into n consecutive batches of even size, the first ones larger by a row, with a global position.
+def positions(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Add position, the place from 0 of each row in order, and __total, the number of rows.
 
-    Rows are ranked in `spread` ranges of the first order column, whose counts are summed, so no task sorts all rows.
+    Rows are sorted by ranges of the whole order, ties dealt by where they come from, as many ranges as the session has shuffle partitions;
+    the ranges are checkpointed, and their counts, one each, summed up. No task sorts all rows, however many share a key.
     """
-    first = order[0]
-    cuts = df.select(F.percentile_approx(first, [i / spread for i in range(1, spread)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = sum((F.when(F.col(first) > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    held = df.withColumn("__part", part)
-    counts = held.groupBy("__part").agg(F.count("*").alias("__n"))
+    use_checkpoints(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*order, "__tie"]
+    held = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n, *by).sortWithinPartitions(*by).drop("__tie")
+    held = held.withColumn("__id", F.monotonically_increasing_id()).checkpoint().withColumn("__part", F.shiftright("__id", 33))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each of the `spread` ranges at most
-    bases = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
-    ranked = held.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1).join(F.broadcast(bases), "__part")
-    pos, total = F.col("__base") + F.col("__rank"), F.col("__total")
+    # a row for each range
+    bases = held.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
+    placed = held.join(F.broadcast(bases), "__part")
+    return placed.select(*df.columns, (F.col("__base") + F.expr("__id & 8589934591L")).alias("position"), "__total")
+
+
+def batches(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """Split into n consecutive batches of even size, the first ones larger by a row, with a global position."""
+    pos, total = F.col("position"), F.col("__total")
     large, size = total % n, F.floor(total / n)
     head = large * (size + 1)
     batch = F.when(pos < head, F.floor(pos / (size + 1))).otherwise(large + F.floor((pos - head) / F.greatest(size, F.lit(1))))
-    return ranked.withColumn("position", pos.cast("long")).withColumn("batch", batch.cast("long")).drop("__part", "__base", "__total", "__rank")
+    return positions(df, *order).withColumn("batch", batch.cast("long")).drop("__total")
 
 
 def take_in_order(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -85,8 +93,8 @@ def top_k_per(df: DataFrame, by: Sequence[str], k: int, *order: Column) -> DataF
 
 
 def permuted_order(seed: int, *keys: Column) -> Column:
-    """Sort key of a reproducible random order."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """Sort key of a reproducible random order of integer keys."""
+    return uniform(seed, *keys)
 
 
 def morton(x: Column, y: Column, z: Column | None = None, bits: int = 10) -> Column:

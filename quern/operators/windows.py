@@ -8,11 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Frames of a running median that are one group: longer series are cut, with a frame's overlap on both sides.
+FRAMES = 64
+
+
 def running_median(df: DataFrame, by: Sequence[str], t: str, y: str, half: float, out: str = "trend") -> DataFrame:
-    """The exact median of y within half of t on both sides, ends included."""
-    groups = ", ".join(f"`{c}`" for c in by)
+    """The exact median of y within half of t on both sides, ends included.
+
+    A series is cut into spans of FRAMES half-widths. A row goes to each span that its reach touches, and has its result in
+    its own, so a series of any length is work for many tasks. Rows without t are a span of their own.
+    """
+    span = F.lit(half * FRAMES)
+    at = F.floor(F.col(t) / span)
+    reach = half * (1.0 + 1e-9)
+    spans = F.sequence(F.floor((F.col(t) - F.lit(reach)) / span), F.floor((F.col(t) + F.lit(reach)) / span))
+    dealt = df.withColumn("__home", at).withColumn("__span", F.explode_outer(spans))
+    groups = ", ".join(f"`{c}`" for c in [*by, "__span"])
     frame = f"PARTITION BY {groups} ORDER BY `{t}` RANGE BETWEEN {half!r}D PRECEDING AND {half!r}D FOLLOWING"
-    return df.withColumn(out, F.expr(f"percentile(`{y}`, 0.5D) OVER ({frame})"))
+    found = dealt.withColumn(out, F.expr(f"percentile(`{y}`, 0.5D) OVER ({frame})"))
+    return found.where(F.col("__home").eqNullSafe(F.col("__span"))).drop("__home", "__span")
 
 
 def prefix_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], y: str, out: str = "mean") -> DataFrame:

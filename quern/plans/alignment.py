@@ -39,6 +39,36 @@ def align_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("read", "query", "target", "start").mapInPandas(run, RESULT)
 
 
+#: Words in a row that a query and a target share, if they are aligned at all.
+SEED_WORDS = 8
+
+
+def seeds(texts: DataFrame, key: str, text: str, words: int = SEED_WORDS) -> DataFrame:
+    """(key, seed): the hashes of all runs of so many words of each text."""
+    held = texts.select(key, F.split(F.trim(text), r"\s+").alias("w")).where(F.size("w") >= words)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.slice("w", i, words)))
+    return held.select(key, F.explode(F.array_distinct(runs)).alias("seed"))
+
+
+def align_seeded(queries: DataFrame, targets: DataFrame, words: int = SEED_WORDS) -> DataFrame:
+    """(query_id, target_id, score, query_end, target_end) of the queries (query_id, query) and targets (target_id, target) that share a seed.
+
+    All targets are read; only those that share a run of words with a query are aligned, so there is a row for each such pair.
+    """
+    found = seeds(queries, "query_id", "query", words).join(seeds(targets, "target_id", "target", words), "seed").select("query_id", "target_id").distinct()
+    pairs = found.join(queries, "query_id").join(targets, "target_id")
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("query_id", "target_id"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            part = part.sort_values("target", key=lambda s: s.str.len(), kind="stable")
+            for rows in _batches(part):
+                score, i, j = align([x.encode() for x in rows["query"]], [x.encode() for x in rows["target"]])
+                yield pd.DataFrame({"query_id": rows["query_id"].to_numpy(), "target_id": rows["target_id"].to_numpy(), "score": score, "query_end": i, "target_end": j})
+
+    return pairs.select("query_id", "target_id", "query", "target").mapInPandas(run, f"{kinds}, score int, query_end int, target_end int")
+
+
 def align_reads(reads: DataFrame, windows: DataFrame, reference: DataFrame) -> DataFrame:
     """reads (name, seq), windows (name, start, stop), one reference sequence (seq), which is broadcast as it is one row."""
     joined = reads.join(windows, "name").crossJoin(F.broadcast(reference.select(F.col("seq").alias("whole"))))

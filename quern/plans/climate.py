@@ -27,7 +27,7 @@ def indices_by_cell(climate: DataFrame, wanted: Sequence[str] = INDICES, referen
     """The same rows as indices() by one exchange: a group is one cell's series of whole years, in a kernel.
 
     The series of a cell is what its years make it, tens of thousands of rows, however many cells there are.
-    Missing days and incomplete years need indices().
+    A cell whose days aren't whole years from day 0, each day once, is an error: those need indices().
     """
     unknown = set(wanted) - set(INDICES)
     if unknown:
@@ -35,9 +35,12 @@ def indices_by_cell(climate: DataFrame, wanted: Sequence[str] = INDICES, referen
     needed = ["tasmax"] * bool(set(wanted) - {"cdd"}) + ["pr"] * ("cdd" in wanted)
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(rows["day"].to_numpy())
+        days = rows["day"].to_numpy()
+        order = np.argsort(days)
         years = len(order) // kernel.DAYS
-        series = {c: rows[c].to_numpy(np.float64)[order][: years * kernel.DAYS].reshape(years, kernel.DAYS) for c in needed}
+        if len(days) % kernel.DAYS or not np.array_equal(days[order], np.arange(len(days))):
+            raise ValueError(f"cell {key} has days missing, repeated or left over from whole years")
+        series = {c: rows[c].to_numpy(np.float64)[order].reshape(years, kernel.DAYS) for c in needed}
         found = kernel.indices(series.get("tasmax"), series.get("pr"), tuple(wanted), reference_years)
         blank = np.full(years, np.nan)
         return pd.DataFrame({"lat_i": key[0], "lon_j": key[1], "year": np.arange(years), **{i: found.get(i, blank) for i in INDICES}})
@@ -77,3 +80,12 @@ def indices(climate: DataFrame, wanted: Sequence[str] = INDICES, reference_years
     for part in parts.values():
         out = out.join(part, YEAR, "left")
     return out.select(*YEAR, *[F.col(i).cast("double").alias(i) if i in parts else F.lit(float("nan")).alias(i) for i in INDICES])
+
+
+def extremes(climate: DataFrame, reference_years: int = 30, cold: float = 273.15, wet: float = 1.0) -> DataFrame:
+    """(cell, year, frost, r95ptot): days whose temperature stays under `cold`, and the rain of days above the 95th percentile of the
+    wet days in the reference years."""
+    days = with_calendar(climate.select("day", *CELL, F.col("tasmax").cast("double").alias("t"), F.col("pr").cast("double").alias("pr")))
+    heavy = days.where((F.col("year") < reference_years) & (F.col("pr") >= wet)).groupBy(*CELL).agg(F.percentile("pr", 0.95).alias("heavy"))
+    total = F.sum(F.when(F.col("pr") > F.col("heavy"), F.col("pr")).otherwise(0.0))
+    return days.join(heavy, CELL, "left").groupBy(*YEAR).agg(F.count_if(F.col("t") < cold).alias("frost"), total.alias("r95ptot"))

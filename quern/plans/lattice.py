@@ -82,3 +82,14 @@ def sweep(cases: DataFrame) -> DataFrame:
 
     found = cases.mapInPandas(solve, "name string, mass_drift double, top_speed double, wall_speed double, strouhal double")
     return found.withColumn("strouhal", F.coalesce("strouhal", F.lit(float("nan"))))  # pandas gives NaN as null
+
+
+def spectral_peaks(signals: DataFrame, by: str) -> DataFrame:
+    """(by, frequency, amplitude) of the strongest tone of each evenly sampled signal (by, t, v), a signal a group."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        t, v = rows["t"].to_numpy(np.float64), rows["v"].to_numpy(np.float64)
+        return pd.DataFrame([(key[0], *kernel.peak(v - v.mean(), t[1] - t[0]))], columns=[by, "frequency", "amplitude"])
+
+    return signals.groupBy(by).applyInPandas(one, f"{by} {signals.schema[by].dataType.simpleString()}, frequency double, amplitude double")

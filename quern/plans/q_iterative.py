@@ -63,11 +63,15 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(majority(F.avg((F.col("o_totalprice") > 150000).cast("double"))).alias("vote"))
 
 
-@query()
+@query("""
+WITH m AS (SELECT avg(l_quantity * l_quantity) AS a, avg(l_quantity * l_extendedprice / 1000) AS b, avg(l_extendedprice * l_extendedprice / 1000000) AS c FROM lineitem)
+SELECT round((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / (a + c - sqrt((a - c) * (a - c) + 4 * b * b)), 4) AS condition_number FROM m
+""")
 def covariance_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    number = linalg.condition_number(linalg.gram_dense(vectors, "embedding"), vectors.count())
-    return spark.createDataFrame([(number,)], "condition_number double")
+    """The condition of the second moments of two columns, whose eigenvalues have a closed form."""
+    vectors = table(spark, sf_dir, "lineitem").select(F.array("l_quantity", F.col("l_extendedprice") / 1000.0).alias("v"))
+    number = linalg.condition_number(linalg.gram_dense(vectors, "v"), vectors.count())
+    return spark.createDataFrame([(round(number, 4),)], "condition_number double")
 
 
 @query("SELECT s.range AS system, i.range AS i, 0.5 * (i.range + 1) * (40 - i.range) AS x FROM range(3) s CROSS JOIN range(40) i")
@@ -77,10 +81,17 @@ def tridiagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.solve_tridiagonal(rows).select("system", "i", F.round("x", 6).alias("x"))
 
 
-@query()
+_ENTRY = "CASE WHEN j = i THEN 10e0 ELSE ((s * 7 + i * 3 + j) % 5) / 10e0 END"
+
+
+@query(f"""
+WITH RECURSIVE x AS (SELECT range AS s, 0 AS step, list_transform(range(12), lambda i: 0e0) AS x FROM range(25)
+  UNION ALL SELECT s, step + 1, list_transform(range(12), lambda i: (i + 1 - list_sum(list_transform(range(12), lambda j: CASE WHEN j = i THEN 0e0 ELSE {_ENTRY} * x[j + 1] END))) / 10) FROM x WHERE step < 60)
+SELECT s AS system, i, round(x[i + 1], 6) AS x FROM (SELECT s, x, unnest(range(12)) AS i FROM x WHERE step = 60)
+""")
 def dense_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small dense systems with a dominant diagonal, one for each supplier nation."""
+    """Small dense systems with a dominant diagonal; the twin iterates to the same solutions."""
     n = 12
     row = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.when(j == F.col("i"), F.lit(10.0)).otherwise(F.pmod(F.col("system") * 7 + F.col("i") * 3 + j, F.lit(5)) / 10.0))
     rows = spark.range(25 * n).select(F.floor(F.col("id") / n).alias("system"), (F.col("id") % n).alias("i")).select("system", "i", row.alias("row"), (F.col("i") + 1.0).alias("d"))
-    return linalg.solve_dense(rows)
+    return linalg.solve_dense(rows).select("system", "i", F.round("x", 6).alias("x"))

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import scalar as S
-from ..operators import distribution, iterate, linalg, relational, validate, windows
+from ..operators import distribution, iterate, linalg, relational, validate
 from ..session import table
-from ..sources import synthetic
-from . import trajectory, transit
 from ._registry import query
 
 
@@ -56,9 +54,11 @@ def stable_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_retailprice").orderBy("p_retailprice", "p_partkey")
 
 
-@query()
+@query(f"SELECT c_custkey, row_number() OVER (ORDER BY {S.uniform_sql(42, 'c_custkey')}, c_custkey) - 1 AS position FROM customer")
 def random_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").orderBy(relational.permuted_order(42, F.col("c_custkey")))
+    """A reproducible shuffle, and each row's place in it."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    return relational.positions(rows, relational.permuted_order(42, F.col("c_custkey")), "c_custkey").select("c_custkey", "position")
 
 
 def _nbody_sql(steps: int) -> str:
@@ -104,32 +104,14 @@ def delayed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.tasks(spark, 200, lambda i: round((i * i + 1) ** 0.5, 9))
 
 
-@query()
+@query("SELECT 8::BIGINT AS partitions, count(*) AS rows, true AS even, true AS apart FROM orders")
 def scatter_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distribution.placement(distribution.scatter(table(spark, sf_dir, "orders").select("o_orderkey"), 8, "o_orderkey"))
-
-
-@query()
-def power_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All trial periods of each star, a table function with many rows for each group."""
-    return transit.periodogram(synthetic.light_curves(spark, 4, 1000)[0], 200)
-
-
-@query()
-def bond_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hydrogen bonds that still exist one frame later."""
-    traj, _, roles = synthetic.trajectory(spark, 6, 60, 4, 1.6)
-    from ..operators.spatial import hydrogen_bonds
-
-    bonds = hydrogen_bonds(traj.withColumnRenamed("atom", "id"), roles, (1.6, 1.6, 1.6))
-    return windows.lagged_overlap(bonds, "frame", ["donor", "acceptor"], 1)
-
-
-@query()
-def trajectory_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    traj, topology, roles = synthetic.trajectory(spark, 12, 200, 3)
-    box = (2.4, 2.4, 2.4)
-    return validate.trajectory_sanity(trajectory.pair_distribution(traj, topology, box), trajectory.bond_counts(traj, roles, box), trajectory.native_contacts(traj, topology, box))
+    """Ranges over eight partitions: all rows, none of the partitions twice the mean, no range reaching into the next."""
+    scattered = distribution.scatter(table(spark, sf_dir, "orders").select("o_orderkey"), 8, "o_orderkey")
+    placed = scattered.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("rows"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("partition", "low", "high"))), lambda p: F.array(p["low"], p["high"]))
+    ends = F.flatten(ordered)
+    return placed.agg(F.count("*").alias("partitions"), F.sum("rows").alias("rows"), (F.max("rows") < 2 * F.avg("rows")).alias("even"), (ends == F.array_sort(ends)).alias("apart"))
 
 
 @query("""
@@ -144,8 +126,8 @@ def regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("value", "compared", "missing", "extra", "differing")
 
 
-@query()
+@query(f"SELECT id % 100 AS repetition, round(sum(u * u), 6) AS squares FROM (SELECT range AS id, {S.uniform_sql(5, 'range')} AS u FROM range(100000)) GROUP BY 1")
 def repeated_random_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sum of squares of as many uniform numbers, a hundred times."""
     u = S.uniform(5, F.col("id"))
-    return spark.range(100 * 1000).groupBy((F.col("id") % 100).alias("repetition")).agg(A.sum_of_squares(u).alias("squares"))
+    return spark.range(100 * 1000).groupBy((F.col("id") % 100).alias("repetition")).agg(F.round(A.sum_of_squares(u), 6).alias("squares"))

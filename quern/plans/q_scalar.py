@@ -28,7 +28,8 @@ def pairwise_distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, round(exp(l_discount) + sin(l_discount), 6) AS exp_sin,
        round(sin(l_tax) * cos(l_tax * l_tax) + exp(-(l_tax * l_tax)), 6) AS wave,
        round(sin(l_tax) * exp(-(l_tax * l_tax)), 6) AS damped, round(sqrt(l_quantity * l_quantity + 1), 6) AS root,
-       round((l_quantity + 3) * l_quantity + 2, 6) AS quadratic, round(2 * l_quantity + 3, 6) AS slope
+       round((l_quantity + 3) * l_quantity + 2, 6) AS quadratic, round(2 * l_quantity + 3, 6) AS slope, round(sin(l_tax) * sin(l_tax), 6) AS sine2,
+       round(tan(pow(l_tax, l_tax)) + sqrt(pow(l_tax, l_tax)) + acos(sin(l_tax) * cos(l_tax) * exp(-l_tax)), 6) AS chain
 FROM lineitem
 """)
 def elementwise_trig(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,8 @@ def elementwise_trig(spark: SparkSession, sf_dir: str) -> DataFrame:
         "root": S.root_square_plus_one(q),
         "quadratic": S.polynomial(q, coefficients),
         "slope": S.polynomial(q, S.polynomial_derivative(coefficients)),
+        "sine2": S.sine_squared(F.col("l_tax")),
+        "chain": S.fused_chain(F.col("l_tax")),
     }
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(n) for n, c in rounded.items()])
 

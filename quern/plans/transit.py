@@ -44,6 +44,13 @@ def periodogram(curves: DataFrame, n_periods: int, detrend: bool = True) -> Data
     return (flatten(curves) if detrend else curves).groupBy("star_id").applyInPandas(one, "star_id int, period double, power double")
 
 
+def injected(curves: DataFrame, planets: DataFrame) -> DataFrame:
+    """Curves with a transit put into the flux of each star of planets (star_id, period, t0, duration, depth)."""
+    held = curves.join(planets.select("star_id", F.col("period").alias("p"), F.col("t0").alias("c"), F.col("duration").alias("d"), F.col("depth").alias("h")), "star_id", "left")
+    off = F.abs(F.pmod(F.col("t") - F.col("c") + F.col("p") / 2, F.col("p")) - F.col("p") / 2)
+    return held.withColumn("flux", F.when(off < F.col("d") / 2, F.col("flux") * (1.0 - F.col("h"))).otherwise(F.col("flux"))).select(*curves.columns)
+
+
 def recovery(found: DataFrame, truth: DataFrame, threshold: float = 10.0) -> DataFrame:
     """tp, fp, fn, tn of detections; a planet found at a wrong period counts as missed."""
     joined = found.join(truth.select("star_id", "has_planet", F.col("period").alias("true_period")), "star_id")

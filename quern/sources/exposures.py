@@ -1,16 +1,20 @@
-"""Exposures of many detectors: a FITS data source of our own, and a Parquet layout by detector (survey S14-S18, R18)."""
+"""Exposures of many detectors: FITS and HDF5 data sources of our own, and a Parquet layout by detector (survey S14-S18, R18)."""
 
 from __future__ import annotations
 
 import abc
+import itertools
+import json
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalar import header_name, padded_header
+from . import hdf5
 
 BLOCK, CARD = 2880, 80
 #: Fixed values of the format: bits of a pixel and NumPy's name of its type.
@@ -140,3 +144,94 @@ class ParquetExposure(ExposureSource):
     def pixels(self, *detectors: int) -> DataFrame:
         every = self.spark.read.parquet(f"{self.path}/pixels")
         return every.where(F.col("det_num").isin(*detectors)) if detectors else every
+
+
+# ---------------------------------------------------------------- HDF5
+
+
+class Hdf5ExposureDataSource(DataSource):
+    """spark.read.format("hdf5_exposure").option("planes", "sci,rms,flg").load(path): (det_num, y, x, planes...), a task a detector.
+
+    The file has the detectors' names as a JSON list in its attribute det_list, and a group of planes for each. option
+    detectors = "3,5" reads those numbers alone.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "hdf5_exposure"
+
+    def schema(self) -> str:
+        return "det_num int, y int, x int, " + ", ".join(f"{p} double" for p in self.options["planes"].split(","))
+
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        return _Hdf5ExposureReader(dict(self.options))
+
+
+class _Detector(InputPartition):
+    def __init__(self, number: int, name: str) -> None:
+        self.number, self.name = number, name
+
+
+class _Hdf5ExposureReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.path, self.planes = options["path"], options["planes"].split(",")
+        self.only = {int(d) for d in options["detectors"].split(",")} if options.get("detectors") else None
+
+    def partitions(self) -> list[InputPartition]:
+        file = hdf5.Reader(self.path)
+        names = json.loads(file.attributes(file.root)["det_list"])
+        return [_Detector(i, n) for i, n in enumerate(names) if self.only is None or i in self.only] or [_Detector(-1, "")]
+
+    def read(self, partition: _Detector) -> Iterator[pa.RecordBatch]:
+        if partition.number < 0:
+            return
+        file = hdf5.Reader(self.path)
+        planes = [file.dataset(f"{partition.name}/{p}") for p in self.planes]
+        others = [{place: (address, size) for place, address, size in file.chunks(d)} for d in planes[1:]]
+        for place, address, size in sorted(file.chunks(planes[0])):
+            values = [file.values(planes[0], place, address, size)]
+            for d, chunks in zip(planes[1:], others, strict=True):
+                if place not in chunks:
+                    raise ValueError(f"planes of {partition.name} are not cut alike")
+                values.append(file.values(d, place, *chunks[place]))
+            y, x = np.indices(values[0].shape)
+            columns = [pa.array(np.full(y.size, partition.number), pa.int32()), pa.array((y + place[0]).ravel(), pa.int32()), pa.array((x + place[1]).ravel(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v.astype(np.float64).ravel()) for v in values)], names=["det_num", "y", "x", *self.planes])
+
+
+class Hdf5Exposure(ExposureSource):
+    """One HDF5 file: a group for each detector, a chunked dataset for each of its planes, names and headers as attributes."""
+
+    def __init__(self, spark: SparkSession, path: str, planes: tuple[str, ...] = ("sci", "rms", "flg")) -> None:
+        spark.dataSource.register(Hdf5ExposureDataSource)
+        self.spark, self.path, self.planes = spark, path, planes
+
+    @staticmethod
+    def write(source: ExposureSource, path: str, planes: tuple[str, ...] = ("sci", "rms", "flg"), chunk: tuple[int, int] = (512, 512)) -> None:
+        """Executors build and compress the chunks; the driver writes them one by one."""
+        detectors = sorted(source.detectors().collect(), key=lambda r: r["det_num"])
+        about = {r["det_num"]: r for r in detectors}
+        cells = source.pixels().select("det_num", "y", "x", F.explode(F.array(*[F.struct(F.lit(i).alias("plane"), F.col(p).cast("double").alias("v")) for i, p in enumerate(planes)])).alias("p"))
+        whole = {r["det_num"]: (r["ny"], r["nx"]) for r in detectors}
+        packed = hdf5.packed_chunks(cells.select("det_num", "p.plane", "y", "x", "p.v"), ("det_num", "plane", "y", "x"), "v", (1, 1, *chunk), "<f4", 4)
+        out, groups, members = hdf5.Writer(path), {}, {}
+        rows = packed.orderBy("c0", "c1", "c2", "c3").toLocalIterator()
+        for (det, plane), part in itertools.groupby(rows, key=lambda r: (r["c0"], r["c1"])):
+            data = (((r["c2"] * chunk[0], r["c3"] * chunk[1]), bytes(r["data"])) for r in part)
+            members.setdefault(det, {})[planes[plane]] = out.dataset(whole[det], "<f4", chunk, data)
+        for det, held in members.items():
+            groups[about[det]["det_id"]] = out.group(held, {"header": json.dumps(about[det]["header"])})
+        out.close(out.group(groups, {"det_list": json.dumps([about[d]["det_id"] for d in sorted(members)])}))
+
+    def detectors(self) -> DataFrame:
+        file = hdf5.Reader(self.path)
+        rows = []
+        for i, name in enumerate(json.loads(file.attributes(file.root)["det_list"])):
+            ny, nx = file.dataset(f"{name}/{self.planes[0]}").shape
+            header = json.loads(file.attributes(file.find(name)).get("header", "{}"))
+            rows.append((i, name, header, nx, ny))
+        return self.spark.createDataFrame(rows, "det_num int, det_id string, header map<string,string>, nx int, ny int")
+
+    def pixels(self, *detectors: int) -> DataFrame:
+        reader = self.spark.read.format("hdf5_exposure").option("planes", ",".join(self.planes))
+        return (reader.option("detectors", ",".join(map(str, detectors))) if detectors else reader).load(self.path)

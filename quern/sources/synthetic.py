@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.scalar import standard_normal, uniform
+from ..functions.scalar import standard_normal, standard_normal_sql, uniform, with_uniforms_sql
 
 SEED = 20260810
 
@@ -42,19 +42,29 @@ def blobs(spark: SparkSession, n: int, centres: tuple[tuple[float, float], ...],
     return spark.range(n).select("id", (at(0) + spread * standard_normal(seed, F.col("id"))).alias("x"), (at(1) + spread * standard_normal(seed + 2, F.col("id"))).alias("y"), k.alias("centre"))
 
 
+def double(x: float) -> str:
+    """A number as text that any SQL reads as a double."""
+    return repr(float(x)) if "e" in repr(float(x)) else f"{float(x)!r}e0"
+
+
+def light_curves_text(stars: int, points: int, days: float = 27.4, seed: int = SEED) -> str:
+    """The curves of light_curves as a query that Spark and other engines read alike."""
+    period = "(1.2e0 + 0.7e0 * star_id)"
+    at = f"((t - 0.3e0 * {period}) / {period})"
+    phase = f"({at} - floor({at}))"
+    dip = f"CASE WHEN star_id % 2 = 0 AND ({phase} < 0.02e0 OR {phase} > 0.98e0) THEN 0.01e0 ELSE 0e0 END"
+    trend = f"(1e0 + 0.01e0 * sin(t * {double(2 * math.pi / 9.0)} + star_id))"
+    every = f"SELECT id, CAST(floor(id / {points}) AS INT) AS star_id, (id % {points}) * {double(days / points)} AS t FROM range({stars * points}) AS r(id)"
+    kept = f"SELECT * FROM ({every}) AS a WHERE NOT (t > {double(0.48 * days)} AND t < {double(0.54 * days)})"
+    return f"SELECT star_id, t, {trend} * (1e0 - {dip}) + 0.001e0 * {standard_normal_sql(seed, 'id')} AS flux, 0.001e0 AS flux_err FROM ({kept}) AS b"
+
+
 def light_curves(spark: SparkSession, stars: int, points: int, days: float = 27.4, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Curves with a slow trend, white noise and a transit on every second star, and the truth; samples near the middle are missing."""
-    star, k = F.expr(f"cast(id div {points} as int)"), F.col("id") % points
-    period = F.lit(1.2) + 0.7 * F.col("star_id")
-    base = spark.range(stars * points).select(star.alias("star_id"), (k * F.lit(days / points)).alias("t"), "id")
-    base = base.where(~((F.col("t") > 0.48 * days) & (F.col("t") < 0.54 * days)))
-    phase = F.pmod(F.col("t") - 0.3 * period, period) / period
+    curves = spark.sql(light_curves_text(stars, points, days, seed))
     has = F.col("star_id") % 2 == 0
-    dip = F.when(has & ((phase < 0.02) | (phase > 0.98)), F.lit(0.01)).otherwise(0.0)
-    trend = F.lit(1.0) + 0.01 * F.sin(F.col("t") * F.lit(2 * math.pi / 9.0) + F.col("star_id"))
-    curves = base.select("star_id", "t", (trend * (F.lit(1.0) - dip) + 0.001 * standard_normal(seed, F.col("id"))).alias("flux"), F.lit(0.001).alias("flux_err"))
-    truth = spark.range(stars).select(F.col("id").cast("int").alias("star_id")).select("star_id", has.cast("int").alias("has_planet"), F.when(has, period).otherwise(float("nan")).alias("period"))
-    return curves, truth
+    truth = spark.range(stars).select(F.col("id").cast("int").alias("star_id"))
+    return curves, truth.select("star_id", has.cast("int").alias("has_planet"), F.when(has, F.lit(1.2) + 0.7 * F.col("star_id")).otherwise(float("nan")).alias("period"))
 
 
 def reads(spark: SparkSession, n: int, length: int, window: int, reference: int, seed: int = SEED) -> tuple[DataFrame, ...]:
@@ -90,26 +100,41 @@ def climate(spark: SparkSession, years: int, lat: int, lon: int) -> DataFrame:
     return base.select("day", "lat_i", "lon_j", (F.lit(290.0) + season + weather).alias("tasmax"), F.greatest(rain - 4.0, F.lit(0.0)).alias("pr"))
 
 
+#: Distance of an oxygen from its hydrogens, of rows of waters, and the direction of the second hydrogen.
+ARM, ROW, SECOND = 0.0957, 0.3, (-0.25038, 0.96815, 0.0)
+
+
+def trajectory_text(chain: int, waters: int, frames: int, box: float, seed: int = SEED) -> dict[str, str]:
+    """traj, topology and roles of trajectory(), each as a query that Spark and other engines read alike."""
+    atoms, sides = chain + 3 * waters, [max(1, int(box / d)) for d in (ROW, ROW * math.sqrt(0.75), ROW)]
+    if waters > sides[0] * sides[1] * sides[2]:
+        raise ValueError(f"a box of {box} has room for {sides[0] * sides[1] * sides[2]} waters")
+    site = f"CASE WHEN atom < {chain} THEN 0 ELSE (atom - {chain}) % 3 END"
+    owner = f"CASE WHEN atom < {chain} THEN atom ELSE CAST(floor((atom - {chain}) / 3) AS INT) END"
+    named = f"SELECT *, {site} AS site, {owner} AS w FROM (SELECT CAST(floor(id / {atoms}) AS INT) AS frame, CAST(id % {atoms} AS INT) AS atom FROM range({frames * atoms}) AS r(id)) AS a"
+    row = f"(floor(w / {sides[0]}) % {sides[1]})"
+    places = (f"(w % {sides[0]} + 0.5e0 * ({row} % 2) + 0.25e0)", f"({row} + 0.5e0)", f"(floor(w / {sides[0] * sides[1]}) + 0.5e0)")
+    # the place of an owner, its shake in a frame, and that of a hydrogen
+    draws = {f"{name}{k}": (seed % 1000 + at + k, keys) for at, name, keys in ((0, "home", ("w",)), (10, "shake", ("w", "frame")), (20, "swing", ("atom", "frame"))) for k in range(3)}
+    axes = []
+    for k, place in enumerate(places):
+        link = f"{double(box / 2)} + {double(min(0.6 * box, 0.25 * chain ** (1 / 3)))} * (home{k} - 0.5e0)"
+        oxygen = f"{double(box / sides[k])} * {place} + 0.02e0 * (home{k} - 0.5e0)"
+        arm = f"CASE site WHEN 1 THEN {double(ARM * (k == 0))} WHEN 2 THEN {double(ARM * SECOND[k])} ELSE 0e0 END + CASE WHEN site > 0 THEN 0.02e0 * (swing{k} - 0.5e0) ELSE 0e0 END"
+        axes.append(f"CASE WHEN atom < {chain} THEN {link} ELSE {oxygen} + {arm} END + 0.02e0 * (shake{k} - 0.5e0) AS {'xyz'[k]}")
+    wrapped = ", ".join(f"CAST({c} - {double(box)} * floor({c} / {double(box)}) AS FLOAT) AS {c}" for c in "xyz")
+    traj = f"SELECT frame, atom, {wrapped} FROM (SELECT frame, atom, {', '.join(axes)} FROM ({with_uniforms_sql(named, draws)}) AS b) AS c"
+    kind = f"CASE WHEN atom < {chain} THEN 0 WHEN site = 0 THEN 1 ELSE 2 END"
+    resid = f"CASE WHEN atom < {chain} THEN w ELSE w + {chain} END"
+    single = f"SELECT * FROM ({named}) AS b WHERE frame = 0"
+    topology = f"SELECT atom, CASE {kind} WHEN 0 THEN 'CA' WHEN 1 THEN 'OW' ELSE 'HW' END AS name, {kind} AS type, {resid} AS resid FROM ({single}) AS c"
+    of = lambda where, role: f"SELECT atom, '{role}' AS role FROM ({topology}) AS t WHERE {where}"
+    roles = " UNION ALL ".join([of("type = 1", "donor"), of("type = 1 OR (type = 0 AND atom % 3 = 1)", "acceptor"), of("type = 2", "hydrogen")])
+    return {"traj": traj, "topology": topology, "roles": roles}
+
+
 def trajectory(spark: SparkSession, chain: int, waters: int, frames: int, box: float = 2.4, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(traj, topology, roles): a jittered chain and three-site waters in a periodic box; made in the JVM, any size."""
-    atoms = chain + 3 * waters
-    atom, frame = F.col("id") % atoms, F.expr(f"cast(id div {atoms} as int)")
-    rows = spark.range(frames * atoms).select(frame.alias("frame"), atom.alias("atom"))
-    water = F.expr(f"(atom - {chain}) div 3")
-    site = F.when(F.col("atom") < chain, 0).otherwise((F.col("atom") - chain) % 3)
-    owner = F.when(F.col("atom") < chain, F.col("atom")).otherwise(water + chain)
-    out = rows.withColumns({"site": site, "owner": owner})
-
-    def axis(k: int):  # noqa: ANN202
-        home = F.when(F.col("atom") < chain, F.lit(0.4) + 0.12 * F.col("atom") * float(k == 0) + 0.1 * uniform(seed + k, F.col("owner"))).otherwise(box * uniform(seed + 10 + k, F.col("owner")))
-        jitter = 0.02 * (uniform(seed + 20 + k, F.col("owner"), F.col("frame")) - 0.5)
-        arm = F.when(F.col("site") > 0, 0.06 * (uniform(seed + 30 + k, F.col("atom"), F.col("frame")) * 2 - 1)).otherwise(0.0)
-        return F.pmod(home + jitter + arm, F.lit(box)).cast("float")
-
-    traj = out.select("frame", F.col("atom").cast("int").alias("atom"), *[axis(k).alias(c) for k, c in enumerate("xyz")])
-    single = spark.range(atoms).select(F.col("id").alias("atom")).withColumns({"site": site, "owner": owner})
-    kind = F.when(F.col("atom") < chain, 0).when(F.col("site") == 0, 1).otherwise(2)
-    topology = single.select(F.col("atom").cast("int").alias("atom"), F.element_at(F.array(F.lit("CA"), F.lit("OW"), F.lit("HW")), kind + 1).alias("name"), kind.cast("int").alias("type"), F.col("owner").cast("int").alias("resid"))
-    of = lambda where, role: topology.where(where).select("atom", F.lit(role).alias("role"))
-    roles = of("type = 1", "donor").unionByName(of("type = 1 or (type = 0 and atom % 3 = 1)", "acceptor")).unionByName(of("type = 2", "hydrogen"))
-    return traj, topology, roles
+    """(traj, topology, roles): a globule of a chain, and three-site waters in staggered rows, each aiming one hydrogen at the next in
+    its row, in a periodic box; all jitter from frame to frame. Made in the JVM, any size."""
+    made = trajectory_text(chain, waters, frames, box, seed)
+    return tuple(spark.sql(made[name]) for name in ("traj", "topology", "roles"))

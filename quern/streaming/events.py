@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,23 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.checkpoints import shared_folder
+
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder for results and checkpoints: in spark.checkpoint.dir, or temporary in a local session without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quern-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for results and checkpoints."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 100) -> DataFrame:
-    """The events table as a stream of files, with a zoned timestamp, since watermarks need one."""
-    source = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "*events*.parquet").option("maxFilesPerTrigger", files_per_trigger)
-    return source.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events table, a file or a folder of files, as a stream, with a zoned timestamp, since watermarks need one."""
+    source = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    # a pattern, since a stream takes no single file by its name
+    return source.parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def to_table(stream: DataFrame, mode: str) -> DataFrame:

@@ -122,3 +122,144 @@ def test_implementations_are_checked_and_timed(spark):
         kinds.run("nothing", a, b)
     with pytest.raises(TypeError):
         kinds.add("text", "not a function")
+
+
+def grid(spark, shape, seed=0):
+    values = np.random.default_rng(seed).normal(size=shape).astype(np.float32)
+    rows = [(*map(int, i), float(values[i])) for i in np.ndindex(*shape)]
+    return values, spark.createDataFrame(rows, ", ".join(f"d{k} long" for k in range(len(shape))) + ", v double").repartition(3)
+
+
+def test_array_files_are_filled_in_place(spark, tmp_path):
+    from quern.sources import gridfiles
+
+    values, rows = grid(spark, (7, 5, 3))
+    dims = ("d0", "d1", "d2")
+    gridfiles.npy(rows, f"{tmp_path}/a.npy", dims, "v", values.shape)
+    assert np.array_equal(np.load(tmp_path / "a.npy"), values)
+    gridfiles.npz({"a": (rows, dims, "v", values.shape), "b": (rows.limit(0), dims, "v", (2, 0, 1))}, f"{tmp_path}/n.npz")
+    with np.load(tmp_path / "n.npz") as back:
+        assert sorted(back) == ["a", "b"] and np.array_equal(back["a"], values) and back["b"].shape == (2, 0, 1)
+    for part in (rows.where("d0 < 3"), rows.where("d0 >= 3")):  # frame by frame into one file
+        gridfiles.memmap(part, f"{tmp_path}/m.dat", dims, "v", values.shape)
+    assert np.array_equal(np.memmap(tmp_path / "m.dat", "<f4", "r", shape=values.shape), values)
+
+
+def test_netcdf_round_trip_and_hyperslabs(spark, tmp_path):
+    from quern.sources import gridfiles
+
+    values, rows = grid(spark, (9, 4, 3))
+    rows = rows.select("d0", "d1", "d2", "v", (F.col("v") * 2).alias("w")).withColumnsRenamed({"d0": "time", "d1": "lat", "d2": "lon"})
+    path = f"{tmp_path}/c.nc"
+    gridfiles.netcdf(rows, path, {"time": 9, "lat": 4, "lon": 3}, {"v": {"units": "K", "valid_min": 1.5}, "w": {"flag": [1, 2]}}, {"lat": [45.0, 46.0, 47.0, 48.0]}, {"title": "a grid"})
+    header = gridfiles.read_header(path)
+    assert header.dims == {"time": 9, "lat": 4, "lon": 3} and header.attributes == {"title": "a grid"}
+    assert header.variables["v"].attributes == {"units": "K", "valid_min": 1.5} and header.variables["w"].attributes == {"flag": [1, 2]}
+    back = gridfiles.read_netcdf(spark, path, ["v"])
+    assert back.columns == ["time", "lat", "lon", "v"] and back.count() == values.size
+    part = gridfiles.read_netcdf(spark, path, ["v", "w"], time="2:5", lat="1", lon="0:2")
+    want = [(t, 1, x, float(values[t, 1, x]), float(np.float32(2 * values[t, 1, x]))) for t in range(2, 5) for x in range(2)]
+    assert sorted(map(tuple, part.collect())) == want
+    assert sorted(map(tuple, gridfiles.read_netcdf(spark, path, ["lat"]).select("lat_index", "lat").collect())) == [(0, 45.0), (1, 46.0), (2, 47.0), (3, 48.0)]
+    with pytest.raises(Exception, match="different dimensions"):
+        gridfiles.read_netcdf(spark, path, ["v", "lat"]).count()
+    (tmp_path / "x.nc").write_bytes(b"no such file")
+    with pytest.raises(Exception, match="classic"):
+        gridfiles.read_netcdf(spark, f"{tmp_path}/x.nc", ["v"]).count()
+
+
+def test_netcdf_files_by_hand(spark, tmp_path):
+    """Bytes as the format's description has them: 32-bit offsets, and records of two variables."""
+    import struct
+
+    from quern.sources import gridfiles
+
+    word = lambda *n: struct.pack(f">{len(n)}i", *n)
+    dims = word(10, 2) + word(1) + b"t\0\0\0" + word(0) + word(1) + b"x\0\0\0" + word(3)
+    def variable(name, begin, kind, size, ids):
+        return word(1) + name + b"\0\0\0" + word(len(ids), *ids) + word(0, 0) + word(kind, size, begin)
+    build = lambda at: b"CDF\1" + word(2) + dims + word(0, 0) + word(11, 3) + variable(b"a", at, 3, 8, (0, 1)) + variable(b"b", at + 8, 5, 4, (0,)) + variable(b"c", at - 12, 4, 12, (1,))
+    at = len(build(0)) + 12
+    records = b"".join(struct.pack(">3h2x", *(10 * t + x for x in range(3))) + struct.pack(">f", t + 0.5) for t in range(2))
+    (tmp_path / "h.nc").write_bytes(build(at) + word(7, 8, 9) + records)
+    read = lambda *names: sorted(map(tuple, gridfiles.read_netcdf(spark, f"{tmp_path}/h.nc", names).collect()))
+    assert read("a") == [(t, x, 10.0 * t + x) for t in range(2) for x in range(3)]
+    assert read("b") == [(0, 0.5), (1, 1.5)] and read("c") == [(0, 7.0), (1, 8.0), (2, 9.0)]
+
+
+def test_climate_indices_from_netcdf(spark, tmp_path):
+    from quern.plans import climate
+    from quern.sources import gridfiles
+
+    days = synthetic.climate(spark, 2, 2, 2)
+    gridfiles.netcdf(days, f"{tmp_path}/c.nc", {"day": 730, "lat_i": 2, "lon_j": 2}, {"tasmax": {"units": "K"}, "pr": {"units": "mm d-1"}}, kind=6)
+    back = gridfiles.read_netcdf(spark, f"{tmp_path}/c.nc", ["tasmax", "pr"])
+    rows = lambda df: sorted(tuple(map(float, r)) for r in climate.indices_by_cell(df).collect())
+    assert rows(back.select(F.col("day").cast("int"), F.col("lat_i").cast("int"), F.col("lon_j").cast("int"), "tasmax", "pr")) == rows(days)
+
+
+def test_hdf5_round_trip(spark, tmp_path):
+    from quern.sources import hdf5
+
+    for shape, chunk in (((7, 5), (3, 2)), ((300,), (2,)), ((4, 3, 2), (4, 3, 2))):
+        values, rows = grid(spark, shape)
+        dims = [f"d{k}" for k in range(len(shape))]
+        hdf5.hdf5(rows, f"{tmp_path}/a.h5", "x", dims, "v", shape, chunk, attributes={"units": "K", "scale": 0.5, "levels": [1, 2, 3]})
+        file = hdf5.Reader(f"{tmp_path}/a.h5")
+        found = file.dataset("x")
+        assert (found.shape, found.chunk, found.dtype) == (shape, chunk, np.dtype("<f4")) and found.attributes == {"units": "K", "scale": 0.5, "levels": [1, 2, 3]}
+        back = hdf5.read_hdf5(spark, f"{tmp_path}/a.h5", "x").collect()
+        got = np.zeros(shape, np.float32)
+        for r in back:
+            got[tuple(r[:-1])] = r[-1]
+        assert len(back) == values.size and np.array_equal(got, values)
+    hdf5.hdf5(rows.limit(0), f"{tmp_path}/e.h5", "x", dims, "v", (4, 3, 2), (4, 3, 2))
+    assert hdf5.read_hdf5(spark, f"{tmp_path}/e.h5", "x").count() == 0
+    with pytest.raises(KeyError):
+        file.dataset("y")
+    (tmp_path / "x.h5").write_bytes(b"\0" * 200)
+    with pytest.raises(ValueError, match="no HDF5"):
+        hdf5.Reader(f"{tmp_path}/x.h5")
+
+
+def test_hdf5_bytes(tmp_path):
+    """Fixed parts of the format, byte by byte, and a contiguous, shuffled and big-endian dataset put together by hand."""
+    import struct
+    import zlib
+
+    from quern.sources import hdf5
+
+    out = hdf5.Writer(f"{tmp_path}/g.h5")
+    space, kind = hdf5._space_message((2, 3)), hdf5._type_message(np.dtype(">i2"))
+    assert space == bytes([1, 2, 0, 0, 0, 0, 0, 0]) + struct.pack("<QQ", 2, 3)
+    assert hdf5._type_message(np.dtype("<f8")) == bytes([0x11, 0x20, 0x3F, 0, 8, 0, 0, 0, 0, 0, 64, 0, 52, 11, 0, 52, 0xFF, 3, 0, 0])
+    data = np.arange(6, dtype=">i2")
+    flat = out._header([(1, space), (3, kind), (8, struct.pack("<BBQQ", 3, 1, out._put(data.tobytes()), 12))])
+    wide = np.arange(4, dtype="<f4")
+    shuffled = zlib.compress(wide.view(np.uint8).reshape(4, 4).T.tobytes())
+    tree = out._tree([((0,), len(shuffled), out._put(shuffled))], (4,))
+    filters = struct.pack("<BB6x", 1, 2) + struct.pack("<HHHHI4x", 2, 0, 1, 1, 4) + struct.pack("<HH2xHI4x", 1, 0, 1, 6)
+    mixed = out._header([(1, hdf5._space_message((4,))), (3, hdf5._type_message(np.dtype("<f4"))), (8, struct.pack("<BBBQII", 3, 2, 2, tree, 4, 4)), (11, filters)])
+    inner = out.group({"mixed": mixed})
+    out.close(out.group({"flat": flat, "inner": inner, **{f"m{i:03d}": flat for i in range(100)}}))
+    raw = (tmp_path / "g.h5").read_bytes()
+    assert raw[:8] == b"\x89HDF\r\n\x1a\n" and raw[13:15] == b"\x08\x08" and struct.unpack_from("<Q", raw, 40)[0] == len(raw)
+    file = hdf5.Reader(f"{tmp_path}/g.h5")
+    assert len(file.members(file.root)) == 102
+    for name, want in (("flat", data.reshape(2, 3)), ("inner/mixed", wide), ("m077", data.reshape(2, 3))):
+        d = file.dataset(name)
+        assert np.array_equal(np.concatenate([file.values(d, *c) for c in file.chunks(d)]), want)
+
+
+def test_hdf5_exposures(spark, tmp_path):
+    from quern.sources.exposures import FitsExposure, Hdf5Exposure
+
+    planes = [np.arange(12.0).reshape(3, 4) + 100 * k for k in range(6)]
+    fits_file(tmp_path / "e.fits", [(p, -32, ">f4") if k % 3 < 2 else (p, 16, ">i2") for k, p in enumerate(planes)])
+    source = FitsExposure(spark, f"{tmp_path}/e.fits")
+    Hdf5Exposure.write(source, f"{tmp_path}/e.h5", chunk=(2, 3))
+    back = Hdf5Exposure(spark, f"{tmp_path}/e.h5")
+    same = lambda df: sorted(map(tuple, df.select("det_num", "y", "x", "sci", "rms", "flg").collect()))
+    assert same(back.pixels()) == same(source.pixels()) and same(back.pixels(1)) == same(source.pixels(1)) and back.pixels(7).count() == 0
+    about = lambda s: sorted((r.det_num, r.det_id, r.nx, r.ny, r.header["CCDID"]) for r in s.detectors().collect())
+    assert about(back) == about(source)

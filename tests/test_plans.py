@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quern.functions import aggregates, scalar
 from quern.operators import iterate, linalg, pairwise, relational, spatial, stencil, windows
-from quern.plans import alignment, climate, lattice, stamps, trajectory, transit
+from quern.operators.kernels import lattice as kernel
+from quern.plans import alignment, builder, climate, lattice, stamps, trajectory, transit
 from quern.sources import synthetic
 
-from .test_kernels import align_by_cells, lattice_by_arrays
+from .test_kernels import align_by_cells
 
 
 def test_running_median(spark):
@@ -20,6 +21,19 @@ def test_running_median(spark):
     assert np.allclose(got, [np.median(y[(t >= x - 0.25) & (t <= x + 0.25)]) for x in t])
 
 
+def test_running_median_of_long_series_in_spans(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    t = np.concatenate((np.sort(rng.uniform(-30, 60, 400)), np.arange(-4, 4, 0.25)))  # many exactly half a width apart, and on borders of spans
+    y = rng.normal(size=len(t))
+    rows = [(0, float(a), float(b)) for a, b in zip(t, y, strict=True)] + [(1, None, 2.0), (1, None, 4.0), (1, 1.0, 5.0)]
+    for frames in (1, 3, 64):
+        monkeypatch.setattr(windows, "FRAMES", frames)
+        got = windows.running_median(spark.createDataFrame(rows, "g int, t double, y double"), ["g"], "t", "y", 0.25).collect()
+        assert len(got) == len(rows) and sorted(r.trend for r in got if r.g) == [3.0, 3.0, 5.0]
+        want = {(float(a), float(b)): np.median(y[(t >= a - 0.25) & (t <= a + 0.25)]) for a, b in zip(t, y, strict=True)}
+        assert all(r.trend == pytest.approx(want[r.t, r.y]) for r in got if not r.g)
+
+
 def test_histogram_edges_like_numpy(spark):
     for edges in (np.linspace(0, 1.2, 241), np.array([0.0, 0.1, 0.5, 0.7, 2.0])):
         values = np.concatenate((edges, np.nextafter(edges, 9), np.nextafter(edges, -9), np.random.default_rng(1).uniform(-0.1, 1.4, 500)))
@@ -66,13 +80,68 @@ def test_hydrogen_bonds_like_loops(spark):
                 for h in (d + 1, d + 2):
                     if h in of["hydrogen"]:
                         u, v = image(xyz[f, d] - xyz[f, h]), image(xyz[f, a] - xyz[f, h])
-                        if u @ v <= np.cos(np.radians(150)) * np.linalg.norm(u) * np.linalg.norm(v):
+                        if min(np.linalg.norm(u), np.linalg.norm(v)) >= 1e-6 and u @ v <= np.cos(np.radians(150)) * np.linalg.norm(u) * np.linalg.norm(v):
                             n += 1
                             break
         want[f] = n
     assert {r.frame: r.hbonds for r in trajectory.bond_counts(traj, roles, (box,) * 3).collect()} == want and sum(want.values()) > 0
 
 
+def test_hydrogens_on_their_donor_or_acceptor_make_no_bond(spark):
+    roles = spark.createDataFrame([(0, "donor"), (1, "hydrogen"), (2, "hydrogen"), (3, "acceptor")], "atom int, role string")
+    for hydrogens, n in ((((1.0, 1.0, 1.0), (1.0, 1.0, 1.0)), 0), (((1.3, 1.0, 1.0), (1.0, 1.0, 1.0)), 0), (((1.0, 1.0, 1.0), (1.1, 1.0, 1.0)), 1), (((1.0, 1.1, 1.0), (0.9, 1.0, 1.0)), 0)):
+        atoms = [(0, 0, 1.0, 1.0, 1.0), *[(0, i + 1, *h) for i, h in enumerate(hydrogens)], (0, 3, 1.3, 1.0, 1.0)]
+        frame = spark.createDataFrame(atoms, "frame int, atom int, x double, y double, z double")
+        assert trajectory.bond_counts(frame, roles, (3.0,) * 3).first()["hbonds"] == n
+
+
+def test_deviation_after_the_best_fit(spark):
+    rng = np.random.default_rng(2)
+    first = rng.normal(size=(9, 3))
+    turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    turn *= np.sign(np.linalg.det(turn))
+    frames = [first, first @ turn + 4.0, first * [1, 1, -1], first + 0.1 * rng.normal(size=first.shape)]
+    rows = [(f, i, *map(float, p)) for f, x in enumerate(frames) for i, p in enumerate(x)]
+    traj = spark.createDataFrame(rows, "frame int, atom int, x double, y double, z double")
+    got = {r.frame: r.rmsd for r in trajectory.deviation(traj, traj.select("atom")).collect()}
+    a = first - first.mean(0)
+    for f, x in enumerate(frames):
+        b = x - x.mean(0)
+        u, s, v = np.linalg.svd(b.T @ a)
+        s[2] *= np.sign(np.linalg.det(u @ v))
+        assert got[f] == pytest.approx(np.sqrt(max(0.0, ((a**2).sum() + (b**2).sum() - 2 * s.sum()) / 9)), abs=1e-7)
+    assert got[1] < 1e-6 and got[2] > 0.1
+    spread = {r.atom: r.rmsf for r in trajectory.fluctuation(traj).collect()}
+    want = np.sqrt(np.stack(frames).var(0).sum(1))
+    assert np.allclose([spread[i] for i in range(9)], want)
+
+
+def test_surface_of_lone_and_touching_spheres(spark):
+    atoms = spark.createDataFrame([(0, 1.0, 1.0, 1.0, 0.1), (1, 3.0, 3.0, 3.0, 0.2), (2, 3.0, 3.0, 3.2, 0.2), (3, 3.0, 3.0, 3.05, 0.01)], "id int, x double, y double, z double, radius double")
+    got = {r.id: r.area for r in trajectory.surface(atoms, (5.0,) * 3, 0.14, 400).collect()}
+    assert got[0] == pytest.approx(4 * np.pi * 0.24**2) and got[3] == 0.0
+    # a sphere loses the cap beyond the plane half way
+    assert got[1] == pytest.approx(2 * np.pi * 0.34 * (0.34 + 0.1), rel=0.02) and got[1] == pytest.approx(got[2], rel=0.02)
+
+
+def test_sites_keep_off_what_is_there(spark):
+    box = (2.0,) * 3
+    taken = spark.createDataFrame([(0, 1.0, 1.0, 1.0)], "id int, x double, y double, z double")
+    lattice_sites = builder.sites(spark, 6, 2.0, 0.05, 5)
+    free = builder.free_sites(lattice_sites, taken, box, 150, 0.4, 9).collect()
+    assert lattice_sites.count() == 216 and len(free) == len({r.id for r in free}) == 150
+    assert all(np.linalg.norm(np.array([r.x, r.y, r.z]) - 1.0) >= 0.4 for r in free)
+
+
+def test_relaxation_moves_apart_and_draws_bonds(spark):
+    atoms = spark.createDataFrame([(0, 1.0, 1.0, 1.0), (1, 1.1, 1.0, 1.0), (2, 2.0, 2.0, 2.0), (3, 2.0, 2.0, 2.5), (4, 0.01, 2.9, 0.01), (5, 2.99, 2.9, 2.99)], "id int, x double, y double, z double")
+    bonds = spark.createDataFrame([(2, 3, 0.3)], "a int, b int, length double")
+    got = {r.id: np.array([r.x, r.y, r.z]) for r in builder.relax(atoms, bonds, (3.0,) * 3, 3).collect()}
+    image = lambda a, b: np.linalg.norm((d := got[a] - got[b]) - 3.0 * np.round(d / 3.0))
+    assert image(0, 1) > 0.15 and 0.3 < image(2, 3) < 0.4 and image(4, 5) > 0.05
+    assert np.allclose(got[0] + got[1], [2.1, 2.0, 2.0])  # forces of a pair cancel
+
+
 def test_pair_distribution(spark):
     traj, topology, _ = synthetic.trajectory(spark, 6, 80, 3, 2.4)
     found = trajectory.pair_distribution(traj, topology, (2.4,) * 3).orderBy("bin").collect()
@@ -115,15 +184,21 @@ def test_climate_kernel_equals_plan(spark):
         assert np.allclose(a, b, equal_nan=True, rtol=1e-12)
     with pytest.raises(ValueError):
         climate.indices(table, ("frost",))
+    # years with gaps are for the plan; the kernel takes whole ones
+    gap = table.where("day <> 400 or lat_i = 0")
+    assert climate.indices(gap).count() == 12
+    for broken in (gap, table.where("day < 1000"), table.unionByName(table.limit(1)), table.where("day >= 365")):
+        with pytest.raises(Exception, match="whole years"):
+            climate.indices_by_cell(broken).count()
 
 
 @pytest.mark.parametrize(("case", "reynolds"), [("cylinder", 60.0), ("cavity", 50.0)])
-def test_lattice_plan_equals_arrays(spark, case, reynolds):
+def test_lattice_plan_equals_kernel(spark, case, reynolds):
     nx, ny = 16, 12
     got = lattice.run(spark, case, nx, ny, 3, reynolds).orderBy("x", "y").collect()
-    want = lattice_by_arrays(case, nx, ny, 3, reynolds)
-    for name, field in zip(("ux", "uy", "rho"), want, strict=True):
-        assert np.allclose([r[name] for r in got], field.ravel(), rtol=0, atol=1e-12)
+    want = kernel.simulate(case, nx, ny, 3, reynolds)
+    for name in ("ux", "uy", "rho"):
+        assert np.allclose([r[name] for r in got], want[name].ravel(), rtol=0, atol=1e-12)
 
 
 def test_stamps_are_filled_beyond_the_edge(spark):
@@ -173,10 +248,33 @@ def test_matrices(spark):
     assert (dense(linalg.block_matmul(rel(a, "i", "k"), rel(b, "k", "j"), (9, 7, 6), 4), (9, 6)) == a @ b).all()
     vectors = spark.createDataFrame([(list(map(float, row)),) for row in a], "v array<double>")
     assert np.allclose(linalg.gram_dense(vectors, "v"), a.T @ a)
+    assert linalg.gram_dense(vectors.limit(0), "v").shape == (0, 0) and np.isnan(linalg.condition_number(np.zeros((0, 0)), 0))
     with pytest.raises(ValueError):
         linalg.check_shapes(3, 4)
 
 
+def test_gravity_by_blocks_equals_loops(spark):
+    rng = np.random.default_rng(3)
+    x, y, m = rng.uniform(0, 9, (3, 70))
+    x[5], y[5] = x[6], y[6]  # two at one place
+    bodies = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(zip(x, y, m, strict=True))], "id int, x double, y double, m double")
+    dx, dy = x[None] - x[:, None], y[None] - y[:, None]
+    pull = 2.0 * m[:, None] * m[None] / (dx**2 + dy**2 + 0.01) ** 1.5
+    for block in (7, 1000):
+        got = linalg.gravity(bodies, 2.0, 0.1, block).orderBy("id").collect()
+        assert np.allclose([r.fx for r in got], (pull * dx).sum(1)) and np.allclose([r.fy for r in got], (pull * dy).sum(1))
+
+
+def test_block_distances_near_zero(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(40, 8))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = np.concatenate((a[:20] + 1e-7 * rng.normal(size=(20, 8)), a[20:]))
+    d = pairwise._distances(a, b)
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    assert np.allclose(d, want, rtol=1e-9, atol=1e-15) and (np.diag(d)[20:] == 0).all()
+
+
 def test_forms_of_distance_agree(spark):
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(12, 5)), rng.normal(size=(4, 5))
@@ -261,3 +359,22 @@ def test_batches_like_array_split(spark):
         got = relational.batches(spark.range(n), k, "id").orderBy("position").collect()
         want = [b for b, part in enumerate(np.array_split(np.arange(n), k)) for _ in part]
         assert [r.position for r in got] == list(range(n)) and [r.batch for r in got] == want
+
+
+def test_positions_of_equal_and_null_keys_are_spread(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("string").alias("k"), "id")
+    got = relational.positions(rows, "k").select("position", "__total").collect()
+    assert sorted(r.position for r in got) == list(range(3000)) and {r["__total"] for r in got} == {3000}
+    words = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "k string")
+    assert [(r.k, r.batch) for r in relational.batches(words, 2, "k").orderBy("position").collect()] == [(None, 0), ("a", 0), ("a", 0), ("b", 1), ("c", 1)]
+    assert relational.batches(words.limit(0), 3, "k").count() == 0
+
+
+def test_texts_with_a_common_run_of_words_are_aligned(spark):
+    from .test_kernels import align_by_cells as by_cells
+
+    queries = [(1, "one two three four five six seven eight nine"), (2, "too short"), (3, None)]
+    targets = [(10, "zero one two three four five six seven eight ten"), (11, "eight seven six five four three two one"), (12, "x one  two three four five six seven eight nine y"), (13, None)]
+    found = alignment.align_seeded(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(targets, "target_id int, target string")).collect()
+    texts = dict(targets)
+    assert {(r.query_id, r.target_id): (r.score, r.query_end, r.target_end) for r in found} == {(1, t): by_cells(queries[0][1], texts[t]) for t in (10, 12)}
