@@ -15,8 +15,7 @@ def brute_pipeline(rows, items):
     """(doc_id, text) that reach the packing, by the brute-force versions of the stages."""
     kept = [r for r in rows if test_quality.brute_kept(r[1])]
     kept = [r[:2] for r in test_line_dedup.brute(kept)]
-    prints = [(d, test_simhash.brute_print(t)) for d, t in kept]
-    kept = [r for r, c in zip(kept, test_simhash.brute_components(prints), strict=True) if r[0] == c]
+    kept = [min(group) for group in test_simhash.brute_keep(kept)]
     bad = {d for d, *_, c in test_decontam.brute(kept, items) if c}
     return [r for r in kept if r[0] not in bad]
 
