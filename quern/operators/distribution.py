@@ -20,14 +20,17 @@ def placement(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("rows"))
 
 
-def tasks(spark: SparkSession, n: int, f: Callable[[int], float], partitions: int | None = None) -> DataFrame:
-    """(i, value) of an arbitrary Python function for i < n: delayed calls, futures and job arrays alike."""
+def tasks(spark: SparkSession, n: int, f: Callable[[int], float], at_once: int | None = None) -> DataFrame:
+    """(i, value) of an arbitrary Python function for i < n: delayed calls, futures and job arrays alike.
+
+    at_once bounds how many run side by side, as a job array's throttle does: there are as many tasks, each calling f one by one.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame({"i": part["id"], "value": [float(f(int(i))) for i in part["id"]]})
 
-    return spark.range(0, n, 1, partitions or min(n, spark.sparkContext.defaultParallelism)).mapInPandas(run, "i long, value double")
+    return spark.range(0, n, 1, at_once or max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(run, "i long, value double")
 
 
 class Implementations:
@@ -53,6 +56,16 @@ class Implementations:
         found = regression(self.run(self.reference, *inputs), self.run(name, *inputs), self.on, [self.value], {self.value: Tolerance(1e-8, 1e-5)})
         return bool(found.first()["ok"])
 
+    def profile(self, *inputs, names: list[str] | None = None):  # noqa: ANN002, ANN201
+        """A Profile of a run of each: calls, seconds, rows."""
+        from .background import Profile
+
+        found = Profile()
+        for name in names or list(self.known):
+            with found.measured(name):
+                found.rows[name] = self.run(name, *inputs).count()
+        return found
+
     def benchmark(self, *inputs, names: list[str] | None = None) -> dict[str, float]:  # noqa: ANN002
         seconds = {}
         for name in names or list(self.known):

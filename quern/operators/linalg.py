@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoints import use_checkpoints
+
 
 def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     """(i, v) of A x; A: (i, k, v), x: (k, v)."""
@@ -31,6 +33,8 @@ def block_matmul(a: DataFrame, b: DataFrame, n: tuple[int, int, int], block: int
     Block (I, K) of A goes to every J, block (K, J) of B to every I; a group holds the two factors of one
     block product, and the products are summed over K by a partial aggregation.
     """
+    beyond = lambda c, size: F.when((F.col(c) < 0) | (F.col(c) >= size), F.raise_error(F.concat(F.lit(f"{c} outside 0..{size - 1}: "), F.col(c).cast("string"))).cast("boolean")).otherwise(True)
+    a, b = a.where(beyond("i", n[0]) & beyond("k", n[1])), b.where(beyond("k", n[1]) & beyond("j", n[2]))
     nb = [-(-x // block) for x in n]
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     at = lambda c: F.floor(F.col(c) / block).cast("int")
@@ -158,3 +162,28 @@ def solve_dense(systems: DataFrame) -> DataFrame:
     """(system, i, x) of independent dense systems (system, i, row array, d)."""
     solve = _per_system(lambda r: np.linalg.solve(np.stack(r["row"].to_numpy()), r["d"].to_numpy(np.float64)))
     return systems.groupBy("system").applyInPandas(solve, "system long, i long, x double")
+
+
+def solve_large(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
+    """(i, v) that solves A x = b for one symmetric, positive definite matrix (i, k, v) of any size, sparse or dense, and b (i, v).
+
+    Conjugate gradients: a step is one product of A with a vector and two sums, so no task holds a row of A, let alone A. The vectors are
+    checkpointed. Stops once the residual is `tolerance` of b's length, or after `most` steps with an error.
+    """
+    use_checkpoints(a.sparkSession)
+    square = lambda df, c: df.agg(F.sum(F.col(c) * F.col(c))).first()[0] or 0.0
+    state = b.select("i", F.lit(0.0).alias("x"), F.col("v").cast("double").alias("r"), F.col("v").cast("double").alias("p")).checkpoint()
+    goal = square(state, "r") * tolerance * tolerance
+    size = goal / (tolerance * tolerance) if tolerance else 0.0
+    for step in range(1, most + 1):
+        if size <= goal:
+            return state.select("i", F.col("x").alias("v"))
+        pushed = matvec(a, state.select(F.col("i").alias("k"), F.col("p").alias("v"))).withColumnRenamed("v", "q")
+        state = state.join(pushed, "i", "left").fillna(0.0, ["q"]).persist()
+        along = size / state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        moved = state.select("i", (F.col("x") + along * F.col("p")).alias("x"), (F.col("r") - along * F.col("q")).alias("r"), "p")
+        after = square(moved, "r")
+        turned = moved.withColumn("p", F.col("r") + (after / size) * F.col("p"))
+        before, state, size = state, turned.checkpoint(), after
+        before.unpersist()
+    raise RuntimeError(f"no solution to {tolerance} after {most} steps")

@@ -87,8 +87,18 @@ def distance_stats(embeddings: DataFrame) -> DataFrame:
 def against_few(vectors: DataFrame, few: DataFrame, form: str = "broadcast") -> DataFrame:
     """Distance of each (id, v) to each (other_id, w) of a table of stated, small size: a broadcast nested loop in the JVM.
 
-    form: "broadcast" sums squared differences, "norms" uses |x|^2 + |y|^2 - 2 x.y with abs.
+    form: "broadcast" sums squared differences, "norms" uses |x|^2 + |y|^2 - 2 x.y with abs, "einsum" contracts the index that
+    the difference and itself share, as rows and a grouped sum, and "mapped" maps a function of one pair over both tables.
     """
+    if form == "einsum":
+        cells = lambda df, key, column, v: df.select(key, F.posexplode(column).alias("k", v))
+        met = cells(vectors, "id", "v", "x").join(F.broadcast(cells(few, "other_id", "w", "y")), "k")
+        return met.groupBy("id", "other_id").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("distance"))
+    if form == "mapped":
+        one = lambda v, w: F.sqrt(F.aggregate(F.zip_with(v, w, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        table = few.agg(F.collect_list(F.struct("other_id", "w")).alias("few"))
+        held = vectors.crossJoin(F.broadcast(table))  # one row: the table of stated size
+        return held.select("id", F.explode(F.transform("few", lambda o: F.struct(o["other_id"].alias("other_id"), one(F.col("v"), o["w"]).alias("distance")))).alias("p")).select("id", "p.*")
     if form == "norms":
         few = few.withColumn("wn", dot(F.col("w"), F.col("w")))
         vectors = vectors.withColumn("vn", dot(F.col("v"), F.col("v")))

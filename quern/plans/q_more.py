@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import scalar as S
+from ..functions.foreign import foreign
 from ..operators import distribution, iterate, linalg, relational, validate
+from ..operators.background import Background, gather
 from ..session import table
 from ._registry import query
 
@@ -131,3 +133,30 @@ def repeated_random_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sum of squares of as many uniform numbers, a hundred times."""
     u = S.uniform(5, F.col("id"))
     return spark.range(100 * 1000).groupBy((F.col("id") % 100).alias("repetition")).agg(F.round(A.sum_of_squares(u), 6).alias("squares"))
+
+
+@query("SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def background_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of three tables by jobs that run side by side, one of them over a table that is persisted meanwhile."""
+    with Background(spark, 3) as jobs:
+        kept, held = jobs.persist(table(spark, sf_dir, "orders").select("o_orderkey"))
+        found = [jobs.submit(table(spark, sf_dir, "nation").count), held, jobs.submit(table(spark, sf_dir, "lineitem").count)]
+        counts = gather(found)
+        kept.unpersist()
+    return spark.createDataFrame(list(zip(("nation", "orders", "lineitem"), counts, strict=True)), "name string, n long")
+
+
+@query("SELECT event_id, round(cbrt(value), 6) AS root, round(sqrt(value * value + user_id * user_id), 6) AS hypot FROM events")
+def foreign_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two functions of the C library, called through its interface."""
+    cbrt, hypot = foreign("m", "cbrt"), foreign("m", "hypot", 2)
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", F.round(cbrt("value"), 6).alias("root"), F.round(hypot("value", F.col("user_id").cast("double")), 6).alias("hypot"))
+
+
+@query("SELECT i.range AS i, round(0.5 * (i.range + 1) * (16 - i.range), 6) AS v FROM range(16) i")
+def large_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """-x[i-1] + 2 x[i] - x[i+1] = 1 as one system given by its cells, by conjugate gradients."""
+    cells = spark.range(16).select("id", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("o")).select(F.col("id").alias("i"), (F.col("id") + F.col("o")).alias("k"), F.when(F.col("o") == 0, 2.0).otherwise(-1.0).alias("v"))
+    found = linalg.solve_large(cells.where("k between 0 and 15"), spark.range(16).select(F.col("id").alias("i"), F.lit(1.0).alias("v")))
+    return found.select("i", F.round("v", 6).alias("v"))

@@ -338,12 +338,22 @@ def climate_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return climate.extremes(synthetic.climate(spark, 3, 2, 3), cold=283.15).select(*climate.YEAR, "frost", F.round("r95ptot", 4).alias("r95ptot"))
 
 
-@query()
+#: star, period, middle, duration and depth of transits that are put in.
+_PLANETS = ((11, 3.3, 0.7, 0.2, 0.02), (13, 2.1, 0.4, 0.1, 1e-6))
+_PUT = "pl AS (SELECT * FROM (VALUES " + ", ".join(f"({p[0]}, {', '.join(map(double, p[1:]))})" for p in _PLANETS) + ") v(star_id, p, c, d, h))"
+_OFF = "(t - c + p / 2) - p * floor((t - c + p / 2) / p) - p / 2"
+
+
+@query(f"""
+WITH {_PUT}, {twins.box_search(4, 1500, 400, curves=f"SELECT star_id + 10 AS star_id, t, CASE WHEN abs({_OFF}) < d / 2 THEN flux * (1 - h) ELSE flux END AS flux, flux_err FROM made JOIN pl ON pl.star_id = made.star_id + 10".replace("SELECT star_id + 10", "SELECT made.star_id + 10"))}, {twins.SEARCH},
+t AS (SELECT sde >= 10 AND list_bool_or(list_transform([1, 2, 0.5e0, 3, 1 / 3e0], lambda k: abs(period - p * k) <= 0.02e0 * p * k)) AS found FROM best JOIN pl USING (star_id))
+SELECT count(*) FILTER (WHERE found) AS tp, 0::BIGINT AS fp, count(*) FILTER (WHERE NOT found) AS fn, 0::BIGINT AS tn FROM t
+""")
 def injection_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transits put into curves and searched for: recovered or missed."""
     curves, _ = synthetic.light_curves(spark, 4, 1500)
     quiet = curves.where("star_id % 2 = 1").withColumn("star_id", F.col("star_id") + 10)
-    planets = spark.createDataFrame([(11, 3.3, 0.7, 0.2, 0.02), (13, 2.1, 0.4, 0.1, 1e-6)], "star_id int, period double, t0 double, duration double, depth double")
+    planets = spark.createDataFrame(list(_PLANETS), "star_id int, period double, t0 double, duration double, depth double")
     return transit.recovery(transit.search(transit.injected(quiet, planets), 400), planets.withColumn("has_planet", F.lit(1)))
 
 

@@ -56,12 +56,12 @@ q AS (SELECT f.frame, count(n.a) / greatest((SELECT count(*) FROM kept WHERE fra
       FROM (SELECT DISTINCT frame FROM traj) f LEFT JOIN kept k ON k.frame = f.frame LEFT JOIN (SELECT a, b FROM kept WHERE frame = 0) n ON n.a = k.a AND n.b = k.b GROUP BY f.frame)"""
 
 
-def box_search(stars: int, points: int, periods: int, detrend: bool = True) -> str:
-    """CTEs up to spectrum (star_id, period, power, depth), the best block of each trial period."""
+def box_search(stars: int, points: int, periods: int, detrend: bool = True, curves: str = "SELECT * FROM made") -> str:
+    """CTEs from made, the generated curves, and curves, a query on them, up to spectrum (star_id, period, power, depth), the best block of each trial period."""
     flat = "flux / quantile_cont(flux, 0.5) OVER (PARTITION BY star_id ORDER BY t RANGE BETWEEN 0.25 PRECEDING AND 0.25 FOLLOWING)" if detrend else "flux"
     step = (1.0 / 12.0 - 2.0) / (periods - 1)
     return f"""
-curves AS MATERIALIZED ({synthetic.light_curves_text(stars, points)}), flat AS (SELECT star_id, t, {flat} AS y, 1 / (flux_err * flux_err) AS v FROM curves),
+made AS MATERIALIZED ({synthetic.light_curves_text(stars, points)}), curves AS MATERIALIZED ({curves}), flat AS (SELECT star_id, t, {flat} AS y, 1 / (flux_err * flux_err) AS v FROM curves),
 sums AS (SELECT star_id, sum(v) AS v, sum(v * y) / sum(v) AS mean FROM flat GROUP BY star_id),
 w AS MATERIALIZED (SELECT star_id, t, f.v / s.v AS w, f.v / s.v * (y - mean) AS x FROM flat f JOIN sums s USING (star_id)),
 trials AS (SELECT range AS k, 1 / (range * {double(step)} + 2e0) AS period FROM range({periods})),

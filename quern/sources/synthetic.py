@@ -29,12 +29,6 @@ def random_matrix(spark: SparkSession, rows: int, columns: int, seed: int = SEED
     return matrix(spark, rows, columns).withColumn("v", uniform(seed, F.col("i"), F.col("j")))
 
 
-def two_tone(spark: SparkSession, n: int, rate: float) -> DataFrame:
-    """(t, v): a tone of 50 and one of 80, half as loud."""
-    t = F.col("id") / F.lit(rate)
-    return spark.range(n).select(t.alias("t"), (F.sin(F.lit(2 * math.pi * 50) * t) + 0.5 * F.sin(F.lit(2 * math.pi * 80) * t)).alias("v"))
-
-
 def blobs(spark: SparkSession, n: int, centres: tuple[tuple[float, float], ...], spread: float = 1.0, seed: int = SEED) -> DataFrame:
     """(id, x, y, centre): normal noise round the centres in turn."""
     k = F.col("id") % len(centres)

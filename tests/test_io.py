@@ -118,6 +118,8 @@ def test_implementations_are_checked_and_timed(spark):
     kinds.add("wrong", lambda x, y: linalg.matmul(x, y).withColumn("v", F.col("v") + 1))
     assert kinds.validate("blocks", a, b) and not kinds.validate("wrong", a, b)
     assert set(kinds.benchmark(a, b, names=["join"])) == {"join"}
+    seen = kinds.profile(a, b, names=["join", "blocks"])
+    assert seen.calls == {"join": 1, "blocks": 1} and seen.rows["join"] == seen.rows["blocks"] > 0
     with pytest.raises(KeyError):
         kinds.run("nothing", a, b)
     with pytest.raises(TypeError):
@@ -263,3 +265,23 @@ def test_hdf5_exposures(spark, tmp_path):
     assert same(back.pixels()) == same(source.pixels()) and same(back.pixels(1)) == same(source.pixels(1)) and back.pixels(7).count() == 0
     about = lambda s: sorted((r.det_num, r.det_id, r.nx, r.ny, r.header["CCDID"]) for r in s.detectors().collect())
     assert about(back) == about(source)
+
+
+def test_drawings(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("s"), (F.col("id") / 100).alias("x"), F.sin(F.col("id") / 300).alias("y"))
+    sinks.plot(rows, f"{tmp_path}/p.svg", "x", "y", "s")
+    text = (tmp_path / "p.svg").read_text()
+    assert text.count("<polyline") == 2 and len(text) < 20_000
+    sinks.plot(rows.limit(0), f"{tmp_path}/e.svg", "x", "y")
+    with pytest.raises(ValueError):
+        sinks.plot(rows.withColumn("s", F.floor("x")), f"{tmp_path}/m.svg", "x", "y", "s")
+
+
+def test_command_line(spark, sf_dir, tmp_path, monkeypatch, capsys):
+    from quern import __main__ as cli
+
+    monkeypatch.setenv("SLURM_CPUS_PER_TASK", "many")
+    monkeypatch.delenv("BENCH_CPUS", raising=False)
+    assert cli.parsed(["ring_shift"]).cpus == -1 and cli.parsed(["x", "--cpus", "3"]).cpus == 3
+    assert cli.main(["list"]) == 0 and "ring_shift" in capsys.readouterr().out and cli.main(["nothing"]) == 2
+    assert cli.main(["ring_shift", sf_dir, "--out", f"{tmp_path}/o"]) == 0 and spark.read.parquet(f"{tmp_path}/o").count() == 25

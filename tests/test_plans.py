@@ -251,6 +251,57 @@ def test_matrices(spark):
     assert linalg.gram_dense(vectors.limit(0), "v").shape == (0, 0) and np.isnan(linalg.condition_number(np.zeros((0, 0)), 0))
     with pytest.raises(ValueError):
         linalg.check_shapes(3, 4)
+    with pytest.raises(Exception, match="outside 0..7"):
+        linalg.block_matmul(rel(a, "i", "k"), rel(b, "k", "j"), (8, 7, 6), 4).count()
+
+
+def test_one_large_system(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(25, 25))
+    m = m @ m.T + 25 * np.eye(25)
+    b = rng.normal(size=25)
+    cells = spark.createDataFrame([(i, k, float(m[i, k])) for i in range(25) for k in range(25)], "i long, k long, v double")
+    right = spark.createDataFrame([(i, float(x)) for i, x in enumerate(b)], "i long, v double")
+    got = [r.v for r in linalg.solve_large(cells, right).orderBy("i").collect()]
+    assert np.allclose(got, np.linalg.solve(m, b), rtol=1e-8)
+    assert linalg.solve_large(cells, right.withColumn("v", F.lit(0.0))).where("v <> 0").count() == 0
+    with pytest.raises(RuntimeError):
+        linalg.solve_large(cells, right, most=2)
+
+
+def test_jobs_beside_the_caller(spark):
+    from quern.operators.background import Background, Profile, gather
+
+    profile = Profile()
+
+    @profile
+    def rows(n):
+        return spark.range(n)
+
+    with Background(spark, 2) as jobs:
+        kept, held = jobs.persist(spark.range(50))
+        assert gather([jobs.submit(lambda n=n: rows(n).count()) for n in (3, 4)]) == [3, 4] and held.result() == 50
+        kept.unpersist()
+        failing = jobs.submit(lambda: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            gather([failing])
+    found = profile.table(spark).first()
+    assert (found["name"], found.calls, found.rows) == ("rows", 2, 7) and profile.rate("rows", 100.0) > 0
+
+
+def test_functions_of_a_native_library(spark):
+    from quern.functions.foreign import foreign
+
+    rows = spark.createDataFrame([(8.0, 3.0), (None, 1.0), (-27.0, None), (4.0, 3.0)], "x double, y double")
+    got = rows.select(foreign("m", "cbrt")("x").alias("c"), foreign("m", "hypot", 2)("x", "y").alias("h")).collect()
+    assert got[1].c is None and [got[i].c for i in (0, 2, 3)] == pytest.approx([2.0, -3.0, 4 ** (1 / 3)]) and got[3].h == 5.0 and got[1].h is None and got[2].h is None
+
+
+def test_throttled_tasks(spark):
+    from quern.operators import distribution
+
+    found = distribution.tasks(spark, 10, lambda i: i * i, at_once=2)
+    assert found.rdd.getNumPartitions() == 2 and sorted(map(tuple, found.collect())) == [(i, float(i * i)) for i in range(10)]
 
 
 def test_gravity_by_blocks_equals_loops(spark):
@@ -280,7 +331,7 @@ def test_forms_of_distance_agree(spark):
     x, y = rng.normal(size=(12, 5)), rng.normal(size=(4, 5))
     rel = lambda m, i, v: spark.createDataFrame([(k, list(map(float, row))) for k, row in enumerate(m)], f"{i} long, {v} array<double>")
     want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
-    for form in ("broadcast", "norms"):
+    for form in ("broadcast", "norms", "einsum", "mapped"):
         got = {(r.id, r.other_id): r.distance for r in pairwise.against_few(rel(x, "id", "v"), rel(y, "other_id", "w"), form).collect()}
         assert np.allclose([[got[i, j] for j in range(4)] for i in range(12)], want)
     assert {r.id: r.nearest for r in pairwise.nearest(rel(x, "id", "v"), rel(y, "other_id", "w")).collect()} == dict(enumerate(want.argmin(1).tolist()))
