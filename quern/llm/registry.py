@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op8_quotation_links
+from .chat_sql import OP8_SQL
 from .decontam import op10_fm_decontamination
 from .decontam_sql import OP10_SQL
 from .langid import op4_language_evidence
@@ -30,4 +31,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op10_fm_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op8_quotation_links": OP8_SQL, "op10_fm_decontamination": OP10_SQL}

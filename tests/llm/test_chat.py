@@ -1,12 +1,15 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import chat
 from quern.llm.chat import conversations, link_passages, op8_quotation_links, own_text, reply_tree, segments, words_of
 
+from quern.llm.chat_sql import OP8_SQL
+
 from .helpers import rows_of
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -202,6 +205,40 @@ def test_random_threads_equal_brute_force(spark, seed):
         assert [r[:10] for r in build(spark, rows, parts)] == want
 
 
+def by_sql(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    return sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({OP8_SQL})").fetchall(), key=repr)
+
+
+def test_sql_equals_operator(spark):
+    rng = random.Random(11)
+    line, only = "the meeting is moved to friday noon", "only the nameless conversation says this"
+    rows = [
+        (1, 0, "a", "Hello there everyone\nHow are you all doing today? Yes, do."),
+        (1, 1, "b", "On Monday, Bob wrote:\r\n\r\n> How  are you all\r\n> doing TODAY?\n\nI am fine thanks a lot\n> > older words that nobody here has said"),
+        (1, 2, "a", "> > How are you all doing today?\n>I am fine thanks a lot\nGood to hear that\n>yes do"),
+        (2, 0, "c", ">> Hello there everyone\nforwarded:\n"),
+        (5, 0, "a", f"> {line}\n{line}"),
+        (5, 1, "a", f"and again\n{line}"),
+        (7, 0, "b", line),
+        (8, 0, "c", f"> {line}\nagreed"),
+        (None, 0, "d", f"> {line}\n\n> {only}\nfine"),
+        (None, 1, "d", only),
+        (9, 0, "e", f"> {only}\nyes"),
+        (20, 0, "e", "会議は正午に移動しました。ab 東京cd"),
+        (20, 1, "e", "> 正午に移動\n> しました\n了解"),
+        (30, 0, "a", "> beta beta says the second one\nalpha alpha says the first one"),
+        (31, 0, "b", "> alpha alpha says the first one\nbeta beta says the second one"),
+        (32, 0, "c", "> alpha alpha says the first one\nme too"),
+        (33, None, "c", "> alpha alpha says the first one\nand me"),
+        (34, 0, None, None),
+    ]
+    rows += [(100 + i, t, "u", " ".join(rng.choice("red green blue > old\n new. so".split(" ")) for _ in range(30))) for i in range(6) for t in range(4)]
+    assert by_sql(rows) == build(spark, rows)
+
+
 def test_a_third_of_all_messages_in_one_thread(spark):
     rows = [(0, 0, "a", "everyone will quote these words of mine")] + [(i, 1, "b", "> everyone will quote these words of mine\nyes") for i in range(1, 200)] + [(0, 2, "b", None)] * 200
     got = build(spark, rows, 8)
