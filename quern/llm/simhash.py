@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, PLACE, UPPER, attach, byte_blocks, drop_stash, located, neutral, stash, table
+from ._common import LOWER, PLACE, UPPER, attach, byte_blocks, drop_stash, located, may_hold, neutral, stash, table
 
 BITS, SHINGLE, RADIUS, SEED = 64, 3, 2, 42
 #: A pair within RADIUS bits agrees on at least BLOCKS - RADIUS of the BLOCKS bit ranges: one table for each choice.
@@ -267,14 +267,21 @@ def wide_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
 def _linked(keyed: DataFrame, kind: str, radius: int, tile: int) -> DataFrame:
     """Links of the fingerprints (fp, t, k) that share a bucket (t, k), as forests.
 
-    Buckets of one fingerprint go at once. Buckets above `tile` fingerprints are cut by a hash
-    into tiles and compared pair of tiles by pair of tiles, so no task holds more than two tiles, and none is skipped.
+    Buckets are dealt once. Those above `tile` fingerprints, which a bitmap tells, are cut by a hash into tiles first and compared
+    pair of tiles by pair of tiles, so no task holds more than two tiles, and none is skipped.
     """
-    sizes = stash(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "buckets")
-    dealt = keyed.join(sizes, ["t", "k"]).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    # a fingerprint of tile s meets every tile r: the group is (min, max) of the two
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("t", "k", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "fp")
+    counts = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    large = stash(counts.select("t", "k", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "large-buckets")
+    whole = lambda rows: rows.select("t", "k", *[F.lit(0).alias(c) for c in ("left", "right", "side")], "fp")
+    if large.head(1):
+        marked = may_hold(keyed, large, ("t", "k"))
+        cut = marked.where("__may").join(large.hint("merge"), ["t", "k"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+        # a fingerprint of tile s meets every tile r: the group is (min, max) of the two
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        cut = cut.select("t", "k", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "fp")
+        dealt = whole(marked.where("not __may")).unionByName(cut)
+    else:
+        dealt = whole(keyed)
     dealt = dealt.repartition("t", "k", "left", "right").sortWithinPartitions("t", "k", "left", "right", "side", "fp")
     return dealt.mapInArrow(_compare(radius), f"a {kind}, b {kind}").distinct()
 
@@ -293,12 +300,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = digest(edges)
     while True:
         both = edges.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(edges.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("root"), F.col("v").alias("node")).distinct()
-        low = large.groupBy(F.col("node").alias("u")).agg(F.min("root").alias("m"))
+        # what a node with very many edges is joined with is written first, so that Spark can split its edges
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stash(both.where("v > u").join(least, "u").select(F.col("m").alias("root"), F.col("v").alias("node")).distinct(), "large-stars")
+        low = stash(large.groupBy(F.col("node").alias("u")).agg(F.min("root").alias("m")), "low")
         small = large.join(low, large["node"] == low["u"]).select(F.col("m").alias("root"), F.when(F.col("root") == F.col("m"), F.col("node")).otherwise(F.col("root")).alias("node"))
         after = stash(small.where("root < node").distinct(), "edges")
-        drop_stash(edges)
+        for done in (edges, least, large, low):
+            drop_stash(done)
         edges, held = after, before
         before = digest(edges)
         if before == held:
