@@ -21,7 +21,7 @@ WINDOW, QUANTUM, END = 1024, 256, 0
 TEMPERATURE = 0.7
 #: Sources with 1 / MAX_NAMED of the rows or of the bytes of text have a queue each, so there are twice MAX_NAMED at most, and
 #: so have sources with a weight; others share SHARED queues by hash.
-MAX_NAMED, SHARED = 256, 64
+MAX_NAMED, SHARED = 1024, 64
 BLOCK_BYTES = 4 << 20
 
 

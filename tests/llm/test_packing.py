@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from quern.llm import packing
 from quern.llm.packing import QUANTUM, TEMPERATURE, Schedule, _proportions, op1_mixture_packing, pack, sequences
 
 from .helpers import awkward, awkward_rows, empty
@@ -123,7 +124,8 @@ def test_deficits_are_carried_from_window_to_window():
         assert abs(schedule.deficits(windows).sum()) < 1e-6 and np.abs(schedule.deficits(windows)).max() <= 2 * QUANTUM
 
 
-def test_rare_sources_have_queues_by_weight_and_by_bytes(spark, ids_of):
+def test_rare_sources_have_queues_by_weight_and_by_bytes(spark, ids_of, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_NAMED", 256)
     # rare: 4 of 1606 rows and little text; long: 2 rows with about half of the text; both under 1 / 256 of the rows
     rows = [(i, "some words of common text " * 12, f"s{i % 400}") for i in range(1600)]
     rows += [(2000 + i, "rare words " * 256, "rare") for i in range(4)] + [(3000 + i, "long words " * 24_000, "long") for i in range(2)]
