@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import shared_folder
+
 #: The only characters that the corpus contracts treat as white space.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,24 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's spark.checkpoint.dir. Only a local session that has none
-    gets a temporary folder, since there one machine is the whole cluster.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="quern-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 #: Folders that stash() wrote and nothing deleted yet.
 _made: list[str] = []
 
@@ -50,7 +31,7 @@ _made: list[str] = []
 def stash(df: DataFrame, name: str, codec: str = "snappy", by: Sequence[str] = ()) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs nothing. by: folders by value."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).partitionBy(*by).parquet(path)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -81,7 +62,7 @@ def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
 
 def clear_stash(spark: SparkSession) -> None:
     """Delete all intermediate tables of this and earlier queries; results that still read them must be written first."""
-    _delete(spark, f"{shared_dir(spark)}/quern")
+    _delete(spark, f"{shared_folder(spark)}/quern")
     _made.clear()
 
 

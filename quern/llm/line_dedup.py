@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import BLANKS, LOWER, PLACE, UPPER, attach, drop_stash, located, may_hold, neutral, shared_dir, stash, table
+from ..operators.checkpoints import shared_folder
+from ._common import BLANKS, LOWER, PLACE, UPPER, attach, drop_stash, located, may_hold, neutral, stash, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Documents of a batch, and the fewest batches that a table is dealt into.
@@ -96,7 +97,7 @@ class LineRuns:
         if level == len(self.levels):
             self.levels.append([])
         name = f"quern_line_run_{uuid.uuid4().hex}"
-        write = rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{shared_dir(self.spark)}/quern/{name}")
+        write = rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{shared_folder(self.spark)}/quern/{name}")
         write.saveAsTable(name)
         self.levels[level].append(name)
         if len(self.levels[level]) == self.fan_in:
