@@ -38,10 +38,10 @@ def growing_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.transform(squares, lambda x: x.cast("string")), ",").alias("squares"), F.length("n_name").cast("long").alias("n"))
 
 
-@query("SELECT event_id, round(value / 256.0 + 1e-11, 9) AS pixel, value IS NOT NULL AND NOT isnan(value) AS finite FROM events WHERE NOT (value > 48 AND value < 54)")
+@query("SELECT event_id, round(value / 256.0, 10) AS pixel, value IS NOT NULL AND NOT isnan(value) AS finite FROM events WHERE NOT (value > 48 AND value < 54)")
 def gap_and_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, sf_dir, "events").where(~((v > 48) & (v < 54))).select("event_id", F.round(v / 256.0 + 1e-11, 9).alias("pixel"), S.finite(v).alias("finite"))
+    return table(spark, sf_dir, "events").where(~((v > 48) & (v < 54))).select("event_id", F.round(v / 256.0, 10).alias("pixel"), S.finite(v).alias("finite"))
 
 
 @query("SELECT w.range::BIGINT AS pos, c_custkey, c_name FROM range(200) w JOIN customer ON c_custkey = 1 + w.range * 7 % 50")

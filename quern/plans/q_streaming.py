@@ -49,11 +49,11 @@ def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS calls FROM events),
 t AS (SELECT *, greatest(ceil(i / 10.0) - 1, 0)::BIGINT AS tick FROM c)
-SELECT user_id, tick, count(*) AS n, round(avg(value) + 1e-10, 6) AS mean_value FROM t WHERE tick < (calls - 1) // 10 GROUP BY user_id, tick
+SELECT user_id, tick, count(*) AS n, round(avg(value), 9) AS mean_value FROM t WHERE tick < (calls - 1) // 10 GROUP BY user_id, tick
 """)
 def stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.to_table(S.count_ticks(S.event_stream(spark, sf_dir)), "append")
-    return found.select("user_id", "tick", "n", F.round(F.col("mean_value") + 1e-10, 6).alias("mean_value"))
+    return found.select("user_id", "tick", "n", F.round("mean_value", 9).alias("mean_value"))
 
 
 @query("SELECT source, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT CASE WHEN event_type = 'click' THEN 'clicks' ELSE 'others' END AS source, event_id FROM events) GROUP BY source")

@@ -23,10 +23,10 @@ def running_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.running_median(_events(spark, sf_dir), ["user_id"], "t", "value", 0.25).select("event_id", F.round("trend", 6).alias("trend"))
 
 
-@query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) + 1e-10, 6) AS mean FROM events")
+@query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS mean FROM events")
 def prefix_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.prefix_mean(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "value")
-    return found.select("user_id", "event_id", F.round(F.col("mean") + 1e-10, 6).alias("mean"))  # off the decimal ties
+    return found.select("user_id", "event_id", F.round("mean", 9).alias("mean"))
 
 
 _DAYS = """
