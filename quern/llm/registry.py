@@ -10,7 +10,7 @@ from .langid import op4_language_evidence
 from .line_dedup import OP2_SQL, op2_line_runs
 from .packing import op1_mixture_packing
 from .quality import op9_compression_bands
-from .sharding import op5_feistel_shards
+from .sharding import OP5_SQL, op5_feistel_shards
 from .simhash import op7_bit_sliced_simhash
 from .token_counts import op3_token_counts
 from .warc import OP6_SQL, op6_merkle_fixity
@@ -31,4 +31,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op8_quotation_links": OP8_SQL, "op10_fm_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL, "op5_feistel_shards": OP5_SQL, "op6_merkle_fixity": OP6_SQL, "op8_quotation_links": OP8_SQL, "op10_fm_decontamination": OP10_SQL}

@@ -12,13 +12,19 @@ from ._common import numbered, table
 ROUNDS = 6
 
 
+def digest(*values: Column | int) -> Column:
+    """60 bits of the MD5 of the values' text, as a long: a hash that any engine has."""
+    text = F.concat_ws(":", *[F.coalesce(v.cast("string"), F.lit("")) if isinstance(v, Column) else F.lit(str(v)) for v in values])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _scramble(left: Column, right: Column, a: Column, b: Column, seed: int, step: Callable[[Column, str], Column]) -> tuple[Column, Column]:
     """ROUNDS rounds over Z_a x Z_b. Each adds a hash of one half to the other, so each is a bijection."""
     for i in range(ROUNDS):
         if i % 2 == 0:
-            left = step(F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), F.lit(i), right), a), a), f"l{i}")
+            left = step(F.pmod(left + F.pmod(digest(seed, i, right), a), a), f"l{i}")
         else:
-            right = step(F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), F.lit(i), left), b), b), f"r{i}")
+            right = step(F.pmod(right + F.pmod(digest(seed, i, left), b), b), f"r{i}")
     return left, right
 
 
@@ -75,7 +81,7 @@ def assign_shards(docs: DataFrame, shards: int, seed: int = 0, carry: Sequence[s
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *[F.col(c).alias(f"__carry_{c}") for c in carry],
     )
-    order = [F.xxhash64("doc_id", "text_crc32", "size"), "doc_id", "text_crc32", "size"]
+    order = [digest(F.col("doc_id"), F.col("text_crc32"), F.col("size")), "doc_id", "text_crc32", "size"]
     rows = numbered(slim, order, "__row", "__total", "shard-order")
     placed = permuted(rows, "__row", "__total", "__at", seed)
     return placed.select(
@@ -99,3 +105,33 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 0) -> None
 
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 40)
+
+
+_MD5 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+def _round_sql(x: str, source: str, seed: int) -> str:
+    """source with x permuted once."""
+    query = f"SELECT * EXCLUDE ({x}), {x} // b AS l, {x} % b AS r FROM {source}"
+    for i in range(ROUNDS):
+        one, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        h = _MD5.format(f"'{seed}:{i}:' || {other}")
+        query = f"SELECT * REPLACE (({one} + {h} % {size}) % {size} AS {one}) FROM ({query})"
+    return f"SELECT * EXCLUDE (l, r), l * b + r AS {x} FROM ({query})"
+
+
+def shards_sql(shards: int, seed: int = 0) -> str:
+    """SQL of assign_shards(documents, shards, seed); CRC-32 by its table of 256 words."""
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT range::BIGINT AS i FROM range(256)))),
+digits AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS c FROM documents),
+bytes AS (SELECT doc_id, size, list_transform(range(1, len(c) // 2 + 1), lambda i: ((instr('0123456789ABCDEF', c[2 * i - 1]) - 1) * 16 + instr('0123456789ABCDEF', c[2 * i]) - 1)::BIGINT) AS bytes FROM digits),
+docs AS MATERIALIZED (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes CROSS JOIN tab),
+total AS (SELECT n, a, greatest(1, ceil(n / a))::BIGINT AS b FROM (SELECT count(*) AS n, greatest(1, ceil(sqrt(count(*))))::BIGINT AS a FROM docs)),
+rows AS MATERIALIZED (SELECT docs.*, n, a, b, row_number() OVER (ORDER BY {_MD5.format("coalesce(doc_id::VARCHAR, '') || ':' || text_crc32 || ':' || size")}, doc_id NULLS FIRST, text_crc32, size) - 1 AS p FROM docs CROSS JOIN total),
+walk AS ({_round_sql("p", "rows", seed)} UNION ALL {_round_sql("p", "(SELECT * FROM walk WHERE p >= n)", seed)})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {shards})::INTEGER AS shard, p // {shards} AS slot, NULL::INTEGER AS grown_shard FROM walk WHERE p < n
+"""
+
+
+OP5_SQL = shards_sql(40)

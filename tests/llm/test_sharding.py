@@ -1,11 +1,12 @@
+import hashlib
 import zlib
 from collections import Counter
 
-import xxhash
+import duckdb
 from pyspark.sql import functions as F
 
 from quern.llm._common import in_order
-from quern.llm.sharding import assign_shards, op5_feistel_shards, permuted, write_shards
+from quern.llm.sharding import OP5_SQL, assign_shards, op5_feistel_shards, permuted, shards_sql, write_shards
 
 from .helpers import awkward, awkward_rows, empty, rows_of
 
@@ -47,21 +48,15 @@ def brute_permuted(x, total, seed=0):
 
     a = max(1, isqrt(total - 1) + 1)
     b = max(1, -(-total // a))
-    mask = (1 << 64) - 1
-
-    def spark_hash(*values):  # XXH64 of eight little-endian bytes (ints: four), chained as seeds from 42
-        h = 42
-        for v, size in values:
-            h = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), h & mask)
-        return h - (1 << 64) if h >> 63 else h
+    digest = lambda *v: int(hashlib.md5(":".join(map(str, v)).encode()).hexdigest()[:15], 16)
 
     while True:
         left, right = divmod(x, b)
         for i in range(6):
             if i % 2 == 0:
-                left = (left + spark_hash((seed, 4), (i, 4), (right, 8)) % a) % a
+                left = (left + digest(seed, i, right) % a) % a
             else:
-                right = (right + spark_hash((seed, 4), (i, 4), (left, 8)) % b) % b
+                right = (right + digest(seed, i, left) % b) % b
         x = left * b + right
         if x < total:
             return x
@@ -81,6 +76,16 @@ def test_equal_rows_are_spread(spark):
     assert in_order(docs, ["doc_id"]).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1500
 
 
+def test_rows_equal_sql(spark, sf_dir):
+    columns = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert rows_of(op5_feistel_shards(spark, sf_dir), *columns) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({OP5_SQL})").fetchall(), key=repr)
+    con = duckdb.connect()
+    con.register("documents", awkward(spark, clash=False).toArrow())
+    assert rows_of(assign_shards(awkward(spark), 7, 5), *columns) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({shards_sql(7, 5)})").fetchall(), key=repr)
+
+
 def test_written_shards_hold_the_texts(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_shards(docs, f"{tmp_path}/shards", 5)
