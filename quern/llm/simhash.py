@@ -229,7 +229,7 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     """
     tables = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
     keys = F.array(*[F.struct(F.lit(t).alias("t"), _block_key(F.col("fp"), blocks).alias("k")) for t, blocks in enumerate(tables)])
-    return _linked(distinct.select("fp", F.explode(keys).alias("x")).select("fp", "x.t", "x.k"), "long", RADIUS, tile)
+    return _linked(distinct.select("fp", F.explode(keys).alias("x")).select("fp", "x.t", "x.k"), "long", RADIUS, tile, False)
 
 
 def drawn_bits(n: int) -> np.ndarray:
@@ -261,25 +261,32 @@ def wide_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     pair meets in none of them: 3 of 100 at a similarity of 0.8, and hardly any at 0.9.
     """
     drawn = drawn_bits(distinct.count())
-    return _linked(distinct.select("fp").mapInArrow(_wide_keys(drawn), "fp binary, t int, k long"), "binary", WIDE_RADIUS, tile)
+    return _linked(distinct.select("fp").mapInArrow(_wide_keys(drawn), "fp binary, t int, k long"), "binary", WIDE_RADIUS, tile, True)
 
 
-def _linked(keyed: DataFrame, kind: str, radius: int, tile: int) -> DataFrame:
+def _linked(keyed: DataFrame, kind: str, radius: int, tile: int, crowded: bool) -> DataFrame:
     """Links of the fingerprints (fp, t, k) that share a bucket (t, k), as forests.
 
-    Buckets are dealt once. Those above `tile` fingerprints, which a bitmap tells, are cut by a hash into tiles first and compared
-    pair of tiles by pair of tiles, so no task holds more than two tiles, and none is skipped.
+    Buckets above `tile` fingerprints are cut by a hash into tiles first and compared pair of tiles by pair of tiles, so no
+    task holds more than two tiles, and none is skipped. Where few buckets hold more than one fingerprint, those are told by a join;
+    where they are crowded, all are dealt at once, and a bitmap tells the large ones.
     """
-    counts = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    large = stash(counts.select("t", "k", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "large-buckets")
+    counts = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (tile if crowded else 1))
+    sizes = stash(counts.select("t", "k", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "buckets")
     whole = lambda rows: rows.select("t", "k", *[F.lit(0).alias(c) for c in ("left", "right", "side")], "fp")
-    if large.head(1):
-        marked = may_hold(keyed, large, ("t", "k"))
-        cut = marked.where("__may").join(large.hint("merge"), ["t", "k"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        dealt = rows.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         # a fingerprint of tile s meets every tile r: the group is (min, max) of the two
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        cut = cut.select("t", "k", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "fp")
-        dealt = whole(marked.where("not __may")).unionByName(cut)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        return dealt.select("t", "k", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "fp")
+
+    if not crowded:
+        dealt = cut(keyed.join(sizes, ["t", "k"]))
+    elif sizes.head(1):
+        marked = may_hold(keyed, sizes, ("t", "k"))
+        large = marked.where("__may").join(sizes.hint("merge"), ["t", "k"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        dealt = whole(marked.where("not __may")).unionByName(cut(large))
     else:
         dealt = whole(keyed)
     dealt = dealt.repartition("t", "k", "left", "right").sortWithinPartitions("t", "k", "left", "right", "side", "fp")
