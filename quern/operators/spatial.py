@@ -29,15 +29,15 @@ HALF = tuple(o for o in NEIGHBOURS if o >= (0, 0, 0))
 
 
 def _meet(left: DataFrame, right: DataFrame, box: Sequence[float], cutoff: float, by: Sequence[str], key: str, offsets: Sequence[tuple[int, ...]], same_set: bool, carry: Sequence[str] = ()) -> DataFrame:
-    """Pairs within cutoff. carry: columns of the left side that go along, so that no join has to bring them back."""
+    """Pairs within cutoff. carry: columns of the right side, which isn't replicated, that go along, so that no join has to bring them back."""
     n = [n_cells(b, cutoff) for b in box]
     near = F.explode(F.array(*[F.struct(*[F.lit(o).alias(f"o{a}") for a, o in zip(AXES, offset, strict=True)]) for offset in offsets]))
-    a = left.select(*by, F.col(key).alias("a"), *carry, *[F.col(c).cast("double").alias(f"a{c}") for c in AXES], near.alias("o"))
+    a = left.select(*by, F.col(key).alias("a"), *[F.col(c).cast("double").alias(f"a{c}") for c in AXES], near.alias("o"))
     home = F.lit(True)
     for c in AXES:
         home = home & (F.col(f"o.o{c}") == 0)
-    a = a.select(*by, "a", *carry, *[f"a{c}" for c in AXES], home.alias("home"), *[F.pmod(_cell(F.col(f"a{c}"), box[i], n[i]) + F.col(f"o.o{c}"), F.lit(n[i])).alias(f"c{c}") for i, c in enumerate(AXES)])
-    b = right.select(*by, F.col(key).alias("b"), *[F.col(c).cast("double").alias(f"b{c}") for c in AXES])
+    a = a.select(*by, "a", *[f"a{c}" for c in AXES], home.alias("home"), *[F.pmod(_cell(F.col(f"a{c}"), box[i], n[i]) + F.col(f"o.o{c}"), F.lit(n[i])).alias(f"c{c}") for i, c in enumerate(AXES)])
+    b = right.select(*by, F.col(key).alias("b"), *carry, *[F.col(c).cast("double").alias(f"b{c}") for c in AXES])
     b = b.select("*", *[_cell(F.col(f"b{c}"), box[i], n[i]).alias(f"c{c}") for i, c in enumerate(AXES)])
     d = [minimum_image(F.col(f"a{c}") - F.col(f"b{c}"), box[i]) for i, c in enumerate(AXES)]
     pairs = a.join(b, [*by, *[f"c{c}" for c in AXES]])
@@ -114,21 +114,21 @@ def hydrogen_bonds(atoms: DataFrame, roles: DataFrame, box: Sequence[float], fra
 
     Donor and acceptor are nearer than cutoff and further than least; a hydrogen is one of the two atoms after the donor,
     further than least from both; the cosine of the angle donor - hydrogen - acceptor is at most that of 150 degrees.
-    A donor goes to the acceptors with the arms to its hydrogens, so atoms are joined by number once, and by cells once.
+    Acceptors go to the donors near them, which hold the arms to their hydrogens, so atoms are joined by number once, and by cells once.
     """
     of = lambda role: atoms.join(roles.where(F.col("role") == role).select(F.col("atom").alias("id")).distinct(), "id")
     at = F.struct(*[F.col(c).cast("double").alias(c) for c in AXES])
     arms = of("hydrogen").select(frame, F.explode(F.array(F.col("id") - 1, F.col("id") - 2)).alias("id"), at.alias("h"))
     donors = of("donor").join(arms.groupBy(frame, "id").agg(F.collect_list("h").alias("h")), [frame, "id"])
     arm = F.transform("h", lambda h: F.struct(*[minimum_image(h[c] - F.col(c).cast("double"), box[i]).alias(c) for i, c in enumerate(AXES)]))
-    pairs = cell_join(donors.withColumn("arms", arm), of("acceptor"), box, cutoff, (frame,), carry=("arms",))
+    pairs = cell_join(of("acceptor"), donors.withColumn("arms", arm), box, cutoff, (frame,), carry=("arms",))
     pairs = pairs.where((F.col("r2") < cutoff * cutoff) & (F.col("r2") > least * least) & (F.col("a") != F.col("b")))
 
     def in_line(arm: Column) -> Column:
-        # from the hydrogen: the donor lies at -arm, the acceptor at -(d + arm), d being donor less acceptor
-        to = {c: minimum_image(F.col(f"d{c}") + arm[c], box[i]) for i, c in enumerate(AXES)}
+        # from the hydrogen: the donor lies at -arm, the acceptor at d - arm, d being acceptor less donor
+        to = {c: minimum_image(F.col(f"d{c}") - arm[c], box[i]) for i, c in enumerate(AXES)}
         dot = sum((arm[c] * to[c] for c in AXES), F.lit(0.0))
         near, far = (F.sqrt(sum((v * v for v in x), F.lit(0.0))) for x in ([arm[c] for c in AXES], to.values()))
-        return (near >= least) & (far >= least) & (dot <= F.lit(min_angle_cos) * near * far)
+        return (near >= least) & (far >= least) & (-dot <= F.lit(min_angle_cos) * near * far)
 
-    return pairs.where(F.exists("arms", in_line)).select(frame, F.col("a").alias("donor"), F.col("b").alias("acceptor"))
+    return pairs.where(F.exists("arms", in_line)).select(frame, F.col("b").alias("donor"), F.col("a").alias("acceptor"))
