@@ -6,6 +6,7 @@ from .chat import op8_quotation_links
 from .chat_sql import OP8_SQL
 from .decontam import op10_fm_decontamination
 from .decontam_sql import OP10_SQL
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .langid import op4_language_evidence
 from .line_dedup import OP2_SQL, op2_line_runs
 from .packing import op1_mixture_packing
@@ -28,7 +29,15 @@ QUERIES = {
         op8_quotation_links,
         op9_compression_bands,
         op10_fm_decontamination,
+        op12_filter_audit,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_runs": OP2_SQL, "op5_feistel_shards": OP5_SQL, "op6_merkle_fixity": OP6_SQL, "op8_quotation_links": OP8_SQL, "op10_fm_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_runs": OP2_SQL,
+    "op5_feistel_shards": OP5_SQL,
+    "op6_merkle_fixity": OP6_SQL,
+    "op8_quotation_links": OP8_SQL,
+    "op10_fm_decontamination": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
+}
