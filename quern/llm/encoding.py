@@ -43,6 +43,14 @@ class Encoder:
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(self.ids(t)) for t in texts]
 
+    def plain_ids(self, text: str) -> np.ndarray:
+        """uint32 ids of the whole text, in which special strings are text like any other."""
+        raise NotImplementedError
+
+    def token_bytes(self) -> list[bytes]:
+        """By id, the bytes that a token stands for."""
+        raise NotImplementedError
+
 
 class Ranks(Encoder):
     """A tiktoken rank file with the pattern of the byte-level files; it has no special tokens."""
@@ -55,15 +63,25 @@ class Ranks(Encoder):
         import public_tokenizers
         import tiktoken
 
-        self.encode = functools.partial(
-            tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy, allowed_special="all", disallowed_special=()
-        )
+        encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
+        self.encode = functools.partial(encode, allowed_special="all", disallowed_special=())
+        self.encode_plain = functools.partial(encode, allowed_special=set(), disallowed_special=())
+        self.ranks = ranks
 
     def ids(self, text: str) -> np.ndarray:
         if len(text) <= SLICE:
             return self.encode(text)
         return np.concatenate([self.encode(part) for part in slices(text)])
 
+    def plain_ids(self, text: str) -> np.ndarray:
+        return np.concatenate([self.encode_plain(part) for part in slices(text)])
+
+    def token_bytes(self) -> list[bytes]:
+        found = [b""] * (1 + max(self.ranks.values()))
+        for token, i in self.ranks.items():
+            found[i] = token
+        return found
+
     def lengths(self, texts: list[str]) -> list[int]:
         encode = self.encode
         return [len(encode(t)) if len(t) <= SLICE else sum(len(encode(part)) for part in slices(t)) for t in texts]
@@ -121,6 +139,13 @@ class Pieces(Encoder):
     def lengths(self, texts: list[str]) -> list[int]:
         return list(map(len, self.model.encode(texts, num_threads=1)))
 
+    def plain_ids(self, text: str) -> np.ndarray:
+        return self.ids(text)  # the model has no special strings
+
+    def token_bytes(self) -> list[bytes]:
+        piece, is_byte = self.model.id_to_piece, self.model.is_byte
+        return [bytes([int(piece(i)[3:5], 16)]) if is_byte(i) else piece(i).replace("\u2581", " ").encode() for i in range(self.model.vocab_size())]
+
 
 def _tokenizers(path: str) -> Encoder:
     try:

@@ -13,6 +13,7 @@ from .packing import op1_mixture_packing
 from .quality import op9_compression_bands
 from .sharding import OP5_SQL, op5_feistel_shards
 from .simhash import op7_bit_sliced_simhash
+from .token_alignment import op13_token_alignment
 from .token_counts import op3_token_counts
 from .warc import OP6_SQL, op6_merkle_fixity
 
@@ -30,6 +31,7 @@ QUERIES = {
         op9_compression_bands,
         op10_fm_decontamination,
         op12_filter_audit,
+        op13_token_alignment,
     )
 }
 
