@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 from collections import Counter, defaultdict
 
@@ -51,7 +52,13 @@ def brute(docs, sides):
                 spans_of.append((i, at, at := at + len(x)))
             spans.append(spans_of)
         cuts = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
-        groups = [[",".join(str(i) for i, _, e in s if low < e <= cut) for s in spans] for low, cut in zip([0, *cuts], cuts)]
+        sides_of = []
+        for side in spans:
+            by_cut = defaultdict(list)
+            for i, _, e in side:
+                by_cut[bisect.bisect_left(cuts, e)].append(str(i))
+            sides_of.append(by_cut)
+        groups = [[",".join(s[k]) for s in sides_of] for k in range(len(cuts))]
         found, k = Counter(), 0
         for i, s, e in spans[0]:
             while k < len(spans[1]) and spans[1][k][2] <= s:
