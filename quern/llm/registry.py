@@ -9,6 +9,7 @@ from .decontam_sql import OP10_SQL
 from .filter_audit import OP12_SQL, op12_filter_audit
 from .langid import op4_language_evidence
 from .line_dedup import OP2_SQL, op2_line_runs
+from .neighbours import op11_projection_forest
 from .packing import op1_mixture_packing
 from .quality import op9_compression_bands
 from .sharding import OP5_SQL, op5_feistel_shards
@@ -30,6 +31,7 @@ QUERIES = {
         op8_quotation_links,
         op9_compression_bands,
         op10_fm_decontamination,
+        op11_projection_forest,
         op12_filter_audit,
         op13_token_alignment,
     )
