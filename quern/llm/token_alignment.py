@@ -20,7 +20,7 @@ from .encoding import Encoder, encoder
 #: Bytes of text whose owners are held as arrays at once.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text whose id pairs have numbers of their own.
-CHUNK_BYTES = 1 << 25
+CHUNK_BYTES = 1 << 23
 #: Id pairs in a row of a chunk's list.
 SLICE = 4096
 
@@ -132,7 +132,7 @@ class Chunk:
                 self.stats[doc][k] += n
         pairs, number = np.unique(a[link_a] << 32 | b[link_b], return_inverse=True)
         mine, times = np.unique(docs[part] * len(pairs) + number, return_counts=True)
-        self.blocks.append((pairs, mine // len(pairs), mine % len(pairs), times))
+        self.blocks.append((pairs, *(x.astype(np.int32) for x in (mine // len(pairs), mine % len(pairs), times))))
 
     def _hash(self, docs: np.ndarray, a: np.ndarray, b: np.ndarray, part_a: np.ndarray, part_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> None:
         """The groups as text: ids of a group with commas, | between the sides and ; between groups."""
@@ -153,9 +153,9 @@ class Chunk:
         """The statistics and packed links of each document; the chunk's pairs, and in how many of its documents each is."""
         self.flush()
         pairs = np.unique(np.concatenate([x[0] for x in self.blocks])) if self.blocks else np.empty(0, np.int64)
-        doc, number, times = (np.concatenate(x) if self.blocks else np.empty(0, np.int64) for x in ([x[1] for x in self.blocks], [np.searchsorted(pairs, x[0])[x[2]] for x in self.blocks], [x[3] for x in self.blocks]))
+        doc, number, times = (np.concatenate(x) if self.blocks else np.empty(0, np.int64) for x in ([x[1] for x in self.blocks], [np.searchsorted(pairs, x[0]).astype(np.int32)[x[2]] for x in self.blocks], [x[3] for x in self.blocks]))
         # a document that came in several parts has a pair once for each of them
-        key, of = np.unique(doc * max(1, len(pairs)) + number, return_inverse=True)
+        key, of = np.unique(doc.astype(np.int64) * max(1, len(pairs)) + number, return_inverse=True)
         times = np.bincount(of, times, len(key)).astype(np.int64)
         doc, number = key // max(1, len(pairs)), key % max(1, len(pairs))
         held = np.bincount(number, minlength=len(pairs))
@@ -235,7 +235,7 @@ def align_tokens(docs: DataFrame, first: str, second: str) -> DataFrame:
     ids counts the documents that hold it linked. count_sum adds these counts over a document's links, n_best counts the
     links whose pair has the highest count of all pairs with its first id.
 
-    Texts are read and encoded once. A task numbers the id pairs of each chunk of about 32 MB, so what meets in the
+    Texts are read and encoded once. A task numbers the id pairs of each chunk of about 8 MB, so what meets in the
     corpus-wide count is a row for each pair of a chunk, however often its documents hold it, and what comes back to a
     chunk are its own pairs' counts: nothing broadcast grows with the data, a group holds one chunk. Blocks of 1 MB hold
     the owners of bytes; longer texts are aligned in parts, cut where both sides end a token.
