@@ -25,6 +25,8 @@ SAMPLE, NODE_SAMPLE = 1 << 14, 32
 RECALL, CALIBRATION = 0.95, 64
 #: Vectors and queries that are compared in one product.
 BLOCK, QUERY_BLOCK = 1024, 256
+#: Results that a task holds before it gives them out.
+HELD = 1 << 20
 
 
 @dataclass
@@ -173,14 +175,41 @@ def best_of(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, n: int) -
     return v[place < n], q[place < n], score[place < n]
 
 
+def merged(rows: np.ndarray, n: int) -> np.ndarray:
+    """Of rows (query_id, qh, down, id, h): each query's first n by down and id, none twice."""
+    rows = rows[np.lexsort([rows[c] for c in ("h", "id", "down", "qh", "query_id")])]
+    rows = rows[np.append(True, rows[1:] != rows[:-1])] if len(rows) else rows
+    query = np.flatnonzero(np.append(True, (rows["query_id"][1:] != rows["query_id"][:-1]) | (rows["qh"][1:] != rows["qh"][:-1]))) if len(rows) else np.empty(0, int)
+    return rows[np.arange(len(rows)) - np.repeat(query, np.diff(np.append(query, len(rows)))) < n]
+
+
+_FOUND = np.dtype([("query_id", np.int64), ("qh", np.int64), ("down", np.float64), ("id", np.int64), ("h", np.int64)])
+
+
 def _scorer(dtype: str, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A query's best of all the leaves that a task compares it with; what a task holds is given out at HELD rows."""
+
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[c]) for c in _FOUND.names], names=list(_FOUND.names))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, waiting = np.empty(0, _FOUND), [], 0
         for batch in batches:
             for ids, hs, vs, q_ids, q_hs, qs in zip(*[batch.column(c) for c in ("ids", "hs", "vs", "q_ids", "q_hs", "qs")], strict=True):
                 ids, hs, q_ids, q_hs = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, hs, q_ids, q_hs))
                 vectors, queries = (np.frombuffer(x.as_buffer(), dtype).reshape(k, -1).astype(np.float64) for x, k in ((vs, len(ids)), (qs, len(q_ids))))
                 v, q, found = best_of(queries, vectors, ids, n)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[q], q_hs[q], 0.0 - found, ids[v], hs[v])], names=["query_id", "qh", "down", "id", "h"])
+                part = np.empty(len(q), _FOUND)
+                for c, x in zip(_FOUND.names, (q_ids[q], q_hs[q], 0.0 - found, ids[v], hs[v]), strict=True):
+                    part[c] = x
+                parts.append(part)
+                waiting += len(part)
+                if waiting > HELD:
+                    held, parts, waiting = merged(np.concatenate([held, *parts]), n), [], 0
+                    if len(held) > HELD:
+                        yield batch_of(held)
+                        held = held[:0]
+        yield batch_of(merged(np.concatenate([held, *parts]), n))
 
     return score
 
@@ -271,7 +300,7 @@ def nearest(vectors: DataFrame, is_query: str | Column, n: int = NEAREST, id_: s
     while True:
         visits = in_order(left.mapInArrow(_visitor(forest, limit), blocks), ["tree", "leaf"]).mapInArrow(_packer(QUERY_BLOCK), packed).toDF("tree", "leaf", "q_ids", "q_hs", "qs")
         met = index.join(visits, ["tree", "leaf"]).mapInArrow(_scorer("<f4" if kind == "array<float>" else "<f8", n + 1), "query_id long, qh long, down double, id long, h long")
-        # n + 1 from each of the visited leaves: as many as a search visits, however large they are
+        # n + 1 from each task that compared leaves of the query
         tops = met.groupBy("query_id", "qh").agg(F.slice(F.array_sort(F.collect_set(F.struct("down", "id", "h"))), 1, n + 1).alias("tops")).select("query_id", "qh", F.explode("tops").alias("t")).select("query_id", "qh", "t.*")
         twins = members.where("place > 1").select(F.col("first").alias("id"), "h", F.col("id").alias("twin"))
         all_ = tops.withColumn("vec_id", F.col("id")).unionByName(tops.join(twins, ["id", "h"]).withColumnRenamed("twin", "vec_id"))

@@ -105,3 +105,16 @@ def test_best_of_ties_go_to_the_smaller_id():
     v = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 0.0]])
     place, query, score = best_of(np.array([[1.0, 0.0]]), v, np.array([9, 4, 1, 6]), 2)
     assert place.tolist() == [1, 3] and query.tolist() == [0, 0] and score.tolist() == [1.0, 1.0]
+
+
+def test_merged_keeps_the_best_of_each_query_once():
+    rows = np.array([(1, 0, -2.0, 5, 0), (1, 0, -3.0, 6, 0), (1, 0, -3.0, 6, 0), (2, 0, -1.0, 5, 0), (1, 0, -3.0, 4, 0), (1, 7, 0.0, 9, 0)], neighbours._FOUND)
+    assert neighbours.merged(rows, 2).tolist() == [(1, 0, -3.0, 4, 0), (1, 0, -3.0, 6, 0), (1, 7, 0.0, 9, 0), (2, 0, -1.0, 5, 0)]
+    assert len(neighbours.merged(rows[:0], 2)) == 0
+
+
+def test_results_do_not_depend_on_what_a_task_holds(spark, monkeypatch):
+    rows = vectors(3000, 8, 4)
+    one = rows_of(nearest(frame(spark, rows), QUERY))
+    monkeypatch.setattr(neighbours, "HELD", 50)
+    assert rows_of(nearest(frame(spark, rows), QUERY)) == one
