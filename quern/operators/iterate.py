@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import use_checkpoints
+from .leastsq import least_squares
 
 
 def repeat(start: DataFrame, step: Callable[[DataFrame], DataFrame], times: int, every: int = 10) -> DataFrame:
@@ -70,8 +71,5 @@ def gradient_descent(df: DataFrame, features: Sequence[str], label: str, rate: f
 
 
 def linear_regression(df: DataFrame, features: Sequence[str], label: str) -> list[float]:
-    """Least squares by the normal equations; a d x d system is solved on the driver."""
-    import numpy as np
-
-    xx, xy, _ = sufficient_statistics(df, features, label)
-    return np.linalg.lstsq(np.array(xx), np.array(xy), rcond=None)[0].tolist()
+    """Least squares by QR factors, which keep what the normal equations square away."""
+    return least_squares(df, features, label)

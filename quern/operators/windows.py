@@ -57,12 +57,6 @@ def moving_average(df: DataFrame, by: Sequence[str], order: Sequence[str], y: st
     return df.withColumn(out, F.sum(y).over(w) / k)
 
 
-def autoregressive(values: Column, a: float, b: float) -> Column:
-    """w[0] = x[0], w[k] = a w[k-1] + b x[k] over an array."""
-    start = F.slice(values, 1, 1)
-    return F.aggregate(F.slice(values, 2, 1 << 30), start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) * a + x * b)))
-
-
 def lagged_overlap(pairs: DataFrame, frame: str, on: Sequence[str], lag: int) -> DataFrame:
     """(frame, kept): how many pairs of each frame still exist `lag` frames later."""
     later = pairs.select((F.col(frame) - lag).alias(frame), *on)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import iterate, linalg, ml
+from ..operators import iterate, leastsq, linalg, ml
 from ..session import table
 from ._registry import query
 
@@ -69,8 +69,7 @@ SELECT round((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / (a + c - sqrt((a -
 """)
 def covariance_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The condition of the second moments of two columns, whose eigenvalues have a closed form."""
-    vectors = table(spark, sf_dir, "lineitem").select(F.array("l_quantity", F.col("l_extendedprice") / 1000.0).alias("v"))
-    number = linalg.condition_number(linalg.gram_dense(vectors, "v"), vectors.count())
+    number = leastsq.condition(table(spark, sf_dir, "lineitem"), ["l_quantity", F.col("l_extendedprice") / 1000.0]) ** 2
     return spark.createDataFrame([(round(number, 4),)], "condition_number double")
 
 
