@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import banded, leastsq, ranges, selection
+from ..operators import banded, leastsq, ranges, selection, similarity
 from ..session import table
 from ._registry import query
 
@@ -93,3 +93,29 @@ def collinear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").withColumn("close", F.col("l_quantity") + F.round(F.col("l_discount") * 100) * _TINY)
     intercept, one, other = leastsq.least_squares(items, ["l_quantity", "close"], F.col("l_extendedprice") / 1000)
     return spark.createDataFrame([(round(intercept, 3), round(one + other, 2), round(other * _TINY, 4))], "intercept double, together double, apart double")
+
+
+def _cosine_sql(row: str, column: str, threshold: float) -> str:
+    return f"""
+WITH c AS (SELECT {row} AS i, {column} AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+u AS (SELECT i, k, v / sqrt(sum(v * v) OVER (PARTITION BY i)) AS v FROM c)
+SELECT i, j, round(cosine, 6) AS cosine FROM (SELECT a.i, b.i AS j, sum(a.v * b.v) AS cosine FROM u a JOIN u b ON a.k = b.k AND a.i < b.i GROUP BY 1, 2) WHERE cosine >= {threshold}
+"""
+
+
+def _cells(spark: SparkSession, sf_dir: str, row: str, column: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col(row).alias("i"), F.col(column).alias("k")).agg(F.sum("l_quantity").alias("v"))
+
+
+@query(_cosine_sql("l_partkey", "l_suppkey", 0.523456))
+def similar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by how much each supplier delivers of them: a quarter of the cells are there, so prefixes are long."""
+    found = similarity.similarity_join(_cells(spark, sf_dir, "l_partkey", "l_suppkey"), 0.523456, 0.25)
+    return found.select("i", "j", F.round("cosine", 6).alias("cosine"))
+
+
+@query(_cosine_sql("l_orderkey", "l_partkey", 0.723456))
+def similar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by their parts, a few of very many."""
+    found = similarity.similarity_join(_cells(spark, sf_dir, "l_orderkey", "l_partkey"), 0.723456)
+    return found.select("i", "j", F.round("cosine", 6).alias("cosine"))
