@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels.order_statistics import sliding_medians
+
 
 #: Frames of a running median that are one group: longer series are cut, with a frame's overlap on both sides.
 FRAMES = 64
@@ -16,17 +21,28 @@ def running_median(df: DataFrame, by: Sequence[str], t: str, y: str, half: float
     """The exact median of y within half of t on both sides, ends included.
 
     A series is cut into spans of FRAMES half-widths. A row goes to each span that its reach touches, and has its result in
-    its own, so a series of any length is work for many tasks. Rows without t are a span of their own.
+    its own, so a series of any length is work for many tasks. Along a span two heaps follow the frame, at the logarithm of
+    its rows for each row that enters or leaves. Rows without t are a frame of their own. Null and NaN values don't count; a
+    frame of none has null.
     """
     span = F.lit(half * FRAMES)
     at = F.floor(F.col(t) / span)
     reach = half * (1.0 + 1e-9)
     spans = F.sequence(F.floor((F.col(t) - F.lit(reach)) / span), F.floor((F.col(t) + F.lit(reach)) / span))
     dealt = df.withColumn("__home", at).withColumn("__span", F.explode_outer(spans))
-    groups = ", ".join(f"`{c}`" for c in [*by, "__span"])
-    frame = f"PARTITION BY {groups} ORDER BY `{t}` RANGE BETWEEN {half!r}D PRECEDING AND {half!r}D FOLLOWING"
-    found = dealt.withColumn(out, F.expr(f"percentile(`{y}`, 0.5D) OVER ({frame})"))
-    return found.where(F.col("__home").eqNullSafe(F.col("__span"))).drop("__home", "__span")
+
+    def follow(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(t)
+        number = lambda c: rows.column(c).cast(pa.float64()).to_numpy()  # noqa: E731  null becomes NaN
+        home, here = rows.column("__home"), rows.column("__span")
+        own = pc.or_kleene(pc.equal(home, here), pc.is_null(here)).to_numpy(zero_copy_only=False).astype(bool)
+        when = np.zeros(len(rows)) if here[0].as_py() is None else number(t)
+        trend = sliding_medians(when, number(y), half, own)
+        kept = pa.array(own)
+        return rows.filter(kept).drop_columns(["__home", "__span"]).append_column(out, pa.array(trend[own], from_pandas=True))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return dealt.groupBy(*by, "__span").applyInArrow(follow, f"{fields}, `{out}` double")
 
 
 def prefix_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], y: str, out: str = "mean") -> DataFrame:
