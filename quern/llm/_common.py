@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders that stash() wrote and nothing deleted yet.
-_made: list[str] = []
+#: Folders that stash() wrote since the settle() that runs in this thread began; none if none runs.
+_run: ContextVar[list[str] | None] = ContextVar("run", default=None)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/quern/{spark.sparkContext.applicationId}"
 
 
 def stash(df: DataFrame, name: str, codec: str = "snappy", by: Sequence[str] = ()) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs nothing. by: folders by value."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _run.get()) is not None:
+        made.append(path)
     df.write.option("compression", codec).partitionBy(*by).parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,25 +52,36 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def drop_stash(df: DataFrame) -> None:
     """Delete the files of tables that stash() wrote and nothing needs any more."""
     spark = df.sparkSession
-    for folder in {f[: f.index("/", f.index("/quern/") + 7)] for f in df.inputFiles() if "/quern/" in f}:
+    mark = f"/quern/{spark.sparkContext.applicationId}/"
+    for folder in {f[: f.index("/", f.index(mark) + len(mark))] for f in df.inputFiles() if mark in f}:
         _delete(spark, folder)
-        _made[:] = [m for m in _made if not folder.endswith(m.split(":", 1)[-1].lstrip("/"))]
 
 
 def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Stash what make() returns, and delete all tables that were stashed on the way to it."""
-    before = set(_made)
-    done = stash(make(), name)
-    for folder in [m for m in _made[:-1] if m not in before]:
-        _delete(done.sparkSession, folder)
-        _made.remove(folder)
+    """Stash what make() returns, and delete all tables that it stashed on the way to it, also if it fails.
+
+    They are told by a list of this run, so what other threads, sessions and applications write in the meantime stays.
+    """
+    made: list[str] = []
+    token = _run.set(made)
+    kept = None
+    try:
+        rows = make()
+        done, kept = stash(rows, name), made[-1]
+    finally:
+        _run.reset(token)
+        spark = SparkSession.active()
+        for folder in made:
+            if folder != kept:
+                _delete(spark, folder)
+    if (outer := _run.get()) is not None:
+        outer.append(kept)
     return done
 
 
 def clear_stash(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this and earlier queries; results that still read them must be written first."""
-    _delete(spark, f"{shared_folder(spark)}/quern")
-    _made.clear()
+    """Delete all intermediate tables of this application; results that still read them must be written first."""
+    _delete(spark, own_folder(spark))
 
 
 def neutral(docs: DataFrame, *keep: str) -> DataFrame:

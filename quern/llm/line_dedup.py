@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.checkpoints import shared_folder
-from ._common import BLANKS, LOWER, PLACE, UPPER, attach, drop_stash, located, may_hold, neutral, stash, table
+from ._common import BLANKS, LOWER, PLACE, UPPER, attach, drop_stash, located, may_hold, neutral, own_folder, stash, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Documents of a batch, and the fewest batches that a table is dealt into.
@@ -71,10 +70,16 @@ class LineRuns:
 
     def settled(self) -> DataFrame:
         """(h1, h2, keeper) of the keys of at least min_docs documents; the runs are deleted. A key is settled in one run."""
-        found = [self.spark.table(run).where(F.col("n_docs") >= self.min_docs).select(*HASH, "keeper") for run in self._runs()]
-        done = stash(reduce(DataFrame.unionByName, found), "settled-lines")
+        try:
+            found = [self.spark.table(run).where(F.col("n_docs") >= self.min_docs).select(*HASH, "keeper") for run in self._runs()]
+            return stash(reduce(DataFrame.unionByName, found), "settled-lines")
+        finally:
+            self.drop()
+
+    def drop(self) -> None:
+        """Delete all runs, those of a failed write too."""
         self._drop(self._runs())
-        return done
+        self.levels = []
 
     def add(self, keys: DataFrame) -> None:
         """keys: (doc_id, h1, h2), a row for each document and distinct key."""
@@ -97,19 +102,20 @@ class LineRuns:
         if level == len(self.levels):
             self.levels.append([])
         name = f"quern_line_run_{uuid.uuid4().hex}"
-        write = rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{shared_folder(self.spark)}/quern/{name}")
-        write.saveAsTable(name)
         self.levels[level].append(name)
+        rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{own_folder(self.spark)}/{name}").saveAsTable(name)
         if len(self.levels[level]) == self.fan_in:
-            runs, self.levels[level] = self.levels[level], []
+            runs = self.levels[level]
             self._put(level + 1, reduce(self._merge, map(self.spark.table, runs)))
+            self.levels[level] = []
             self._drop(runs)
 
     def _drop(self, runs: Sequence[str]) -> None:
         for run in runs:
-            files = self.spark.table(run)
-            drop_stash(files)
-            self.spark.sql(f"DROP TABLE {run}")
+            if self.spark.catalog.tableExists(run):
+                files = self.spark.table(run)
+                drop_stash(files)
+                self.spark.sql(f"DROP TABLE {run}")
 
 
 def _cuts(docs: DataFrame, batches: int | None) -> list:
@@ -145,8 +151,12 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int | Non
 def build_runs(lines: DataFrame, min_docs: int = MIN_DOCS) -> LineRuns:
     """Feed the lines to LineRuns batch by batch, the highest ids first."""
     runs = LineRuns(lines.sparkSession, min_docs)
-    for batch in sorted(r[0] for r in lines.select("batch").distinct().collect()):
-        runs.add(lines.where((F.col("batch") == batch) & F.col("first")).select("doc_id", *HASH))
+    try:
+        for batch in sorted(r[0] for r in lines.select("batch").distinct().collect()):
+            runs.add(lines.where((F.col("batch") == batch) & F.col("first")).select("doc_id", *HASH))
+    except BaseException:
+        runs.drop()
+        raise
     return runs
 
 

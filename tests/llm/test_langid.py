@@ -1,9 +1,11 @@
 import math
+import random
 import re
 import time
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import langid
@@ -113,3 +115,22 @@ def test_awkward_pages(spark, sf_dir):
     names = ("page_id", "host", "declared", "text_lang", "lang", "probability")
     got = rows_of(identify(clash.repartition(3), docs), *names)
     assert got == rows_of(identify(plain, docs), *names) and len(got) == 5 and {r[4] for r in got if r[0] == 1} == {got[0][4]}
+
+
+def test_visible_text_is_what_the_patterns_say():
+    """The same as by patterns that look for each opening's end anew, on pages of all sorts of pieces."""
+    hidden = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<head\b.*?</head\s*>")
+    rng = random.Random(6)
+    pieces = ["<script>", "</script>", "</SCRIPT >", "<style a=1>", "</style>", "<!--", "-->", "<!-->", "<head>", "</head\n>", "<header>", "<p>", "<", ">", "&amp;", "&", "word", " ", "<noscript", "</noscript>", "<template/>", "</template>", "<br/"]
+    for _ in range(3000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        by_patterns = re.sub(r"&(?:#\d+|#x[0-9a-fA-F]+|\w+);", " ", re.sub(r"(?s)<[^>]*>", " ", hidden.sub(" ", html)))
+        assert visible_text(html) == by_patterns, html
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script ", "<head ", "<", "<style>a</style", "&a", "</script ", "<!-- -", "<template><"])
+def test_visible_text_of_hostile_pages_takes_linear_time(piece):
+    html = piece * (4_000_000 // len(piece))
+    began = time.perf_counter()
+    visible_text(html)
+    assert time.perf_counter() - began < 8  # a second on a machine at rest; minutes where an end is sought at each opening

@@ -1,3 +1,6 @@
+import pathlib
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -55,16 +58,22 @@ def test_awkward_and_empty_tables(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, write_tables(spark, f"{tmp_path}/c", plain.limit(0), sf_dir)).select(*names).count() == 0
 
 
-def test_what_stages_wrote_is_deleted(spark, sf_dir):
+def test_two_pipelines_at_once(spark, sf_dir):
+    """Each keeps its tables until its result is read, and deletes what its stages wrote on the way."""
     from quern.llm import _common
 
-    before = set(_common._made)
-    packed = corpus_pipeline.run(spark, sf_dir)
-    left = {m.rsplit("/", 1)[1].rsplit("-", 1)[0] for m in _common._made if m not in before}
-    assert left <= {"tokens", "bases", "parts", "sources"} and packed.count() > 0
+    names = ("doc_id", "start", "length", "ids_crc32", "sequence_id", "offset")
+    folder = pathlib.Path(_common.own_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.glob("*")}
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(corpus_pipeline.run, spark, sf_dir) for _ in range(2)]
+        one, other = (sorted(map(tuple, r.result().select(*names).collect())) for r in runs)
+    assert one == other and len(one) > 100
+    left = {p.name.rsplit("-", 1)[0] for p in folder.glob("*") if p.name not in before}
+    assert left <= {"tokens", "bases", "parts", "sources"}
 
 
 def test_registry_is_whole():
-    assert [name.split("_")[0] for name in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [name.split("_")[0] for name in registry.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5

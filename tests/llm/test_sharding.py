@@ -1,8 +1,10 @@
 import hashlib
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm._common import in_order
@@ -98,6 +100,34 @@ def test_stash_is_written_and_cleared(spark):
     from quern.llm._common import clear_stash, stash
 
     table = stash(spark.range(5), "numbers")
-    assert table.count() == 5 and all("/quern/numbers-" in f for f in table.inputFiles())
+    assert table.count() == 5 and all(f"/quern/{spark.sparkContext.applicationId}/numbers-" in f for f in table.inputFiles())
     clear_stash(spark)
     assert stash(spark.range(3), "numbers").count() == 3
+
+
+def test_runs_delete_their_own_tables_alone(spark):
+    """Another query's table stays while a run settles, in this thread and in others; a run that fails leaves none."""
+    from quern.llm import _common
+
+    other = _common.stash(spark.range(5), "other")
+    held = []
+
+    def make():
+        held.append(_common.stash(spark.range(3), "own"))
+        with ThreadPoolExecutor(1) as pool:
+            held.append(pool.submit(_common.settle, lambda: _common.stash(spark.range(4), "theirs"), "their-result").result())
+        return held[0].withColumn("x", F.lit(1))
+
+    done = _common.settle(make, "result")
+    assert done.count() == 3 and other.count() == 5 and held[1].count() == 4
+    with pytest.raises(Exception, match="not_there|PATH_NOT_FOUND|FILE_NOT_EXIST|not exist"):
+        held[0].count()
+
+    def fail():
+        held.append(_common.stash(spark.range(6), "failing"))
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        _common.settle(fail, "never")
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|not exist"):
+        held[2].count()
