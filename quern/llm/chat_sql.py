@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chat import _NO_BLANKS, MIN_CHARS, SHARE, WORDS
+from .chat import _NO_BLANKS, MIN_CHARS, REPLY_EVERY, REPLY_TURN, SHARE, WORDS
 
 _LINES = "string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
 _ATTRIBUTION = r"(?i)[ \t]*(?:on .+ wrote|am .+ schrieb .+|le .+ a écrit|el .+ escribió)[ \t]*:[ \t]*"
@@ -17,8 +17,8 @@ def _windows(source: str, keep: str) -> str:
     return f"SELECT DISTINCT {keep}, unnest({keys}) AS key FROM {source} WHERE len(w) > 0"
 
 
-OP8_SQL = f"""
-WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+LINKS_SQL = f"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM {{messages}}),
 raw AS (SELECT rid, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS pos FROM m),
 marked AS (SELECT rid, pos, line, regexp_extract(line, '^[ \t>]*') AS marks FROM raw),
 levelled AS (SELECT rid, pos, length(marks) - length(replace(marks, '>', '')) AS level, CASE WHEN contains(marks, '>') THEN substr(line, length(marks) + 1) ELSE line END AS body FROM marked),
@@ -44,8 +44,10 @@ votes AS (SELECT conv_id, turn, text, seg, level, CASE which WHEN 0 THEN conv_id
 best AS (SELECT v.*, size FROM votes v JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM v.conv_id AND s.turn IS NOT DISTINCT FROM v.turn AND s.text = v.text AND s.seg = v.seg
   QUALIFY row_number() OVER (PARTITION BY v.conv_id, v.turn, v.text, v.seg ORDER BY n DESC, {_ORDER.format(a='v')}) = 1),
 linked AS MATERIALIZED (SELECT * FROM best WHERE n * {SHARE} >= size),
-stats AS (SELECT s.conv_id, s.turn, count(*) AS n_quoted, count(l.seg) AS n_linked FROM sizes s
-  LEFT JOIN linked l ON l.conv_id IS NOT DISTINCT FROM s.conv_id AND l.turn IS NOT DISTINCT FROM s.turn AND l.text = s.text AND l.seg = s.seg GROUP BY s.conv_id, s.turn),
+stats AS (SELECT s.conv_id, s.turn, s.text, count(*) AS n_quoted, count(l.seg) AS n_linked FROM sizes s
+  LEFT JOIN linked l ON l.conv_id IS NOT DISTINCT FROM s.conv_id AND l.turn IS NOT DISTINCT FROM s.turn AND l.text = s.text AND l.seg = s.seg GROUP BY s.conv_id, s.turn, s.text),
+own_sums AS (SELECT conv_id, turn, text, level, to_conv, to_turn, sum(n) AS n FROM linked WHERE turn IS NOT NULL GROUP BY ALL),
+own_up AS MATERIALIZED (SELECT conv_id, turn, text, to_conv, to_turn FROM own_sums QUALIFY row_number() OVER (PARTITION BY conv_id, turn, text ORDER BY level, n DESC, {_ORDER.format(a='own_sums')}) = 1),
 sums AS (SELECT conv_id, turn, level, to_conv, to_turn, sum(n) AS n FROM linked WHERE turn IS NOT NULL GROUP BY ALL),
 up AS MATERIALIZED (SELECT conv_id, turn, to_conv, to_turn FROM sums QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, {_ORDER.format(a='sums')}) = 1),
 walk AS (SELECT conv_id AS c, turn AS t, to_conv AS at_c, to_turn AS at_t, [{{'no': conv_id IS NULL, 'c': conv_id, 't': turn}}] AS path FROM up
@@ -57,12 +59,20 @@ climb AS (SELECT conv_id AS c, turn AS t, to_conv AS at_c, to_turn AS at_t, 1 AS
   UNION ALL SELECT k.c, k.t, u.to_conv, u.to_turn, depth + 1 FROM climb k JOIN tree u ON u.conv_id IS NOT DISTINCT FROM k.at_c AND u.turn = k.at_t),
 roots AS (SELECT c, t, arg_max({{'c': at_c, 't': at_t}}, depth) AS root, max(depth) AS depth FROM climb GROUP BY c, t),
 bare AS (SELECT rid, trim(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0), ''), chr(10)) AS bare FROM lines GROUP BY rid),
-placed AS (SELECT m.conv_id, m.turn, m.role, CASE WHEN contains(m.text, '>') THEN coalesce(bare, '') ELSE m.text END AS text, t.to_conv AS parent_conv, t.to_turn AS parent_turn,
-    CASE WHEN r.t IS NOT NULL THEN r.root.c ELSE m.conv_id END AS root_conv, CASE WHEN r.t IS NOT NULL THEN r.root.t ELSE m.turn END AS root_turn, coalesce(r.depth, 0) AS depth,
+mine AS (SELECT o.*, coalesce(r.root.c, CASE WHEN r.t IS NULL THEN o.to_conv END) AS root_conv, coalesce(r.root.t, o.to_turn) AS root_turn, coalesce(r.depth, 0) + 1 AS depth
+  FROM own_up o JOIN tree t ON t.conv_id IS NOT DISTINCT FROM o.conv_id AND t.turn = o.turn LEFT JOIN roots r ON r.c IS NOT DISTINCT FROM o.to_conv AND r.t = o.to_turn),
+placed AS (SELECT m.conv_id, m.turn, m.role, CASE WHEN contains(m.text, '>') THEN coalesce(bare, '') ELSE m.text END AS text, o.to_conv AS parent_conv, o.to_turn AS parent_turn,
+    CASE WHEN o.to_turn IS NOT NULL THEN o.root_conv ELSE m.conv_id END AS root_conv, CASE WHEN o.to_turn IS NOT NULL THEN o.root_turn ELSE m.turn END AS root_turn, coalesce(o.depth, 0) AS depth,
     coalesce(s.n_quoted, 0) AS n_quoted, coalesce(s.n_linked, 0) AS n_linked
-  FROM m LEFT JOIN bare USING (rid) LEFT JOIN roots r ON r.c IS NOT DISTINCT FROM m.conv_id AND r.t = m.turn LEFT JOIN tree t ON t.conv_id IS NOT DISTINCT FROM m.conv_id AND t.turn = m.turn
-  LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.turn IS NOT DISTINCT FROM m.turn)
+  FROM m LEFT JOIN bare USING (rid) LEFT JOIN mine o ON o.conv_id IS NOT DISTINCT FROM m.conv_id AND o.turn = m.turn AND o.text = m.text
+  LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.turn IS NOT DISTINCT FROM m.turn AND s.text = m.text)
 SELECT conv_id, turn, role, parent_conv, parent_turn, root_conv, root_turn, depth, n_quoted, n_linked, text,
        row_number() OVER (PARTITION BY root_conv ORDER BY root_turn NULLS FIRST, depth, conv_id NULLS LAST, turn NULLS FIRST, role NULLS FIRST, text) - 1 AS position
 FROM placed
 """
+
+#: As with_replies makes them.
+_REPLIES = f"""(SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT conv_id, turn + {REPLY_TURN}, 'reply', 'On Monday, A. wrote:' || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || 'Thank you, noted.'
+  FROM conversations WHERE conv_id % {REPLY_EVERY} = 0 AND length(trim(text)) BETWEEN 1 AND {1 << 20})"""
+OP8_SQL = LINKS_SQL.replace("{messages}", _REPLIES)

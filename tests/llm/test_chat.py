@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm import chat
 from quern.llm.chat import conversations, link_passages, op8_quotation_links, own_text, reply_tree, segments, words_of
 
-from quern.llm.chat_sql import OP8_SQL
+from quern.llm.chat_sql import LINKS_SQL, OP8_SQL
 
 from .helpers import rows_of
 
@@ -209,7 +209,7 @@ def by_sql(rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
-    return sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({OP8_SQL})").fetchall(), key=repr)
+    return sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({LINKS_SQL.replace('{messages}', 'conversations')})").fetchall(), key=repr)
 
 
 def test_sql_equals_operator(spark):
@@ -263,8 +263,35 @@ def test_parts_of_a_message():
     assert segments("> " + "On " + "x" * 5000 + " wrote:\n>> y")[0] == (2, ["y"])
 
 
-def test_query_keeps_all_messages(spark, sf_dir):
+SHARED = [
+    (1, 0, "a", "the very first words of this whole thread"),
+    (1, 1, "b", "> the very first words of this whole thread\nan answer that is quoted further on"),
+    (2, 1, "a", "> the very first words of this whole thread\none of two that share a turn"),
+    (2, 1, "b", "another one which quotes nothing at all"),
+    (2, 1, "c", "> an answer that is quoted further on\na third one which quotes a reply"),
+    (3, 0, "d", "> another one which quotes nothing at all\nas I said"),
+]
+
+
+def test_messages_that_share_a_turn_have_their_own_parents(spark):
+    got = {(r[0], r[1], r[10][:7]): r[2:7] + r[8:10] for r in build(spark, SHARED)}
+    assert got[2, 1, "one of "] == (1, 0, 1, 0, 1, 1, 1)
+    assert got[2, 1, "another"] == (None, None, 2, 1, 0, 0, 0)
+    assert got[2, 1, "a third"] == (1, 1, 1, 0, 2, 1, 1)
+    # who quotes the turn stands below what its messages reply to, together
+    assert got[3, 0, "as I sa"] == (2, 1, 1, 0, 2, 1, 1)
+    assert by_sql(SHARED) == build(spark, SHARED)
+
+
+def test_query_links_its_replies_and_keeps_all_messages(spark, sf_dir):
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    assert link_passages(messages).count() == 0  # the given ones quote nothing
     found = op8_quotation_links(spark, sf_dir)
-    assert rows_of(found, "conv_id", "turn", "role") == rows_of(messages, "conv_id", "turn", "role")
-    assert found.where(F.col("position") != F.col("turn")).count() == 0 and link_passages(messages).count() == 0 and chat.WORDS == 5
+    assert rows_of(found.where("role <> 'reply'"), "conv_id", "turn", "role") == rows_of(messages, "conv_id", "turn", "role")
+    replies = found.where("role = 'reply'").collect()
+    assert len(replies) > 10 and all(r.n_quoted == 1 and r.text == "Thank you, noted." for r in replies)
+    assert sum(r.n_linked for r in replies) > 0.8 * len(replies)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    columns = [*COLUMNS, "role"]
+    assert sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({OP8_SQL})").fetchall(), key=repr) == rows_of(found, *columns)
