@@ -75,4 +75,5 @@ FROM placed
 _REPLIES = f"""(SELECT conv_id, turn, role, text FROM conversations UNION ALL
   SELECT conv_id, turn + {REPLY_TURN}, 'reply', 'On Monday, A. wrote:' || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || 'Thank you, noted.'
   FROM conversations WHERE conv_id % {REPLY_EVERY} = 0 AND length(trim(text)) BETWEEN 1 AND {1 << 20})"""
-OP8_SQL = LINKS_SQL.replace("{messages}", _REPLIES)
+OP8_SQL = LINKS_SQL.replace("{messages}", "conversations")
+REPLIES_SQL = LINKS_SQL.replace("{messages}", _REPLIES)

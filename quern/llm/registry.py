@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .chat import op8_quotation_links
-from .chat_sql import OP8_SQL
+from .chat import op8_quotation_links, op8_quoted_replies
+from .chat_sql import OP8_SQL, REPLIES_SQL
 from .decontam import op10_fm_decontamination
 from .decontam_sql import OP10_SQL
 from .filter_audit import OP12_SQL, op12_filter_audit
@@ -34,6 +34,7 @@ QUERIES = {
         op11_projection_forest,
         op12_filter_audit,
         op13_token_alignment,
+        op8_quoted_replies,
     )
 }
 
@@ -42,6 +43,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_feistel_shards": OP5_SQL,
     "op6_merkle_fixity": OP6_SQL,
     "op8_quotation_links": OP8_SQL,
+    "op8_quoted_replies": REPLIES_SQL,
     "op10_fm_decontamination": OP10_SQL,
     "op12_filter_audit": OP12_SQL,
 }

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import chat
-from quern.llm.chat import conversations, link_passages, op8_quotation_links, own_text, reply_tree, segments, words_of
+from quern.llm.chat import conversations, link_passages, op8_quotation_links, op8_quoted_replies, own_text, reply_tree, segments, words_of
 
-from quern.llm.chat_sql import LINKS_SQL, OP8_SQL
+from quern.llm.chat_sql import OP8_SQL, REPLIES_SQL
 
 from .helpers import rows_of
 
@@ -209,7 +209,7 @@ def by_sql(rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
-    return sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({LINKS_SQL.replace('{messages}', 'conversations')})").fetchall(), key=repr)
+    return sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({OP8_SQL})").fetchall(), key=repr)
 
 
 def test_sql_equals_operator(spark):
@@ -286,7 +286,9 @@ def test_messages_that_share_a_turn_have_their_own_parents(spark):
 def test_query_links_its_replies_and_keeps_all_messages(spark, sf_dir):
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     assert link_passages(messages).count() == 0  # the given ones quote nothing
-    found = op8_quotation_links(spark, sf_dir)
+    plain = op8_quotation_links(spark, sf_dir)
+    assert rows_of(plain, "conv_id", "turn", "role") == rows_of(messages, "conv_id", "turn", "role") and plain.where("n_quoted > 0").count() == 0
+    found = op8_quoted_replies(spark, sf_dir)
     assert rows_of(found.where("role <> 'reply'"), "conv_id", "turn", "role") == rows_of(messages, "conv_id", "turn", "role")
     replies = found.where("role = 'reply'").collect()
     assert len(replies) > 10 and all(r.n_quoted == 1 and r.text == "Thank you, noted." for r in replies)
@@ -294,4 +296,4 @@ def test_query_links_its_replies_and_keeps_all_messages(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
     columns = [*COLUMNS, "role"]
-    assert sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({OP8_SQL})").fetchall(), key=repr) == rows_of(found, *columns)
+    assert sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({REPLIES_SQL})").fetchall(), key=repr) == rows_of(found, *columns)

@@ -74,6 +74,6 @@ def test_two_pipelines_at_once(spark, sf_dir):
 
 
 def test_registry_is_whole():
-    assert [name.split("_")[0] for name in registry.QUERIES] == [f"op{i}" for i in range(1, 14)]
+    assert list(dict.fromkeys(name.split("_")[0] for name in registry.QUERIES)) == [f"op{i}" for i in range(1, 14)]
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
