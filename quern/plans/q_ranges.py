@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import banded, leastsq, ranges, selection, similarity
+from ..operators import banded, kdtree, leastsq, ranges, selection, similarity
+from ..operators.checkpoints import shared_folder
 from ..session import table
 from ._registry import query
 
@@ -119,3 +122,37 @@ def similar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by their parts, a few of very many."""
     found = similarity.similarity_join(_cells(spark, sf_dir, "l_orderkey", "l_partkey"), 0.723456)
     return found.select("i", "j", F.round("cosine", 6).alias("cosine"))
+
+
+_DEPTH, _AXES = 4, ("x", "y", "z")
+
+
+def _kd_sql(depth: int) -> str:
+    wide = ", ".join(f"max({a}) OVER (PARTITION BY node) - min({a}) OVER (PARTITION BY node) AS w{a}" for a in _AXES)
+    parts = ["WITH n0 AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, 0 AS node FROM embeddings)"]
+    for i in range(depth):
+        value = "CASE WHEN wx >= wy AND wx >= wz THEN x WHEN wy >= wz THEN y ELSE z END"
+        ranked = f"SELECT *, row_number() OVER (PARTITION BY node ORDER BY {value}, vec_id) AS r, count(*) OVER (PARTITION BY node) AS n FROM (SELECT *, {wide} FROM n{i})"
+        parts.append(f"n{i + 1} AS (SELECT vec_id, x, y, z, 2 * node + (r > (n + 1) // 2)::INT AS node FROM ({ranked}))")
+    return ", ".join(parts)
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(a) for i, a in enumerate(_AXES)])
+
+
+@query(f"{_kd_sql(_DEPTH)} SELECT vec_id, node AS leaf FROM n{_DEPTH}")
+def kd_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf of each vector in a tree over its first three coordinates."""
+    points = _points(spark, sf_dir)
+    return kdtree.build(points, "vec_id", _AXES, _DEPTH).place(points).select("vec_id", "leaf")
+
+
+@query("SELECT vec_id FROM embeddings WHERE embedding[1] BETWEEN -0.05 AND 0.1 AND embedding[2] BETWEEN 0 AND 0.2 AND embedding[3] BETWEEN -0.1 AND 0.05")
+def kd_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of the same space, read from the leaves that it meets."""
+    points, path = _points(spark, sf_dir), f"{shared_folder(spark)}/kd-{uuid.uuid4().hex}"
+    placed = kdtree.build(points, "vec_id", _AXES, _DEPTH).place(points)
+    kdtree.write_leaves(placed, path)
+    bounds = kdtree.boxes(spark.read.parquet(path), _AXES)
+    return kdtree.read_box(spark, path, bounds, _AXES, (-0.05, 0.0, -0.1), (0.1, 0.2, 0.05)).select("vec_id")
