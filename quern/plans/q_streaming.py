@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import events as S
+from ..streaming import frames
 from ._registry import query
 
 
@@ -68,3 +69,20 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
     joined = S.event_stream(spark, sf_dir).join(suppliers, F.col("user_id") == F.col("s_suppkey"))
     return S.to_table(joined.groupBy("s_name").agg(F.count("*").alias("n")), "complete")
+
+
+@query("""
+SELECT a.user_id, a.event_type, a.event_id AS earlier, b.event_id AS later FROM events a JOIN events b
+ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id <> b.event_id AND b.ts >= a.ts + INTERVAL 1 MINUTE AND b.ts <= a.ts + INTERVAL 12 HOURS
+""")
+def stream_lagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events of one type that follow each other within half a day."""
+    return S.to_table(S.lagged_pairs(S.event_stream(spark, sf_dir), ["user_id", "event_type"], "1 MINUTE", "12 HOURS"), "append")
+
+
+@query("SELECT floor(value / 10)::BIGINT AS bin, count(*) AS n FROM events GROUP BY 1")
+def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running histogram over the row groups of a table, a frame each."""
+    frames.register(spark)
+    rows = spark.readStream.format("frames").schema("event_id long, value double").load(f"{sf_dir}/events.parquet")
+    return S.to_table(S.running_histogram(rows, F.floor(F.col("value") / 10)), "complete")

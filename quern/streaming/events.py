@@ -71,6 +71,21 @@ def merged(streams: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def lagged_pairs(events: DataFrame, on: list[str], low: str, high: str, late: str = "1 day") -> DataFrame:
+    """(on..., earlier, later) of event ids: pairs that agree in on, the later one from low to high after the earlier one.
+
+    A join of the stream with itself. Both sides have a watermark and the condition bounds their distance in time, so a side
+    keeps a row only as long as a partner can still come; in batch the same rows come out of the same plan.
+    """
+    one = events.withWatermark("ts", late).select(*[F.col(c).alias(f"a_{c}") for c in on], F.col("ts").alias("a_ts"), F.col("event_id").alias("earlier"))
+    other = events.withWatermark("ts", late).select(*[F.col(c).alias(f"b_{c}") for c in on], F.col("ts").alias("b_ts"), F.col("event_id").alias("later"))
+    same = F.col("earlier") != F.col("later")
+    for c in on:
+        same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
+    when = F.expr(f"b_ts >= a_ts + INTERVAL {low} AND b_ts <= a_ts + INTERVAL {high}")
+    return one.join(other, same & when).select(*[F.col(f"a_{c}").alias(c) for c in on], "earlier", "later")
+
+
 def _tick(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State: calls so far, and count and sum of the open tick. The first tick closes with the eleventh call, later ones with every tenth."""
     calls, n, total, tick = state.get if state.exists else (0, 0, 0.0, 0)
