@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import events as S
-from ..streaming import frames
+from ..streaming import frames, ticks
 from ._registry import query
 
 
@@ -86,3 +86,15 @@ def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames.register(spark)
     rows = spark.readStream.format("frames").schema("event_id long, value double").load(f"{sf_dir}/events.parquet")
     return S.to_table(S.running_histogram(rows, F.floor(F.col("value") / 10)), "complete")
+
+
+@query("""
+WITH c AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS calls, max(ts) OVER (PARTITION BY user_id) AS last, max(ts) OVER () AS now FROM events),
+t AS (SELECT *, greatest(ceil(i / 10.0) - 1, 0)::BIGINT AS tick FROM c)
+SELECT user_id, tick, count(*) AS n, round(avg(value), 9) AS mean_value, tick >= (any_value(calls) - 1) // 10 AS flushed FROM t
+WHERE tick < (calls - 1) // 10 OR last + INTERVAL 6 HOURS < now - INTERVAL 1 HOUR GROUP BY user_id, tick
+""")
+def stream_flushed_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of each user, the open one too where the user has been silent for six hours."""
+    found = S.to_table(ticks.flushed_ticks(S.event_stream(spark, sf_dir), 6 * 3600), "append", **dict([ticks.PROVIDER]))
+    return found.select("user_id", "tick", "n", F.round("mean_value", 9).alias("mean_value"), "flushed")

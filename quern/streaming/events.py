@@ -27,16 +27,26 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 100)
     return source.parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """Run what is available now to its end, and return the sink's rows: all of them in append mode, the last result in complete mode."""
+def to_table(stream: DataFrame, mode: str, at: str | None = None, **conf: str) -> DataFrame:
+    """Run what is available now to its end, and return the sink's rows: all of them in append mode, the last result in complete mode.
+
+    at: the folder of rows and checkpoint, a new one by default. conf: settings that the query starts with.
+    """
     spark = stream.sparkSession
-    at = folder(spark)
+    at = at or folder(spark)
 
     def sink(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{at}/rows/batch={batch if mode == 'append' else 0}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{at}/rows/*")
 
 

@@ -1,11 +1,13 @@
 """Streams that start again, and joins of streams, against their batch forms."""
 
+from collections import Counter
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from quern.streaming import events as S
-from quern.streaming import frames
+from quern.streaming import frames, ticks
 
 
 def test_frames_go_on_after_a_restart(spark, tmp_path):
@@ -46,3 +48,23 @@ def test_pairs_over_many_batches_equal_one_batch(spark, sf_dir, tmp_path):
     want = S.lagged_pairs(events, ["user_id"], "0 SECONDS", "20 HOURS")
     key = lambda df: sorted(map(tuple, df.select("earlier", "later").collect()))
     assert key(found) == key(want) and len(key(want)) > 100
+
+
+def test_open_ticks_are_flushed_on_time(spark, tmp_path):
+    """Two batches: a silent user's open tick comes with the second one's watermark; the others' stay in state."""
+    schema = "event_id long, ts timestamp, user_id long, value double"
+    at = lambda user, first, n, hour: [(first + i, f"2024-01-01 {hour:02}:00:{i:02}", user, float(i)) for i in range(n)]
+    parts = [at(1, 0, 13, 1) + at(2, 100, 25, 1), at(2, 200, 3, 9)]
+
+    def run(rows, n):
+        spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        found = S.to_table(ticks.flushed_ticks(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), 3600), "append", f"{tmp_path}/run", **dict([ticks.PROVIDER]))
+        return sorted(map(tuple, found.collect()))
+
+    (tmp_path / "in").mkdir()
+    first = [(1, 0, 11, 5.0, False), (2, 0, 11, 5.0, False), (2, 1, 10, 15.5, False)]
+    assert run(parts[0], 0) == first
+    state = spark.read.format("statestore").option("stateVarName", "open").load(f"{tmp_path}/run/checkpoint")
+    assert Counter(r.key.user_id for r in state.collect()) == {1: 2, 2: 4}
+    # at nine the clock stands at eight: user 2's own old timer is replaced by its new events
+    assert run(parts[1], 1) == sorted([*first, (1, 1, 2, 11.5, True)])
