@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalar import header_name, padded_header
+from ..operators.checkpoints import use_checkpoints
 from . import hdf5
+from .committed import staging, write_blocks
 
 BLOCK, CARD = 2880, 80
 #: Fixed values of the format: bits of a pixel and NumPy's name of its type.
@@ -208,20 +210,22 @@ class Hdf5Exposure(ExposureSource):
 
     @staticmethod
     def write(source: ExposureSource, path: str, planes: tuple[str, ...] = ("sci", "rms", "flg"), chunk: tuple[int, int] = (512, 512)) -> None:
-        """Executors build and compress the chunks; the driver writes them one by one."""
+        """Executors build and compress the chunks and write each at its address; the driver writes groups and indexes."""
+        use_checkpoints(source.pixels().sparkSession)
         detectors = sorted(source.detectors().collect(), key=lambda r: r["det_num"])
         about = {r["det_num"]: r for r in detectors}
         cells = source.pixels().select("det_num", "y", "x", F.explode(F.array(*[F.struct(F.lit(i).alias("plane"), F.col(p).cast("double").alias("v")) for i, p in enumerate(planes)])).alias("p"))
         whole = {r["det_num"]: (r["ny"], r["nx"]) for r in detectors}
-        packed = hdf5.packed_chunks(cells.select("det_num", "p.plane", "y", "x", "p.v"), ("det_num", "plane", "y", "x"), "v", (1, 1, *chunk), "<f4", 4)
-        out, groups, members = hdf5.Writer(path), {}, {}
-        rows = packed.orderBy("c0", "c1", "c2", "c3").toLocalIterator()
-        for (det, plane), part in itertools.groupby(rows, key=lambda r: (r["c0"], r["c1"])):
-            data = (((r["c2"] * chunk[0], r["c3"] * chunk[1]), bytes(r["data"])) for r in part)
-            members.setdefault(det, {})[planes[plane]] = out.dataset(whole[det], "<f4", chunk, data)
+        packed = hdf5.packed_chunks(cells.select("det_num", "p.plane", "y", "x", "p.v"), ("det_num", "plane", "y", "x"), "v", (1, 1, *chunk), "<f4", 4).checkpoint()
+        out, groups, members = hdf5.Writer(staged := staging(hdf5.plain(path))), {}, {}
+        placed, blocks = hdf5.laid_out(out, packed, ("c0", "c1", "c2", "c3"))
+        for (det, plane), part in itertools.groupby(placed, key=lambda p: (p[0]["c0"], p[0]["c1"])):
+            entries = [((r["c2"] * chunk[0], r["c3"] * chunk[1]), size, address) for r, size, address in part]
+            members.setdefault(det, {})[planes[plane]] = out.dataset(whole[det], "<f4", chunk, entries)
         for det, held in members.items():
             groups[about[det]["det_id"]] = out.group(held, {"header": json.dumps(about[det]["header"])})
         out.close(out.group(groups, {"det_list": json.dumps([about[d]["det_id"] for d in sorted(members)])}))
+        write_blocks(blocks, staged, hdf5.plain(path))
 
     def detectors(self) -> DataFrame:
         file = hdf5.Reader(self.path)

@@ -1,12 +1,13 @@
 """Dense array files that tasks read and write in place: npy, npz, raw memory maps and classic netCDF (survey S07, K04, K06, K08).
 
 A file has one place for each value, so each task reads its own rows, and writers let each task put its values where they
-belong: a task that is run again writes the same bytes. Paths are on a file system that driver and executors share.
+belong, in a file beside the target that one commit puts in place. Paths are on a file system that driver and executors share.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .committed import Array, staging, write_arrays
+
 #: Values that one task reads.
 SLAB = 1 << 22
 
@@ -27,49 +30,43 @@ def plain(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
-# ---------------------------------------------------------------- in-place writers
-
-
-def _fill(df: DataFrame, indexes: Sequence[str], value: str, path: str, dtype: str, offset: int, shape: tuple[int, ...]) -> int:
-    """Put each row's value at its indexes of an array that lies in a file of full size; returns the rows written."""
-
-    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.memmap(path, dtype, "r+", offset, shape)
-        n = 0
-        for part in parts:
-            out[tuple(part[c].to_numpy() for c in indexes)] = part[value].to_numpy()
-            n += len(part)
-        out.flush()
-        yield pd.DataFrame({"n": [n]})
-
-    return df.select(*indexes, value).mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+# ---------------------------------------------------------------- writers
 
 
 def memmap(df: DataFrame, path: str, indexes: Sequence[str], value: str, shape: tuple[int, ...], dtype: str = "<f4") -> None:
-    """A raw array in C order; places that no row has are zeros. A file that exists with that size is written into."""
+    """A raw array in C order; places that no row has are zeros, or what a file of that size held there before."""
     path, size = plain(path), int(np.prod(shape, dtype=np.int64)) * np.dtype(dtype).itemsize
-    if not os.path.exists(path) or os.path.getsize(path) != size:
-        with open(path, "wb") as out:
+    staged = staging(path)
+    if os.path.exists(path) and os.path.getsize(path) == size:
+        shutil.copyfile(path, staged)
+    else:
+        with open(staged, "wb") as out:
             out.truncate(size)
-    _fill(df, indexes, value, path, dtype, 0, shape)
+    write_arrays(df, indexes, [Array(value, dtype, 0, shape)], staged, path)
 
 
 def npy(df: DataFrame, path: str, indexes: Sequence[str], value: str, shape: tuple[int, ...], dtype: str = "<f8") -> None:
     path = plain(path)
-    made = np.lib.format.open_memmap(path, "w+", dtype, shape)
+    made = np.lib.format.open_memmap(staged := staging(path), "w+", dtype, shape)
     offset = made.offset
     del made
-    _fill(df, indexes, value, path, dtype, offset, shape)
+    write_arrays(df, indexes, [Array(value, dtype, offset, shape)], staged, path)
 
 
 def npz(arrays: Mapping[str, tuple[DataFrame, Sequence[str], str, tuple[int, ...]]], path: str, dtype: str = "<f8") -> None:
     """Named arrays, each (rows, index columns, value column, shape), compressed in one file; each passes through the disk, not the driver's memory."""
     path = plain(path)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for name, (df, indexes, value, shape) in arrays.items():
-            npy(df, part := f"{path}.{name}.npy", indexes, value, shape, dtype)
-            out.write(part, f"{name}.npy")
-            os.remove(part)
+    staged = staging(path)
+    try:
+        with zipfile.ZipFile(staged, "w", zipfile.ZIP_DEFLATED) as out:
+            for name, (df, indexes, value, shape) in arrays.items():
+                npy(df, part := f"{staged}.{name}.npy", indexes, value, shape, dtype)
+                out.write(part, f"{name}.npy")
+                os.remove(part)
+        os.replace(staged, path)
+    finally:
+        if os.path.exists(staged):
+            os.remove(staged)
 
 
 # ---------------------------------------------------------------- classic netCDF
@@ -201,26 +198,13 @@ def netcdf(df: DataFrame, path: str, dims: Mapping[str, int], variables: Mapping
     variables and coordinates get the attributes given for them; values are floats of type `kind`. Places without a row are zeros.
     """
     path = plain(path)
+    staged = staging(path)
     found = {c: Variable(c, (c,), 6) for c in coordinates or {}} | {v: Variable(v, tuple(dims), kind, attributes=dict(about)) for v, about in variables.items()}
     header = Header(dict(dims), found, dict(attributes or {}))
-    _write_header(path, header)
+    _write_header(staged, header)
     for c, values in (coordinates or {}).items():
-        np.memmap(path, TYPES[6], "r+", found[c].begin, (dims[c],))[:] = values
-    held = df.select(*dims, *variables)
-
-    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = {v: np.memmap(path, TYPES[kind], "r+", found[v].begin, tuple(dims.values())) for v in variables}
-        n = 0
-        for part in parts:
-            at = tuple(part[d].to_numpy() for d in dims)
-            for v, array in out.items():
-                array[at] = part[v].to_numpy()
-            n += len(part)
-        for array in out.values():
-            array.flush()
-        yield pd.DataFrame({"n": [n]})
-
-    held.mapInPandas(put, "n long").agg(F.sum("n")).first()
+        np.memmap(staged, TYPES[6], "r+", found[c].begin, (dims[c],))[:] = values
+    write_arrays(df, list(dims), [Array(v, TYPES[kind], found[v].begin, tuple(dims.values())) for v in variables], staged, path)
 
 
 class _Slab(InputPartition):

@@ -7,6 +7,7 @@ on a file system that driver and executors share.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.checkpoints import use_checkpoints
+from .committed import staging, write_blocks
 from .gridfiles import SLAB, plain
 
 #: Fixed values of the format: signature, the undefined address, and kinds of header messages.
@@ -96,10 +99,15 @@ class Writer:
             out.append((ATTRIBUTE, head + _padded(label) + _padded(kind) + _padded(space) + array.tobytes()))
         return out
 
-    def dataset(self, shape: Sequence[int], dtype: str, chunk: Sequence[int], chunks: Iterator[tuple[tuple[int, ...], bytes]], attributes: Mapping | None = None, level: int = 4) -> int:
-        """Address of a chunked dataset; chunks: (place of the first value, whole deflated chunk), in the order of places."""
+    def reserve(self, size: int) -> int:
+        """The address of size bytes that somebody else writes."""
+        at = self.out.tell()
+        self.out.seek(-(-size // 8) * 8, os.SEEK_CUR)
+        return at
+
+    def dataset(self, shape: Sequence[int], dtype: str, chunk: Sequence[int], entries: list[tuple[tuple[int, ...], int, int]], attributes: Mapping | None = None, level: int = 4) -> int:
+        """Address of a chunked dataset; entries: (place of the first value, size and address of the deflated chunk), in the order of places."""
         kind = np.dtype(dtype)
-        entries = [(place, len(data), self._put(data)) for place, data in chunks]
         tree = self._tree(entries, chunk)
         layout = struct.pack(f"<BBBQ{len(chunk) + 1}I", 3, 2, len(chunk) + 1, tree, *chunk, kind.itemsize)
         pipeline = struct.pack("<BB6xHHHHI4x", 1, 1, 1, 0, 1, 1, level)
@@ -363,10 +371,24 @@ def packed_chunks(df: DataFrame, indexes: Sequence[str], value: str, chunk: Sequ
     return df.select(*at, *inside, F.col(value).alias("v")).groupBy(*names).applyInPandas(lambda key, rows: pack(key, rows), ", ".join([*(f"{n} long" for n in names), "data binary"]))
 
 
+def laid_out(out: Writer, packed: DataFrame, names: Sequence[str]) -> tuple[list, DataFrame]:
+    """Places for packed chunks (names..., data) behind what out holds: (row, size, address) of each in the order of
+    names, and (address, data). Sizes alone come to the driver, as many as the index of chunks in the file has entries."""
+    found = packed.select(*names, F.octet_length("data").alias("size")).orderBy(*names).collect()
+    placed = [(r, r["size"], out.reserve(r["size"])) for r in found]
+    kinds = ", ".join(f"{n} long" for n in names)
+    addresses = packed.sparkSession.createDataFrame([(*(r[n] for n in names), address) for r, _, address in placed], f"{kinds}, address long")
+    return placed, packed.join(addresses, list(names)).select("address", "data")
+
+
 def hdf5(df: DataFrame, path: str, dataset: str, indexes: Sequence[str], value: str, shape: Sequence[int], chunk: Sequence[int], dtype: str = "<f4", level: int = 4, attributes: Mapping | None = None) -> None:
-    """One dataset, at the root, of rows (indexes..., value): executors build and compress the chunks, the driver writes them one by one."""
+    """One dataset, at the root, of rows (indexes..., value): executors build and compress the chunks and write each at its
+    address; the driver writes the index."""
+    use_checkpoints(df.sparkSession)
     names = [f"c{k}" for k in range(len(indexes))]
-    packed = packed_chunks(df, indexes, value, chunk, dtype, level).orderBy(*names)
-    out = Writer(path)
-    chunks = ((tuple(r[n] * c for n, c in zip(names, chunk, strict=True)), bytes(r["data"])) for r in packed.toLocalIterator())
-    out.close(out.group({dataset: out.dataset(shape, dtype, chunk, chunks, attributes, level)}))
+    packed = packed_chunks(df, indexes, value, chunk, dtype, level).checkpoint()
+    out = Writer(staged := staging(plain(path)))
+    placed, blocks = laid_out(out, packed, names)
+    entries = [(tuple(r[n] * c for n, c in zip(names, chunk, strict=True)), size, address) for r, size, address in placed]
+    out.close(out.group({dataset: out.dataset(shape, dtype, chunk, entries, attributes, level)}))
+    write_blocks(blocks, staged, plain(path))

@@ -285,3 +285,27 @@ def test_command_line(spark, sf_dir, tmp_path, monkeypatch, capsys):
     assert cli.parsed(["ring_shift"]).cpus == -1 and cli.parsed(["x", "--cpus", "3"]).cpus == 3
     assert cli.main(["list"]) == 0 and "ring_shift" in capsys.readouterr().out and cli.main(["nothing"]) == 2
     assert cli.main(["ring_shift", sf_dir, "--out", f"{tmp_path}/o"]) == 0 and spark.read.parquet(f"{tmp_path}/o").count() == 25
+
+
+@pytest.mark.parametrize("form", ["npy", "memmap", "netcdf", "npz", "hdf5"])
+def test_a_failed_write_changes_nothing(spark, tmp_path, form):
+    """One task fails after others have written: the file is what it was, and nothing lies beside it."""
+    from quern.sources import gridfiles, hdf5
+
+    good = spark.range(64, numPartitions=8).select(F.col("id").alias("i"), F.col("id").cast("double").alias("v"))
+    bad = good.withColumn("v", F.when(F.col("i") == 63, F.raise_error(F.lit("lost")).cast("double")).otherwise(-F.col("v")))
+    path = f"{tmp_path}/x.{form}"
+    write = {
+        "npy": lambda df: gridfiles.npy(df, path, ["i"], "v", (64,)),
+        "memmap": lambda df: gridfiles.memmap(df, path, ["i"], "v", (64,)),
+        "netcdf": lambda df: gridfiles.netcdf(df, path, {"i": 64}, {"v": {}}),
+        "npz": lambda df: gridfiles.npz({"a": (df, ["i"], "v", (64,))}, path),
+        "hdf5": lambda df: hdf5.hdf5(df, path, "a", ["i"], "v", (64,), (5,)),
+    }[form]
+    write(good)
+    before = (tmp_path / f"x.{form}").read_bytes()
+    with pytest.raises(Exception, match="lost"):
+        write(bad)
+    assert (tmp_path / f"x.{form}").read_bytes() == before and [p.name for p in tmp_path.iterdir()] == [f"x.{form}"]
+    write(good.limit(3).withColumn("v", F.col("v") + 100))
+    assert (tmp_path / f"x.{form}").read_bytes() != before
