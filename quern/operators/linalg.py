@@ -172,7 +172,8 @@ def solve_large(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int
     """(i, v) that solves A x = b for one symmetric, positive definite matrix (i, k, v) of any size, sparse or dense, and b (i, v).
 
     Conjugate gradients: a step is one product of A with a vector and two sums, so no task holds a row of A, let alone A. The vectors are
-    checkpointed. Stops once the residual is `tolerance` of b's length, or after `most` steps with an error.
+    checkpointed. Stops once the residual is `tolerance` of b's length, or after `most` steps with an error, or as soon as a step
+    shows that A isn't positive definite.
     """
     use_checkpoints(a.sparkSession)
     square = lambda df, c: df.agg(F.sum(F.col(c) * F.col(c))).first()[0] or 0.0
@@ -184,7 +185,10 @@ def solve_large(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int
             return state.select("i", F.col("x").alias("v"))
         pushed = matvec(a, state.select(F.col("i").alias("k"), F.col("p").alias("v"))).withColumnRenamed("v", "q")
         state = state.join(pushed, "i", "left").fillna(0.0, ["q"]).persist()
-        along = size / state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        bent = state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        if not bent > 0:
+            raise ValueError(f"the matrix isn't positive definite: p A p is {bent} in step {step}")
+        along = size / bent
         moved = state.select("i", (F.col("x") + along * F.col("p")).alias("x"), (F.col("r") - along * F.col("q")).alias("r"), "p")
         after = square(moved, "r")
         turned = moved.withColumn("p", F.col("r") + (after / size) * F.col("p"))
