@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.kernels.alignment import align
+from ..operators.kernels.paths import path
 
 RESULT = "read string, score int, query_end int, target_end int"
 #: Cells of the matrices that one vector step goes over.
@@ -50,8 +51,9 @@ def seeds(texts: DataFrame, key: str, text: str, words: int = SEED_WORDS) -> Dat
     return held.select(key, F.explode(F.array_distinct(runs)).alias("seed"))
 
 
-def align_seeded(queries: DataFrame, targets: DataFrame, words: int = SEED_WORDS) -> DataFrame:
+def align_seeded(queries: DataFrame, targets: DataFrame, words: int = SEED_WORDS, paths: bool = False) -> DataFrame:
     """(query_id, target_id, score, query_end, target_end) of the queries (query_id, query) and targets (target_id, target) that share a seed.
+    With paths also (query_start, target_start, steps): where the alignment begins, and its run lengths of =, X, I and D.
 
     All targets are read; only those that share a run of words with a query are aligned, so there is a row for each such pair.
     """
@@ -64,9 +66,14 @@ def align_seeded(queries: DataFrame, targets: DataFrame, words: int = SEED_WORDS
             part = part.sort_values("target", key=lambda s: s.str.len(), kind="stable")
             for rows in _batches(part):
                 score, i, j = align([x.encode() for x in rows["query"]], [x.encode() for x in rows["target"]])
-                yield pd.DataFrame({"query_id": rows["query_id"].to_numpy(), "target_id": rows["target_id"].to_numpy(), "score": score, "query_end": i, "target_end": j})
-
-    return pairs.select("query_id", "target_id", "query", "target").mapInPandas(run, f"{kinds}, score int, query_end int, target_end int")
+                found = pd.DataFrame({"query_id": rows["query_id"].to_numpy(), "target_id": rows["target_id"].to_numpy(), "score": score, "query_end": i, "target_end": j})
+                if paths:
+                    ways = [path(q.encode(), t.encode(), int(a), int(b)) for q, t, a, b in zip(rows["query"], rows["target"], i, j, strict=True)]
+                    found[["query_start", "target_start", "steps"]] = pd.DataFrame(ways, columns=["query_start", "target_start", "steps"])
+                yield found
+
+    more = ", query_start int, target_start int, steps string" if paths else ""
+    return pairs.select("query_id", "target_id", "query", "target").mapInPandas(run, f"{kinds}, score int, query_end int, target_end int{more}")
 
 
 def align_reads(reads: DataFrame, windows: DataFrame, reference: DataFrame) -> DataFrame:

@@ -60,6 +60,14 @@ def name_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_pairs(pairs).select(*[F.get(key, F.lit(i)).cast("int").alias(k) for i, k in enumerate("ab")], "score", "query_end", "target_end")
 
 
+@query()
+def text_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where and how each benchmark item stands in the documents that share some of its words in a row."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("query"))
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), F.lower("text").alias("target"))
+    return alignment.align_seeded(items, documents, paths=True).withColumnsRenamed({"query_id": "item_id", "target_id": "doc_id"})
+
+
 @query()
 def text_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item against every document that has some of its words in a row: texts as sequences of letters."""

@@ -10,7 +10,7 @@ from quern.operators.kernels import lattice as kernel
 from quern.plans import alignment, builder, climate, lattice, stamps, trajectory, transit
 from quern.sources import synthetic
 
-from .test_kernels import align_by_cells
+from .test_kernels import align_by_cells, path_score
 
 
 def test_running_median(spark):
@@ -421,10 +421,24 @@ def test_positions_of_equal_and_null_keys_are_spread(spark):
 
 
 def test_texts_with_a_common_run_of_words_are_aligned(spark):
-    from .test_kernels import align_by_cells as by_cells
+    from .test_kernels import align_by_cells, path_score as by_cells
 
     queries = [(1, "one two three four five six seven eight nine"), (2, "too short"), (3, None)]
     targets = [(10, "zero one two three four five six seven eight ten"), (11, "eight seven six five four three two one"), (12, "x one  two three four five six seven eight nine y"), (13, None)]
     found = alignment.align_seeded(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(targets, "target_id int, target string")).collect()
     texts = dict(targets)
     assert {(r.query_id, r.target_id): (r.score, r.query_end, r.target_end) for r in found} == {(1, t): by_cells(queries[0][1], texts[t]) for t in (10, 12)}
+
+
+def test_paths_of_items_in_documents(spark, sf_dir):
+    """Every path has the score that the alignment without paths says, and most items stand there letter by letter."""
+    from quern.plans.q_pipelines import text_alignment, text_paths
+
+    items = {r.item_id: r.text.lower() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    texts = {r.doc_id: r.text.lower() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ends = {(r.item_id, r.doc_id): (r.score, r.query_end, r.target_end) for r in text_alignment(spark, sf_dir).collect()}
+    found = text_paths(spark, sf_dir).collect()
+    assert len(found) == len(ends) > 0
+    for r in found:
+        query, target = (x.encode() for x in (items[r.item_id], texts[r.doc_id]))
+        assert path_score(r.steps, query, target, r.query_start, r.target_start) == ends[r.item_id, r.doc_id] == (r.score, r.query_end, r.target_end)
