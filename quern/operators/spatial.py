@@ -115,20 +115,25 @@ def hydrogen_bonds(atoms: DataFrame, roles: DataFrame, box: Sequence[float], fra
     Donor and acceptor are nearer than cutoff and further than least; a hydrogen is one of the two atoms after the donor,
     further than least from both; the cosine of the angle donor - hydrogen - acceptor is at most that of 150 degrees.
     Acceptors go to the donors near them, which hold the arms to their hydrogens, so atoms are joined by number once, and by cells once.
+    An atom has one place in a frame.
     """
-    of = lambda role: atoms.join(roles.where(F.col("role") == role).select(F.col("atom").alias("id")).distinct(), "id")
+    is_a = lambda role: F.max(F.col("role") == role).alias(role)
+    marked = atoms.join(roles.groupBy(F.col("atom").alias("id")).agg(*[is_a(r) for r in ("donor", "acceptor", "hydrogen")]), "id")
     at = F.struct(*[F.col(c).cast("double").alias(c) for c in AXES])
-    arms = of("hydrogen").select(frame, F.explode(F.array(F.col("id") - 1, F.col("id") - 2)).alias("id"), at.alias("h"))
-    donors = of("donor").join(arms.groupBy(frame, "id").agg(F.collect_list("h").alias("h")), [frame, "id"])
-    arm = F.transform("h", lambda h: F.struct(*[minimum_image(h[c] - F.col(c).cast("double"), box[i]).alias(c) for i, c in enumerate(AXES)]))
-    pairs = cell_join(of("acceptor"), donors.withColumn("arms", arm), box, cutoff, (frame,), carry=("arms",))
+    arms = marked.where("hydrogen").select(frame, F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "id", at.alias("h")).withColumn("id", F.col("id") - F.col("k"))
+    ends = arms.groupBy(frame, "id").agg(*[F.max(F.when(F.col("k") == k, F.col("h"))).alias(f"h{k}") for k in (1, 2)])
+    donors = marked.where("donor").join(ends, [frame, "id"])
+    names = [f"arm{k}_{c}" for k in (1, 2) for c in AXES]
+    arm = {f"arm{k}_{c}": minimum_image(F.col(f"h{k}.{c}") - F.col(c).cast("double"), box[i]) for k in (1, 2) for i, c in enumerate(AXES)}
+    pairs = cell_join(marked.where("acceptor"), donors.withColumns(arm), box, cutoff, (frame,), carry=names)
     pairs = pairs.where((F.col("r2") < cutoff * cutoff) & (F.col("r2") > least * least) & (F.col("a") != F.col("b")))
 
-    def in_line(arm: Column) -> Column:
-        # from the hydrogen: the donor lies at -arm, the acceptor at d - arm, d being acceptor less donor
+    def in_line(k: int) -> Column:
+        # from the hydrogen: the donor lies at -arm, the acceptor at d - arm, d being acceptor less donor; no hydrogen there: null
+        arm = {c: F.col(f"arm{k}_{c}") for c in AXES}
         to = {c: minimum_image(F.col(f"d{c}") - arm[c], box[i]) for i, c in enumerate(AXES)}
         dot = sum((arm[c] * to[c] for c in AXES), F.lit(0.0))
-        near, far = (F.sqrt(sum((v * v for v in x), F.lit(0.0))) for x in ([arm[c] for c in AXES], to.values()))
-        return (near >= least) & (far >= least) & (-dot <= F.lit(min_angle_cos) * near * far)
+        near, far = (F.sqrt(sum((v * v for v in x), F.lit(0.0))) for x in (arm.values(), to.values()))
+        return F.coalesce((near >= least) & (far >= least) & (-dot <= F.lit(min_angle_cos) * near * far), F.lit(False))
 
-    return pairs.where(F.exists("arms", in_line)).select(frame, F.col("b").alias("donor"), F.col("a").alias("acceptor"))
+    return pairs.where(in_line(1) | in_line(2)).select(frame, F.col("b").alias("donor"), F.col("a").alias("acceptor"))
