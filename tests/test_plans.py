@@ -442,3 +442,9 @@ def test_paths_of_items_in_documents(spark, sf_dir):
     for r in found:
         query, target = (x.encode() for x in (items[r.item_id], texts[r.doc_id]))
         assert path_score(r.steps, query, target, r.query_start, r.target_start) == ends[r.item_id, r.doc_id] == (r.score, r.query_end, r.target_end)
+
+
+def test_indefinite_systems_are_told_at_once(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (1, 1, -1.0)], "i long, k long, v double")
+    with pytest.raises(ValueError, match="positive definite"):
+        linalg.solve_large(cells, spark.createDataFrame([(0, 1.0), (1, 1.0)], "i long, v double"))
