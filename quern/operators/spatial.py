@@ -40,7 +40,8 @@ def _meet(left: DataFrame, right: DataFrame, box: Sequence[float], cutoff: float
     b = right.select(*by, F.col(key).alias("b"), *carry, *[F.col(c).cast("double").alias(f"b{c}") for c in AXES])
     b = b.select("*", *[_cell(F.col(f"b{c}"), box[i], n[i]).alias(f"c{c}") for i, c in enumerate(AXES)])
     d = [minimum_image(F.col(f"a{c}") - F.col(f"b{c}"), box[i]) for i, c in enumerate(AXES)]
-    pairs = a.join(b, [*by, *[f"c{c}" for c in AXES]])
+    # never broadcast: a table of points is small on disk, and its copies in cells are not
+    pairs = a.join(b.hint("merge"), [*by, *[f"c{c}" for c in AXES]])
     if same_set:
         pairs = pairs.where(~F.col("home") | (F.col("a") < F.col("b")))
     return pairs.select(*by, "a", "b", *carry, *[x.alias(f"d{c}") for x, c in zip(d, AXES, strict=True)]).withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("r2") <= cutoff * cutoff)
@@ -50,7 +51,8 @@ def cell_join(left: DataFrame, right: DataFrame, box: Sequence[float], cutoff: f
     """Pairs (by..., a, b, carry..., dx, dy, dz, r2) of a left and a right point within cutoff in a periodic box.
 
     Each left point goes to its 27 neighbouring cells, a right point to its own, and an equi-join on
-    (by, cell) meets each pair once; the exact distance decides. Dense cells are split by AQE's skew join.
+    (by, cell) meets each pair once; the exact distance decides. The join sorts both sides, so neither passes the driver, and
+    dense cells are split by AQE's skew join.
     """
     return _meet(left, right, box, cutoff, by, key, NEIGHBOURS, False, carry)
 

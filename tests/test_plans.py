@@ -448,3 +448,19 @@ def test_indefinite_systems_are_told_at_once(spark):
     cells = spark.createDataFrame([(0, 0, 1.0), (1, 1, -1.0)], "i long, k long, v double")
     with pytest.raises(ValueError, match="positive definite"):
         linalg.solve_large(cells, spark.createDataFrame([(0, 1.0), (1, 1.0)], "i long, v double"))
+
+
+def clustered(spark, n, box, seed=3):
+    """Points of which half lie in a corner of a hundredth of the box, so that radii differ from place to place."""
+    rng = np.random.default_rng(seed)
+    xyz = np.concatenate((rng.uniform(0, box, (n // 2, 3)), rng.uniform(0, box / 100, (n - n // 2, 3))))
+    d = xyz[:, None] - xyz[None]
+    d -= box * np.round(d / box)
+    return (d * d).sum(2), spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz)], "frame int, id int, x double, y double, z double")
+
+
+def test_points_are_not_broadcast(spark):
+    """A table of points is small on disk, but not its copies in cells: no side of a join by cells passes the driver."""
+    _, points = particles(spark, 50, 5.0)
+    for found in (spatial.close_pairs(points, (5.0,) * 3, 0.7, ("frame",)), spatial.cell_join(points, points, (5.0,) * 3, 0.7, ("frame",))):
+        assert found.count() >= 0 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
