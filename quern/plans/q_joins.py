@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import linalg, pairwise, relational, spatial
+from ..operators.checkpoints import use_checkpoints
 from ..session import table
 from ._registry import query
 
@@ -94,6 +95,8 @@ def contact_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
     near = spatial.contacts(points, BOX, 1.0, ("frame",))
     folded = near.select("frame", F.least(F.col("a") % 300, F.col("b") % 300).alias("a"), F.greatest(F.col("a") % 300, F.col("b") % 300).alias("b")).distinct()
+    use_checkpoints(spark)
+    folded = folded.checkpoint()  # it is read twice, and the pairs are many
     return spatial.native_fraction(folded, points, "frame", 0).select("frame", F.round("q", 6).alias("q"))
 
 
