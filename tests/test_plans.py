@@ -464,3 +464,11 @@ def test_points_are_not_broadcast(spark):
     _, points = particles(spark, 50, 5.0)
     for found in (spatial.close_pairs(points, (5.0,) * 3, 0.7, ("frame",)), spatial.cell_join(points, points, (5.0,) * 3, 0.7, ("frame",))):
         assert found.count() >= 0 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_histogram_of_pairs_broadcasts_no_points(spark):
+    r2, points = clustered(spark, 200, 5.0)
+    found = spatial.pair_histogram(points, (5.0,) * 3, [0.0, 0.3, 0.6, 0.9, 1.2], ("frame",))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [frame" in plan
+    assert [r.n for r in found.orderBy("bin").collect()] == np.histogram(np.sqrt(r2[np.triu_indices(200, 1)]), [0.0, 0.3, 0.6, 0.9, 1.2])[0].tolist()
