@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import histogram
 from ..functions.scalar import minimum_image
+from .checkpoints import use_checkpoints
 
 AXES = ("x", "y", "z")
 
@@ -82,10 +84,37 @@ def native_fraction(found: DataFrame, frames: DataFrame, frame: str, native_fram
     return frames.select(frame).distinct().join(kept, frame, "left").crossJoin(F.broadcast(total)).select(frame, (F.coalesce("kept", F.lit(0)) / F.col("total")).alias("q"))
 
 
+#: A cell of the first round of a search holds so many points at most, if RADII halvings of the cutoff get there.
+CELL_POINTS, RADII = 12, 10
+
+
+def radii(points: DataFrame, box: Sequence[float], cutoff: float, by: Sequence[str] = ()) -> list[float]:
+    """Radii to search in turn, each twice the one before, up to the cutoff: the first one's fullest cell holds CELL_POINTS points or few more."""
+    found = [cutoff]
+    while len(found) <= RADII:
+        cells = [_cell(F.col(c).cast("double"), b, n_cells(b, found[0])) for c, b in zip(AXES, box, strict=True)]
+        fullest = points.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if (fullest or 0) <= CELL_POINTS:
+            break
+        found.insert(0, found[0] / 2)
+    return found
+
+
 def nearest_partner(points: DataFrame, box: Sequence[float], cutoff: float, by: Sequence[str] = (), key: str = "id") -> DataFrame:
-    """The nearest other point within cutoff, the lesser id on ties."""
-    pairs = cell_join(points, points, box, cutoff, by, key).where("a <> b")
-    return pairs.groupBy(*by, "a").agg(F.min_by("b", F.struct("r2", "b")).alias("partner"), F.min("r2").alias("r2"))
+    """The nearest other point within cutoff, the lesser id on ties.
+
+    Points that have one within a small radius are done, and only the others look further, so the pairs that are compared
+    grow with the points, not with the square of their density.
+    """
+    use_checkpoints(points.sparkSession)
+    left, rounds = points, []
+    for radius in radii(points, box, cutoff, by):
+        pairs = cell_join(left, points, box, radius, by, key).where("a <> b")
+        rounds.append(pairs.groupBy(*by, "a").agg(F.min(F.struct("r2", "b")).alias("least")).checkpoint())
+        left = left.join(rounds[-1].select(*by, F.col("a").alias(key)).hint("merge"), [*by, key], "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, rounds).select(*by, "a", F.col("least.b").alias("partner"), F.col("least.r2").alias("r2"))
 
 
 def without_clashes(sites: DataFrame, others: DataFrame, box: Sequence[float], cutoff: float, key: str = "id") -> DataFrame:

@@ -472,3 +472,14 @@ def test_histogram_of_pairs_broadcasts_no_points(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [frame" in plan
     assert [r.n for r in found.orderBy("bin").collect()] == np.histogram(np.sqrt(r2[np.triu_indices(200, 1)]), [0.0, 0.3, 0.6, 0.9, 1.2])[0].tolist()
+
+
+def test_nearest_partner_looks_further_only_for_what_is_left(spark, monkeypatch):
+    r2, points = clustered(spark, 400, 5.0)
+    sizes, join = [], spatial.cell_join
+    monkeypatch.setattr(spatial, "cell_join", lambda left, *a: (sizes.append(left.count()), join(left, *a))[1])
+    got = {r.a: (r.partner, r.r2) for r in spatial.nearest_partner(points, (5.0,) * 3, 0.9, ("frame",)).collect()}
+    assert sizes[0] == 400 and 0 < sizes[-1] <= 200
+    np.fill_diagonal(r2, np.inf)
+    want = {i: int(r2[i].argmin()) for i in range(400) if r2[i].min() <= 0.81}
+    assert {a: b for a, (b, _) in got.items()} == want and all(d == pytest.approx(r2[a, b]) for a, (b, d) in got.items())
