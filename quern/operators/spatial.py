@@ -118,9 +118,15 @@ def nearest_partner(points: DataFrame, box: Sequence[float], cutoff: float, by:
 
 
 def without_clashes(sites: DataFrame, others: DataFrame, box: Sequence[float], cutoff: float, key: str = "id") -> DataFrame:
-    """Sites with no other point nearer than cutoff."""
-    near = cell_join(sites, others, box, cutoff, (), key).where(F.col("r2") < cutoff * cutoff).select(F.col("a").alias(key)).distinct()
-    return sites.join(near, key, "left_anti")
+    """Sites with no other point nearer than cutoff. Sites that clash within a small radius are out, and only the others look further."""
+    use_checkpoints(sites.sparkSession)
+    left = sites
+    for radius in radii(others, box, cutoff):
+        near = cell_join(left, others, box, radius, (), key).where(F.col("r2") < cutoff * cutoff).select(F.col("a").alias(key)).distinct()
+        left = left.join(near.hint("merge"), key, "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+    return left
 
 
 def first_footprint(points: DataFrame, footprints: DataFrame, order: str, edge: float = 0.0) -> DataFrame:

@@ -483,3 +483,14 @@ def test_nearest_partner_looks_further_only_for_what_is_left(spark, monkeypatch)
     np.fill_diagonal(r2, np.inf)
     want = {i: int(r2[i].argmin()) for i in range(400) if r2[i].min() <= 0.81}
     assert {a: b for a, (b, _) in got.items()} == want and all(d == pytest.approx(r2[a, b]) for a, (b, d) in got.items())
+
+
+def test_clashes_are_sought_in_rounds(spark, monkeypatch):
+    r2, points = clustered(spark, 400, 5.0)
+    sizes, join = [], spatial.cell_join
+    monkeypatch.setattr(spatial, "cell_join", lambda left, *a: (sizes.append(left.count()), join(left, *a))[1])
+    sites, others = points.where("id % 2 = 0"), points.where("id % 2 = 1")
+    for cutoff in (0.25, 0.9):
+        got = {r.id for r in spatial.without_clashes(sites, others, (5.0,) * 3, cutoff).collect()}
+        assert got == {i for i in range(0, 400, 2) if r2[i, 1::2].min() >= cutoff**2}
+    assert sizes[0] == 200 and 0 < sizes[-1] <= 100
