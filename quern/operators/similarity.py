@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,10 @@ from .ranges import running_sum
 
 #: What rounding may take from a bound.
 SLACK = 1e-9
+#: Cells of a row that goes whole to the columns of its prefix; longer ones meet others product by product.
+ROW_CELLS = 512
+#: Rows of a column's block, pairs whose sums a task holds at once, and products that it makes at once.
+COLUMN_ROWS, PAIRS, PRODUCTS = 1024, 1 << 22, 1 << 21
 
 
 def unit_rows(cells: DataFrame) -> DataFrame:
@@ -37,8 +45,8 @@ def prefixes(unit: DataFrame, suffix: float) -> DataFrame:
     return held.drop("__from").join(lefts, "i")
 
 
-def candidates(unit: DataFrame, threshold: float, suffix: float | None = None) -> DataFrame:
-    """(i, j), i < j: pairs that could reach threshold by what their prefixes say.
+def candidates(unit: DataFrame, threshold: float, suffix: float | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(i, j), i < j: pairs that could reach threshold by what their prefixes say; only: rows (i), one of which is in every pair.
 
     A suffix shorter than threshold can't reach it with any row of length 1, so a pair shares a cell of its prefixes. At each
     shared cell the cosine is at most the product there and those of the lengths before and after it; over all shared
@@ -46,29 +54,155 @@ def candidates(unit: DataFrame, threshold: float, suffix: float | None = None) -
     drops a pair that reaches the threshold. A shorter suffix makes more products, and fewer candidates.
     """
     held = prefixes(unit, min(threshold, threshold if suffix is None else suffix))
+    met_by = F.col("a.i") < F.col("b.i")
     one, other = held.alias("a"), held.alias("b")
+    if only is not None:
+        marked = held.join(only.select("i", F.lit(True).alias("__only")), "i", "left").withColumn("__only", F.col("__only").isNotNull())
+        one, other = marked.where("__only").alias("a"), marked.alias("b")
+        met_by = (F.col("a.i") != F.col("b.i")) & (~F.col("b.__only") | met_by)
     product = F.col("a.v") * F.col("b.v")
     bound = product + F.col("a.before") * F.col("b.before") + F.col("a.after") * F.col("b.after")
-    met = one.join(other, (F.col("a.k") == F.col("b.k")) & (F.col("a.i") < F.col("b.i")) & (bound >= threshold - SLACK))
+    met = one.join(other, (F.col("a.k") == F.col("b.k")) & met_by & (bound >= threshold - SLACK))
     # what two rows share beyond the last of these cells stands in the suffix of one of them
     beyond = F.greatest(F.max("a.left") * F.min("b.after"), F.max("b.left") * F.min("a.after"))
     sums = met.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(product).alias("__sum"), beyond.alias("__rest"))
-    return sums.where(F.col("__sum") + F.col("__rest") >= threshold - SLACK).select("i", "j")
+    return sums.where(F.col("__sum") + F.col("__rest") >= threshold - SLACK).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
+
+def _sums(groups: pa.Table, threshold: float) -> pa.RecordBatch:
+    """(i, j, cosine) of the rows of whole groups, one after the other: pairs of a group, of both its blocks if it has two, whose cosine
+    reaches threshold and whose first common cell is the group's column, so that a pair comes from one column only."""
+    n = groups.num_rows
+    group, at, block = (groups.column(c).to_numpy() for c in ("__group", "__at", "__block"))
+    cells = groups.column("__cells").combine_chunks()
+    held = cells.flatten()
+    sizes = cells.value_lengths().to_numpy(zero_copy_only=False)
+    codes = held.field("k").dictionary_encode()
+    v, k, row = held.field("v").to_numpy(), codes.indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), sizes)
+    early = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < at[row]
+    order = np.argsort(group[row] * len(codes.dictionary) + k, kind="stable")
+    v, row, early, key = v[order], row[order], early[order], (group[row] * len(codes.dictionary) + k)[order]
+    # of each cell the cells of its column in its group that come after it, and of each row its place among the pairs
+    later = np.searchsorted(key, key, "right") - np.arange(len(key)) - 1
+    starts = np.searchsorted(group, group)
+    members = np.searchsorted(group, group, "right") - starts
+    base = np.concatenate(([0], np.cumsum(members)[:-1])) - starts
+    sums, seen = np.zeros(int(members.sum())), np.zeros(int(members.sum()), bool)
+    ends = np.cumsum(later)
+
+    def products(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        times = later[lo:hi]
+        one = np.repeat(np.arange(lo, hi), times)
+        other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)
+        two = block[row[one]] != block[row[other]]
+        # a group of two blocks is met for the pairs between them
+        keep = two | ~mixed[row[one]]
+        one, other = one[keep], other[keep]
+        return one, other, base[row[one]] + row[other]
+
+    mixed = groups.column("__mixed").to_numpy()
+    cuts = [0]
+    while cuts[-1] < len(key):
+        done = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + PRODUCTS, "right"))))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        one, other, pair = products(lo, hi)
+        low = pair.min() if len(pair) else 0
+        found = np.bincount(pair - low, v[one] * v[other])
+        sums[low : low + len(found)] += found
+    reach = sums >= threshold
+    if reach.any():
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            one, _, pair = products(lo, hi)
+            seen[pair[early[one]]] = True
+    hit = np.flatnonzero(reach & ~seen)
+    left = np.searchsorted(np.cumsum(members), hit, "right")
+    ids = groups.column("i").combine_chunks()
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(hit - base[left])), pa.array(sums[hit])], names=["i", "j", "cosine"])
+
+
+def _column_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows of (column, blocks) groups to their pairs; a task holds as many groups as make about PAIRS pairs, or one."""
+
+    def whole(held: pa.Table, last: bool) -> Iterator[pa.Table]:
+        new = np.zeros(held.num_rows, bool)
+        for c in ("__k", "__bi", "__bj"):
+            codes = held.column(c).combine_chunks().dictionary_encode().indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = np.concatenate(([0], np.flatnonzero(new), [held.num_rows]))
+        held = held.append_column("__group", pa.array(np.cumsum(new)))
+        squares = np.cumsum(np.diff(starts) ** 2)
+        lo, end = 0, len(starts) - (1 if last else 2)
+        while lo < end:
+            hi = max(lo + 1, int(np.searchsorted(squares[:end], (squares[lo - 1] if lo else 0) + PAIRS, "right")))
+            yield held.slice(starts[lo], starts[hi] - starts[lo])
+            lo = hi
+        yield held.slice(starts[end]).drop_columns(["__group"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches(([] if held is None else held.to_batches()) + [batch])
+            *ready, held = whole(held, False)
+            for groups in ready:
+                yield _sums(groups, threshold)
+        if held is not None and held.num_rows:
+            *ready, _ = whole(held, True)
+            for groups in ready:
+                yield _sums(groups, threshold)
+
+    return pairs
+
+
+def _short_pairs(unit: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, cosine), i < j, of rows that fit a record: each goes whole to the columns of its prefix, where the cosines are summed.
+
+    What is shuffled is a row for each cell of a prefix, never one for a product or a pair. A column of more than COLUMN_ROWS rows
+    is met in pairs of blocks.
+    """
+    rows_of = unit.groupBy("k").agg(F.count(F.lit(1)).alias("__rows"))
+    rows = unit.join(rows_of, "k").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("__rows", "k", "v"))).alias("__cells"))
+    # a cell is in the prefix if what stands from it on is no shorter than threshold
+    start = F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("n"))
+    least = max(threshold - SLACK, 0.0) ** 2
+    step = lambda s, c: F.struct((s["left"] - c["v"] * c["v"]).alias("left"), (s["n"] + F.when(s["left"] >= least, 1).otherwise(0)).alias("n"))
+    prefix = F.greatest(F.aggregate("__cells", start, step)["n"], F.lit(1))
+    rows = rows.select("i", prefix.alias("__n"), F.transform("__cells", lambda c: F.struct(c["k"].alias("k"), c["v"].alias("v"))).alias("__cells")).checkpoint()
+    places = rows.select("i", F.posexplode(F.slice("__cells", 1, F.col("__n"))).alias("__at", "__cell"), "__cells").select("i", F.col("__cell.k").alias("__k"), "__at", "__cells")
+    counts = places.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    # a row for each COLUMN_ROWS cells at most
+    hot = counts.where(F.col("__n") > COLUMN_ROWS).select("__k", F.ceil(F.col("__n") / COLUMN_ROWS).cast("int").alias("__blocks"))
+    blocks = F.coalesce("__blocks", F.lit(1))
+    dealt = places.join(F.broadcast(hot), "__k", "left").withColumn("__block", F.pmod(F.xxhash64("i"), blocks).cast("int"))
+    dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("i", "__k", "__at", "__block", F.least("__block", "__o").alias("__bi"), F.greatest("__block", "__o").alias("__bj"), "__cells").withColumn("__mixed", F.col("__bi") != F.col("__bj"))
+    group = ["__k", "__bi", "__bj"]
+    kind = unit.schema["i"].dataType.simpleString()
+    found = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_column_pairs(threshold), f"i {kind}, j {kind}, cosine double")
+    return found.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cosine")
 
 
 def similarity_join(cells: DataFrame, threshold: float, suffix: float | None = None) -> DataFrame:
     """(i, j, cosine), i < j: all pairs of sparse rows (i, k, v) whose cosine is at least threshold (above 0).
 
-    Prefix filtering: only rare columns bring pairs together, bounds drop most of these, and what is left is verified exactly
-    from all cells. suffix: the length of what a row leaves out of its prefix, the threshold at most and by default. Joins are plain exchanges, so AQE splits rows and columns with very many
+    Prefix filtering: only rare columns bring pairs together, and the cosine is summed exactly from all cells where a pair's first
+    common column is. Rows of more than ROW_CELLS cells don't travel whole: pairs with such a row are met product by product, bounds
+    drop most of these, and what is left is verified exactly. suffix: the length of what a row leaves out of its prefix in that way,
+    the threshold at most and by default. Joins are plain exchanges, so AQE splits rows and columns with very many
     cells; the columns that most rows have are in almost no prefix. Rows without cells have no partner.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"the threshold must be above 0 and at most 1, not {threshold}")
     use_checkpoints(cells.sparkSession)
     unit = unit_rows(cells).checkpoint()
-    pairs = candidates(unit, threshold, suffix).checkpoint()
+    long = unit.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROW_CELLS).select("i").checkpoint()
+    if long.isEmpty():
+        return _short_pairs(unit, threshold)
+    found = _short_pairs(unit.join(long, "i", "left_anti"), threshold)
+    pairs = candidates(unit, threshold, suffix, long).checkpoint()
     left = pairs.join(unit, "i")
     both = left.join(unit.select(F.col("i").alias("j"), "k", F.col("v").alias("__w")), ["j", "k"])
     products = both.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("__w")).alias("cosine"))
-    return products.where(F.col("cosine") >= threshold)
+    return found.unionByName(products.where(F.col("cosine") >= threshold).select("i", "j", "cosine"))

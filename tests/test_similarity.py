@@ -48,3 +48,24 @@ def test_awkward_tables(spark):
     for bad in (0.0, 1.1):
         with pytest.raises(ValueError, match="threshold"):
             similarity.similarity_join(none, bad)
+
+
+@pytest.mark.parametrize(("rows", "cells", "pairs"), [(5, 512, 40), (1024, 4, 1 << 22), (6, 5, 40)])
+def test_long_rows_and_hot_columns_lose_no_pair(spark, monkeypatch, rows, cells, pairs):
+    """Columns in blocks, rows that don't travel whole, many groups a task: all give the pairs of the plain rule."""
+    rng = random.Random(6)
+    table = [(f"r{i:02}", k, rng.choice([-1, 1, 1, 1]) * rng.uniform(0.1, 3)) for i in range(50) for k in rng.sample(range(12), rng.randint(1, 8))]
+    table += [(f"s{i:02}", 99, 1.0) for i in range(40)]
+    monkeypatch.setattr(similarity, "COLUMN_ROWS", rows)
+    monkeypatch.setattr(similarity, "ROW_CELLS", cells)
+    monkeypatch.setattr(similarity, "PAIRS", pairs)
+    found = similarity.similarity_join(spark.createDataFrame(table, "i string, k int, v double"), 0.6).collect()
+    want = all_pairs(table, 0.6)
+    assert len(found) == len(want) > 800 and all(r.cosine == pytest.approx(want[r.i, r.j]) for r in found)
+
+
+def test_no_row_is_shuffled_for_a_product(spark, monkeypatch):
+    """Columns that all rows have bring them together by a record each: rows that travel whole never come as products."""
+    monkeypatch.setattr(similarity, "candidates", None)
+    cells = spark.range(400).selectExpr("id % 399 + id div 399 * 399 as i", "explode(array(id % 399, 1000, 1001)) as k", "1.0D as v")
+    assert [(r.i, r.j) for r in similarity.similarity_join(cells, 0.9).collect()] == [(0, 399)]
