@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from .checkpoints import use_checkpoints
 
 BINS = 1024
+#: Rows of a table of groups that are sent to where the values lie; with more groups both sides are dealt by group.
+FEW = 100_000
+
+
+def _few(groups: DataFrame) -> DataFrame:
+    """A checkpointed table of groups, marked for broadcast if it is small: few groups have too many values each for a task."""
+    return F.broadcast(groups) if groups.limit(FEW + 1).count() <= FEW else groups
 
 
 def _octaves(v: Column) -> Column:
@@ -45,7 +52,7 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: DataFr
         low, high, v = F.col("__low"), F.col("__high"), F.col("__v")
         wide = _octaves(high) - _octaves(low) > 1
         share = F.when(wide, (_octaves(v) - _octaves(low)) / (_octaves(high) - _octaves(low))).otherwise((v - low) / (high - low))
-        inside = held.alias("h").join(left.alias("o"), _same("h", "o", by) & F.col("__v").between(F.col("__low"), F.col("__high")))
+        inside = held.alias("h").join(_few(left).alias("o"), _same("h", "o", by) & F.col("__v").between(F.col("__low"), F.col("__high")))
         binned = inside.select(*[F.col(f"o.{k}") for k in keys], "__below", "__v", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int").alias("__bin"))
         counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.first("__below").alias("__start"))
         before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

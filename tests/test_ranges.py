@@ -120,3 +120,16 @@ def test_r_factor_has_the_singular_values(spark):
     assert np.allclose(r.T @ r, x.T @ x)
     assert leastsq.r_factor(df.limit(0), ["a", "b"]).shape == (0, 2) and leastsq.least_squares(df.limit(0), ["a"], "b") == [0.0, 0.0]
     assert leastsq.condition(df.select("a", F.col("a").alias("b")), ["a", "b"]) > 1e15 and np.isnan(leastsq.condition(df.limit(0), ["a"]))
+
+
+def test_a_few_groups_are_sent_to_their_values(spark, monkeypatch):
+    """Values are not dealt by group where groups are few: one of very many values would be one task's."""
+    values, groups = spark.range(100).selectExpr("id % 3 as g", "id as v"), spark.createDataFrame([(g, 1) for g in range(3)], "g long, w int").checkpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda: values.join(selection._few(groups), "g")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan()
+        monkeypatch.setattr(selection, "FEW", 2)
+        assert "SortMergeJoin" in plan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
