@@ -81,6 +81,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequen
 def median_mad(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by..., median, mad): the median, and the median of the distances from it."""
     medians = exact_quantiles(df, by, value, [0.5]).select(*by, F.col("quantile").alias("median")).checkpoint()
-    apart = df.alias("d").join(medians.alias("m"), _same("d", "m", by)).select(*[F.col(f"d.{c}") for c in by], F.abs(F.col(f"d.{value}") - F.col("m.median")).alias("__apart"))
+    apart = df.alias("d").join(_few(medians).alias("m"), _same("d", "m", by)).select(*[F.col(f"d.{c}") for c in by], F.abs(F.col(f"d.{value}") - F.col("m.median")).alias("__apart"))
     mads = exact_quantiles(apart, by, "__apart", [0.5])
     return medians.alias("m").join(mads.alias("a"), _same("m", "a", by)).select(*[F.col(f"m.{c}") for c in by], "m.median", F.col("a.quantile").alias("mad"))
