@@ -9,21 +9,27 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import array_distance, dot, doubles, norm
 
-#: Vectors of a block; a task holds two blocks and their distance matrix.
-BLOCK = 512
+#: Vectors of a block, at least and at most, and the blocks of tables in between; a task holds two blocks and the distances of TILE by TILE vectors.
+BLOCK, MOST, BLOCKS, TILE = 512, 1 << 16, 16, 512
 
 
 def _blocks(n_rows: int, block: int) -> int:
     return max(1, -(-n_rows // block))
 
 
-def block_pairs(vectors: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+def block_size(n_rows: int) -> int:
+    """BLOCKS blocks up to BLOCKS * MOST vectors, so that what is shuffled grows with the table; beyond that a task's memory is the limit."""
+    return min(MOST, max(BLOCK, -(-n_rows // BLOCKS)))
+
+
+def block_pairs(vectors: DataFrame, key: str, block: int | None = None) -> DataFrame:
     """Deal (key, v, ...) rows to pairs of blocks (bi <= bj): row block b goes to every pair with b in it.
 
-    A group holds two blocks of about `block` rows, whatever the table's size; the number of pairs grows with its square,
-    as the result does.
+    A group holds two blocks of about `block` rows, block_size of them by default; the number of pairs of rows grows with the
+    square of the table, as the result does.
     """
-    n = _blocks(vectors.count(), block)
+    rows = vectors.count()
+    n = _blocks(rows, block or block_size(rows))
     held = vectors.withColumn("b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
     held = held.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return held.withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o")
@@ -48,16 +54,24 @@ def _pair_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     left, right = (rows[rows["b"] == b] for b in key)
     if not len(left) or not len(right):
         return pd.DataFrame({c: [] for c in ("label_a", "label_b", "n", "s", "q", "low", "high")})
-    d = _distances(*(np.stack(x["v"].to_numpy()).astype(np.float64) for x in (left, right)))
+    a, b = (np.stack(x["v"].to_numpy()).astype(np.float64) for x in (left, right))
+    ids, others = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
     labels, code = np.unique(np.concatenate((left["label"], right["label"])), return_inverse=True)
-    k, la, lb = len(labels), code[: len(left)][:, None], code[len(left) :][None, :]
-    first = left["vec_id"].to_numpy()[:, None] < right["vec_id"].to_numpy()[None, :]
-    pair = np.where(first, la * k + lb, lb * k + la)
-    pair, d = (x[first] for x in (pair, d)) if key[0] == key[1] else (pair.ravel(), d.ravel())
+    k, codes, other_codes = len(labels), code[: len(left)], code[len(left) :]
     low, high = np.full(k * k, np.inf), np.full(k * k, -np.inf)
-    np.minimum.at(low, pair, d)
-    np.maximum.at(high, pair, d)
-    n, s, q = (np.bincount(pair, w, k * k) for w in (None, d, d * d))
+    n, s, q = np.zeros(k * k, np.int64), np.zeros(k * k), np.zeros(k * k)
+    for i, j in ((i, j) for i in range(0, len(a), TILE) for j in range(0, len(b), TILE)):
+        one, other = slice(i, i + TILE), slice(j, j + TILE)
+        d = _distances(a[one], b[other])
+        la, lb = codes[one][:, None], other_codes[other][None, :]
+        first = ids[one][:, None] < others[other][None, :]
+        pair = np.where(first, la * k + lb, lb * k + la)
+        pair, d = (x[first] for x in (pair, d)) if key[0] == key[1] else (pair.ravel(), d.ravel())
+        np.minimum.at(low, pair, d)
+        np.maximum.at(high, pair, d)
+        n += np.bincount(pair, minlength=k * k)
+        s += np.bincount(pair, d, k * k)
+        q += np.bincount(pair, d * d, k * k)
     at = np.flatnonzero(n)
     return pd.DataFrame({"label_a": labels[at // k], "label_b": labels[at % k], "n": n[at], "s": s[at], "q": q[at], "low": low[at], "high": high[at]})
 

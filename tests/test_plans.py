@@ -494,3 +494,14 @@ def test_clashes_are_sought_in_rounds(spark, monkeypatch):
         got = {r.id for r in spatial.without_clashes(sites, others, (5.0,) * 3, cutoff).collect()}
         assert got == {i for i in range(0, 400, 2) if r2[i, 1::2].min() >= cutoff**2}
     assert sizes[0] == 200 and 0 < sizes[-1] <= 100
+
+
+def test_blocks_grow_with_the_table_up_to_a_limit(spark, monkeypatch):
+    """A vector goes to so many pairs of blocks, however many vectors there are; tiles and blocks don't change the sums."""
+    assert [pairwise._blocks(n, pairwise.block_size(n)) for n in (100, 2000, 20_000, 600_000, 1 << 20)] == [1, 4, 16, 16, 16]
+    rng = np.random.default_rng(2)
+    rows = [(i, list(map(float, rng.normal(size=6))), i % 3) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = sorted(map(tuple, pairwise.distance_stats(vectors).collect()))
+    monkeypatch.setattr(pairwise, "_blocks", lambda n, block: 3)
+    assert sorted(map(tuple, pairwise.distance_stats(vectors).collect())) == want and sum(r[2] for r in want) == 90 * 89 // 2
