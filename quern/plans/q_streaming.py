@@ -53,7 +53,7 @@ t AS (SELECT *, greatest(ceil(i / 10.0) - 1, 0)::BIGINT AS tick FROM c)
 SELECT user_id, tick, count(*) AS n, round(avg(value), 9) AS mean_value FROM t WHERE tick < (calls - 1) // 10 GROUP BY user_id, tick
 """)
 def stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.to_table(S.count_ticks(S.event_stream(spark, sf_dir)), "append")
+    found = S.to_table(S.count_ticks(S.event_stream(spark, sf_dir, 1 << 30)), "append")
     return found.select("user_id", "tick", "n", F.round("mean_value", 9).alias("mean_value"))
 
 

@@ -100,17 +100,21 @@ def _tick(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     """State: calls so far, and count and sum of the open tick. The first tick closes with the eleventh call, later ones with every tenth."""
     calls, n, total, tick = state.get if state.exists else (0, 0, 0.0, 0)
     out = []
-    for part in rows:
-        for value in part.sort_values("event_id")["value"]:
-            n, total = n + 1, total + value
-            if calls % 10 == 0 and calls > 0:
-                out.append((key[0], tick, n, total / n))
-                n, total, tick = 0, 0.0, tick + 1
-            calls += 1
+    # the parts are what Arrow's batches hold, in any order: a user's numbers and values of a trigger are sorted as one
+    for value in pd.concat([part[["event_id", "value"]] for part in rows]).sort_values("event_id")["value"]:
+        n, total = n + 1, total + value
+        if calls % 10 == 0 and calls > 0:
+            out.append((key[0], tick, n, total / n))
+            n, total, tick = 0, 0.0, tick + 1
+        calls += 1
     state.update((calls, n, total, tick))
     yield pd.DataFrame(out, columns=["user_id", "tick", "n", "mean_value"])
 
 
 def count_ticks(events: DataFrame) -> DataFrame:
-    """(user_id, tick, n, mean_value) by count-based tumbling ticks of each user; an open tick is never flushed."""
-    return events.groupBy("user_id").applyInPandasWithState(_tick, "user_id long, tick long, n long, mean_value double", "calls long, n long, total double, tick long", "append", GroupStateTimeout.NoTimeout)
+    """(user_id, tick, n, mean_value) by count-based tumbling ticks of each user; an open tick is never flushed.
+
+    Calls are in the order of event_id within a trigger, and triggers in that of their arrival. A task holds two numbers for
+    each event that one user has in one trigger.
+    """
+    return events.select("user_id", "event_id", "value").groupBy("user_id").applyInPandasWithState(_tick, "user_id long, tick long, n long, mean_value double", "calls long, n long, total double, tick long", "append", GroupStateTimeout.NoTimeout)

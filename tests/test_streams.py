@@ -68,3 +68,23 @@ def test_open_ticks_are_flushed_on_time(spark, tmp_path):
     assert Counter(r.key.user_id for r in state.collect()) == {1: 2, 2: 4}
     # at nine the clock stands at eight: user 2's own old timer is replaced by its new events
     assert run(parts[1], 1) == sorted([*first, (1, 1, 2, 11.5, True)])
+
+
+def test_ticks_do_not_depend_on_arrow_batches_or_files(spark, tmp_path):
+    """Two users' events in files against the order of their numbers, in batches of seven rows: ticks are those of the order."""
+    for name, ids in (("b", range(0, 60)), ("a", range(60, 120)), ("c", range(120, 150))):
+        rows = [(i, "2024-01-01 00:00:00", i % 2, "view", float(i * i), "") for i in ids]
+        frame = spark.createDataFrame(rows[::-1], "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.user_id, r.tick): (r.n, r.mean_value) for r in S.to_table(S.count_ticks(S.event_stream(spark, str(tmp_path))), "append").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for user in (0, 1):
+        values = [float(i * i) for i in range(user, 150, 2)]
+        cuts = [0, *range(11, 75, 10)]
+        want |= {(user, t): (hi - lo, sum(values[lo:hi]) / (hi - lo)) for t, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))}
+    assert got == want
