@@ -505,3 +505,18 @@ def test_blocks_grow_with_the_table_up_to_a_limit(spark, monkeypatch):
     want = sorted(map(tuple, pairwise.distance_stats(vectors).collect()))
     monkeypatch.setattr(pairwise, "_blocks", lambda n, block: 3)
     assert sorted(map(tuple, pairwise.distance_stats(vectors).collect())) == want and sum(r[2] for r in want) == 90 * 89 // 2
+
+
+def test_points_of_a_small_file_are_not_broadcast(spark, sf_dir, tmp_path):
+    """A file's size is known to the planner, unlike that of rows from Python: neither it nor AQE may take it for small enough to broadcast."""
+    from quern.plans.q_joins import pair_histogram
+
+    r2, points = clustered(spark, 200, 5.0)
+    points.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    args = (5.0,) * 3, 1.2, ("frame",)
+    for found in (pair_histogram(spark, sf_dir), spatial.close_pairs(points, *args), spatial.cell_join(points, points, *args)):
+        rows, plan = found.collect(), found._jdf.queryExecution().executedPlan().toString()
+        assert rows and "Final Plan" in plan and "SortMergeJoin [frame" in plan and "BroadcastHashJoin [frame" not in plan
+    found = spatial.pair_histogram(points, (5.0,) * 3, [0.0, 0.3, 0.6, 0.9, 1.2], ("frame",))
+    assert [r.n for r in found.orderBy("bin").collect()] == np.histogram(np.sqrt(r2[np.triu_indices(200, 1)]), [0.0, 0.3, 0.6, 0.9, 1.2])[0].tolist()
