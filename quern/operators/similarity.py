@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,15 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import use_checkpoints
+from .checkpoints import shared_folder, use_checkpoints
 from .ranges import running_sum
 
 #: What rounding may take from a bound.
 SLACK = 1e-9
-#: Cells of a row that goes whole to the columns of its prefix; longer ones meet others product by product.
+#: Cells of a row whose sketch goes to the columns of its prefix; longer ones meet others product by product.
 ROW_CELLS = 512
 #: Rows of a column's block, pairs whose sums a task holds at once, and products that it makes at once.
-COLUMN_ROWS, PAIRS, PRODUCTS = 1024, 1 << 22, 1 << 21
+COLUMN_ROWS, PAIRS, PRODUCTS = 8192, 1 << 22, 1 << 21
+#: Buckets in which cells are counted by column and by row, and cells that a task takes of one row.
+COLUMN_BUCKETS, ROW_BUCKETS, PART_CELLS = 1 << 16, 1 << 12, 1 << 20
+#: A cell of a sketch has WEIGHT_BITS of its value, rounded up, and the other bits of 16 of its column.
+WEIGHT_BITS = 5
+WEIGHTS, CODES = (1 << WEIGHT_BITS) - 1, 1 << (16 - WEIGHT_BITS)
+#: Bytes of sketches that a task makes at once.
+SKETCH_BYTES = 1 << 24
 
 
 def unit_rows(cells: DataFrame) -> DataFrame:
@@ -69,75 +78,144 @@ def candidates(unit: DataFrame, threshold: float, suffix: float | None = None, o
     return sums.where(F.col("__sum") + F.col("__rest") >= threshold - SLACK).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
 
 
-def _sums(groups: pa.Table, threshold: float) -> pa.RecordBatch:
-    """(i, j, cosine) of the rows of whole groups, one after the other: pairs of a group, of both its blocks if it has two, whose cosine
-    reaches threshold and whose first common cell is the group's column, so that a pair comes from one column only."""
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as files, which are smaller than a checkpoint's and have a size that joins can go by."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _rows(cells: DataFrame) -> DataFrame:
+    """(i, cells, square, part): rows as their cells (k, v) and the sum of their squares; cells of one place are added up, zeros and nulls go.
+
+    One exchange, by row. Rows of a bucket that holds PART_CELLS cells more than buckets do on average come in parts (from 1 on) of about
+    PART_CELLS, others whole (0).
+    """
+    held = cells.where("i is not null and k is not null and v is not null").select("i", "k", F.col("v").cast("double").alias("v"))
+    bucket = F.pmod(F.xxhash64("i"), F.lit(ROW_BUCKETS))
+    counts = {r.bucket: r["count"] for r in held.groupBy(bucket.alias("bucket")).count().collect()}
+    mean = sum(counts.values()) / ROW_BUCKETS
+    heavy = {b: math.ceil((n - mean) / PART_CELLS) for b, n in counts.items() if n - mean > PART_CELLS}
+    row = ["i"]
+    if heavy:
+        parts = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])[bucket]
+        held, row = held.withColumn("part", F.coalesce(F.pmod(F.xxhash64("k"), parts).cast("int") + 1, F.lit(0))), ["i", "part"]
+    summed = held.repartition(*row).groupBy(*row, "k").agg(F.sum("v").alias("v")).where("v <> 0")
+    rows = summed.groupBy(*row).agg(F.collect_list(F.struct("k", "v")).alias("cells"), F.sum(F.col("v") * F.col("v")).alias("square"))
+    return rows if heavy else rows.withColumn("part", F.lit(0))
+
+
+def _postings(counts: np.ndarray, threshold: float, above: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (i, codes, v) of length 1 to (code, i, scale, sketch), a record for each cell of a row's prefix: cells from there on, two bytes each.
+
+    Cells are ordered by the counts of their columns' buckets, and the prefix ends where what stands from a cell on is shorter than threshold.
+    above: only cells of buckets that count more, without sketches.
+    """
+    least, mask, step = max(threshold - SLACK, 0.0) ** 2, len(counts) - 1, SKETCH_BYTES
+
+    def records(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = batch.column("codes").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        code, v = (batch.column(c).flatten().to_numpy() for c in ("codes", "v"))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((code, counts[code & mask], row))
+        code, v = code[order], np.abs(v[order])
+        starts = np.cumsum(sizes) - sizes
+        upto = np.concatenate(([0.0], np.cumsum(v * v)))
+        at = np.flatnonzero(upto[(starts + sizes)[row]] - upto[:-1] >= least)
+        if above:
+            at = at[counts[code[at] & mask] > above]
+            yield pa.RecordBatch.from_arrays([pa.array(code[at])], names=["code"])
+            return
+        scale = np.nextafter(np.maximum.reduceat(v, starts).astype(np.float32), np.float32(np.inf))
+        weight = np.clip(np.ceil(v / scale[row] * WEIGHTS), 1, WEIGHTS).astype(np.uint16)
+        cell = (code >> 40 & CODES - 1).astype(np.uint16) << WEIGHT_BITS | weight
+        left = (starts + sizes)[row[at]] - at
+        ends = np.cumsum(left)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - left[lo] + step // 2, "right")))
+            n = left[lo:hi]
+            offsets = np.concatenate(([0], np.cumsum(n)))
+            cells = cell[np.repeat(at[lo:hi] - offsets[:-1], n) + np.arange(offsets[-1])]
+            sketches = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(cells)])
+            of = row[at[lo:hi]]
+            yield pa.RecordBatch.from_arrays([pa.array(code[at[lo:hi]]), batch.column("i").take(pa.array(of)), pa.array(scale[of]), sketches], names=["code", "i", "scale", "sketch"])
+            lo = hi
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from records(batch)
+
+    return postings
+
+
+def _met(groups: pa.Table, threshold: float, pairs: int, products: int) -> Iterator[pa.RecordBatch]:
+    """(i, j) of the rows of whole groups, one after the other: pairs of a group, of both its blocks if it has two, whose sketches could
+    reach threshold. Over cells that share a code, the product of the sums of their weights is no less than that of their values."""
     n = groups.num_rows
-    group, at, block = (groups.column(c).to_numpy() for c in ("__group", "__at", "__block"))
-    cells = groups.column("__cells").combine_chunks()
-    held = cells.flatten()
-    sizes = cells.value_lengths().to_numpy(zero_copy_only=False)
-    codes = held.field("k").dictionary_encode()
-    v, k, row = held.field("v").to_numpy(), codes.indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), sizes)
-    early = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < at[row]
-    order = np.argsort(group[row] * len(codes.dictionary) + k, kind="stable")
-    v, row, early, key = v[order], row[order], early[order], (group[row] * len(codes.dictionary) + k)[order]
-    # of each cell the cells of its column in its group that come after it, and of each row its place among the pairs
+    group, block, mixed, scale = (groups.column(c).to_numpy() for c in ("group", "block", "mixed", "scale"))
+    sketches = groups.column("sketch").combine_chunks()
+    offsets = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + n + 1].astype(np.int64) // 2
+    cell = np.frombuffer(sketches.buffers()[2], np.uint16, offsets[-1])[offsets[0] :]
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    key = group[row] * CODES + (cell >> WEIGHT_BITS)
+    order = np.argsort(key, kind="stable")
+    key, row, weight = key[order], row[order], ((cell & WEIGHTS) * (scale[row].astype(float) / WEIGHTS))[order]
+    # a row's cells of one code are one
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
+    key, row, weight = key[first], row[first], np.add.reduceat(weight, first)
+    # of each cell the cells of its code in its group that come after it, and of each row the rows of its group that do
     later = np.searchsorted(key, key, "right") - np.arange(len(key)) - 1
-    starts = np.searchsorted(group, group)
-    members = np.searchsorted(group, group, "right") - starts
-    base = np.concatenate(([0], np.cumsum(members)[:-1])) - starts
-    sums, seen = np.zeros(int(members.sum())), np.zeros(int(members.sum()), bool)
-    ends = np.cumsum(later)
-
-    def products(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        times = later[lo:hi]
-        one = np.repeat(np.arange(lo, hi), times)
-        other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)
-        two = block[row[one]] != block[row[other]]
-        # a group of two blocks is met for the pairs between them
-        keep = two | ~mixed[row[one]]
-        one, other = one[keep], other[keep]
-        return one, other, base[row[one]] + row[other]
-
-    mixed = groups.column("__mixed").to_numpy()
-    cuts = [0]
-    while cuts[-1] < len(key):
-        done = ends[cuts[-1] - 1] if cuts[-1] else 0
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + PRODUCTS, "right"))))
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        one, other, pair = products(lo, hi)
-        low = pair.min() if len(pair) else 0
-        found = np.bincount(pair - low, v[one] * v[other])
-        sums[low : low + len(found)] += found
-    reach = sums >= threshold
-    if reach.any():
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            one, _, pair = products(lo, hi)
-            seen[pair[early[one]]] = True
-    hit = np.flatnonzero(reach & ~seen)
-    left = np.searchsorted(np.cumsum(members), hit, "right")
+    after = np.searchsorted(group, group, "right") - np.arange(n) - 1
+    base = np.concatenate(([0], np.cumsum(after)))
+    place, apart = (base[:-1] - np.arange(n) - 1)[row], bool(mixed.any())
     ids = groups.column("i").combine_chunks()
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(hit - base[left])), pa.array(sums[hit])], names=["i", "j", "cosine"])
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(base, base[a] + pairs, "right")) - 1)
+        held = np.flatnonzero((row >= a) & (row < b) & (later > 0))
+        ends = np.cumsum(later[held])
+        sums = np.zeros(base[b] - base[a])
+        lo = 0
+        while lo < len(held):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + products, "right")))
+            times = later[held[lo:hi]]
+            other = np.arange(times.sum()) + np.repeat(held[lo:hi] + 1 - np.cumsum(times) + times, times)
+            pair = np.repeat(place[held[lo:hi]] - base[a], times) + row[other]
+            product = np.repeat(weight[held[lo:hi]], times) * weight[other]
+            if apart:
+                # a group of two blocks is met for the pairs between them
+                one = np.repeat(row[held[lo:hi]], times)
+                product[mixed[one] & (block[one] == block[row[other]])] = 0.0
+            low = pair.min()
+            found = np.bincount(pair - low, product)
+            sums[low : low + len(found)] += found
+            lo = hi
+        hit = np.flatnonzero(sums >= threshold - SLACK) + base[a]
+        left = np.searchsorted(base, hit, "right") - 1
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(left + 1 + hit - base[left]))], names=["i", "j"])
+        a = b
 
 
 def _column_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted rows of (column, blocks) groups to their pairs; a task holds as many groups as make about PAIRS pairs, or one."""
+    """Sorted records of (column, blocks) groups to their pairs; a task holds as many groups as make about PAIRS pairs, or one."""
+    most, products = PAIRS, PRODUCTS
 
     def whole(held: pa.Table, last: bool) -> Iterator[pa.Table]:
         new = np.zeros(held.num_rows, bool)
-        for c in ("__k", "__bi", "__bj"):
-            codes = held.column(c).combine_chunks().dictionary_encode().indices.to_numpy()
+        for c in ("code", "bi", "bj"):
+            codes = held.column(c).to_numpy()
             new[1:] |= codes[1:] != codes[:-1]
         starts = np.concatenate(([0], np.flatnonzero(new), [held.num_rows]))
-        held = held.append_column("__group", pa.array(np.cumsum(new)))
+        held = held.append_column("group", pa.array(np.cumsum(new)))
         squares = np.cumsum(np.diff(starts) ** 2)
         lo, end = 0, len(starts) - (1 if last else 2)
         while lo < end:
-            hi = max(lo + 1, int(np.searchsorted(squares[:end], (squares[lo - 1] if lo else 0) + PAIRS, "right")))
+            hi = max(lo + 1, int(np.searchsorted(squares[:end], (squares[lo - 1] if lo else 0) + most, "right")))
             yield held.slice(starts[lo], starts[hi] - starts[lo])
             lo = hi
-        yield held.slice(starts[end]).drop_columns(["__group"])
+        yield held.slice(starts[end]).drop_columns(["group"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -147,60 +225,85 @@ def _column_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iter
             held = pa.Table.from_batches(([] if held is None else held.to_batches()) + [batch])
             *ready, held = whole(held, False)
             for groups in ready:
-                yield _sums(groups, threshold)
+                yield from _met(groups, threshold, most, products)
         if held is not None and held.num_rows:
             *ready, _ = whole(held, True)
             for groups in ready:
-                yield _sums(groups, threshold)
+                yield from _met(groups, threshold, most, products)
 
     return pairs
 
 
-def _short_pairs(unit: DataFrame, threshold: float) -> DataFrame:
-    """(i, j, cosine), i < j, of rows that fit a record: each goes whole to the columns of its prefix, where the cosines are summed.
+def _cosines(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (i, j) with the columns and values of both rows to those (i, j, cosine) whose cosine reaches threshold."""
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pair = [np.repeat(np.arange(batch.num_rows), batch.column(k).value_lengths().to_numpy(zero_copy_only=False)) for k in ("ki", "kj")]
+            held = pa.concat_arrays([batch.column(k).flatten() for k in ("ki", "kj")]).dictionary_encode()
+            codes = held.indices.to_numpy().astype(np.int64)
+            one, other = (p * len(held.dictionary) + c for p, c in zip(pair, np.split(codes, [len(pair[0])]), strict=True))
+            _, left, right = np.intersect1d(one, other, assume_unique=True, return_indices=True)
+            v, w = (batch.column(c).flatten().to_numpy() for c in ("vi", "vj"))
+            sums = np.bincount(pair[0][left], v[left] * w[right], batch.num_rows)
+            hit = pa.array(np.flatnonzero(sums >= threshold))
+            yield pa.RecordBatch.from_arrays([batch.column("i").take(hit), batch.column("j").take(hit), pa.array(sums).take(hit)], names=["i", "j", "cosine"])
+
+    return cosines
 
-    What is shuffled is a row for each cell of a prefix, never one for a product or a pair. A column of more than COLUMN_ROWS rows
-    is met in pairs of blocks.
+
+def _short_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, cosine), i < j, of rows that fit a record: sketches meet at the columns of their prefixes, and cosines are summed for what could reach threshold.
+
+    What is shuffled is a record for each cell of a prefix, of two bytes for each cell from there on, never one for a product or a pair. A pair's
+    first common column has all that it shares, so a bound from there on loses none. Columns are known by a hash; two of one hash
+    only raise bounds. A column of more than COLUMN_ROWS rows is met in pairs of blocks.
     """
-    rows_of = unit.groupBy("k").agg(F.count(F.lit(1)).alias("__rows"))
-    rows = unit.join(rows_of, "k").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("__rows", "k", "v"))).alias("__cells"))
-    # a cell is in the prefix if what stands from it on is no shorter than threshold
-    start = F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("n"))
-    least = max(threshold - SLACK, 0.0) ** 2
-    step = lambda s, c: F.struct((s["left"] - c["v"] * c["v"]).alias("left"), (s["n"] + F.when(s["left"] >= least, 1).otherwise(0)).alias("n"))
-    prefix = F.greatest(F.aggregate("__cells", start, step)["n"], F.lit(1))
-    rows = rows.select("i", prefix.alias("__n"), F.transform("__cells", lambda c: F.struct(c["k"].alias("k"), c["v"].alias("v"))).alias("__cells")).checkpoint()
-    places = rows.select("i", F.posexplode(F.slice("__cells", 1, F.col("__n"))).alias("__at", "__cell"), "__cells").select("i", F.col("__cell.k").alias("__k"), "__at", "__cells")
-    counts = places.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
-    # a row for each COLUMN_ROWS cells at most
-    hot = counts.where(F.col("__n") > COLUMN_ROWS).select("__k", F.ceil(F.col("__n") / COLUMN_ROWS).cast("int").alias("__blocks"))
-    blocks = F.coalesce("__blocks", F.lit(1))
-    dealt = places.join(F.broadcast(hot), "__k", "left").withColumn("__block", F.pmod(F.xxhash64("i"), blocks).cast("int"))
-    dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("i", "__k", "__at", "__block", F.least("__block", "__o").alias("__bi"), F.greatest("__block", "__o").alias("__bj"), "__cells").withColumn("__mixed", F.col("__bi") != F.col("__bj"))
-    group = ["__k", "__bi", "__bj"]
-    kind = unit.schema["i"].dataType.simpleString()
-    found = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_column_pairs(threshold), f"i {kind}, j {kind}, cosine double")
-    return found.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cosine")
+    kind = rows.schema["i"].dataType.simpleString()
+    at = F.pmod(F.xxhash64("k"), F.lit(COLUMN_BUCKETS)).cast("int")
+    counted = rows.select(F.explode("cells.k").alias("k")).groupBy(at.alias("bucket")).count().toArrow()
+    counts = np.zeros(COLUMN_BUCKETS, np.int64)
+    counts[counted.column("bucket").to_numpy()] = counted.column("count").to_numpy()
+    unit = rows.select("i", F.col("cells.k").alias("k"), F.transform("cells.v", lambda v: v / F.sqrt("square")).alias("v"))
+    coded = unit.select("i", F.transform("k", lambda k: F.xxhash64(k)).alias("codes"), "v")
+    places = coded.mapInArrow(_postings(counts, threshold), f"code long, i {kind}, scale float, sketch binary").withColumn("block", F.lit(0)).withColumn("bi", F.lit(0)).withColumn("bj", F.lit(0))
+    if counts.max(initial=0) > COLUMN_ROWS:
+        met = coded.mapInArrow(_postings(counts, threshold, COLUMN_ROWS), "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+        # a row for each COLUMN_ROWS cells at most
+        hot = met.where(F.col("n") > COLUMN_ROWS).select("code", F.ceil(F.col("n") / COLUMN_ROWS).cast("int").alias("blocks"))
+        blocks = F.coalesce("blocks", F.lit(1))
+        places = places.join(F.broadcast(hot), "code", "left").withColumn("block", F.pmod(F.xxhash64("i"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        places = places.withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o")).drop("o", "blocks")
+    group = ["code", "bi", "bj"]
+    met = places.repartition(*group).sortWithinPartitions(*group).withColumn("mixed", F.col("bi") != F.col("bj")).mapInArrow(_column_pairs(threshold), f"i {kind}, j {kind}")
+    pairs = _kept(met.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "pairs")
+    left, right = (unit.select(F.col("i").alias(x), F.col("k").alias(f"k{x}"), F.col("v").alias(f"v{x}")) for x in "ij")
+    # rows without a pair are not shuffled where pairs are few
+    return pairs.join(left, "i").join(right.join(pairs, "j", "left_semi"), "j").mapInArrow(_cosines(threshold), f"i {kind}, j {kind}, cosine double")
 
 
 def similarity_join(cells: DataFrame, threshold: float, suffix: float | None = None) -> DataFrame:
     """(i, j, cosine), i < j: all pairs of sparse rows (i, k, v) whose cosine is at least threshold (above 0).
 
-    Prefix filtering: only rare columns bring pairs together, and the cosine is summed exactly from all cells where a pair's first
-    common column is. Rows of more than ROW_CELLS cells don't travel whole: pairs with such a row are met product by product, bounds
-    drop most of these, and what is left is verified exactly. suffix: the length of what a row leaves out of its prefix in that way,
+    Prefix filtering: only rare columns bring pairs together, as sketches whose bound says which of them could reach the threshold, and the
+    cosines of these are summed exactly from all cells. Rows of more than ROW_CELLS cells have no sketch: pairs with such a row are met
+    product by product, bounds drop most of these, and what is left is verified exactly. suffix: the length of what a row leaves out of its prefix in that way,
     the threshold at most and by default. Joins are plain exchanges, so AQE splits rows and columns with very many
     cells; the columns that most rows have are in almost no prefix. Rows without cells have no partner.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"the threshold must be above 0 and at most 1, not {threshold}")
     use_checkpoints(cells.sparkSession)
-    unit = unit_rows(cells).checkpoint()
-    long = unit.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROW_CELLS).select("i").checkpoint()
+    rows = _kept(_rows(cells), "rows")
+    is_long = (F.col("part") > 0) | (F.size("cells") > ROW_CELLS)
+    found = _short_pairs(rows.where(~is_long), threshold)
+    long = rows.where(is_long).select("i").distinct()
     if long.isEmpty():
-        return _short_pairs(unit, threshold)
-    found = _short_pairs(unit.join(long, "i", "left_anti"), threshold)
+        return found
+    long = long.checkpoint()
+    unit = unit_rows(rows.select("i", F.explode("cells").alias("cell")).select("i", "cell.k", "cell.v")).checkpoint()
     pairs = candidates(unit, threshold, suffix, long).checkpoint()
     left = pairs.join(unit, "i")
     both = left.join(unit.select(F.col("i").alias("j"), "k", F.col("v").alias("__w")), ["j", "k"])

@@ -69,3 +69,45 @@ def test_no_row_is_shuffled_for_a_product(spark, monkeypatch):
     monkeypatch.setattr(similarity, "candidates", None)
     cells = spark.range(400).selectExpr("id % 399 + id div 399 * 399 as i", "explode(array(id % 399, 1000, 1001)) as k", "1.0D as v")
     assert [(r.i, r.j) for r in similarity.similarity_join(cells, 0.9).collect()] == [(0, 399)]
+
+
+def shuffled(spark):
+    """Bytes that the stages so far have written for exchanges."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+
+
+def test_little_is_shuffled_for_long_prefixes(spark):
+    """Prefixes of 20 of 30 cells: fewer than 60 bytes for each cell of the table, where whole rows at each place took 87."""
+    cells = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("v"))
+    before = shuffled(spark)
+    assert similarity.similarity_join(cells, 0.523456).count() == 510
+    assert 0 < shuffled(spark) - before < 60 * cells.count()
+
+
+def test_a_heavy_row_comes_in_parts(spark, monkeypatch):
+    """Rows of more than PART_CELLS cells are dealt to several tasks, and meet the others all the same."""
+    monkeypatch.setattr(similarity, "PART_CELLS", 50)
+    rng = random.Random(8)
+    table = [(i, k, rng.choice([-1, 1, 1, 1]) * rng.uniform(0.1, 3)) for i in range(40) for k in rng.sample(range(30), 8)]
+    table += [(i, k, 1.0 + k % 3) for i in (50, 51) for k in range(i, 250)]
+    frame = spark.createDataFrame(table, "i int, k int, v double")
+    parts = {(r.i, r.part) for r in similarity._rows(frame).collect()}
+    assert {i for i, part in parts if part} >= {50, 51} and all(sum(x == i for x, _ in parts) > 2 for i in (50, 51))
+    got, want = {(r.i, r.j): r.cosine for r in similarity.similarity_join(frame, 0.4).collect()}, all_pairs(table, 0.4)
+    assert got.keys() == want.keys() and (50, 51) in got and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_sketches_bound_the_cosine(spark, monkeypatch):
+    """Columns that share a code, buckets of columns and rows of many ranges only add candidates; a pair is never lost."""
+    monkeypatch.setattr(similarity, "CODES", 4)
+    monkeypatch.setattr(similarity, "COLUMN_BUCKETS", 2)
+    monkeypatch.setattr(similarity, "SKETCH_BYTES", 64)
+    monkeypatch.setattr(similarity, "PAIRS", 30)
+    monkeypatch.setattr(similarity, "PRODUCTS", 10)
+    rng = random.Random(9)
+    table = [(i, f"k{k}", rng.choice([-1, 1, 1]) * rng.uniform(0.01, 5)) for i in range(70) for k in rng.sample(range(25), rng.randint(1, 20))]
+    got = {(r.i, r.j): r.cosine for r in similarity.similarity_join(spark.createDataFrame(table, "i long, k string, v double"), 0.35).collect()}
+    want = all_pairs(table, 0.35)
+    assert got.keys() == want.keys() and len(want) > 100 and all(got[p] == pytest.approx(want[p]) for p in want)
