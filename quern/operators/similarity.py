@@ -27,6 +27,8 @@ WEIGHT_BITS = 5
 WEIGHTS, CODES = (1 << WEIGHT_BITS) - 1, 1 << (16 - WEIGHT_BITS)
 #: Bytes of sketches that a task makes at once.
 SKETCH_BYTES = 1 << 24
+#: Cells of a shelf, a range of columns to which a row goes once, and shelves at most; more cells make shelves in parts.
+SHELF_CELLS, SHELVES = 1 << 20, 1024
 
 
 def unit_rows(cells: DataFrame) -> DataFrame:
@@ -105,41 +107,64 @@ def _rows(cells: DataFrame) -> DataFrame:
     return rows if heavy else rows.withColumn("part", F.lit(0))
 
 
-def _postings(counts: np.ndarray, threshold: float, above: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (i, codes, v) of length 1 to (code, i, scale, sketch), a record for each cell of a row's prefix: cells from there on, two bytes each.
+def _shelves(rows: DataFrame, cells: int) -> tuple[np.ndarray, int]:
+    """Where shelves of about as many cells begin in the order of columns that are integers, none for others; and the parts of a shelf."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = min(max(math.ceil(cells / SHELF_CELLS), 4 * cores), SHELVES)
+    columns = rows.select(F.explode("cells.k").alias("k"))
+    if not cells or columns.schema["k"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return np.zeros(0, np.int64), 0
+    bounds = columns.agg(F.percentile_approx("k", [x / n for x in range(1, n)], 10 * n)).first()[0]
+    return np.unique(np.array(bounds, np.int64)), math.ceil(cells / n / SHELF_CELLS)
 
-    Cells are ordered by the counts of their columns' buckets, and the prefix ends where what stands from a cell on is shorter than threshold.
-    above: only cells of buckets that count more, without sketches.
+
+def _postings(counts: np.ndarray, bounds: np.ndarray, parts: int, threshold: float, above: int, only_above: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (i, codes, k, v) of length 1 to (key, i, scale, places, sketch): for each run of prefix cells of one shelf the cells from its first on.
+
+    Cells are ordered by the counts of their columns' buckets, to a factor of the root of 2, and then by shelf; the prefix ends where what stands
+    from a cell on is shorter than threshold. A cell of a sketch has two bytes, and so has a place of the run, for the rest of its column's
+    code. Columns whose buckets count more than above, or all without shelves (parts 0), have runs and keys of their own; only_above: only their keys.
     """
     least, mask, step = max(threshold - SLACK, 0.0) ** 2, len(counts) - 1, SKETCH_BYTES
+    level = np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+
+    def shorts(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        held = values[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(held)])
 
     def records(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sizes = batch.column("codes").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         code, v = (batch.column(c).flatten().to_numpy() for c in ("codes", "v"))
         row = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((code, counts[code & mask], row))
-        code, v = code[order], np.abs(v[order])
+        alone = counts[code & mask] > above
+        shelf = np.zeros(len(code), np.int64)
+        if parts:
+            shelf = np.searchsorted(bounds, batch.column("k").flatten().to_numpy(), "right") * parts + (code >> 16 & 0xFFFFFF) % parts
+        order = np.lexsort((code, level[code & mask] << 40 | shelf, row))
+        code, v, alone, shelf = code[order], np.abs(v[order]), alone[order], shelf[order]
         starts = np.cumsum(sizes) - sizes
         upto = np.concatenate(([0.0], np.cumsum(v * v)))
         at = np.flatnonzero(upto[(starts + sizes)[row]] - upto[:-1] >= least)
-        if above:
-            at = at[counts[code[at] & mask] > above]
-            yield pa.RecordBatch.from_arrays([pa.array(code[at])], names=["code"])
+        key = np.where(alone, code, shelf) if parts else code
+        if only_above:
+            yield pa.RecordBatch.from_arrays([pa.array(key[at[alone[at]]])], names=["key"])
             return
         scale = np.nextafter(np.maximum.reduceat(v, starts).astype(np.float32), np.float32(np.inf))
         weight = np.clip(np.ceil(v / scale[row] * WEIGHTS), 1, WEIGHTS).astype(np.uint16)
         cell = (code >> 40 & CODES - 1).astype(np.uint16) << WEIGHT_BITS | weight
+        rest = (code >> 20 & 0xFFFF).astype(np.uint16)
+        # prefixes are the first cells of their rows, so that neighbours of a run are neighbours here
+        new = np.flatnonzero(np.concatenate(([True], (key[at][1:] != key[at][:-1]) | (row[at][1:] != row[at][:-1]))))
+        runs, at = np.diff(np.concatenate((new, [len(at)]))), at[new]
         left = (starts + sizes)[row[at]] - at
         ends = np.cumsum(left)
         lo = 0
         while lo < len(at):
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - left[lo] + step // 2, "right")))
-            n = left[lo:hi]
-            offsets = np.concatenate(([0], np.cumsum(n)))
-            cells = cell[np.repeat(at[lo:hi] - offsets[:-1], n) + np.arange(offsets[-1])]
-            sketches = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(cells)])
-            of = row[at[lo:hi]]
-            yield pa.RecordBatch.from_arrays([pa.array(code[at[lo:hi]]), batch.column("i").take(pa.array(of)), pa.array(scale[of]), sketches], names=["code", "i", "scale", "sketch"])
+            first, of = at[lo:hi], row[at[lo:hi]]
+            held = [pa.array(key[first]), batch.column("i").take(pa.array(of)), pa.array(scale[of]), shorts(rest, first, runs[lo:hi]), shorts(cell, first, left[lo:hi])]
+            yield pa.RecordBatch.from_arrays(held, names=["key", "i", "scale", "places", "sketch"])
             lo = hi
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,15 +175,48 @@ def _postings(counts: np.ndarray, threshold: float, above: int = 0) -> Callable[
     return postings
 
 
+def _shorts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of two bytes in all the binaries, and where each begins; the last ends there."""
+    held = column.combine_chunks()
+    offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64) // 2
+    return np.frombuffer(held.buffers()[2], np.uint16, offsets[-1])[offsets[0] :], offsets - offsets[0]
+
+
 def _met(groups: pa.Table, threshold: float, pairs: int, products: int) -> Iterator[pa.RecordBatch]:
-    """(i, j) of the rows of whole groups, one after the other: pairs of a group, of both its blocks if it has two, whose sketches could
-    reach threshold. Over cells that share a code, the product of the sums of their weights is no less than that of their values."""
-    n = groups.num_rows
+    """(i, j) of the rows of whole groups, one after the other, that meet at a place: pairs of a column, of both its blocks if it has two."""
+    sketch, sketches = _shorts(groups.column("sketch"))
+    places, runs = _shorts(groups.column("places"))
+    record = np.repeat(np.arange(groups.num_rows), np.diff(runs))
+    begin = sketches[record] + np.arange(len(record)) - runs[record]
     group, block, mixed, scale = (groups.column(c).to_numpy() for c in ("group", "block", "mixed", "scale"))
-    sketches = groups.column("sketch").combine_chunks()
-    offsets = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + n + 1].astype(np.int64) // 2
-    cell = np.frombuffer(sketches.buffers()[2], np.uint16, offsets[-1])[offsets[0] :]
-    row = np.repeat(np.arange(n), np.diff(offsets))
+    column = (group[record] << 16 | places) << 16 - WEIGHT_BITS | sketch[begin] >> WEIGHT_BITS
+    order = np.argsort(column, kind="stable")
+    record, begin, column = record[order], begin[order], column[order]
+    ids = groups.column("i").combine_chunks()
+    starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1], [True])))
+    cells = np.concatenate(([0], np.cumsum(sketches[record + 1] - begin)))
+    cells, starts, counts = np.diff(cells[starts]), starts[:-1], np.diff(starts)
+    # a column of one row has no pair; others are met together as long as their pairs and cells are few
+    cells, starts, counts = (x[counts > 1] for x in (cells, starts, counts))
+    squares = np.cumsum(counts**2 + 2 * cells)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(squares, (squares[lo - 1] if lo else 0) + pairs, "right")))
+        some = np.repeat(starts[lo:hi] - np.cumsum(counts[lo:hi]) + counts[lo:hi], counts[lo:hi]) + np.arange(counts[lo:hi].sum())
+        of = record[some]
+        for one, other in _reaching(np.repeat(np.arange(hi - lo), counts[lo:hi]), sketch, begin[some], sketches[of + 1], scale[of], block[of], mixed[of], threshold, pairs, products):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[one])), ids.take(pa.array(of[other]))], names=["i", "j"])
+        lo = hi
+
+
+def _reaching(group: np.ndarray, sketch: np.ndarray, begin: np.ndarray, end: np.ndarray, scale: np.ndarray, block: np.ndarray, mixed: np.ndarray, threshold: float, pairs: int, products: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group, which are sorted by it, whose sketches from begin to end could reach threshold.
+
+    Over cells that share a code, the product of the sums of their weights is no less than that of their values.
+    """
+    n, sizes = len(group), end - begin
+    row = np.repeat(np.arange(n), sizes)
+    cell = sketch[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(len(row))]
     key = group[row] * CODES + (cell >> WEIGHT_BITS)
     order = np.argsort(key, kind="stable")
     key, row, weight = key[order], row[order], ((cell & WEIGHTS) * (scale[row].astype(float) / WEIGHTS))[order]
@@ -170,7 +228,6 @@ def _met(groups: pa.Table, threshold: float, pairs: int, products: int) -> Itera
     after = np.searchsorted(group, group, "right") - np.arange(n) - 1
     base = np.concatenate(([0], np.cumsum(after)))
     place, apart = (base[:-1] - np.arange(n) - 1)[row], bool(mixed.any())
-    ids = groups.column("i").combine_chunks()
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(base, base[a] + pairs, "right")) - 1)
@@ -193,43 +250,37 @@ def _met(groups: pa.Table, threshold: float, pairs: int, products: int) -> Itera
             sums[low : low + len(found)] += found
             lo = hi
         hit = np.flatnonzero(sums >= threshold - SLACK) + base[a]
-        left = np.searchsorted(base, hit, "right") - 1
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(left + 1 + hit - base[left]))], names=["i", "j"])
+        if len(hit):
+            left = np.searchsorted(base, hit, "right") - 1
+            yield left, left + 1 + hit - base[left]
         a = b
 
 
 def _column_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted records of (column, blocks) groups to their pairs; a task holds as many groups as make about PAIRS pairs, or one."""
-    most, products = PAIRS, PRODUCTS
+    """Sorted records of (key, blocks) groups to their pairs; a task holds groups of about SHELF_CELLS / 8 records, or one."""
+    most, products, records = PAIRS, PRODUCTS, max(1, SHELF_CELLS // 8)
 
-    def whole(held: pa.Table, last: bool) -> Iterator[pa.Table]:
+    def whole(held: pa.Table, last: bool) -> tuple[pa.Table | None, pa.Table]:
         new = np.zeros(held.num_rows, bool)
-        for c in ("code", "bi", "bj"):
+        for c in ("key", "bi", "bj"):
             codes = held.column(c).to_numpy()
             new[1:] |= codes[1:] != codes[:-1]
-        starts = np.concatenate(([0], np.flatnonzero(new), [held.num_rows]))
-        held = held.append_column("group", pa.array(np.cumsum(new)))
-        squares = np.cumsum(np.diff(starts) ** 2)
-        lo, end = 0, len(starts) - (1 if last else 2)
-        while lo < end:
-            hi = max(lo + 1, int(np.searchsorted(squares[:end], (squares[lo - 1] if lo else 0) + most, "right")))
-            yield held.slice(starts[lo], starts[hi] - starts[lo])
-            lo = hi
-        yield held.slice(starts[end]).drop_columns(["group"])
+        end = held.num_rows if last else int(np.flatnonzero(new)[-1]) if new.any() else 0
+        return held.slice(0, end).append_column("group", pa.array(np.cumsum(new)[:end])) if end else None, held.slice(end)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        waiting, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches(([] if held is None else held.to_batches()) + [batch])
-            *ready, held = whole(held, False)
-            for groups in ready:
-                yield from _met(groups, threshold, most, products)
-        if held is not None and held.num_rows:
-            *ready, _ = whole(held, True)
-            for groups in ready:
-                yield from _met(groups, threshold, most, products)
+            waiting, n = [*waiting, batch], n + batch.num_rows
+            if n >= records:
+                ready, rest = whole(pa.Table.from_batches(waiting), False)
+                if ready is not None:
+                    yield from _met(ready, threshold, most, products)
+                # what is left of a group is looked at again when as many have come
+                waiting, n = rest.to_batches(), 0
+        if sum(b.num_rows for b in waiting):
+            ready, _ = whole(pa.Table.from_batches(waiting), True)
+            yield from _met(ready, threshold, most, products)
 
     return pairs
 
@@ -257,8 +308,9 @@ def _cosines(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def _short_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(i, j, cosine), i < j, of rows that fit a record: sketches meet at the columns of their prefixes, and cosines are summed for what could reach threshold.
 
-    What is shuffled is a record for each cell of a prefix, of two bytes for each cell from there on, never one for a product or a pair. A pair's
-    first common column has all that it shares, so a bound from there on loses none. Columns are known by a hash; two of one hash
+    What is shuffled is a record for each run of a prefix's cells of one shelf, of two bytes for each cell from there on, never one for a product
+    or a pair. Where columns near each other have the same rows, a row goes to few shelves; where not, to as many as its prefix has cells.
+    A pair's first common column has all that it shares, so a bound from there on loses none. Columns are known by a hash; two of one hash
     only raise bounds. A column of more than COLUMN_ROWS rows is met in pairs of blocks.
     """
     kind = rows.schema["i"].dataType.simpleString()
@@ -266,17 +318,20 @@ def _short_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     counted = rows.select(F.explode("cells.k").alias("k")).groupBy(at.alias("bucket")).count().toArrow()
     counts = np.zeros(COLUMN_BUCKETS, np.int64)
     counts[counted.column("bucket").to_numpy()] = counted.column("count").to_numpy()
+    above = max(COLUMN_ROWS, 2 * int(counts.mean()))
+    bounds, parts = _shelves(rows, int(counts.sum()))
     unit = rows.select("i", F.col("cells.k").alias("k"), F.transform("cells.v", lambda v: v / F.sqrt("square")).alias("v"))
-    coded = unit.select("i", F.transform("k", lambda k: F.xxhash64(k)).alias("codes"), "v")
-    places = coded.mapInArrow(_postings(counts, threshold), f"code long, i {kind}, scale float, sketch binary").withColumn("block", F.lit(0)).withColumn("bi", F.lit(0)).withColumn("bj", F.lit(0))
-    if counts.max(initial=0) > COLUMN_ROWS:
-        met = coded.mapInArrow(_postings(counts, threshold, COLUMN_ROWS), "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    coded = unit.select("i", F.transform("k", lambda k: F.xxhash64(k)).alias("codes"), "k", "v")
+    places = coded.mapInArrow(_postings(counts, bounds, parts, threshold, above), f"key long, i {kind}, scale float, places binary, sketch binary")
+    places = places.withColumn("block", F.lit(0)).withColumn("bi", F.lit(0)).withColumn("bj", F.lit(0))
+    if counts.max(initial=0) > above:
+        met = coded.mapInArrow(_postings(counts, bounds, parts, threshold, above, True), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         # a row for each COLUMN_ROWS cells at most
-        hot = met.where(F.col("n") > COLUMN_ROWS).select("code", F.ceil(F.col("n") / COLUMN_ROWS).cast("int").alias("blocks"))
+        hot = met.where(F.col("n") > COLUMN_ROWS).select("key", F.ceil(F.col("n") / COLUMN_ROWS).cast("int").alias("blocks"))
         blocks = F.coalesce("blocks", F.lit(1))
-        places = places.join(F.broadcast(hot), "code", "left").withColumn("block", F.pmod(F.xxhash64("i"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        places = places.withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o")).drop("o", "blocks")
-    group = ["code", "bi", "bj"]
+        places = places.join(F.broadcast(hot), "key", "left").withColumn("block", F.pmod(F.xxhash64("i"), blocks).cast("int"))
+        places = places.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o")).drop("o", "blocks")
+    group = ["key", "bi", "bj"]
     met = places.repartition(*group).sortWithinPartitions(*group).withColumn("mixed", F.col("bi") != F.col("bj")).mapInArrow(_column_pairs(threshold), f"i {kind}, j {kind}")
     pairs = _kept(met.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "pairs")
     left, right = (unit.select(F.col("i").alias(x), F.col("k").alias(f"k{x}"), F.col("v").alias(f"v{x}")) for x in "ij")

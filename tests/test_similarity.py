@@ -2,6 +2,8 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,26 @@ def test_sketches_bound_the_cosine(spark, monkeypatch):
     got = {(r.i, r.j): r.cosine for r in similarity.similarity_join(spark.createDataFrame(table, "i long, k string, v double"), 0.35).collect()}
     want = all_pairs(table, 0.35)
     assert got.keys() == want.keys() and len(want) > 100 and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_a_row_goes_to_a_range_of_columns_once():
+    """Cells of one shelf are one record, with the sketch from its first on; without shelves there is a record for each cell of the prefix."""
+    k = list(range(90, 110))
+    batch = pa.RecordBatch.from_pydict({"i": [7], "codes": [[x * 0x9E3779B97F4A7 for x in k]], "k": [k], "v": [[20**-0.5] * 20]})
+    counts = np.ones(similarity.COLUMN_BUCKETS, np.int64)
+    (one,) = similarity._postings(counts, np.array([100]), 1, 0.5, 1000)(iter([batch]))
+    assert one.num_rows == 2 and [len(x) for x in one.column("places").to_pylist()] == [20, 12] and [len(x) for x in one.column("sketch").to_pylist()] == [40, 20]
+    (each,) = similarity._postings(counts, np.array([], np.int64), 0, 0.5, 1000)(iter([batch]))
+    assert [len(x) for x in each.column("sketch").to_pylist()] == [2 * n for n in range(20, 4, -1)]
+
+
+@pytest.mark.parametrize(("cells", "shelves", "rows"), [(1 << 20, 1024, 8192), (20, 1024, 6), (20, 3, 8192), (20, 3, 6)])
+def test_ranges_of_columns_lose_no_pair(spark, monkeypatch, cells, shelves, rows):
+    """Shelves of a few columns, shelves in parts, columns in blocks, negative columns, and more records than a task looks at."""
+    for name, x in (("SHELF_CELLS", cells), ("SHELVES", shelves), ("COLUMN_ROWS", rows)):
+        monkeypatch.setattr(similarity, name, x)
+    rng = random.Random(11)
+    table = [(i, 10**12 * (k % 3 - 1) + k, rng.choice([-1, 1, 1, 1]) * rng.uniform(0.1, 3)) for i in range(60) for k in rng.sample(range(30 if i % 2 else 8), 7)]
+    got = {(r.i, r.j): r.cosine for r in similarity.similarity_join(spark.createDataFrame(table, "i long, k long, v double"), 0.5).collect()}
+    want = all_pairs(table, 0.5)
+    assert got.keys() == want.keys() and len(want) > 50 and all(got[p] == pytest.approx(want[p]) for p in want)
